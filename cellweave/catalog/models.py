@@ -1 +1,91 @@
-"""Queries."""
+"""Queries: classifiers, tile scoring, uncertainty, cross-validation, ablation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cellweave.catalog import fixtures as fx
+from cellweave.catalog.registry import query
+from cellweave.functions.scalars import all_present
+from cellweave.operators import labels, models, tiles
+from cellweave.plans import baselines
+
+BANDS = fx.BANDS
+P, S = fx.PATCH, fx.STRIDE
+#: Sizes that keep the sample run short; the library defaults are 500 trees of depth 30.
+FOREST = {"trees": 10, "depth": 6}
+
+
+def _fold(spark, folder, fold=0):
+    grid = fx.cell_grid(spark, folder)
+    cells = fx.cells(spark, folder).select("row", "col", "label", *BANDS)
+    return cells, baselines.fold_tables(cells, BANDS, fx.strips(grid), fold)
+
+
+@query("m1_rf_baseline")
+def m1(spark, folder):
+    _, (train, validation) = _fold(spark, folder)
+    model = models.fit_forest(train, BANDS, **FOREST)
+    return models.score(model, validation).select("row", "col", "label", "score")
+
+
+@query("m2_rf_importance")
+def m2(spark, folder):
+    _, (train, _) = _fold(spark, folder)
+    return models.forest_importance(models.fit_forest(train, BANDS, **FOREST), BANDS, spark)
+
+
+def _tile_features(spark, folder):
+    """Tile centres with scaled channel means and the label of the centre cell."""
+    grid = fx.cell_grid(spark, folder)
+    means = tiles.patch_channel_mean(fx.cells(spark, folder), BANDS, grid.height, grid.width, P, S)
+    centred = means.withColumn("row", F.col("r") + P // 2).withColumn("col", F.col("c") + P // 2).drop("r", "c")
+    scaled = centred.select(
+        "row", "col", (F.col("b1") / 5e5).alias("b1"), (F.col("b2") / 350).alias("b2"), (F.col("b3") * 10).alias("b3"),
+        (F.col("b4") * 10).alias("b4"), (F.col("b5") / 1e4).alias("b5"),
+    )
+    return scaled.join(fx.cells(spark, folder).select("row", "col", "label"), ["row", "col"])
+
+
+@query("m3_batch_score_tiles")
+def m3(spark, folder):
+    grid = fx.cell_grid(spark, folder)
+    features = _tile_features(spark, folder)
+    model = models.fit_logistic(labels.with_weights(features), BANDS)
+    return models.score_tiles(features, model, grid.height, grid.width, P, S)
+
+
+@query("m4_ensemble_uncertainty")
+def m4(spark, folder):
+    features = _tile_features(spark, folder)
+    ensemble = models.fit_ensemble(features, BANDS, passes=3, ratio=2.0)
+    return models.ensemble_uncertainty(features, BANDS, ensemble, ["row", "col"])
+
+
+@query("m6_pu_logistic")
+def m6(spark, folder):
+    features = _tile_features(spark, folder)
+    model = models.fit_logistic(labels.with_weights(features), BANDS)
+    return models.score(model, features).select("row", "col", "label", "score")
+
+
+@query("m7_spatial_cv")
+def m7(spark, folder):
+    grid = fx.cell_grid(spark, folder)
+    cells = fx.cells(spark, folder).select("row", "col", "label", *BANDS)
+    return baselines.cv_summary(baselines.spatial_cv(cells, BANDS, fx.strips(grid), "logistic"))
+
+
+@query("m8_channel_ablation")
+def m8(spark, folder):
+    grid = fx.cell_grid(spark, folder)
+    cells = fx.cells(spark, folder).select("row", "col", "label", *BANDS)
+    variants = {"full": BANDS, "no_quantity": ["b1", "b3", "b4", "b5"]}
+    return baselines.channel_ablation(cells, variants, fx.strips(grid)[:2])
+
+
+@query("m10_pixel_map_rf")
+def m10(spark, folder):
+    cells, (train, _) = _fold(spark, folder)
+    model = models.fit_forest(train, BANDS, **FOREST)
+    return models.pixel_map(cells, model, all_present(BANDS), cap=5000)

@@ -1 +1,201 @@
-"""Queries."""
+"""Queries: scans, profiles, inventories and layer matching."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cellweave.catalog import fixtures as fx
+from cellweave.catalog.registry import R, query, round_columns
+from cellweave.functions.categories import layer_type
+from cellweave.operators import geometry as geo
+from cellweave.operators import normalize
+from cellweave.sources import inventory, rasters, vectors
+
+BANDS = fx.BANDS
+
+
+@query(
+    "s2_raster_profile",
+    f"""WITH {fx.LONG_SQL} SELECT row // 1000 AS layer, count(DISTINCT band) AS bands, max(col) + 1 AS width, max(row) + 1 AS height, 50.0::DOUBLE AS res_x, 50.0::DOUBLE AS res_y,
+    {R('min(col * 50.0::DOUBLE + 25) - 25', 4)} AS minx, {R('min((h - row) * 50.0::DOUBLE - 25) - 25', 4)} AS miny,
+    {R('max(col * 50.0::DOUBLE + 25) + 25', 4)} AS maxx, {R('max((h - row) * 50.0::DOUBLE - 25) + 25', 4)} AS maxy,
+    count(*) FILTER (WHERE value IS NULL) AS n_null FROM cells_long, dim GROUP BY 1""",
+)
+def s2(spark, folder):
+    grid = fx.cell_grid(spark, folder)
+    long = normalize.unpivot_bands(fx.cells(spark, folder), BANDS)
+    placed = long.withColumn("x", grid.x_of(F.col("col"))).withColumn("y", grid.y_of(F.col("row"))).withColumn("layer", F.expr("row div 1000"))
+    return round_columns(rasters.raster_profile(placed, ["layer"], 50.0), ["minx", "miny", "maxx", "maxy"], 4)
+
+
+@query(
+    "s3_vector_profile",
+    f"""WITH {fx.CELLS_SQL}, {fx.LINES_SQL}
+    SELECT kind, count(*) AS features, {R('min(least(x0, x1))', 4)} AS minx, {R('min(least(y0, y1))', 4)} AS miny, {R('max(greatest(x0, x1))', 4)} AS maxx, {R('max(greatest(y0, y1))', 4)} AS maxy
+    FROM lines GROUP BY kind""",
+)
+def s3(spark, folder):
+    features = fx.lines(spark, folder, fx.cell_grid(spark, folder))
+    profile = inventory.vector_profile(features, ["kind"]).drop("geom_type", "columns")
+    return round_columns(profile, ["minx", "miny", "maxx", "maxy"], 4)
+
+
+@query("s3_geometry_types", "SELECT 'LineString' AS geom_type, count(*) AS n FROM events UNION ALL SELECT 'Polygon', count(*) FROM nation")
+def s3_types(spark, folder):
+    grid = fx.cell_grid(spark, folder)
+    both = fx.lines(spark, folder, grid).select("geom").unionByName(fx.boxes(spark, folder, grid).select("geom"))
+    return both.groupBy(F.col("geom.type").alias("geom_type")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "s4_crs_check",
+    """SELECT 'raster/' || c_name AS entry, CASE WHEN c_custkey % 3 = 0 THEN 'EPSG:4326' ELSE 'EPSG:32643' END AS crs, c_custkey % 3 = 0 AS needs_reproject FROM customer
+    UNION ALL SELECT 'vector/' || s_name, 'EPSG:4326', true FROM supplier""",
+)
+def s4(spark, folder):
+    crs = F.when(F.col("c_custkey") % 3 == 0, "EPSG:4326").otherwise("EPSG:32643")
+    raster = fx.table(spark, folder, "customer").select(F.lit("raster").alias("dataset"), F.col("c_name").alias("file"), crs.alias("crs"))
+    vector = fx.table(spark, folder, "supplier").select(F.lit("vector").alias("dataset"), F.col("s_name").alias("file"), F.lit("EPSG:4326").alias("crs"))
+    return inventory.crs_check(raster, vector)
+
+
+@query(
+    "s9_band_assemble",
+    f"WITH {fx.CELLS_SQL} SELECT row, col, b2 AS k, b3 AS u, b4 AS th FROM cells",
+)
+def s9(spark, folder):
+    numbered = normalize.unpivot_bands(fx.cells(spark, folder).na.fill(-9999.0, BANDS), BANDS)
+    source = numbered.select("row", "col", F.substring("band", 2, 1).cast("int").alias("band"), "value")
+    return rasters.assemble_bands(source, {"k": 2, "u": 3, "th": 4})
+
+
+@query("s9_single_band_assemble", f"WITH {fx.CELLS_SQL} SELECT row, col, b2 AS k, b3 AS u, b4 AS th FROM cells")
+def s9_single(spark, folder):
+    base = fx.cells(spark, folder).na.fill(-9999.0, BANDS)
+    return rasters.assemble_single_bands({n: base.select("row", "col", F.col(b).alias("value")) for n, b in (("k", "b2"), ("u", "b3"), ("th", "b4"))})
+
+
+@query(
+    "s8_band_range",
+    f"WITH {fx.LONG_SQL} SELECT band, min(value) AS min, max(value) AS max FROM cells_long GROUP BY band",
+)
+def s8(spark, folder):
+    return rasters.band_range(normalize.unpivot_bands(fx.cells(spark, folder), BANDS))
+
+
+@query(
+    "s8_null_to_nodata",
+    f"WITH {fx.CELLS_SQL} SELECT row, col, CAST(CAST(coalesce(b2, -9999) AS FLOAT) AS DOUBLE) AS b2, CAST(CAST(coalesce(b3, -9999) AS FLOAT) AS DOUBLE) AS b3 FROM cells",
+)
+def s8_write(spark, folder):
+    out = rasters.null_to_nodata(fx.cells(spark, folder).select("row", "col", "b2", "b3"), ["b2", "b3"])
+    return out.select("row", "col", F.col("b2").cast("double").alias("b2"), F.col("b3").cast("double").alias("b3"))
+
+
+#: Channels matched against document-like file names built from the part table.
+CHANNELS = [("economy", ["steel", "economy"], ["brushed"]), ("small", ["small"], []), ("promo", ["promo", "standard"], ["small"]), ("none", ["absent"], [])]
+_FILES = "files AS (SELECT 'dir/' || lower(p_type) || '_' || lower(p_brand) || '_' || p_partkey || '.tif' AS path, lower(p_type) || '_' || lower(p_brand) || '_' || p_partkey AS stem FROM part)"
+
+
+def _files(spark, folder):
+    stem = F.concat_ws("_", F.lower("p_type"), F.lower("p_brand"), F.col("p_partkey").cast("string"))
+    return fx.table(spark, folder, "part").select(F.concat(F.lit("dir/"), stem, F.lit(".tif")).alias("path"), stem.alias("stem"))
+
+
+def _match_sql() -> str:
+    parts = []
+    for name, words, exclude in CHANNELS:
+        rank = "CASE " + " ".join(f"WHEN contains(stem, '{w}') THEN {i}" for i, w in enumerate(words)) + " END"
+        where = " AND ".join(["pos IS NOT NULL", *[f"NOT contains(stem, '{w}')" for w in exclude]])
+        parts.append(f"(SELECT '{name}' AS channel, path FROM (SELECT *, {rank} AS pos FROM files) WHERE {where} ORDER BY pos, path LIMIT 1)")
+    return f"WITH {_FILES} SELECT * FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("s13_best_match_layer", _match_sql())
+def s13(spark, folder):
+    return inventory.best_match_layer(_files(spark, folder), CHANNELS)
+
+
+@query(
+    "s12_incremental_skip",
+    f"WITH {_FILES} SELECT stem, path FROM files WHERE stem NOT IN (SELECT stem FROM files WHERE stem LIKE 'small%')",
+)
+def s12(spark, folder):
+    files = _files(spark, folder)
+    return inventory.skip_done(files, files.where("stem LIKE 'small%'"))
+
+
+@query(
+    "s1_classify_files",
+    """SELECT path, CASE WHEN page_id % 4 = 0 THEN 'raster' WHEN page_id % 4 = 1 THEN 'vector' ELSE 'other' END AS class FROM (
+       SELECT page_id, 'set/' || page_id || (CASE page_id % 4 WHEN 0 THEN '.TIF' WHEN 1 THEN '.gpkg' WHEN 2 THEN '.csv' ELSE '' END) AS path FROM pages)""",
+)
+def s1(spark, folder):
+    ending = F.expr("CASE page_id % 4 WHEN 0 THEN '.TIF' WHEN 1 THEN '.gpkg' WHEN 2 THEN '.csv' ELSE '' END")
+    listed = fx.table(spark, folder, "pages").select(F.concat(F.lit("set/"), F.col("page_id").cast("string"), ending).alias("path"))
+    return inventory.classify_files(listed).select("path", "class")
+
+
+@query(
+    "s15_layer_type",
+    """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'distance' WHEN event_id % 5 = 1 THEN 'categorical' WHEN event_id % 5 = 2 THEN 'binary' ELSE 'distance' END AS layer_type FROM events""",
+)
+def s15(spark, folder):
+    name = F.expr("CASE event_id % 5 WHEN 0 THEN 'Dyke_mine' WHEN 1 THEN 'Lithology_quarry' WHEN 2 THEN 'old MINES' WHEN 3 THEN 'fold_formation' ELSE 'misc' END")
+    return fx.table(spark, folder, "events").select("event_id", layer_type(name).alias("layer_type"))
+
+
+@query(
+    "s11_multi_layer_union",
+    f"""WITH {fx.CELLS_SQL}, {fx.POINTS_SQL}, {fx.BOXES_SQL}
+    SELECT 'mines_a' AS source, id AS feature_id, {R('x', 4)} AS x, {R('y', 4)} AS y FROM points WHERE id % 2 = 0
+    UNION ALL SELECT 'quarry_boxes', feature_id, {R('(x0 + x1) / 2', 4)}, {R('(y0 + y1) / 2', 4)} FROM boxes""",
+)
+def s11(spark, folder):
+    grid = fx.cell_grid(spark, folder)
+    even = F.when(F.col("id") % 2 == 0, vectors.point_geometry(F.col("x"), F.col("y")))
+    mines = fx.points(spark, folder, grid).select(F.col("id").alias("feature_id"), "segment", even.alias("geom"))
+    boxes = fx.boxes(spark, folder, grid)
+    lines = fx.lines(spark, folder, grid).select("feature_id", "geom")
+    union = vectors.union_layers({"mines_a": mines, "quarry_boxes": boxes, "fault_lines": lines})
+    first = F.col("geom.parts")[0][0]
+    return round_columns(union.select("source", "feature_id", first["x"].alias("x"), first["y"].alias("y")), ["x", "y"], 4)
+
+
+@query(
+    "u1_union_layers",
+    "SELECT 'customer' AS source, c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal, NULL FROM supplier",
+)
+def u1(spark, folder):
+    first = fx.table(spark, folder, "customer").select(F.lit("customer").alias("source"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    second = fx.table(spark, folder, "supplier").select(F.lit("supplier").alias("source"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
+    return first.unionByName(second, allowMissingColumns=True)
+
+
+@query(
+    "s18_metrics_scan",
+    f"WITH {fx.RUNS_SQL} SELECT run, epoch, auc_pr FROM run_log",
+)
+def s18(spark, folder):
+    """Nested run documents written as JSON text and read back with the log schema."""
+    from cellweave.operators.runs import epoch_logs
+
+    nested = fx.run_log(spark, folder).groupBy("run").agg(F.collect_list(F.struct("epoch", "auc_pr")).alias("log"))
+    text = nested.select(F.to_json(F.struct("run", "log")).alias("j"))
+    parsed = text.select(F.from_json("j", "run bigint, log array<struct<epoch: bigint, auc_pr: double>>").alias("d")).select("d.*")
+    return epoch_logs(parsed, ["run"])
+
+
+@query(
+    "s19_csv_sinks",
+    f"WITH {fx.CELLS_SQL} SELECT row, col, printf('%.4f', b5) AS b5 FROM cells",
+)
+def s19(spark, folder):
+    return fx.cells(spark, folder).select("row", "col", F.format_string("%.4f", "b5").alias("b5"))
+
+
+@query("c3_segments", f"WITH {fx.CELLS_SQL}, {fx.BOXES_SQL} SELECT feature_id, count(*) AS n_edges, {R('2 * (x1 - x0 + y1 - y0)', 4)} AS length FROM boxes, (SELECT unnest(range(0, 4)) AS e) GROUP BY feature_id, x0, x1, y0, y1")
+def segments(spark, folder):
+    edges = geo.segments(fx.boxes(spark, folder, fx.cell_grid(spark, folder)))
+    length = F.sum(F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    return round_columns(edges.groupBy("feature_id").agg(F.count("*").alias("n_edges"), length.alias("length")), ["length"], 4)

@@ -1 +1,99 @@
-"""Queries."""
+"""Queries: keyword search over documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cellweave.catalog import fixtures as fx
+from cellweave.catalog.registry import query
+from cellweave.functions.categories import map_sheet
+from cellweave.operators import search
+
+TERMS = fx.DOC_TERMS
+_ROWS = ", ".join(
+    f"({i}, '{category}', {j}, '{term}')" for i, (category, words) in enumerate(TERMS.items()) for j, term in enumerate(words)
+)
+SEARCH_SQL = f"""terms(cat_ord, category, term_ord, term) AS (VALUES {_ROWS}),
+  docs AS (SELECT doc_id, lower(text) AS text, source FROM documents WHERE length(lower(text)) >= 100),
+  hits AS (
+    SELECT doc_id, category, CAST(cat_ord AS BIGINT) AS cat_ord, term, CAST(term_ord AS BIGINT) AS term_ord,
+           CAST(len(regexp_extract_all(text, '(?i)' || term)) AS BIGINT) AS hits FROM docs, terms),
+  found AS (SELECT * FROM hits WHERE hits > 0),
+  scores AS (
+    SELECT doc_id, CAST(sum(least(hits, 3)) AS BIGINT) AS score FROM found GROUP BY doc_id),
+  cats AS (SELECT doc_id, string_agg(category, '|' ORDER BY cat_ord) AS categories FROM (SELECT DISTINCT doc_id, category, cat_ord FROM found) GROUP BY doc_id),
+  scored AS (SELECT s.doc_id, score, categories FROM scores s JOIN cats USING (doc_id))"""
+
+
+@query("j11_docs_x_terms", f"WITH {SEARCH_SQL} SELECT doc_id, category, cat_ord, term, term_ord, hits FROM found")
+def j11(spark, folder):
+    return search.term_hits(fx.docs(spark, folder), TERMS)
+
+
+@query("a32_doc_score", f"WITH {SEARCH_SQL} SELECT doc_id, score, categories FROM scored")
+def a32(spark, folder):
+    return search.document_scores(fx.docs(spark, folder), TERMS)
+
+
+#: Positions of plain terms by repeated search from the last hit on.
+_PLAIN = {c: [t for t in words if ".*" not in t] for c, words in TERMS.items()}
+_PLAIN_ROWS = ", ".join(f"({j}, '{c}', '{t}')" for c, words in _PLAIN.items() for j, t in enumerate(words))
+CONTEXT_SQL = f"""RECURSIVE terms(term_ord, category, term) AS (VALUES {_PLAIN_ROWS}),
+  docs AS (SELECT doc_id, lower(text) AS text FROM documents WHERE length(lower(text)) >= 100),
+  walk AS (
+    SELECT doc_id, category, term, term_ord, 0 AS k, strpos(text, term) - 1 AS at_pos FROM docs, terms WHERE strpos(text, term) > 0
+    UNION ALL
+    SELECT w.doc_id, w.category, w.term, w.term_ord, w.k + 1, w.at_pos + length(w.term) + strpos(substr(text, w.at_pos + length(w.term) + 1), w.term) - 1
+    FROM walk w JOIN docs USING (doc_id) WHERE w.k < 2 AND strpos(substr(text, w.at_pos + length(w.term) + 1), w.term) > 0)"""
+
+
+@query(
+    "f3_term_contexts",
+    f"""WITH {CONTEXT_SQL}
+    SELECT doc_id, category, term, CAST(term_ord AS BIGINT) AS term_ord, CAST(k AS BIGINT) AS k,
+           trim(replace(substr(text, greatest(at_pos - 200, 0) + 1, at_pos + length(term) + 200 - greatest(at_pos - 200, 0)), chr(10), ' '), ' ') AS snippet
+    FROM walk JOIN docs USING (doc_id)""",
+)
+def f3(spark, folder):
+    return search.term_contexts(fx.docs(spark, folder), _PLAIN).select("doc_id", "category", "term", "term_ord", "k", "snippet")
+
+
+@query("s19_search_hits")
+def hits(spark, folder):
+    return search.search_hits(fx.docs(spark, folder), TERMS)
+
+
+@query(
+    "c13_toposheet",
+    "SELECT doc_id, CASE WHEN upper(source) LIKE '%SRC3%' THEN 'SRC3' WHEN upper(source) LIKE '%SRC7%' THEN 'SRC7' WHEN upper(source) LIKE '%SRC1%' THEN 'SRC1' ELSE 'other' END AS sheet FROM documents",
+)
+def c13(spark, folder):
+    return fx.docs(spark, folder).select("doc_id", map_sheet(F.col("source"), fx.DOC_SHEETS).alias("sheet"))
+
+
+_RANKED = "SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score, categories FROM"
+
+
+@query("w7_rank_reports", f"WITH {SEARCH_SQL} SELECT * FROM ({_RANKED} scored) WHERE rank <= 30")
+def w7(spark, folder):
+    return search.rank_reports(search.document_scores(fx.docs(spark, folder), TERMS), 30)
+
+
+@query(
+    "t1_topk_reports",
+    f"WITH {SEARCH_SQL} SELECT * FROM ({_RANKED} scored WHERE list_contains(string_split(categories, '|'), 'german')) WHERE rank <= 10",
+)
+def t1(spark, folder):
+    return search.topk_reports(search.document_scores(fx.docs(spark, folder), TERMS), 10, "absent", "german")
+
+
+@query(
+    "t2_two_phase_search",
+    f"""WITH {SEARCH_SQL}, sheets AS (SELECT doc_id, regexp_matches(upper(source), 'SRC3|SRC7|SRC1') AS listed FROM documents),
+    good AS (SELECT count(*) AS n FROM scored JOIN sheets USING (doc_id) WHERE listed AND score >= 100),
+    others AS (SELECT doc_id FROM sheets WHERE NOT listed ORDER BY doc_id LIMIT 200)
+    SELECT doc_id, score, categories FROM scored JOIN sheets USING (doc_id), good WHERE listed OR (n < 20 AND doc_id IN (SELECT doc_id FROM others))""",
+)
+def t2(spark, folder):
+    sheet = map_sheet(F.col("source"), fx.DOC_SHEETS)
+    return search.two_phase_scores(fx.docs(spark, folder), TERMS, sheet, good=100)

@@ -1 +1,252 @@
-"""Queries."""
+"""Queries: tiles, patches, embeddings, attributions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cellweave.catalog import fixtures as fx
+from cellweave.catalog.registry import R, query, round_columns, rounded
+from cellweave.functions import patches
+from cellweave.operators import attribution, labels, tiles
+
+P, S = fx.PATCH, fx.STRIDE
+BANDS = ["b2", "b3", "b4"]
+
+TILES_SQL = f"""{fx.CELLS_SQL},
+  origins AS (SELECT r, c FROM dim, (SELECT unnest(range(0, 100000, {S})) AS r), (SELECT unnest(range(0, {fx.WIDTH}, {S})) AS c) WHERE r <= h - {P} AND c <= w - {P}),
+  tile_cells AS (
+    SELECT r, c, k.* FROM origins JOIN cells k ON k.row >= r AND k.row < r + {P} AND k.col >= c AND k.col < c + {P}),
+  tile_stats AS (
+    SELECT r, c, sum(CASE WHEN coalesce(b2, 0) + coalesce(b3, 0) <> 0 AND b5 > 4500 THEN 1 ELSE 0 END) / {P * P}.0::DOUBLE AS valid,
+           sum(coalesce(b2, 0)) / {P * P} AS b2, sum(coalesce(b3, 0)) / {P * P} AS b3, sum(coalesce(b4, 0)) / {P * P} AS b4
+    FROM tile_cells GROUP BY r, c)"""
+
+
+def _masked(spark, folder):
+    """Cells whose bands are unknown over about half of the area."""
+    base = fx.cells(spark, folder).select("row", "col", "label", "b5", *BANDS)
+    return base.select("row", "col", "label", *[F.when(F.col("b5") > 4500, F.col(b)).alias(b) for b in ("b2", "b3")])
+
+
+def _shape(spark, folder):
+    grid = fx.cell_grid(spark, folder)
+    return grid.height, grid.width
+
+
+@query("j8_tile_cell_join", f"WITH {TILES_SQL} SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, row, col, b1 FROM tile_cells")
+def j8(spark, folder):
+    base = fx.cells(spark, folder).select("row", "col", "b1")
+    return tiles.tile_cells(base, *_shape(spark, folder), P, S).select("r", "c", "row", "col", "b1")
+
+
+@query(
+    "a33_tile_valid_fraction",
+    f"WITH {TILES_SQL} SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, valid FROM tile_stats WHERE valid >= 0.5",
+)
+def a33(spark, folder):
+    return tiles.tile_valid_fraction(_masked(spark, folder), ["b2", "b3"], *_shape(spark, folder), P, S)
+
+
+@query(
+    "a33_inference_tiles",
+    f"WITH {TILES_SQL} SELECT CAST(r + {P // 2} AS BIGINT) AS row, CAST(c + {P // 2} AS BIGINT) AS col, valid FROM tile_stats, dim WHERE valid >= 0.3 AND r + {P // 2} < h - {P // 2} AND c + {P // 2} < w - {P // 2}",
+)
+def a33_inference(spark, folder):
+    return tiles.inference_tiles(_masked(spark, folder), ["b2", "b3"], *_shape(spark, folder), P)
+
+
+@query(
+    "a27_patch_channel_mean",
+    f"WITH {TILES_SQL} SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, {R('b2', 12)} AS b2, {R('b3', 12)} AS b3, {R('b4', 12)} AS b4 FROM tile_stats",
+)
+def a27(spark, folder):
+    return round_columns(tiles.patch_channel_mean(fx.cells(spark, folder), BANDS, *_shape(spark, folder), P, S), BANDS, 12)
+
+
+@query(
+    "a14_tile_overlap_mean",
+    f"""WITH {TILES_SQL}, kept AS (SELECT r, c, b2 AS mean, b3 AS std FROM tile_stats WHERE valid >= 0.5)
+    SELECT k.row, k.col, count(t.r) AS n_tiles, {R('avg(mean)', 12)} AS mean, {R('avg(std)', 12)} AS std
+    FROM cells k LEFT JOIN kept t ON k.row >= t.r AND k.row < t.r + {P} AND k.col >= t.c AND k.col < t.c + {P} GROUP BY k.row, k.col""",
+)
+def a14(spark, folder):
+    shape = _shape(spark, folder)
+    means = tiles.patch_channel_mean(fx.cells(spark, folder), ["b2", "b3"], *shape, P, S)
+    kept = tiles.tile_valid_fraction(_masked(spark, folder), ["b2", "b3"], *shape, P, S)
+    centred = means.join(kept, ["r", "c"]).select(
+        (F.col("r") + P // 2).alias("row"), (F.col("c") + P // 2).alias("col"), F.col("b2").alias("mean"), F.col("b3").alias("std")
+    )
+    return round_columns(tiles.tile_overlap_mean(centred, ["mean", "std"], *shape, P, S), ["mean", "std"], 12)
+
+
+@query(
+    "a15_depth_ensemble_mean",
+    f"WITH {fx.CELLS_SQL} SELECT row, col, {R('list_avg(list_filter([b2, b3, b4], lambda x: x IS NOT NULL))')} AS mean FROM cells",
+)
+def a15(spark, folder):
+    return fx.cells(spark, folder).select("row", "col", rounded(tiles.depth_ensemble_mean(BANDS)).alias("mean"))
+
+
+_EXCLUDED = f"""test_cols AS (SELECT min(col) AS lo, max(col) AS hi FROM cells WHERE label = 1 AND col >= 40 AND col < 60 AND row < 400),
+  kept AS (SELECT r, c FROM tile_stats, test_cols WHERE valid >= 0.5 AND NOT (c + {P // 2} BETWEEN lo AND hi))"""
+
+
+@query("c11_fold_exclusion", f"WITH {TILES_SQL}, {_EXCLUDED} SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c FROM kept")
+def c11(spark, folder):
+    kept = tiles.tile_valid_fraction(_masked(spark, folder), ["b2", "b3"], *_shape(spark, folder), P, S)
+    positives = fx.cells(spark, folder).where("label = 1 AND col >= 40 AND col < 60 AND row < 400")
+    return labels.exclude_fold_tiles(kept, positives, P).select("r", "c")
+
+
+@query("u4_mask_except", f"WITH {TILES_SQL}, {_EXCLUDED} SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c FROM tile_stats WHERE valid >= 0.5 EXCEPT SELECT CAST(r AS BIGINT), CAST(c AS BIGINT) FROM kept")
+def u4(spark, folder):
+    all_tiles = tiles.tile_valid_fraction(_masked(spark, folder), ["b2", "b3"], *_shape(spark, folder), P, S)
+    positives = fx.cells(spark, folder).where("label = 1 AND col >= 40 AND col < 60 AND row < 400")
+    return all_tiles.join(labels.exclude_fold_tiles(all_tiles, positives, P).select("r", "c"), ["r", "c"], "left_anti").select("r", "c")
+
+
+# ---- patches of 8 x 8 ----------------------------------------------------
+
+_TOKENS = "[" + ", ".join("[" + ", ".join(f"patch[{gr * 4 * 8 + r * 8 + gc * 4 + c + 1}]" for r in range(4) for c in range(4)) + "]" for gr in range(2) for gc in range(2)) + "]"
+
+
+def _exploded_sql(array: str) -> str:
+    return f"SELECT vec_id, CAST(i AS BIGINT) AS i, a[i + 1] AS v FROM (SELECT vec_id, {array} AS a FROM patches), (SELECT unnest(range(0, 64)) AS i)"
+
+
+def _exploded(spark, folder, column):
+    base = fx.patches(spark, folder).select("vec_id", F.posexplode(column).alias("i", "v"))
+    return base.withColumn("i", F.col("i").cast("bigint"))
+
+
+@query(
+    "v1_patchify",
+    f"WITH {fx.PATCHES_SQL} SELECT vec_id, CAST(t AS BIGINT) AS token, CAST(i AS BIGINT) AS i, a[t + 1][i + 1] AS v FROM (SELECT vec_id, {_TOKENS} AS a FROM patches), (SELECT unnest(range(0, 4)) AS t), (SELECT unnest(range(0, 16)) AS i)",
+)
+def v1(spark, folder):
+    tokens = fx.patches(spark, folder).select("vec_id", F.posexplode(patches.patchify(F.col("patch"), 8, 4)).alias("token", "a"))
+    flat = tokens.select("vec_id", F.col("token").cast("bigint").alias("token"), F.posexplode("a").alias("i", "v"))
+    return flat.withColumn("i", F.col("i").cast("bigint"))
+
+
+def _list(order) -> str:
+    return "[" + ", ".join(f"patch[{k + 1}]" for k in order) + "]"
+
+
+@query("v3_rotate90", f"WITH {fx.PATCHES_SQL} {_exploded_sql(_list([c * 8 + 7 - r for r in range(8) for c in range(8)]))}")
+def v3(spark, folder):
+    return _exploded(spark, folder, patches.rotate90(F.col("patch"), 8))
+
+
+@query("v3_flip_horizontal", f"WITH {fx.PATCHES_SQL} {_exploded_sql(_list([r * 8 + 7 - c for r in range(8) for c in range(8)]))}")
+def v3_h(spark, folder):
+    return _exploded(spark, folder, patches.flip_horizontal(F.col("patch"), 8))
+
+
+@query("v3_flip_vertical", f"WITH {fx.PATCHES_SQL} {_exploded_sql(_list([(7 - r) * 8 + c for r in range(8) for c in range(8)]))}")
+def v3_v(spark, folder):
+    return _exploded(spark, folder, patches.flip_vertical(F.col("patch"), 8))
+
+
+@query("v2_random_mask")
+def v2(spark, folder):
+    tokens = fx.patches(spark, folder).select("vec_id", F.posexplode(patches.patchify(F.col("patch"), 8, 2)).alias("token", "v"))
+    return tiles.random_token_mask(tokens, "vec_id", "token", 16).select("vec_id", "token", "masked")
+
+
+@query("v4_noise_clip")
+def v4(spark, folder):
+    return fx.patches(spark, folder).select("vec_id", patches.add_noise(F.col("patch")).alias("patch"))
+
+
+@query(
+    "a24_masked_mse",
+    f"""WITH {fx.PATCHES_SQL}, tok AS (SELECT vec_id, t, {_TOKENS}[t + 1] AS a, {_TOKENS}[(t + 1) % 4 + 1] AS b FROM patches, (SELECT unnest(range(0, 4)) AS t)),
+    err AS (SELECT vec_id, t, list_sum(list_transform(range(1, 17), lambda i: (a[i] - b[i]) * (a[i] - b[i]))) / 16 AS e, CASE WHEN (vec_id + t) % 4 <> 0 THEN 1 ELSE 0 END AS m FROM tok)
+    SELECT {R('sum(e * m) / (sum(m) + 1e-8)', 9)} AS loss FROM err""",
+)
+def a24(spark, folder):
+    tokens = patches.patchify(F.col("patch"), 8, 4)
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.struct(t.alias("t"), F.get(tokens, t).alias("a"), F.get(tokens, (t + 1) % 4).alias("b")))
+    flat = fx.patches(spark, folder).select("vec_id", F.explode(pairs).alias("p")).select("vec_id", "p.*")
+    scored = flat.select(patches.token_error(F.col("a"), F.col("b")).alias("error"), ((F.col("vec_id") + F.col("t")) % 4 != 0).cast("int").alias("masked"))
+    return round_columns(tiles.masked_mse(scored), ["loss"], 9)
+
+
+@query(
+    "a23_trace_correlation",
+    f"""WITH {fx.PATCHES_SQL}, z AS (SELECT d, patch[d + 1] AS a, patch[d + 33] AS b FROM patches, (SELECT unnest(range(0, 32)) AS d)),
+    per AS (SELECT d, covar_samp(a, b) AS xy, var_samp(a) AS xx, var_samp(b) AS yy FROM z GROUP BY d)
+    SELECT {R('-sum(xy) / (sqrt(sum(xx + 1e-4)) * sqrt(sum(yy + 1e-4)) + 1e-8)', 9)} AS loss FROM per""",
+)
+def a23(spark, folder):
+    halves = fx.patches(spark, folder).select(F.slice("patch", 1, 32).alias("a"), F.slice("patch", 33, 32).alias("b"))
+    return round_columns(attribution.trace_correlation(halves, "a", "b"), ["loss"], 9)
+
+
+# ---- attributions --------------------------------------------------------
+
+FEATURES = ["f1", "f2", "f3"]
+WEIGHTS, BIAS = [1.5, -2.0, 0.75], -0.25
+_IG_SCALE = "coalesce(b2, 0) / 350.0::DOUBLE AS f1, coalesce(b3, 0) * 10 AS f2, b5 / 10000 AS f3"
+_IG_SLOPE = "(SELECT sum(p * (1 - p)) / 20 FROM (SELECT 1 / (1 + exp(-((1.5 * f1 - 2.0 * f2 + 0.75 * f3) * (CASE WHEN i = 19 THEN 1.0::DOUBLE ELSE i * (1.0::DOUBLE / 19) END) - 0.25))) AS p FROM (SELECT unnest(range(0, 20)) AS i)))"
+IG_SQL = f"""{fx.CELLS_SQL}, f AS (SELECT row, col, label, {_IG_SCALE} FROM cells), g AS (SELECT *, {_IG_SLOPE} AS s FROM f),
+  ig AS (SELECT row, col, label, s * 1.5 * f1 AS f1, s * -2.0 * f2 AS f2, s * 0.75 * f3 AS f3 FROM g)"""
+
+
+def _attributions(spark, folder):
+    base = fx.cells(spark, folder).select(
+        "row", "col", "label", (F.coalesce("b2", F.lit(0.0)) / 350.0).alias("f1"), (F.coalesce("b3", F.lit(0.0)) * 10).alias("f2"), (F.col("b5") / 10000).alias("f3")
+    )
+    given = attribution.integrated_gradients(FEATURES, WEIGHTS, BIAS)
+    return base.select("row", "col", "label", *[e.alias(n) for n, e in given.items()])
+
+
+@query("m5_integrated_gradients", f"WITH {IG_SQL} SELECT row, col, {R('f1')} AS f1, {R('f2')} AS f2, {R('f3')} AS f3 FROM ig")
+def m5(spark, folder):
+    return round_columns(_attributions(spark, folder).drop("label"), FEATURES)
+
+
+def _long(spark, folder):
+    return _attributions(spark, folder).unpivot(["row", "col", "label"], FEATURES, "channel", "value")
+
+
+LONG_IG_SQL = f"{IG_SQL}, l AS (SELECT row, col, label, channel, abs(value) AS a FROM ig UNPIVOT (value FOR channel IN (f1, f2, f3)))"
+
+
+@query(
+    "a25_attribution_summary",
+    f"""WITH {LONG_IG_SQL} SELECT channel, 'all' AS label_group, {R('avg(a)')} AS importance, count(*) AS n FROM l GROUP BY channel
+    UNION ALL SELECT channel, CASE WHEN label = 1 THEN 'positive' ELSE 'unlabeled' END, {R('avg(a)')}, count(*) FROM l GROUP BY channel, label""",
+)
+def a25(spark, folder):
+    return round_columns(attribution.attribution_summary(_long(spark, folder)), ["importance"])
+
+
+@query(
+    "a26_pixel_attr_mean",
+    f"WITH {LONG_IG_SQL} SELECT row // 8 AS sample, channel, {R('avg(a)')} AS importance FROM l GROUP BY 1, 2",
+)
+def a26(spark, folder):
+    sampled = _long(spark, folder).withColumn("sample", F.expr("row div 8"))
+    return round_columns(attribution.sample_channel_mean(sampled), ["importance"])
+
+
+@query(
+    "a26_mean_attribution_map",
+    f"WITH {LONG_IG_SQL} SELECT channel, row % 8 AS row, col, {R('avg(a)')} AS importance FROM l GROUP BY 1, 2, 3",
+)
+def a26_map(spark, folder):
+    folded = _long(spark, folder).withColumn("row", F.col("row") % 8)
+    return round_columns(attribution.mean_attribution_map(folded), ["importance"])
+
+
+@query(
+    "t3_top_features",
+    f"WITH {LONG_IG_SQL} SELECT channel AS feature, {R('avg(a)')} AS importance FROM l GROUP BY channel ORDER BY 2 DESC, 1 LIMIT 2",
+)
+def t3(spark, folder):
+    from cellweave.operators.models import top_features
+
+    means = _long(spark, folder).groupBy(F.col("channel").alias("feature")).agg(rounded(F.avg(F.abs("value"))).alias("importance"))
+    return top_features(means, 2)

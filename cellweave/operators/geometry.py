@@ -250,11 +250,12 @@ def burn_category(
     if column is None:
         return burn(features, grid, None, feature, geom).withColumnRenamed("value", "code")
     codes = small_side(category_codes(features, column))
-    coded = features.join(codes, features[column] == codes["category"]).select(
-        F.col(feature), F.col(geom), F.col("code")
+    # The feature stays part of the key: overlapping polygons of one category are not one polygon.
+    keyed = features.join(codes, features[column] == codes["category"]).select(
+        F.struct(F.col("code"), F.col(feature).alias("id")).alias("_feature"), F.col(geom)
     )
-    cells = touched_cells(coded.select(F.col("code").alias(feature), geom), grid, feature, geom)
-    return cells.groupBy("row", "col").agg(F.max(feature).cast("double").alias("code"))
+    cells = touched_cells(keyed, grid, "_feature", geom)
+    return cells.groupBy("row", "col").agg(F.max("_feature.code").cast("double").alias("code"))
 
 
 def on_full_grid(spark, burned: DataFrame, grid: Grid, cells: DataFrame | None = None, fill: float = 0.0) -> DataFrame:
@@ -273,7 +274,7 @@ def buffered_cells(points: DataFrame, grid: Grid, radius: float = 500.0, x: str
     Each point is unrolled into the cells of its bounding square and kept where the cell
     rectangle comes within the radius: an equi key instead of a distance join.
     """
-    reach_c, reach_r = math.ceil(radius / grid.xres), math.ceil(radius / grid.yres)
+    reach_c, reach_r = math.floor(radius / grid.xres) + 1, math.floor(radius / grid.yres) + 1
     near = (
         points.select(F.col(x).alias("_x"), F.col(y).alias("_y"), grid.col_of(F.col(x)).alias("_c"), grid.row_of(F.col(y)).alias("_r"))
         .where(F.col("_c").between(-reach_c, grid.width + reach_c) & F.col("_r").between(-reach_r, grid.height + reach_r))

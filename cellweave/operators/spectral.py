@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.grid import Grid
-from cellweave.operators.lines import map_lines
+from cellweave.operators.lines import STRIP_CELLS, map_lines
 
 
 def _forward(re: np.ndarray, im: np.ndarray):
@@ -148,37 +148,54 @@ def trend_residual(cells: DataFrame, value: str, grid: Grid, degree: int = 3) ->
     )
 
 
+#: Up to this width the (width x width) product matrix is small enough for the driver.
+GRAM_WIDTH = 2048
+
+
+def _leading_directions(vectors: DataFrame, width: int, rank: int) -> np.ndarray:
+    """The `rank` leading right singular vectors (width x rank) of a table of row vectors."""
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    matrix = RowMatrix(vectors)
+    if width <= GRAM_WIDTH:
+        values, directions = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+        return directions[:, np.argsort(values)[::-1][:rank]]
+    return matrix.computeSVD(rank, computeU=False).V.toArray()
+
+
 def svd_lowrank(cells: DataFrame, value: str, grid: Grid, rank: int | None = None) -> DataFrame:
     """`row, col, filtered`: the grid rebuilt from its largest singular values.
 
     NULL cells are filled with the mean for the decomposition and NULL again afterwards.
-    The distributed row matrix of MLlib finds the factors; its driver-side part is
-    width x rank numbers, independent of the number of rows.
+    MLlib's distributed row matrix finds the leading right singular vectors V; the low-rank
+    grid is A V V', so each strip of rows is projected on its own.  The driver only ever
+    holds V: width x rank numbers, whatever the number of rows.
     """
-    from pyspark.mllib.linalg import DenseMatrix, Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    from pyspark import StorageLevel
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.util import MLUtils
 
     keep = min(50, min(grid.height, grid.width) // 2) if rank is None else rank
     width = grid.width
     mean = cells.agg(F.avg(value)).first()[0]
     fill = 0.0 if mean is None else float(mean)
+    per_strip = max(1, STRIP_CELLS // width)
 
     def pack(strip: pd.DataFrame) -> pd.DataFrame:
-        line = strip.sort_values("col")
-        full = np.full(width, fill)
-        full[line["col"].to_numpy()] = line["v"].fillna(fill).to_numpy()
-        return pd.DataFrame({"row": [int(line["row"].iloc[0])], "v": [full]})
-
-    # One vector per grid line: a group never holds more than `width` cells.
-    vectors = cells.select("row", "col", F.col(value).cast("double").alias("v")).groupBy("row").applyInPandas(
-        pack, "row bigint, v array<double>"
-    )
-    matrix = IndexedRowMatrix(vectors.rdd.map(lambda r: IndexedRow(r["row"], Vectors.dense(r["v"]))))
-    factors = matrix.computeSVD(keep, computeU=True)
-    sigma = factors.s.toArray()
-    scaled = sigma[:, None] * factors.V.toArray().T
-    local = DenseMatrix(scaled.shape[0], scaled.shape[1], scaled.ravel(order="F"))
-    rebuilt = factors.U.multiply(local).rows.map(lambda r: (int(r.index), [float(x) for x in r.vector.toArray()]))
-    frame = rebuilt.toDF("row bigint, v array<double>")
-    long = frame.select("row", F.posexplode("v").alias("col", "filtered")).withColumn("col", F.col("col").cast("bigint"))
-    return where_known(long, cells, value)
+        lines, index = np.unique(strip["row"].to_numpy(), return_inverse=True)
+        plane = np.full((len(lines), width), fill)
+        plane[index, strip["col"].to_numpy()] = strip["v"].fillna(fill).to_numpy()
+        return pd.DataFrame({"v": list(plane)})
+
+    typed = cells.select("row", "col", F.col(value).cast("double").alias("v"))
+    lines = typed.withColumn("_strip", F.floor(F.col("row") / per_strip)).groupBy("_strip").applyInPandas(pack, "v array<double>")
+    vectors = MLUtils.convertVectorColumnsFromML(lines.select(array_to_vector("v").alias("v")), "v")
+    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)  # the iterations read it again and again
+    directions = _leading_directions(vectors, width, keep)
+    vectors.unpersist()
+
+    def project(plane: np.ndarray):
+        full = np.where(np.isnan(plane), fill, plane)
+        return [np.where(np.isnan(plane), np.nan, full @ directions @ directions.T)]
+
+    return map_lines(typed, "row", width, project, ["v"], ["filtered"])

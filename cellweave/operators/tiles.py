@@ -112,9 +112,10 @@ def tile_overlap_mean(tiles: DataFrame, columns: Sequence[str], height: int, wid
         F.expr(f"id div {cols}").alias("_br"), (F.col("id") % cols).alias("_bc")
     )
     filled = frame.join(covered, ["_br", "_bc"], "left")
-    inside = F.sequence(F.lit(0), F.lit(step - 1))
+    inside = F.explode(F.sequence(F.lit(0), F.lit(step - 1)))
     return (
-        filled.withColumn("row", F.col("_br") * step + F.explode(inside)) .withColumn("col", F.col("_bc") * step + F.explode(inside))
+        filled.withColumn("_dr", inside).withColumn("_dc", inside)
+        .withColumn("row", F.col("_br") * step + F.col("_dr")).withColumn("col", F.col("_bc") * step + F.col("_dc"))
         .where((F.col("row") < height) & (F.col("col") < width))
         .select("row", "col", F.coalesce("n_tiles", F.lit(0)).cast("bigint").alias("n_tiles"), *columns)
     )

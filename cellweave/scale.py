@@ -61,7 +61,7 @@ def _rank_targets(probs: Sequence[float], n: int) -> list[int]:
 def _interpolate(p: float, n: int, at: dict[int, float]) -> float:
     position = p * (n - 1)
     low, high = math.floor(position), math.ceil(position)
-    return at[low] if low == high else at[low] * (high - position) + at[high] * (position - low)
+    return at[low] if at[low] == at[high] else at[low] * (high - position) + at[high] * (position - low)
 
 
 def exact_percentiles(
@@ -83,7 +83,7 @@ def exact_percentiles(
     """
     by = list(by)
     source = value if isinstance(value, Column) else F.col(value)
-    base = df.select(*by, source.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    base = df.select(*by, source.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     probs = [float(p) for p in probs]
 
     sizes = base.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
