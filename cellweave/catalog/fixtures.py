@@ -9,6 +9,7 @@ from cellweave.catalog.registry import R
 from cellweave.functions.scalars import clip
 from cellweave.grid import Grid
 from cellweave.operators.labels import fold_strips
+from cellweave.session import stored
 
 WIDTH = 100
 PART_WIDTH = 50
@@ -31,6 +32,17 @@ def part_grid(spark: SparkSession, folder: str) -> Grid:
     return Grid.of_shape(last // PART_WIDTH + 1, PART_WIDTH)
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The cell table written once per application, for jobs that scan it several times."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        _STORED[key] = stored(cells(spark, folder), "cells")
+    return _STORED[key]
+
+
 def cells(spark: SparkSession, folder: str) -> DataFrame:
     """One cell per order; bands from its price, lines and customer."""
     orders = table(spark, folder, "orders")
@@ -191,7 +203,7 @@ fold_cells AS (
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Cells with a simple score that has many ties."""
     score = clip(F.coalesce("b2", F.lit(0.0)) / 350.0, 0.0, 1.0)
-    return cells(spark, folder).select("row", "col", "label", F.round(score, 4).alias("score"))
+    return stored_cells(spark, folder).select("row", "col", "label", F.round(score, 4).alias("score"))
 
 
 SCORED_SQL = (
@@ -223,13 +235,14 @@ def run_log(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "events")
         .groupBy(F.col("user_id").alias("run"), F.dayofmonth("ts").cast("bigint").alias("epoch"))
-        .agg(F.round(F.avg("value") / 600, 6).alias("auc_pr"))
+        .agg(F.round(F.sum(F.round(F.col("value") * 100).cast("bigint")).cast("double") / (F.count("*") * 61300.0), 6).alias("auc_pr"))
     )
 
 
 RUNS_SQL = """
 run_log AS (
-  SELECT user_id AS run, CAST(day(ts) AS BIGINT) AS epoch, round(avg(value) / 600, 6) AS auc_pr
+  SELECT user_id AS run, CAST(day(ts) AS BIGINT) AS epoch,
+         round(CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 61300.0::DOUBLE), 6) AS auc_pr
   FROM events GROUP BY 1, 2)"""
 
 

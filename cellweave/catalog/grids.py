@@ -34,7 +34,7 @@ layers AS (
 
 def distance_layers(spark, folder, grid):
     """Distance to the fault cells and to a second burned layer."""
-    base = fx.cells(spark, folder).select("row", "col", "fault", "b5")
+    base = fx.stored_cells(spark, folder).select("row", "col", "fault", "b5")
     fault = nb.distance_transform(base, F.col("fault"), grid, "fault_distance")
     shear = nb.distance_transform(base, F.col("b5") > 9700, grid, "shear_distance")
     return fault.join(shear, ["row", "col"])
@@ -191,7 +191,7 @@ def g10(spark, folder):
     grid = fx.cell_grid(spark, folder)
     from cellweave.session import checkpointed
 
-    base = fx.cells(spark, folder).select("row", "col", "b0")
+    base = fx.stored_cells(spark, folder).select("row", "col", "b0")
     layers = checkpointed(distance_layers(spark, folder, grid).join(base, ["row", "col"]))
     return stack.feature_suite(layers, ["fault_distance", "shear_distance"], ["b0"], grid)
 
@@ -203,7 +203,7 @@ _TARGET = Grid(35.0, 20.0, 35.0 + 37.5 * 120, 20.0 + 37.5 * 180, 120, 180)
 
 def _target_cells(spark, folder, grid):
     """Target addresses made from the cells: every source cell gives one target cell."""
-    return fx.cells(spark, folder).select("row", "col")
+    return fx.stored_cells(spark, folder).select("row", "col")
 
 
 @query(
@@ -241,7 +241,7 @@ def j6(spark, folder):
 )
 def g9(spark, folder):
     grid = fx.cell_grid(spark, folder)
-    base = fx.cells(spark, folder)
+    base = fx.stored_cells(spark, folder)
 
     def layer(band):
         return base.select("row", "col", F.col(band).alias("value"))
@@ -365,14 +365,14 @@ def a13(spark, folder):
 @query("g7_trend_residual")
 def g7(spark, folder):
     grid = fx.cell_grid(spark, folder)
-    return spectral.trend_residual(fx.cells(spark, folder).select("row", "col", "b2"), "b2", grid)
+    return spectral.trend_residual(fx.stored_cells(spark, folder).select("row", "col", "b2"), "b2", grid)
 
 
 @query("g6_svd_lowrank")
 def g6(spark, folder):
-    return spectral.svd_lowrank(fx.cells(spark, folder).select("row", "col", "b2"), "b2", fx.cell_grid(spark, folder))
+    return spectral.svd_lowrank(fx.stored_cells(spark, folder).select("row", "col", "b2"), "b2", fx.cell_grid(spark, folder))
 
 
 @query("g8_potential_field_suite")
 def g8(spark, folder):
-    return stack.potential_field_suite(fx.cells(spark, folder).select("row", "col", "b2"), "b2", fx.cell_grid(spark, folder))
+    return stack.potential_field_suite(fx.stored_cells(spark, folder).select("row", "col", "b2"), "b2", fx.cell_grid(spark, folder))

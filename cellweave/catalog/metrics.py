@@ -95,7 +95,7 @@ def a22(spark, folder):
     SELECT b0, value, ties, {R('sum(ties) OVER (PARTITION BY b0 ORDER BY value) - ties + (ties + 1) / 2.0::DOUBLE')} AS rank FROM n""",
 )
 def w4(spark, folder):
-    return round_columns(metrics.average_rank(fx.cells(spark, folder), "b3", ["b0"]), ["rank"])
+    return round_columns(metrics.average_rank(fx.stored_cells(spark, folder), "b3", ["b0"]), ["rank"])
 
 
 # ---- radiometric statistics ----------------------------------------------
@@ -125,7 +125,7 @@ SAMPLED_SQL = f"""{fx.CELLS_SQL}, {fx.POINTS_SQL}, {TYPES_SQL},
 
 def sampled_points(spark, folder):
     grid = fx.cell_grid(spark, folder)
-    base = fx.cells(spark, folder).select("row", "col", F.col("b2").alias("k"), F.col("b3").alias("u"), F.col("b4").alias("th"))
+    base = fx.stored_cells(spark, folder).select("row", "col", F.col("b2").alias("k"), F.col("b3").alias("u"), F.col("b4").alias("th"))
     return points.point_window_median(typed_points(spark, folder), base, ["k", "u", "th"], grid)
 
 

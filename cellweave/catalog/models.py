@@ -9,6 +9,7 @@ from cellweave.catalog.registry import query
 from cellweave.functions.scalars import all_present
 from cellweave.operators import labels, models, tiles
 from cellweave.plans import baselines
+from cellweave.session import stored
 
 BANDS = fx.BANDS
 P, S = fx.PATCH, fx.STRIDE
@@ -18,7 +19,7 @@ FOREST = {"trees": 10, "depth": 6}
 
 def _fold(spark, folder, fold=0):
     grid = fx.cell_grid(spark, folder)
-    cells = fx.cells(spark, folder).select("row", "col", "label", *BANDS)
+    cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
     return cells, baselines.fold_tables(cells, BANDS, fx.strips(grid), fold)
 
 
@@ -38,13 +39,14 @@ def m2(spark, folder):
 def _tile_features(spark, folder):
     """Tile centres with scaled channel means and the label of the centre cell."""
     grid = fx.cell_grid(spark, folder)
-    means = tiles.patch_channel_mean(fx.cells(spark, folder), BANDS, grid.height, grid.width, P, S)
+    means = tiles.patch_channel_mean(fx.stored_cells(spark, folder), BANDS, grid.height, grid.width, P, S)
     centred = means.withColumn("row", F.col("r") + P // 2).withColumn("col", F.col("c") + P // 2).drop("r", "c")
     scaled = centred.select(
         "row", "col", (F.col("b1") / 5e5).alias("b1"), (F.col("b2") / 350).alias("b2"), (F.col("b3") * 10).alias("b3"),
         (F.col("b4") * 10).alias("b4"), (F.col("b5") / 1e4).alias("b5"),
     )
-    return scaled.join(fx.cells(spark, folder).select("row", "col", "label"), ["row", "col"])
+    labelled = scaled.join(fx.stored_cells(spark, folder).select("row", "col", "label"), ["row", "col"])
+    return stored(labelled, "tiles")  # read by every pass of a fit
 
 
 @query("m3_batch_score_tiles")
@@ -72,14 +74,14 @@ def m6(spark, folder):
 @query("m7_spatial_cv")
 def m7(spark, folder):
     grid = fx.cell_grid(spark, folder)
-    cells = fx.cells(spark, folder).select("row", "col", "label", *BANDS)
+    cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
     return baselines.cv_summary(baselines.spatial_cv(cells, BANDS, fx.strips(grid), "logistic"))
 
 
 @query("m8_channel_ablation")
 def m8(spark, folder):
     grid = fx.cell_grid(spark, folder)
-    cells = fx.cells(spark, folder).select("row", "col", "label", *BANDS)
+    cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
     variants = {"full": BANDS, "no_quantity": ["b1", "b3", "b4", "b5"]}
     return baselines.channel_ablation(cells, variants, fx.strips(grid)[:2])
 

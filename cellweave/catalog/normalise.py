@@ -70,19 +70,19 @@ def _stretch_sql(eps: str, fill: str = "") -> str:
 
 @query("a1_robust_normalize", _stretch_sql(" + 1e-8"))
 def a1(spark, folder):
-    out = normalize.robust_normalize(fx.cells(spark, folder).select("row", "col", *BANDS), BANDS)
+    out = normalize.robust_normalize(fx.stored_cells(spark, folder).select("row", "col", *BANDS), BANDS)
     return round_columns(out, BANDS)
 
 
 @query("a1_normalize_channels", _stretch_sql(""))
 def a1_stack(spark, folder):
-    out = normalize.normalize_channels(fx.cells(spark, folder).select("row", "col", *BANDS), BANDS)
+    out = normalize.normalize_channels(fx.stored_cells(spark, folder).select("row", "col", *BANDS), BANDS)
     return round_columns(out, BANDS)
 
 
 @query("c19_rgb_composite", _stretch_sql(" + 1e-9", "fill"))
 def c19(spark, folder):
-    out = normalize.rgb_composite(fx.cells(spark, folder).select("row", "col", *BANDS), BANDS)
+    out = normalize.rgb_composite(fx.stored_cells(spark, folder).select("row", "col", *BANDS), BANDS)
     return round_columns(out, BANDS)
 
 
@@ -92,7 +92,7 @@ def c19(spark, folder):
     f"SELECT row, col, {', '.join(R(f'coalesce({b}, m_{b})') + f' AS {b}' for b in BANDS)} FROM cells, m",
 )
 def a2(spark, folder):
-    return round_columns(normalize.mean_impute(fx.cells(spark, folder).select("row", "col", *BANDS), BANDS), BANDS)
+    return round_columns(normalize.mean_impute(fx.stored_cells(spark, folder).select("row", "col", *BANDS), BANDS), BANDS)
 
 
 @query(
@@ -105,7 +105,7 @@ def a2(spark, folder):
     FROM part, learned, own""",
 )
 def a3(spark, folder):
-    base = fx.cells(spark, folder).select("row", "col", *BANDS)
+    base = fx.stored_cells(spark, folder).select("row", "col", *BANDS)
     parts = [base.where("col < 60"), base.where("col >= 60 AND col < 80"), base.where("col >= 80")]
     filled = normalize.median_impute(*parts, BANDS)
     named = [df.withColumn("part", F.lit(n)) for df, n in zip(filled, ("train", "validation", "predict"))]
@@ -120,7 +120,7 @@ def a3(spark, folder):
     FROM cells, fitted""",
 )
 def a4(spark, folder):
-    base = fx.cells(spark, folder).select("row", "col", *BANDS)
+    base = fx.stored_cells(spark, folder).select("row", "col", *BANDS)
     return round_columns(normalize.standardize(base, normalize.standardize_fit(base.where("col < 60"), BANDS)), BANDS)
 
 
@@ -134,7 +134,7 @@ def a5(spark, folder):
     from cellweave.operators.neighbourhood import max_normalize
 
     columns = ["b1", "b2", "b5"]
-    return round_columns(max_normalize(fx.cells(spark, folder).select("row", "col", *columns), columns), columns)
+    return round_columns(max_normalize(fx.stored_cells(spark, folder).select("row", "col", *columns), columns), columns)
 
 
 @query(
@@ -198,7 +198,7 @@ _COUNTS = "n_total, n_dep, n_b, n_db, n_dnb, n_ndb, n_ndnb"
 
 @query("a9_woe_contingency", f"WITH {WOE_SQL} SELECT band, thr, {_COUNTS} FROM contingency")
 def a9(spark, folder):
-    cells = fx.cells(spark, folder).select("label", *BANDS)
+    cells = fx.stored_cells(spark, folder).select("label", *BANDS)
     return evidence.woe_contingency(cells, BANDS, evidence.band_thresholds(cells, BANDS, 6))
 
 
@@ -207,7 +207,7 @@ def a9(spark, folder):
     f"WITH {WOE_SQL} SELECT band, thr, {R('w_plus')} AS w_plus, {R('w_minus')} AS w_minus, {R('contrast')} AS contrast, {R('studentized')} AS studentized FROM contrasts",
 )
 def a10(spark, folder):
-    cells = fx.cells(spark, folder).select("label", *BANDS)
+    cells = fx.stored_cells(spark, folder).select("label", *BANDS)
     weights = evidence.woe_weights(evidence.woe_contingency(cells, BANDS, evidence.band_thresholds(cells, BANDS, 6)))
     return round_columns(
         weights.select("band", "thr", "w_plus", "w_minus", "contrast", "studentized"), ["w_plus", "w_minus", "contrast", "studentized"]
@@ -220,14 +220,14 @@ def a10(spark, folder):
     f"{R('studentized')} AS studentized, abs(studentized) >= 1.5 AS significant FROM best",
 )
 def a11(spark, folder):
-    best = evidence.woe_fit(fx.cells(spark, folder).select("label", *BANDS), BANDS, decimals=6)
+    best = evidence.woe_fit(fx.stored_cells(spark, folder).select("label", *BANDS), BANDS, decimals=6)
     columns = ["w_plus", "w_minus", "contrast", "studentized"]
     return round_columns(best.select("band", "thr", *columns, "significant"), columns)
 
 
 @query("a12_woe_posterior", f"WITH {WOE_SQL} SELECT row, col, label, {R('posterior')} AS posterior FROM posterior")
 def a12(spark, folder):
-    cells = fx.cells(spark, folder).select("row", "col", "label", *BANDS)
+    cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
     scored = evidence.woe_posterior(cells, evidence.woe_fit(cells, BANDS, decimals=6), "b1")
     return scored.select("row", "col", "label", rounded("posterior").alias("posterior"))
 
@@ -303,7 +303,7 @@ def c9(spark, folder):
 
 @query("u3_mask_intersect", f"WITH {fx.CELLS_SQL}, {fx.FOLDS_SQL} SELECT row, col FROM cells WHERE label = 1 INTERSECT SELECT row, col FROM fold_cells WHERE fold = 2 AND region = 'train'")
 def u3(spark, folder):
-    base = fx.cells(spark, folder)
+    base = fx.stored_cells(spark, folder)
     mask = labels.spatial_folds(base, fx.strips(fx.cell_grid(spark, folder))).where("fold = 2 AND region = 'train'")
     return base.where("label = 1").select("row", "col").join(mask.select("row", "col"), ["row", "col"], "left_semi")
 
@@ -329,7 +329,7 @@ def _sample_sql(source: str, ratio: int, seed: str, by: str = "") -> str:
     f"WITH {fx.CELLS_SQL}, {_sample_sql('cells', 2, '42')} SELECT row, col, label, CASE WHEN label = 1 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS weight FROM sampled",
 )
 def w5(spark, folder):
-    return labels.with_weights(labels.stratified_sample(fx.cells(spark, folder).select("row", "col", "label"), 2, 42))
+    return labels.with_weights(labels.stratified_sample(fx.stored_cells(spark, folder).select("row", "col", "label"), 2, 42))
 
 
 @query(
@@ -338,7 +338,7 @@ def w5(spark, folder):
     SELECT fold, row, col, label FROM sampled""",
 )
 def w5_fold(spark, folder):
-    used = labels.spatial_folds(fx.cells(spark, folder).select("row", "col", "label"), fx.strips(fx.cell_grid(spark, folder)))
+    used = labels.spatial_folds(fx.stored_cells(spark, folder).select("row", "col", "label"), fx.strips(fx.cell_grid(spark, folder)))
     sample = labels.stratified_sample(used.where("region = 'test'"), 3, F.lit(42) + F.col("fold"), by=["fold"])
     return sample.select("fold", "row", "col", "label")
 
@@ -350,7 +350,7 @@ def w5_fold(spark, folder):
     ),
 )
 def w6(spark, folder):
-    base = fx.cells(spark, folder).select("row", "col", "label")
+    base = fx.stored_cells(spark, folder).select("row", "col", "label")
     epochs = F.explode(F.array(*[F.lit(e).cast("bigint") for e in range(3)]))
     drawn = labels.stratified_sample(base.withColumn("epoch", epochs), 1, F.lit(42) + F.col("epoch"), by=["epoch"])
     return drawn.where("label = 0").select("epoch", "row", "col")
@@ -373,7 +373,7 @@ def u2(spark, folder):
     SELECT row, col, CASE WHEN k <= greatest(1, CAST(floor(n * 0.1) AS BIGINT)) THEN 'val' ELSE 'train' END AS split FROM ranked""",
 )
 def w8(spark, folder):
-    tiles = fx.cells(spark, folder).where("row % 4 = 0 AND col % 4 = 0").select("row", "col")
+    tiles = fx.stored_cells(spark, folder).where("row % 4 = 0 AND col % 4 = 0").select("row", "col")
     return labels.random_split(tiles, labels.sampling_key(42), ["row", "col"])
 
 
@@ -385,13 +385,13 @@ def w8(spark, folder):
 def t4(spark, folder):
     from cellweave.scale import smallest_by_key
 
-    keyed = fx.cells(spark, folder).where(all_present(["b2", "b4"])).select("row", "col").withColumn("_key", labels.sampling_key(7))
+    keyed = fx.stored_cells(spark, folder).where(all_present(["b2", "b4"])).select("row", "col").withColumn("_key", labels.sampling_key(7))
     return smallest_by_key(keyed, "_key", ["row", "col"], F.lit(1000)).drop("_key")
 
 
 @query("j14_weighted_draw")
 def j14(spark, folder):
-    base = labels.with_weights(fx.cells(spark, folder).select("row", "col", "label"))
+    base = labels.with_weights(fx.stored_cells(spark, folder).select("row", "col", "label"))
     keyed = base.withColumn("id", F.col("row") * fx.WIDTH + F.col("col"))
     return labels.weighted_draw(keyed, "weight", "id")
 
@@ -431,6 +431,6 @@ EVALUATE_SQL = f"""SELECT a.fold, {R('auc_pr')} AS auc_pr, {R('auc_roc')} AS auc
     ev AS (SELECT fold, label, score FROM sampled), {METRICS_SQL} {EVALUATE_SQL}""",
 )
 def m9(spark, folder):
-    cells, grid = fx.cells(spark, folder), fx.cell_grid(spark, folder)
+    cells, grid = fx.stored_cells(spark, folder), fx.cell_grid(spark, folder)
     out = baselines.woe_baseline(cells, BANDS, fx.strips(grid), score_decimals=9, decimals=6)
     return round_columns(out, ["auc_pr", "auc_roc", "threshold", "f1", "mcc"])

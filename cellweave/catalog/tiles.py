@@ -24,7 +24,7 @@ TILES_SQL = f"""{fx.CELLS_SQL},
 
 def _masked(spark, folder):
     """Cells whose bands are unknown over about half of the area."""
-    base = fx.cells(spark, folder).select("row", "col", "label", "b5", *BANDS)
+    base = fx.stored_cells(spark, folder).select("row", "col", "label", "b5", *BANDS)
     return base.select("row", "col", "label", *[F.when(F.col("b5") > 4500, F.col(b)).alias(b) for b in ("b2", "b3")])
 
 
@@ -71,7 +71,7 @@ def a27(spark, folder):
 )
 def a14(spark, folder):
     shape = _shape(spark, folder)
-    means = tiles.patch_channel_mean(fx.cells(spark, folder), ["b2", "b3"], *shape, P, S)
+    means = tiles.patch_channel_mean(fx.stored_cells(spark, folder), ["b2", "b3"], *shape, P, S)
     kept = tiles.tile_valid_fraction(_masked(spark, folder), ["b2", "b3"], *shape, P, S)
     centred = means.join(kept, ["r", "c"]).select(
         (F.col("r") + P // 2).alias("row"), (F.col("c") + P // 2).alias("col"), F.col("b2").alias("mean"), F.col("b3").alias("std")
@@ -94,14 +94,14 @@ _EXCLUDED = f"""test_cols AS (SELECT min(col) AS lo, max(col) AS hi FROM cells W
 @query("c11_fold_exclusion", f"WITH {TILES_SQL}, {_EXCLUDED} SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c FROM kept")
 def c11(spark, folder):
     kept = tiles.tile_valid_fraction(_masked(spark, folder), ["b2", "b3"], *_shape(spark, folder), P, S)
-    positives = fx.cells(spark, folder).where("label = 1 AND col >= 40 AND col < 60 AND row < 400")
+    positives = fx.stored_cells(spark, folder).where("label = 1 AND col >= 40 AND col < 60 AND row < 400")
     return labels.exclude_fold_tiles(kept, positives, P).select("r", "c")
 
 
 @query("u4_mask_except", f"WITH {TILES_SQL}, {_EXCLUDED} SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c FROM tile_stats WHERE valid >= 0.5 EXCEPT SELECT CAST(r AS BIGINT), CAST(c AS BIGINT) FROM kept")
 def u4(spark, folder):
     all_tiles = tiles.tile_valid_fraction(_masked(spark, folder), ["b2", "b3"], *_shape(spark, folder), P, S)
-    positives = fx.cells(spark, folder).where("label = 1 AND col >= 40 AND col < 60 AND row < 400")
+    positives = fx.stored_cells(spark, folder).where("label = 1 AND col >= 40 AND col < 60 AND row < 400")
     return all_tiles.join(labels.exclude_fold_tiles(all_tiles, positives, P).select("r", "c"), ["r", "c"], "left_anti").select("r", "c")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from cellweave.functions.scalars import guarded_ratio, linear_bucket, linspace_values
 from cellweave.scale import exact_percentiles, percentile_values, running_totals, small_side
+from cellweave.session import checkpointed
 
 
 def score_counts(scored: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -29,36 +30,54 @@ def score_counts(scored: DataFrame, label: str, score: str, by: Sequence[str] =
     )
 
 
-def auc_pr(scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), **options) -> DataFrame:
-    """Average precision over distinct scores, no interpolation; 0 when a class is missing."""
-    running = running_totals(score_counts(scored, label, score, by), "score", ["pos", "neg"], by, descending=True, **options)
+def ranking(counts: DataFrame, by: Sequence[str] = (), **options) -> DataFrame:
+    """`by..., auc_pr, auc_roc` from score counts, both out of one descending running total.
+
+    auc_pr is the average precision over distinct scores without interpolation; auc_roc the
+    probability that a positive outranks a negative, ties counting one half.  Both are 0 when
+    a class is missing.
+    """
+    running = running_totals(counts, "score", ["pos", "neg"], by, descending=True, **options)
     precision = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    outranked_by = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
     totals = running.groupBy(*by).agg(
-        F.sum(F.col("pos") * precision).alias("_s"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n")
+        F.sum(F.col("pos") * precision).alias("_s"),
+        F.sum(outranked_by).alias("_lost"),
+        F.sum("pos").cast("double").alias("_p"),
+        F.sum("neg").cast("double").alias("_n"),
     )
-    value = F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_s") / F.col("_p")).otherwise(0.0)
-    return totals.select(*by, value.alias("auc_pr"))
+    both = (F.col("_p") > 0) & (F.col("_n") > 0)
+    return totals.select(
+        *by,
+        F.when(both, F.col("_s") / F.col("_p")).otherwise(0.0).alias("auc_pr"),
+        F.when(both, 1 - F.col("_lost") / (F.col("_p") * F.col("_n"))).otherwise(0.0).alias("auc_roc"),
+    )
+
+
+def auc_pr(scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), **options) -> DataFrame:
+    """Average precision per group."""
+    return ranking(score_counts(scored, label, score, by), by, **options).select(*by, "auc_pr")
 
 
 def auc_roc(scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), **options) -> DataFrame:
-    """Probability that a positive outranks a negative, ties counting one half."""
-    running = running_totals(score_counts(scored, label, score, by), "score", ["neg"], by, **options)
-    wins = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
-    totals = running.groupBy(*by).agg(F.sum(wins).alias("_w"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    value = F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_w") / (F.col("_p") * F.col("_n"))).otherwise(0.0)
-    return totals.select(*by, value.alias("auc_roc"))
+    """Area under the receiver operating curve per group."""
+    return ranking(score_counts(scored, label, score, by), by, **options).select(*by, "auc_roc")
 
 
 def threshold_sweep(
     scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (),
     start: float = 0.01, stop: float = 0.99, n: int = 50,
 ) -> DataFrame:
-    """`by..., step, threshold, tp, fp, fn, tn, f1, mcc`; thresholds nothing reaches are left out.
+    """`by..., step, threshold, tp, fp, fn, tn, f1, mcc`; thresholds nothing reaches are left out."""
+    return sweep_counts(score_counts(scored, label, score, by), by, start, stop, n)
 
-    Scores are counted per threshold class, so at most n + 1 rows per group leave the scan.
-    """
+
+def sweep_counts(counts: DataFrame, by: Sequence[str] = (), start: float = 0.01, stop: float = 0.99, n: int = 50) -> DataFrame:
+    """`threshold_sweep` from score counts: at most n + 1 classes per group leave the scan."""
     thresholds = linspace_values(start, stop, n)
-    classes = score_counts(scored.withColumn("_cls", linear_bucket(F.col(score), start, stop, n)), label, "_cls", by)
+    classes = counts.groupBy(*by, linear_bucket(F.col("score"), start, stop, n).alias("score")).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    )
     whole = Window.partitionBy(*by)
     reach = whole.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
     steps = F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step")
@@ -104,16 +123,17 @@ def best_threshold(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (), **options) -> DataFrame:
-    """auc_pr, auc_roc, best threshold, f1 and mcc per group; zeros when a class is missing."""
+    """auc_pr, auc_roc, best threshold, f1 and mcc per group; zeros when a class is missing.
+
+    All of them come from the counts per distinct score, which are computed once.
+    """
     by = list(by)
-    parts = [
-        auc_pr(scored, label, score, by, **options),
-        auc_roc(scored, label, score, by, **options),
-        best_threshold(threshold_sweep(scored, label, score, by), by),
-    ]
+    counts = checkpointed(score_counts(scored, label, score, by))
+    ranks = ranking(counts, by, **options)
+    best = best_threshold(sweep_counts(counts, by), by)
     if by:
-        return parts[0].join(parts[1], by).join(parts[2], by, "left").na.fill({"threshold": 0.5, "f1": 0.0, "mcc": 0.0})
-    row = {**parts[0].first().asDict(), **parts[1].first().asDict(), **parts[2].first().asDict()}
+        return ranks.join(best, by, "left").na.fill({"threshold": 0.5, "f1": 0.0, "mcc": 0.0})
+    row = {**ranks.first().asDict(), **best.first().asDict()}
     return scored.sparkSession.createDataFrame([tuple(float(v or 0.0) for v in row.values())], ", ".join(f"{k} double" for k in row))
 
 

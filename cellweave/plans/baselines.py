@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import all_present
 from cellweave.operators.evidence import woe_fit, woe_posterior
-from cellweave.operators.labels import sampling_key, spatial_folds, stratified_sample, with_weights
+from cellweave.operators.labels import spatial_folds, stratified_sample, with_weights
 from cellweave.operators.metrics import evaluate, fold_summary
 from cellweave.operators.models import fit_forest, fit_logistic, score
 from cellweave.operators.normalize import median_impute, standardize, standardize_fit
+from cellweave.session import checkpointed, stored
 
 
 def woe_baseline(
@@ -29,7 +30,7 @@ def woe_baseline(
     value = F.col("posterior") if score_decimals is None else F.round("posterior", score_decimals)
     posterior = scored.select("row", "col", "label", value.alias("score"))
     test = spatial_folds(posterior, strips).where(F.col("region") == "test")
-    sampled = stratified_sample(test, ratio, F.lit(seed) + F.col("fold"), by=["fold"])
+    sampled = stratified_sample(stored(test, "posterior"), ratio, F.lit(seed) + F.col("fold"), by=["fold"])
     return evaluate(sampled, by=["fold"])
 
 
@@ -39,8 +40,9 @@ def fold_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """Sampled, imputed and standardised training and validation rows of one fold."""
     used = spatial_folds(cells.where(all_present(bands)), [s for s in strips if s["fold"] == fold])
-    train = stratified_sample(used.where(F.col("region") == "train"), train_ratio, seed + fold, cap)
-    validation = stratified_sample(used.where(F.col("region") == "test"), val_ratio, seed + fold + 1000)
+    # The samples are small next to the grid and are read by every pass of a fit.
+    train = checkpointed(stratified_sample(used.where(F.col("region") == "train"), train_ratio, seed + fold, cap))
+    validation = checkpointed(stratified_sample(used.where(F.col("region") == "test"), val_ratio, seed + fold + 1000))
     filled, checked, _ = median_impute(train, validation, validation, bands)
     fitted = standardize_fit(filled, bands)
     return with_weights(standardize(filled, fitted)), standardize(checked, fitted)
@@ -74,6 +76,3 @@ def channel_ablation(
         for name, bands in variants.items()
     ]
     return ablation_drop(reduce(DataFrame.unionByName, tables), "auc_pr")
-
-
-__all__ = ["channel_ablation", "cv_summary", "fold_tables", "sampling_key", "spatial_cv", "woe_baseline"]

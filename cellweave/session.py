@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,35 @@ def build_session(app: str = "cellweave", cpus: str | int = "*", **conf: str) ->
     return session
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`; our own only where none is named."""
+    global _own_folder
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="cellweave-")
+    return _own_folder
+
+
+_own_folder: str | None = None
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and cut its lineage.
+    """Write `df` to the shared checkpoint folder and cut its lineage; lost executors cost nothing."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(_shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it back.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; a folder of our
-    own is used only where that setting is missing, as in a unit test.
+    For a derived table that is scanned several times: later scans still prune columns and
+    push filters down, which a checkpoint cannot.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cellweave-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(spark)}/cellweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
