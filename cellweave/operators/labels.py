@@ -133,11 +133,12 @@ def stratified_sample(
     if by:
         keyed = keyed.join(small_side(quotas), by)
         return smallest_by_key(
-            keyed, "_key", ["row", "col"], F.when(F.col("label") == 1, F.col("_q1")).otherwise(F.col("_q0")), [*by, "label", "_q1", "_q0"], **options
+            keyed, "_key", ["row", "col"], F.when(F.col("label") == 1, F.col("_q1")).otherwise(F.col("_q0")), [*by, "label", "_q1", "_q0"],
+            keys_at_most=KEY_RANGE, **options,
         ).drop("_key", "_q1", "_q0")
     row = quotas.first()
     quota = F.when(F.col("label") == 1, F.lit(row["_q1"])).otherwise(F.lit(row["_q0"]))
-    return smallest_by_key(keyed, "_key", ["row", "col"], quota, ["label"], **options).drop("_key")
+    return smallest_by_key(keyed, "_key", ["row", "col"], quota, ["label"], keys_at_most=KEY_RANGE, **options).drop("_key")
 
 
 def with_weights(samples: DataFrame, positive: float = 1.0, unlabeled: float = 0.1) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import sigmoid
-from cellweave.operators.labels import sampling_key, stratified_sample, with_weights
+from cellweave.operators.labels import KEY_RANGE, sampling_key, stratified_sample, with_weights
 from cellweave.operators.tiles import mc_mean_std, tile_overlap_mean
 from cellweave.scale import smallest_by_key
 
@@ -114,7 +114,7 @@ def score_tiles(
 def pixel_map(cells: DataFrame, model: PipelineModel, valid: Column, cap: int = 200_000, seed: int = 42, nodata: float = -9999.0) -> DataFrame:
     """`row, col, score`: predictions for at most `cap` hash-sampled valid cells, the rest nodata."""
     keyed = cells.where(valid).withColumn("_key", sampling_key(seed))
-    chosen = smallest_by_key(keyed, "_key", ["row", "col"], F.lit(cap)).drop("_key")
+    chosen = smallest_by_key(keyed, "_key", ["row", "col"], F.lit(cap), keys_at_most=KEY_RANGE).drop("_key")
     predicted = score(model, chosen).select("row", "col", "score")
     joined = cells.select("row", "col").join(predicted, ["row", "col"], "left")
     return joined.select("row", "col", F.coalesce("score", F.lit(nodata)).alias("score"))

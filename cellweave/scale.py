@@ -199,6 +199,7 @@ def running_totals(
     *,
     descending: bool = False,
     task_rows: int = TASK_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Add `cum_<name>` for each of `sums`, running over `order` within `by`.
 
@@ -206,10 +207,15 @@ def running_totals(
     into one row.  A group that one task can sort uses a plain window.  Otherwise the rows
     are range-partitioned (balanced, because they are distinct), the placement is fixed
     with a checkpoint, and every part adds the total of the parts before it.
+
+    `at_most` is a bound on the rows of a group that the caller can prove; when it fits a
+    task the group sizes need not be counted.
     """
     by = list(by)
-    largest = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
     direction = F.desc if descending else F.asc
+    largest = (at_most, 0)
+    if at_most is None or at_most > task_rows:
+        largest = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
     if (largest[0] or 0) <= task_rows:
         window = Window.partitionBy(*by).orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(s).over(window).alias(f"cum_{s}") for s in sums])
@@ -243,16 +249,17 @@ def smallest_by_key(
     by: Sequence[str] = (),
     *,
     task_rows: int = TASK_ROWS,
+    keys_at_most: int | None = None,
 ) -> DataFrame:
     """Per stratum, the `quota` rows that come first by (key, ties); exact at any size.
 
     Rows are first counted per key.  Keys wholly inside the quota are taken as they are;
     only the one key on the boundary is ranked, so no stratum is sorted in one task.
-    `quota` is an expression over the `by` columns.
+    `quota` is an expression over the `by` columns; `keys_at_most` a bound on the distinct keys.
     """
     by = list(by)
     counts = df.groupBy(*by, key).agg(F.count("*").alias("_n"))
-    upto = running_totals(counts, key, ["_n"], by, task_rows=task_rows)
+    upto = running_totals(counts, key, ["_n"], by, task_rows=task_rows, at_most=keys_at_most)
     before = F.col("cum__n") - F.col("_n")
     last = (
         upto.where(before < quota)
