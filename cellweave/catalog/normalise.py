@@ -312,7 +312,9 @@ def u3(spark, folder):
 
 
 def _key(seed: str) -> str:
-    return f"((row * 7919 + col * 104729 + {seed} * 31) % 1000003)"
+    x = f"((row * 7919 + col * 104729 + {seed} * 31) % 1000003)"
+    square = f"({x} * {x} % 1000003)"
+    return f"({square} * {square} % 1000003 * {x} % 1000003)"
 
 
 def _sample_sql(source: str, ratio: int, seed: str, by: str = "") -> str:

@@ -102,14 +102,14 @@ def interior(cells: DataFrame, half: int, height: int, width: int) -> DataFrame:
 
 
 def sampling_key(seed: int | Column, row: str = "row", col: str = "col") -> Column:
-    """Deterministic pseudo-random key of a cell; equal in every SQL engine."""
-    return (F.col(row) * 7919 + F.col(col) * 104729 + F.lit(seed) * 31) % KEY_RANGE
+    """Deterministic pseudo-random key of a cell; plain integer arithmetic, equal in every SQL engine.
 
-
-def sample_quotas(counts: dict[int, int], ratio: float, cap: int | None = None) -> dict[int, int]:
-    """How many positives and unlabeled cells a sample takes."""
-    positive = counts.get(1, 0) if cap is None else min(cap, counts.get(1, 0))
-    return {1: positive, 0: min(int(positive * ratio), counts.get(0, 0))}
+    The fifth power permutes the residues (5 does not divide KEY_RANGE - 1), so that seeds
+    give unrelated orders and neighbouring cells unrelated keys.
+    """
+    x = (F.col(row) * 7919 + F.col(col) * 104729 + F.lit(seed) * 31) % KEY_RANGE
+    square = x * x % KEY_RANGE
+    return square * square % KEY_RANGE * x % KEY_RANGE
 
 
 def stratified_sample(
