@@ -13,6 +13,7 @@ from cellweave.grid import Grid
 from cellweave.operators import neighbourhood as nb
 from cellweave.operators import spectral
 from cellweave.plans import stack
+from cellweave.session import stored
 
 # ---- distances -----------------------------------------------------------
 
@@ -189,10 +190,8 @@ def w3(spark, folder):
 @query("g10_feature_suite")
 def g10(spark, folder):
     grid = fx.cell_grid(spark, folder)
-    from cellweave.session import checkpointed
-
     base = fx.stored_cells(spark, folder).select("row", "col", "b0")
-    layers = checkpointed(distance_layers(spark, folder, grid).join(base, ["row", "col"]))
+    layers = stored(distance_layers(spark, folder, grid).join(base, ["row", "col"]), "layers")
     return stack.feature_suite(layers, ["fault_distance", "shear_distance"], ["b0"], grid)
 
 

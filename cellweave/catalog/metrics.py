@@ -11,6 +11,7 @@ from cellweave.functions import categories
 from cellweave.functions.scalars import linspace, sigmoid_clipped
 from cellweave.operators import metrics, points, runs
 from cellweave.operators.tiles import mc_mean_std
+from cellweave.session import stored
 
 EVAL_SQL = f"{fx.CELLS_SQL}, {fx.FOLDS_SQL}, ev AS (SELECT fold, label, {R('least(1.0, greatest(0.0, coalesce(b2, 0) / 350.0::DOUBLE))', 4)} AS score FROM fold_cells WHERE region = 'test'), {METRICS_SQL}"
 
@@ -129,6 +130,11 @@ def sampled_points(spark, folder):
     return points.point_window_median(typed_points(spark, folder), base, ["k", "u", "th"], grid)
 
 
+def stored_samples(spark, folder):
+    """The sampled values written once, as the statistics read them several times."""
+    return stored(sampled_points(spark, folder), "samples")
+
+
 @query(
     "c12_categorise_type",
     f"WITH {fx.CELLS_SQL}, {fx.POINTS_SQL}, {TYPES_SQL} SELECT id, dep_type FROM typed",
@@ -169,7 +175,7 @@ def j2(spark, folder):
     FROM l WHERE dep_type <> 'unknown' GROUP BY dep_type, channel""",
 )
 def a6(spark, folder):
-    out = metrics.group_channel_stats(sampled_points(spark, folder), "dep_type", ["k", "u", "th"], categories.DEPOSIT_ORDER)
+    out = metrics.group_channel_stats(stored_samples(spark, folder), "dep_type", ["k", "u", "th"], categories.DEPOSIT_ORDER)
     return round_columns(out.drop("ord"), ["mean", "median", "std", "q25", "q75"])
 
 
@@ -186,13 +192,13 @@ def a6(spark, folder):
     SELECT channel, {R('h')} AS h, df, {R('exp(-h / 2) * (1 + h / 2)')} AS p, exp(-h / 2) * (1 + h / 2) < 0.05 AS significant FROM h""",
 )
 def a28(spark, folder):
-    long = sampled_points(spark, folder).select("segment", "k", "u", "th").unpivot(["segment"], ["k", "u", "th"], "channel", "value")
+    long = stored_samples(spark, folder).select("segment", "k", "u", "th").unpivot(["segment"], ["k", "u", "th"], "channel", "value")
     return round_columns(metrics.kruskal_wallis(long, "segment", "channel", "value"), ["h", "p"])
 
 
 @query("a29_pca2")
 def a29(spark, folder):
-    base = sampled_points(spark, folder)
+    base = stored_samples(spark, folder)
     fitted = metrics.principal_components(base, ["k", "u", "th"])
     return metrics.project_components(base.select("id", "dep_type", "k", "u", "th"), fitted)
 
@@ -206,7 +212,7 @@ def a29(spark, folder):
            {R('CASE WHEN a + b + c <> 0 THEN c / (a + b + c) * sqrt(3.0::DOUBLE) / 2 END')} AS y FROM n""",
 )
 def c18(spark, folder):
-    out = metrics.ternary_projection(sampled_points(spark, folder), "dep_type", ["k", "u", "th"], categories.DEPOSIT_ORDER)
+    out = metrics.ternary_projection(stored_samples(spark, folder), "dep_type", ["k", "u", "th"], categories.DEPOSIT_ORDER)
     return round_columns(out.select("id", "dep_type", "x", "y"), ["x", "y"])
 
 
@@ -289,6 +295,7 @@ TIER_SQL = f"""{PU_SQL}, pr AS (SELECT row, col, {R('mean')} AS p, {R('std')} AS
 
 def tiers(spark, folder):
     pu = mc_mean_std(fx.passes(spark, folder), ["row", "col"]).select("row", "col", rounded("mean").alias("p"), rounded("std").alias("u"))
+    pu = stored(pu, "maps")
     return metrics.exploration_tiers(pu, "p", "u")
 
 

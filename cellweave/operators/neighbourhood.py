@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.scalars import clip, within
+from cellweave.functions.scalars import within
 from cellweave.grid import Grid
 from cellweave.operators.lines import filter_lines, map_lines, squared_distance_lines
+from cellweave.session import stored
 
 
 def max_normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -24,27 +24,30 @@ def max_normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
-def distance_transform(cells: DataFrame, mask: Column, grid: Grid, name: str = "distance") -> DataFrame:
-    """`row, col, <name>`: exact Euclidean distance in metres to the nearest cell in `mask`.
+def distance_transform(
+    cells: DataFrame, mask: Column, grid: Grid, name: str = "distance", keep: Sequence[str] = ()
+) -> DataFrame:
+    """`row, col, keep..., <name>`: exact Euclidean distance in metres to the nearest cell in `mask`.
 
     Down the columns the nearest masked row above and below comes from two ordered windows.
     Along the rows the parabolas of those gaps are minimised strip by strip.  Every cell is
     shuffled twice and no pair of cells is ever formed.  NULL everywhere if nothing is masked.
     """
-    marked = cells.select("row", "col", F.when(mask, F.col("row")).alias("_m"))
+    marked = cells.select("row", "col", *keep, F.when(mask, F.col("row")).alias("_m"))
     up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, 0)
     gaps = marked.select(
         "row",
         "col",
+        *keep,
         F.last("_m", ignorenulls=True).over(up).alias("_above"),
         F.last("_m", ignorenulls=True).over(down).alias("_below"),
     )
     gap = F.least(F.col("row") - F.col("_above"), F.col("_below") - F.col("row")).cast("double")
     squared = map_lines(
-        gaps.select("row", "col", gap.alias("_gap")), "row", grid.width, lambda g: [squared_distance_lines(g)], ["_gap"], ["_d2"]
+        gaps.select("row", "col", *keep, gap.alias("_gap")), "row", grid.width, lambda g: [squared_distance_lines(g)], ["_gap"], ["_d2"], keep
     )
-    return squared.select("row", "col", (F.sqrt("_d2") * grid.xres).alias(name))
+    return squared.select("row", "col", *keep, (F.sqrt("_d2") * grid.xres).alias(name))
 
 
 def nearest_feature_distance(
@@ -56,12 +59,11 @@ def nearest_feature_distance(
     """
     both = within(F.col(first), threshold) & within(F.col(second), threshold)
     known = F.col(first).isNotNull() & F.col(second).isNotNull()
-    flagged = cells.select("row", "col", both.alias("_m"), known.cast("int").alias("_known"))
-    distance = distance_transform(flagged, F.col("_m"), grid, "_d")
-    some = flagged.agg(F.max("_m").alias("m")).scalar()
-    joined = flagged.join(distance, ["row", "col"])
-    value = F.when(~F.coalesce(some, F.lit(False)), F.lit(0.0)).when(F.col("_known") == 1, F.col("_d"))
-    return joined.select("row", "col", value.alias(name))
+    flagged = cells.select("row", "col", both.alias("_m"), known.alias("_known"))
+    distance = distance_transform(flagged, F.col("_m"), grid, "_d", ["_known"])
+    # A distance is missing only when no cell at all is close to both.
+    value = F.when(F.col("_d").isNull(), F.lit(0.0)).when(F.col("_known"), F.col("_d"))
+    return distance.select("row", "col", value.alias(name))
 
 
 def gaussian_weights(sigma: float) -> np.ndarray:
@@ -87,8 +89,12 @@ def separable_filter(cells: DataFrame, columns: Sequence[str], weights: np.ndarr
 
 
 def gaussian_density(cells: DataFrame, columns: Sequence[str], sigma: float, grid: Grid) -> DataFrame:
-    """Gaussian kernel density of each column, scaled to a maximum of 1."""
-    return max_normalize(separable_filter(cells, columns, gaussian_weights(sigma), grid), columns)
+    """Gaussian kernel density of each column, scaled to a maximum of 1.
+
+    The filtered grid is stored before its maximum is taken, so nothing is filtered twice.
+    """
+    filtered = stored(separable_filter(cells, columns, gaussian_weights(sigma), grid), "filtered")
+    return max_normalize(filtered, columns)
 
 
 def binary_near(distance: Column, threshold: float) -> Column:
@@ -157,7 +163,7 @@ def local_variance_sum(
     total = F.lit(0.0)
     for c in columns:
         total = total + F.greatest(F.col(f"_sq_{c}") - F.col(c) * F.col(c), F.lit(0.0))
-    return max_normalize(means.select("row", "col", total.alias(name)), [name])
+    return max_normalize(stored(means.select("row", "col", total.alias(name)), "variance"), [name])
 
 
 def regrid_bilinear(source: DataFrame, source_grid: Grid, target: DataFrame, u: Column, v: Column, value: str = "value") -> DataFrame:
@@ -209,15 +215,3 @@ def regrid(source: DataFrame, source_grid: Grid, target_grid: Grid, target: Data
         lonlat = from_utm43n(x, y)
         x, y = lonlat["lon"], lonlat["lat"]
     return regrid_bilinear(source, source_grid, target, source_grid.u(x), source_grid.v(y), value)
-
-
-def odd_window(window: float, res: float) -> int:
-    return int(window / res) | 1
-
-
-def clip_unit(column: Column) -> Column:
-    return clip(column, 0.0, 1.0)
-
-
-def kernel_radius(sigma: float) -> int:
-    return math.floor(4 * sigma + 0.5)

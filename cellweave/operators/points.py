@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.grid import Grid, world_to_pixel
-from cellweave.scale import small_side
+from cellweave.scale import broadcast_if_small
 
 
 def point_window_median(
@@ -29,7 +29,7 @@ def point_window_median(
     )
     medians = (
         cells.select("row", "col", *bands)
-        .join(small_side(wanted), ["row", "col"])
+        .join(broadcast_if_small(wanted, points, (2 * buffer_px + 1) ** 2), ["row", "col"])
         .groupBy(key)
         .agg(*[F.percentile(F.col(b).cast("double"), 0.5).alias(b) for b in bands])  # (2*buffer_px+1)^2 values at most
     )
@@ -40,4 +40,4 @@ def occurrence_scores(points: DataFrame, cells: DataFrame, score: str, grid: Gri
     """Points inside the grid with the known score of the cell under them."""
     placed = world_to_pixel(points, grid).where(grid.has(F.col("row"), F.col("col")))
     known = cells.where(F.col(score).isNotNull()).select("row", "col", score)
-    return known.join(small_side(placed), ["row", "col"])
+    return known.join(broadcast_if_small(placed, points), ["row", "col"])

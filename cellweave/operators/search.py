@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,8 +50,22 @@ def searchable(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.withColumn(text, F.lower(text)).where(F.length(text) >= MIN_CHARS)
 
 
+def _is_plain(term: str) -> bool:
+    """A lower-case term without pattern characters; the searched text is lower-cased."""
+    return bool(re.fullmatch(r"[a-z0-9 -]+", term))
+
+
 def _pattern(term: str) -> str:
-    return f"(?i){term}"
+    """Case-insensitive pattern in which only a newline ends a line."""
+    return term if _is_plain(term) else f"(?id){term}"
+
+
+def _count(text: str, term: str) -> Column:
+    """Non-overlapping occurrences; plain terms are counted on the bytes without a pattern engine."""
+    if _is_plain(term):
+        shorter = F.octet_length(F.replace(F.col(text), F.lit(term), F.lit("")))
+        return ((F.octet_length(text) - shorter) / len(term)).cast("bigint")
+    return F.regexp_count(F.col(text), F.lit(_pattern(term))).cast("bigint")
 
 
 def term_hits(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,7 +80,7 @@ def term_hits(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str
             F.lit(i).cast("bigint").alias("cat_ord"),
             F.lit(term).alias("term"),
             F.lit(j).cast("bigint").alias("term_ord"),
-            F.regexp_count(F.col(text), F.lit(_pattern(term))).cast("bigint").alias("hits"),
+            _count(text, term).alias("hits"),
         )
         for i, (category, words) in enumerate(terms.items())
         for j, term in enumerate(words)
@@ -83,7 +98,7 @@ def document_scores(documents: DataFrame, terms: Mapping[str, Sequence[str]], do
     for category, words in terms.items():
         total = F.lit(0).cast("bigint")
         for term in words:
-            total = total + F.least(F.regexp_count(F.col(text), F.lit(_pattern(term))), F.lit(HITS_PER_TERM))
+            total = total + F.least(_count(text, term), F.lit(HITS_PER_TERM))
         per_category.append(F.struct(F.lit(category).alias("category"), total.alias("score")))
     scored = searchable(documents, text).select(doc, F.filter(F.array(*per_category), lambda c: c["score"] > 0).alias("_c"))
     score = F.aggregate("_c", F.lit(0).cast("bigint"), lambda s, c: s + c["score"])
@@ -100,10 +115,12 @@ def term_contexts(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc:
 
     def snippets(term: str) -> Column:
         body = F.col(text)
-        found = F.struct(
-            F.slice(F.regexp_extract_all(body, F.lit(_pattern(term)), F.lit(0)), 1, HITS_PER_TERM).alias("matches"),
-            F.split(body, _pattern(term), HITS_PER_TERM + 1).alias("pieces"),
-        )
+        pieces = F.split(body, _pattern(term), HITS_PER_TERM + 1)
+        if _is_plain(term):
+            matches = F.array_repeat(F.lit(term), F.size(pieces) - 1)
+        else:
+            matches = F.slice(F.regexp_extract_all(body, F.lit(_pattern(term)), F.lit(0)), 1, HITS_PER_TERM)
+        found = F.struct(matches.alias("matches"), pieces.alias("pieces"))
 
         def cut(s: Column, k: Column) -> Column:
             lengths = F.concat(

@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 from cellweave.session import checkpointed
 
-#: Rows a lookup side may have before it is no longer broadcast.
-LOOKUP_ROWS = 100_000
+#: Rows of a lookup table that the driver may hold.
+LOOKUP_ROWS = 20_000
+#: Rows of a narrow join side that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Rows of one group that one task is asked to sort or to hold.
 TASK_ROWS = 2_000_000
 
@@ -40,6 +42,17 @@ def small_side(df: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def broadcast_if_small(side: DataFrame, base: DataFrame | None = None, factor: int = 1, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast `side` when it is checked to be small; otherwise leave the join to AQE.
+
+    For sides too large for the driver to hold row by row: only a bounded count is taken.
+    When every row of `base` gives at most `factor` rows of `side`, the cheaper `base` is counted.
+    """
+    counted = side if base is None else base
+    allowed = limit // factor
+    return F.broadcast(side) if counted.limit(allowed + 1).count() <= allowed else side
+
+
 def same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Null-safe equality on every key."""
     condition = F.lit(True)
