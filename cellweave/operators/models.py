@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import sigmoid
 from cellweave.operators.labels import KEY_RANGE, sampling_key, stratified_sample, with_weights
-from cellweave.operators.tiles import mc_mean_std, tile_overlap_mean
+from cellweave.operators.tiles import pass_mean_std, tile_overlap_mean
 from cellweave.scale import smallest_by_key
 
 
@@ -100,8 +100,12 @@ def ensemble_passes(cells: DataFrame, features: Sequence[str], ensemble: Sequenc
 def ensemble_uncertainty(
     cells: DataFrame, features: Sequence[str], ensemble: Sequence[tuple[Sequence[float], float]], keys: Sequence[str]
 ) -> DataFrame:
-    """Mean and sample deviation over the ensemble per row."""
-    return mc_mean_std(ensemble_passes(cells, features, ensemble, keys), keys)
+    """Mean and sample deviation over the ensemble per row; nothing is shuffled."""
+    probabilities = F.array(*[sigmoid(logit(features, terms)) for terms in ensemble])
+    # The generator binds the array, so each member is evaluated once.
+    scored = cells.select(*keys, F.explode(F.array(probabilities)).alias("_p"))
+    mean, std = pass_mean_std(F.col("_p"))
+    return scored.select(*keys, mean.alias("mean"), std.alias("std"))
 
 
 def score_tiles(

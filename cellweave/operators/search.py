@@ -100,7 +100,10 @@ def document_scores(documents: DataFrame, terms: Mapping[str, Sequence[str]], do
         for term in words:
             total = total + F.least(_count(text, term), F.lit(HITS_PER_TERM))
         per_category.append(F.struct(F.lit(category).alias("category"), total.alias("score")))
-    scored = searchable(documents, text).select(doc, F.filter(F.array(*per_category), lambda c: c["score"] > 0).alias("_c"))
+    found = F.filter(F.array(*per_category), lambda c: c["score"] > 0)
+    # Through a generator, because a filter on the score would otherwise be pushed below the
+    # projection together with a second copy of every pattern.
+    scored = searchable(documents, text).select(doc, F.explode(F.array(found)).alias("_c"))
     score = F.aggregate("_c", F.lit(0).cast("bigint"), lambda s, c: s + c["score"])
     names = F.array_join(F.transform("_c", lambda c: c["category"]), "|")
     return scored.select(doc, score.alias("score"), names.alias("categories")).where(F.col("score") > 0)

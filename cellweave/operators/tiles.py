@@ -133,6 +133,14 @@ def mc_mean_std(passes: DataFrame, keys: Sequence[str], score: str = "prob") ->
     return passes.groupBy(*keys).agg(F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"))
 
 
+def pass_mean_std(passes: Column) -> tuple[Column, Column]:
+    """Mean and sample deviation of an ARRAY of passes, inside the row."""
+    n = F.size(passes)
+    mean = F.aggregate(passes, F.lit(0.0), lambda s, p: s + p) / n
+    squares = F.aggregate(F.transform(passes, lambda p: (p - mean) * (p - mean)), F.lit(0.0), lambda s, d: s + d)
+    return mean, F.when(n > 1, F.sqrt(squares / (n - 1)))
+
+
 def random_token_mask(tokens: DataFrame, tile: str, position: str, per_tile: int, ratio: float = 0.75, seed: int = 42) -> DataFrame:
     """Add `masked`: all but int(per_tile * (1 - ratio)) tokens of each tile, chosen by hash.
 

@@ -27,7 +27,7 @@ from cellweave.operators.spectral import (
     trend_residual,
     where_known,
 )
-from cellweave.session import checkpointed
+from cellweave.session import stored
 
 
 def feature_suite(cells: DataFrame, distances: Sequence[str], codes: Sequence[str], grid: Grid) -> DataFrame:
@@ -60,17 +60,18 @@ def potential_field_suite(
     """Filtered field, trend, residual, derivatives and continuations, plus six scaled bands.
 
     The filtered field and the one spectrum that every derivative shares are the two reuse
-    points; both are written to the checkpoint folder so later branches do not redo them.
+    points; both are stored in the shared folder so later branches do not redo them.
     """
-    filtered = checkpointed(svd_lowrank(cells, value, grid, rank).withColumnRenamed("filtered", "tmi"))
+    filtered = stored(svd_lowrank(cells, value, grid, rank).withColumnRenamed("filtered", "tmi"), "field")
     trend = trend_residual(filtered, "tmi", grid)
-    spec = checkpointed(spectrum(filtered, "tmi", grid))
+    spec = stored(spectrum(filtered, "tmi", grid), "spectrum")
     ups = [f"up_{int(h)}" for h in heights]
     products = derivatives(spec, grid, heights).select(
         "row", "col",
         first_vertical_derivative().alias("vd1"), analytic_signal().alias("asa"), tilt_derivative().alias("tdr"), *ups,
     )
-    wide = checkpointed(filtered.join(trend, ["row", "col"]).join(where_known(products, filtered, "tmi"), ["row", "col"]))
+    joined = filtered.join(trend, ["row", "col"]).join(where_known(products, filtered, "tmi"), ["row", "col"])
+    wide = stored(joined, "products")
     bands = ["tmi", "regional", "residual", "vd1", "asa", "tdr"]
     scaled = wide.select("*", *[F.col(b).alias(f"{b}_norm") for b in bands])
     return robust_normalize(scaled, [f"{b}_norm" for b in bands])
@@ -92,6 +93,7 @@ def stack_bands(
             sampled = regrid(layer, frame or grid, grid, target).withColumnRenamed("value", name)
             wide = wide.join(sampled, ["row", "col"], "left")
             present.append(name)
+    wide = stored(wide, "stack")  # scanned for the percentiles, the means and the result
     scale = [n for n, layer, _, wanted in layers if layer is not None and wanted]
     filled = mean_impute(normalize_channels(wide, scale), present)
     return filled.select("row", "col", *[F.col(n) if n in present else F.lit(0.0).alias(n) for n, *_ in layers])

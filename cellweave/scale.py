@@ -21,6 +21,8 @@ from cellweave.session import checkpointed
 LOOKUP_ROWS = 20_000
 #: Rows of a narrow join side that may be broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Percentile brackets that are refined in one pass over the data.
+BRACKETS_AT_ONCE = 512
 #: Rows of one group that one task is asked to sort or to hold.
 TASK_ROWS = 2_000_000
 
@@ -163,6 +165,7 @@ def _bracketed_order_statistics(base, by, hot, probs, task_rows, bins) -> list[d
                 split.append(bracket)
         if not split:
             break
+        split, postponed = split[:BRACKETS_AT_ONCE], split[BRACKETS_AT_ONCE:]
         share = F.least(
             F.floor((F.col("_v") / bins - F.col("_lo") / bins) / (F.col("_hi") / bins - F.col("_lo") / bins) * bins),
             F.lit(bins - 1),
@@ -172,9 +175,9 @@ def _bracketed_order_statistics(base, by, hot, probs, task_rows, bins) -> list[d
             .groupBy("_b", share.alias("_s"))
             .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
             .orderBy("_b", "_s")
-            .collect()  # at most len(split) * bins rows
+            .collect()  # at most BRACKETS_AT_ONCE * bins rows
         )
-        active = []
+        active = postponed
         below = {j: b[3] for j, b in enumerate(split)}
         for cell in counted:
             j = cell["_b"]
@@ -277,16 +280,27 @@ def smallest_by_key(
     last = (
         upto.where(before < quota)
         .groupBy(*by)
-        .agg(F.max(F.struct(F.col(key).alias("key"), (quota - before).alias("room"))).alias("_last"))
-        .select(*[F.col(k).alias(f"_c_{k}") for k in by], "_last.key", "_last.room")
+        .agg(F.max(F.struct(F.col(key).alias("key"), (quota - before).alias("room"), F.col("_n").alias("size"))).alias("_last"))
+        .select(*[F.col(k).alias(f"_c_{k}") for k in by], "_last.key", "_last.room", "_last.size")
     )
-    edge = small_side(last)
-    match = F.lit(True)
+    rows = bounded_rows(last)
+    if rows is None:
+        edge, largest = last, last.agg(F.max("size")).first()[0]
+    else:
+        edge = F.broadcast(df.sparkSession.createDataFrame(rows, last.schema))
+        largest = max((r["size"] for r in rows), default=0)
+    room = f"_room{len(ties)}"  # one per depth of the recursion below
+    match = df[key] <= edge["key"]
     for k in by:
         match = match & df[k].eqNullSafe(edge[f"_c_{k}"])
-    match = match & (df[key] <= edge["key"])
-    taken = df.join(edge, match).select(*[df[c] for c in df.columns], edge["key"].alias("_edge"), edge["room"].alias("_room"))
-    inside = taken.where(F.col(key) < F.col("_edge"))
-    ranked = Window.partitionBy(*by, key).orderBy(*ties)
-    boundary = taken.where(F.col(key) == F.col("_edge")).withColumn("_rn", F.row_number().over(ranked))
-    return inside.select(*df.columns).unionByName(boundary.where(F.col("_rn") <= F.col("_room")).select(*df.columns))
+    taken = df.join(edge, match).select(*[df[c] for c in df.columns], edge["key"].alias("_edge"), edge["room"].cast("bigint").alias(room))
+    inside = taken.where(F.col(key) < F.col("_edge")).select(*df.columns)
+    boundary = taken.where(F.col(key) == F.col("_edge")).drop("_edge")
+    if largest > task_rows and ties:
+        # One key holds too many rows to rank in a task: the next tie column decides among them.
+        strata = list(dict.fromkeys([*by, key, room]))
+        chosen = smallest_by_key(boundary, ties[0], list(ties[1:]), F.col(room), strata, task_rows=task_rows)
+    else:
+        ranked = Window.partitionBy(*by, key).orderBy(*ties) if ties else Window.partitionBy(*by, key).orderBy(key)
+        chosen = boundary.withColumn("_rn", F.row_number().over(ranked)).where(F.col("_rn") <= F.col(room))
+    return inside.unionByName(chosen.select(*df.columns))
