@@ -20,7 +20,8 @@ FOREST = {"trees": 10, "depth": 6}
 def _fold(spark, folder, fold=0):
     grid = fx.cell_grid(spark, folder)
     cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
-    return cells, baselines.fold_tables(cells, BANDS, fx.strips(grid), fold)
+    samples = baselines.fold_samples(cells, BANDS, fx.strips(grid)[fold : fold + 1])
+    return cells, baselines.fold_tables(samples, BANDS, [fold])[fold]
 
 
 @query("m1_rf_baseline")

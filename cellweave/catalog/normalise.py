@@ -137,6 +137,17 @@ def a5(spark, folder):
     return round_columns(max_normalize(fx.stored_cells(spark, folder).select("row", "col", *columns), columns), columns)
 
 
+@query(
+    "j12_scalar_broadcast",
+    f"WITH {fx.CELLS_SQL} SELECT row, col, {R('(b1 - (SELECT avg(b1) FROM cells)) / (SELECT max(b1) - min(b1) FROM cells)')} AS b1 FROM cells",
+)
+def j12(spark, folder):
+    base = fx.stored_cells(spark, folder).select("row", "col", "b1")
+    centre = base.agg(F.avg("b1")).scalar()
+    span = base.agg(F.max("b1") - F.min("b1")).scalar()
+    return base.select("row", "col", rounded((F.col("b1") - centre) / span).alias("b1"))
+
+
 @query(
     "c14_channel_groups",
     f"WITH {fx.CELLS_SQL} SELECT row, col, b1, b2, 0.0::DOUBLE AS b3, 0.0::DOUBLE AS b4 FROM cells",

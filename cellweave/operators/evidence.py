@@ -58,40 +58,29 @@ def woe_contingency(cells: DataFrame, bands: Sequence[str], thresholds: dict[str
             for b in bands
         ]
     )
-    counted = (
+    of_cells = (
         cells.select(F.explode(classes).alias("_c"), (F.col(label) == 1).alias("_pos"))
         .where(F.col("_c.cls").isNotNull())
-        .groupBy("_c.band", "_c.cls")
-        .agg(F.count("*").cast("double").alias("n"), F.count_if("_pos").cast("double").alias("pos"))
+        .select("_c.band", "_c.cls", F.lit(1).alias("n"), F.col("_pos").cast("int").alias("pos"), F.lit(None).cast("double").alias("thr"))
+    )
+    # One row without cells per threshold: a class may be empty, its threshold still counts.
+    edges = [(b, i + 1, 0, 0, float(t)) for b in bands for i, t in enumerate(thresholds[b])]
+    of_edges = cells.sparkSession.createDataFrame(edges, "band string, cls int, n int, pos int, thr double")
+    counted = (
+        of_cells.unionByName(of_edges)
+        .groupBy("band", "cls")
+        .agg(F.sum("n").cast("double").alias("n"), F.sum("pos").cast("double").alias("pos"), F.max("thr").alias("thr"))
     )
     whole = Window.partitionBy("band")
     from_here = whole.orderBy(F.desc("cls")).rowsBetween(Window.unboundedPreceding, 0)
-    upper = counted.select(
+    filled = counted.select(
         "band",
-        "cls",
+        "thr",
         F.sum("n").over(whole).alias("n_total"),
         F.sum("pos").over(whole).alias("n_dep"),
         F.sum("n").over(from_here).alias("n_b"),
         F.sum("pos").over(from_here).alias("_db"),
-    )
-    edges = [(b, i + 1, float(t)) for b in bands for i, t in enumerate(thresholds[b])]
-    edge = cells.sparkSession.createDataFrame(edges, "band string, cls int, thr double")
-    # A class between two thresholds may hold no cell: take the next class above it.
-    ordered = Window.partitionBy("band").orderBy(F.desc("cls")).rowsBetween(Window.unboundedPreceding, 0)
-    filled = (
-        F.broadcast(edge)
-        .join(upper, ["band", "cls"], "full")
-        .select(
-            "band",
-            "cls",
-            "thr",
-            F.max("n_total").over(whole).alias("n_total"),
-            F.max("n_dep").over(whole).alias("n_dep"),
-            F.coalesce(F.last("n_b", ignorenulls=True).over(ordered), F.lit(0.0)).alias("n_b"),
-            F.coalesce(F.last("_db", ignorenulls=True).over(ordered), F.lit(0.0)).alias("_db"),
-        )
-        .where(F.col("thr").isNotNull())
-    )
+    ).where(F.col("thr").isNotNull())
     others = F.col("n_total") - F.col("n_b")
     floor = F.lit(0.5)
     n_db = F.greatest("_db", floor)

@@ -113,11 +113,11 @@ def sampling_key(seed: int | Column, row: str = "row", col: str = "col") -> Colu
 
 
 def stratified_sample(
-    cells: DataFrame, ratio: float, seed: int | Column = 42, cap: int | None = None, by: Sequence[str] = (), **options
+    cells: DataFrame, ratio: float | Column, seed: int | Column = 42, cap: int | Column | None = None, by: Sequence[str] = (), **options
 ) -> DataFrame:
     """All (or `cap`) positives and `ratio` unlabeled cells per positive, without replacement.
 
-    `by` makes independent samples per group; `seed` may then be an expression over it.
+    `by` makes independent samples per group; `ratio`, `seed` and `cap` may be expressions over it.
     """
     by = list(by)
     keyed = cells.withColumn("_key", sampling_key(seed))
@@ -126,7 +126,7 @@ def stratified_sample(
         F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("count"))), F.lit(0)).alias("_np"),
         F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("count"))), F.lit(0)).alias("_nu"),
     )
-    n_pos = F.col("_np") if cap is None else F.least(F.col("_np"), F.lit(cap))
+    n_pos = F.col("_np") if cap is None else F.least(F.col("_np"), F.lit(cap))  # least skips a NULL cap
     quotas = per_group.select(
         *by, n_pos.alias("_q1"), F.least(F.floor(n_pos * ratio), F.col("_nu")).cast("bigint").alias("_q0")
     )

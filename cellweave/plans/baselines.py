@@ -13,8 +13,9 @@ from cellweave.operators.evidence import woe_fit, woe_posterior
 from cellweave.operators.labels import spatial_folds, stratified_sample, with_weights
 from cellweave.operators.metrics import evaluate, fold_summary
 from cellweave.operators.models import fit_forest, fit_logistic, score
-from cellweave.operators.normalize import median_impute, standardize, standardize_fit
-from cellweave.session import checkpointed, stored
+from cellweave.operators.normalize import fill_with, standardize, standardize_fit, unpivot_bands
+from cellweave.scale import exact_percentiles
+from cellweave.session import stored
 
 
 def woe_baseline(
@@ -34,31 +35,62 @@ def woe_baseline(
     return evaluate(sampled, by=["fold"])
 
 
-def fold_tables(
-    cells: DataFrame, bands: Sequence[str], strips: Sequence[Mapping[str, int]], fold: int,
+def fold_samples(
+    cells: DataFrame, bands: Sequence[str], strips: Sequence[Mapping[str, int]],
     train_ratio: float = 5, val_ratio: float = 5, cap: int | None = None, seed: int = 42,
-) -> tuple[DataFrame, DataFrame]:
-    """Sampled, imputed and standardised training and validation rows of one fold."""
-    used = spatial_folds(cells.where(all_present(bands)), [s for s in strips if s["fold"] == fold])
-    # The samples are small next to the grid and are read by every pass of a fit.
-    train = checkpointed(stratified_sample(used.where(F.col("region") == "train"), train_ratio, seed + fold, cap))
-    validation = checkpointed(stratified_sample(used.where(F.col("region") == "test"), val_ratio, seed + fold + 1000))
-    filled, checked, _ = median_impute(train, validation, validation, bands)
-    fitted = standardize_fit(filled, bands)
-    return with_weights(standardize(filled, fitted)), standardize(checked, fitted)
+) -> DataFrame:
+    """Training and validation samples of all listed folds as one stored table (`fold`, `region`).
+
+    All folds are drawn as groups of one job; the samples are small next to the grid and are
+    read by every pass of every fit.
+    """
+    used = spatial_folds(cells.where(all_present(bands)).select("row", "col", "label", *bands), strips)
+    train = F.col("region") == "train"
+    sampled = stratified_sample(
+        used,
+        F.when(train, F.lit(float(train_ratio))).otherwise(F.lit(float(val_ratio))),
+        F.lit(seed) + F.col("fold") + F.when(train, 0).otherwise(1000),
+        None if cap is None else F.when(train, F.lit(cap)),
+        by=["fold", "region"],
+    )
+    return stored(sampled, "samples")
+
+
+def fold_tables(
+    samples: DataFrame, bands: Sequence[str], folds: Sequence[int]
+) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """Per fold the imputed and standardised training and validation rows.
+
+    The medians of all folds, regions and bands come from one pass.  Training medians fill
+    the training rows; validation rows take their own medians first.
+    """
+    long = unpivot_bands(samples, bands, keys=("fold", "region"))
+    medians: dict[tuple[int, str], dict[str, float]] = {}
+    for r in exact_percentiles(long, "value", [0.5], ["fold", "region", "band"]).collect():
+        medians.setdefault((r["fold"], r["region"]), {})[r["band"]] = r["pct"][0]
+    tables = {}
+    for fold in folds:
+        learned, own = medians.get((fold, "train"), {}), medians.get((fold, "test"), {})
+        mine = samples.where(F.col("fold") == fold)
+        train = fill_with(mine.where(F.col("region") == "train"), learned)
+        validation = fill_with(fill_with(mine.where(F.col("region") == "test"), own), learned)
+        fitted = standardize_fit(train, bands)
+        tables[fold] = with_weights(standardize(train, fitted)), standardize(validation, fitted)
+    return tables
 
 
 def spatial_cv(
-    cells: DataFrame, bands: Sequence[str], strips: Sequence[Mapping[str, int]], kind: str = "forest", **options
-) -> DataFrame:
-    """Metrics per fold of a forest or logistic model."""
-    tables = []
-    for strip in strips:
-        train, validation = fold_tables(cells, bands, strips, strip["fold"])
+    cells: DataFrame, bands: Sequence[str], strips: Sequence[Mapping[str, int]], kind: str = "forest",
+    samples: DataFrame | None = None, **options,
+) -> DataFrame:
+    """Metrics per fold of a forest or logistic model; the scored folds are evaluated together."""
+    folds = [s["fold"] for s in strips]
+    drawn = fold_samples(cells, bands, strips) if samples is None else samples
+    scored = []
+    for train, validation in fold_tables(drawn, bands, folds).values():
         model = fit_forest(train, bands, **options) if kind == "forest" else fit_logistic(train, bands, **options)
-        metrics = evaluate(score(model, validation))
-        tables.append(metrics.select(F.lit(strip["fold"]).cast("bigint").alias("fold"), "*"))
-    return reduce(DataFrame.unionByName, tables)
+        scored.append(score(model, validation).select("fold", "label", "score"))
+    return evaluate(reduce(DataFrame.unionByName, scored), by=["fold"])
 
 
 def cv_summary(metrics: DataFrame) -> DataFrame:
@@ -71,8 +103,10 @@ def channel_ablation(
     """`fold, variant, auc_pr, drop`: refit with each set of bands and compare with `full`."""
     from cellweave.operators.runs import ablation_drop
 
+    every = list(dict.fromkeys(b for bands in variants.values() for b in bands))
+    samples = fold_samples(cells, every, strips)  # all variants see the same rows
     tables = [
-        spatial_cv(cells, list(bands), strips, kind, **options).select("fold", F.lit(name).alias("variant"), "auc_pr")
+        spatial_cv(cells, list(bands), strips, kind, samples, **options).select("fold", F.lit(name).alias("variant"), "auc_pr")
         for name, bands in variants.items()
     ]
     return ablation_drop(reduce(DataFrame.unionByName, tables), "auc_pr")

@@ -288,7 +288,7 @@ def smallest_by_key(
         edge, largest = last, last.agg(F.max("size")).first()[0]
     else:
         edge = F.broadcast(df.sparkSession.createDataFrame(rows, last.schema))
-        largest = max((r["size"] for r in rows), default=0)
+        largest = max((r["size"] or 0 for r in rows), default=0)
     room = f"_room{len(ties)}"  # one per depth of the recursion below
     match = df[key] <= edge["key"]
     for k in by:
