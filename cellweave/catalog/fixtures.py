@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,15 +33,20 @@ def part_grid(spark: SparkSession, folder: str) -> Grid:
     return Grid.of_shape(last // PART_WIDTH + 1, PART_WIDTH)
 
 
-_STORED: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str], str] = {}
 
 
 def stored_cells(spark: SparkSession, folder: str) -> DataFrame:
     """The cell table written once per application, for jobs that scan it several times."""
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _STORED:
-        _STORED[key] = stored(cells(spark, folder), "cells")
-    return _STORED[key]
+    if key in _STORED:
+        try:
+            return spark.read.parquet(_STORED[key])
+        except AnalysisException:  # the shared folder was emptied in between
+            del _STORED[key]
+    written = stored(cells(spark, folder), "cells")
+    _STORED[key] = written.inputFiles()[0].rsplit("/", 1)[0]
+    return written
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.grid import Grid
-from cellweave.scale import running_totals, small_side
+from cellweave.scale import broadcast_if_small, running_totals, small_side
 
 
 def valid_geometry(df: DataFrame, geom: str = "geom") -> DataFrame:
@@ -291,6 +291,8 @@ def buffered_cells(points: DataFrame, grid: Grid, radius: float = 500.0, x: str
 
 def buffer_label(cells: DataFrame, points: DataFrame, grid: Grid, radius: float = 500.0) -> DataFrame:
     """`row, col, label`: 1 where the disc of any occurrence touches the cell, else 0."""
-    hit = buffered_cells(points, grid, radius).withColumn("_hit", F.lit(1))
+    around = (2 * math.floor(radius / grid.xres) + 3) * (2 * math.floor(radius / grid.yres) + 3)
+    # Few points leave the cells where they are; many are joined by address.
+    hit = broadcast_if_small(buffered_cells(points, grid, radius), points, around).withColumn("_hit", F.lit(1))
     joined = cells.select("row", "col").join(hit, ["row", "col"], "left")
     return joined.select("row", "col", F.coalesce("_hit", F.lit(0)).cast("bigint").alias("label"))

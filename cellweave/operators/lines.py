@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Cells one strip may hold; fixed, so the memory of a task does not grow with the grid.
-STRIP_CELLS = 1 << 16
+STRIP_CELLS = 1 << 14
 
 
 def map_lines(
