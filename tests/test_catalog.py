@@ -45,3 +45,12 @@ def test_flagship(spark):
 
     assert entry(spark).count() == 1500
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_kernels_do_not_need_the_package_on_the_executors():
+    from pyspark.cloudpickle import dumps
+
+    from cellweave.operators.lines import filter_lines
+
+    # A function pickled by reference would only name its module; by value it carries its code.
+    assert len(dumps(filter_lines)) > 500
