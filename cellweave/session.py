@@ -1,4 +1,4 @@
-"""Session construction and the shared-folder checkpoint."""
+"""Session construction, checkpoints and tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -29,17 +29,31 @@ def build_session(app: str = "cellweave", cpus: str | int = "*", **conf: str) ->
     return session
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`; our own only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for derived tables that all executors see.
+
+    The folder given to `setCheckpointDir` or named by `spark.checkpoint.dir`. Where neither is set, a
+    temporary folder serves a local master; on a cluster, whose machines would not see it, this raises.
+    """
     global _own_folder
+    context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    given = context._jsc.sc().getCheckpointDir()
     if named:
-        return named
+        return named.rstrip("/")
+    if given.isDefined():
+        return os.path.dirname(given.get().rstrip("/"))  # Spark adds a folder of its own below the given one
+    if not _is_local(context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="cellweave-")
     return _own_folder
 
 
+def _is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 _own_folder: str | None = None
 
 
@@ -47,7 +61,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage; lost executors cost nothing."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(_shared_folder(df.sparkSession))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -55,9 +69,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
     For a derived table that is scanned several times: later scans still prune columns and
-    push filters down, which a checkpoint cannot.
+    push filters down, which a checkpoint cannot. The table goes when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/cellweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/cellweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
