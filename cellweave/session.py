@@ -37,12 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
     """
     global _own_folder
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     given = context._jsc.sc().getCheckpointDir()
-    if named:
-        return named.rstrip("/")
     if given.isDefined():
         return os.path.dirname(given.get().rstrip("/"))  # Spark adds a folder of its own below the given one
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     if not _is_local(context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
