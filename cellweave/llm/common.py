@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.session import checkpointed
+from cellweave.session import checkpointed, stored
 
 WORD = re.compile(r"\w+")
 
@@ -69,6 +69,19 @@ def runs(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def spread(node: np.ndarray, left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Smallest node that each node reaches over the links of a block pair."""
+    peer = node.copy()
+    x, y = np.nonzero(linked)
+    x, y = left[x], right[y]
+    while True:
+        before = peer.copy()
+        np.minimum.at(peer, x, peer[y])
+        np.minimum.at(peer, y, peer[x])
+        if (before == peer).all():
+            return peer
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components of undirected edges (`a`, `b`, longs): every node with its smallest reachable node.
 
@@ -98,3 +111,18 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most} rounds")
     nodes = links.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return nodes.union(links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+
+
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """Rows of a table with a count `times`, from the highest count down, at most `most` of them.
+
+    Counts are taken or left as a whole, so that no task sorts all rows; a row per different count reaches the driver.
+    """
+    counted = stored(counted, "counted")
+    left, least = most, None
+    for r in sorted(counted.groupBy("times").count().collect(), key=lambda r: -r["times"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["times"]
+    return counted.where(F.col("times") >= least if least is not None else F.lit(False))

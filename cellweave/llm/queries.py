@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.chat import digest_chats, format_chats, records_of_turns
 from cellweave.llm.line_dedup import dedup_lines
+from cellweave.llm.mixing import mix
+from cellweave.llm.multi_index import nearest
+from cellweave.llm.ngram_join import ngram_join
 from cellweave.llm.packing import pack
+from cellweave.llm.pq_dedup import near_duplicates
+from cellweave.llm.quality import classify_quality
 from cellweave.llm.token_counts import token_counts
+from cellweave.llm.toxicity import fit_chain, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +37,23 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+@query("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join(read(spark, folder, "documents")).drop("_r1", "_r2")
+
+
+@query("op2_mixing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    emitted, mixture = mix(read(spark, folder, "documents"))
+    weights = mixture.sources.select(F.col("source").alias("of"), "weight")
+    return emitted.join(weights, F.col("source").eqNullSafe(F.col("of"))).drop("of", "_r1", "_r2")
+
+
+@query("op3_nearest_neighbours")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -67,6 +90,29 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(read(spark, folder, "documents"))
 
 
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    judged = classify_quality(read(spark, folder, "documents"))
+    return judged.select("doc_id", "quality_posterior", "quality_score", "quality_keep")
+
+
+@query("op8_embedding_near_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(read(spark, folder, "embeddings"))
+
+
+INSULTS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "clown", "pathetic", "worthless", "disgusting")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Categories in chain order: open insults, coded ones (toxic without an open insult), toxic at all."""
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    bad, open_ = F.col("toxic") == 1, F.lower("text").rlike(r"\b(" + "|".join(INSULTS) + r")\b")
+    chain, _, _ = fit_chain(docs, labels, ["toxic"], {"insult": bad & open_, "coded": bad & ~open_, "toxic": bad})
+    return score_toxicity(docs, chain, threshold=0.3)
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
