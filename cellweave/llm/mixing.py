@@ -54,7 +54,7 @@ def _bisect(sources: DataFrame, fits) -> float:
 
 
 def temperature_weights(
-    docs: DataFrame, entropy: float | None = 0.9, repeats: float = 4.0, budget: float | None = None
+    docs: DataFrame, entropy: float | None = 0.9, repeats: float = 4.0, budget: float | None = None, shrink: bool = False
 ) -> Mixture:
     """Weights proportional to share ** exponent, from a table (`source`, `tokens`).
 
@@ -62,7 +62,8 @@ def temperature_weights(
     weights reach `entropy` (a part of the largest possible entropy, the logarithm of the number of sources), but
     never one at which a source would be repeated more than `repeats` times within the budget; the
     repetition limit wins. `budget` is in tokens, by default all tokens. If budget and limit can't both hold
-    even at exponent 1, the budget is lowered to what they allow.
+    even at exponent 1, the budget is lowered to what they allow. With `shrink` the entropy wins: the budget is
+    lowered until no source is repeated more than `repeats` times.
     """
     totals = docs.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
     totals = stored(totals, "sources")
@@ -77,14 +78,20 @@ def temperature_weights(
             goal = entropy * math.log(n)
             exponent = _bisect(sources, lambda h, r: h >= goal)
         allowed = repeats * all_tokens / size if size else math.inf
-        if allowed >= 1:
+        if shrink:
+            pass
+        elif allowed >= 1:
             exponent = max(exponent, _least(sources, lambda h, r: r <= allowed))
         else:
             exponent = 1.0
     size = min(size, repeats * all_tokens)
     z = sources.where("share > 0").agg(F.sum(F.pow("share", F.lit(exponent)))).first()[0] or 1.0
     weight = F.when(F.col("share") > 0, F.pow("share", F.lit(exponent)) / F.lit(z)).otherwise(0.0)
-    sources = sources.withColumn("weight", weight).withColumn("budget", F.round(F.col("weight") * F.lit(size), 3))
+    sources = sources.withColumn("weight", weight)
+    if shrink:
+        most = sources.where("weight > 0").agg(F.min(F.col("tokens") / F.col("weight"))).first()[0]
+        size = min(size, repeats * (most or 0.0))
+    sources = sources.withColumn("budget", F.round(F.col("weight") * F.lit(size), 3))
     sources = sources.withColumn("repeats", F.when(F.col("tokens") > 0, F.col("budget") / F.col("tokens")).otherwise(0.0))
     return Mixture(exponent, size, sources.select("source", "docs", "tokens", "weight", "budget", "repeats"))
 
@@ -133,7 +140,9 @@ def realise(docs: DataFrame, mixture: Mixture, block_docs: int = 20_000, seed: i
     return taken.select(*docs.columns, "epoch", "block", "block_rank", "rank", (stop - F.col("tokens")).cast("long").alias("start"))
 
 
-def mix(docs: DataFrame, entropy: float | None = 0.9, repeats: float = 4.0, budget: float | None = None, block_docs: int = 20_000, seed: int = 1) -> tuple[DataFrame, Mixture]:
+def mix(
+    docs: DataFrame, entropy: float | None = 0.9, repeats: float = 4.0, budget: float | None = None, shrink: bool = False, block_docs: int = 20_000, seed: int = 1
+) -> tuple[DataFrame, Mixture]:
     """Choose temperature weights for the sources of `docs` (`doc_id`, `source`, `text`) and emit their documents.
 
     Returns the emitted documents (doc_id, source, tokens, _r1, _r2, epoch, block, block_rank, rank, start) and the
@@ -147,5 +156,5 @@ def mix(docs: DataFrame, entropy: float | None = 0.9, repeats: float = 4.0, budg
     """
     rows = with_identity(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")))
     rows = stored(rows.select("doc_id", "source", "_r1", "_r2", word_count(F.col("text")).alias("tokens")), "token-counts")
-    mixture = temperature_weights(rows, entropy, repeats, budget)
+    mixture = temperature_weights(rows, entropy, repeats, budget, shrink)
     return realise(rows, mixture, block_docs, seed), mixture
