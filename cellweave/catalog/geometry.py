@@ -199,11 +199,9 @@ def a36(spark, folder):
 @query(
     "j5_buffer_label",
     f"""WITH {fx.CELLS_SQL}, {fx.POINTS_SQL}, hit AS (
-      SELECT DISTINCT c.row, c.col FROM points p, dim, cells c WHERE p.id % 10 = 0
-        AND power(greatest(c.col * 50.0::DOUBLE - x, x - (c.col + 1) * 50.0::DOUBLE, 0), 2) + power(greatest((h - c.row - 1) * 50.0::DOUBLE - y, y - (h - c.row) * 50.0::DOUBLE, 0), 2) <= 250000)
+      SELECT DISTINCT c.row, c.col FROM points p, dim, cells c WHERE power(greatest(c.col * 50.0::DOUBLE - x, x - (c.col + 1) * 50.0::DOUBLE, 0), 2) + power(greatest((h - c.row - 1) * 50.0::DOUBLE - y, y - (h - c.row) * 50.0::DOUBLE, 0), 2) <= 10000)
     SELECT c.row, c.col, CAST(hit.row IS NOT NULL AS BIGINT) AS label FROM cells c LEFT JOIN hit ON hit.row = c.row AND hit.col = c.col""",
 )
 def j5(spark, folder):
     grid = fx.cell_grid(spark, folder)
-    sources = fx.points(spark, folder, grid).where("id % 10 = 0")  # a sparse layer, so that labels stay mixed
-    return geo.buffer_label(fx.cells(spark, folder), sources, grid)
+    return geo.buffer_label(fx.cells(spark, folder), fx.points(spark, folder, grid), grid, 100.0)

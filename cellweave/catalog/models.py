@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.catalog import fixtures as fx
@@ -13,28 +16,36 @@ from cellweave.session import stored
 
 BANDS = fx.BANDS
 P, S = fx.PATCH, fx.STRIDE
-#: Sizes that keep the sample run short; the library defaults are 500 trees of depth 30.
-FOREST = {"trees": 10, "depth": 6}
+#: At most this many labelled rows of a class and region take part in the fit of a forest, which bounds its cost;
+#: every row that is to be scored is scored.
+FIT_ROWS = 2000
+FOREST = {"trees": 50, "depth": 12}
 
 
-def _fold(spark, folder, fold=0):
+def _folds(spark, folder):
     grid = fx.cell_grid(spark, folder)
     cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
-    samples = baselines.fold_samples(cells, BANDS, fx.strips(grid)[fold : fold + 1])
-    return cells, baselines.fold_tables(samples, BANDS, [fold])[fold]
+    strips = fx.strips(grid)
+    samples = baselines.fold_samples(cells, BANDS, strips, cap=FIT_ROWS)
+    return cells, baselines.fold_tables(samples, BANDS, [s["fold"] for s in strips])
 
 
 @query("m1_rf_baseline")
 def m1(spark, folder):
-    _, (train, validation) = _fold(spark, folder)
-    model = models.fit_forest(train, BANDS, **FOREST)
-    return models.score(model, validation).select("row", "col", "label", "score")
+    """Scores of the validation rows of all folds."""
+    _, folds = _folds(spark, folder)
+    fits = [partial(models.fit_forest, f.train, BANDS, **FOREST) for f in folds.values()]
+    scored = [models.score(m, f.validation).select("fold", "row", "col", "label", "score") for m, f in zip(baselines.in_parallel(fits), folds.values(), strict=True)]
+    return reduce(DataFrame.unionByName, scored)
 
 
 @query("m2_rf_importance")
 def m2(spark, folder):
-    _, (train, _) = _fold(spark, folder)
-    return models.forest_importance(models.fit_forest(train, BANDS, **FOREST), BANDS, spark)
+    """Importances of all folds."""
+    _, folds = _folds(spark, folder)
+    fits = baselines.in_parallel([partial(models.fit_forest, f.train, BANDS, **FOREST) for f in folds.values()])
+    tables = [models.forest_importance(m, BANDS, spark).withColumn("fold", F.lit(k).cast("bigint")) for k, m in zip(folds, fits, strict=True)]
+    return reduce(DataFrame.unionByName, tables)
 
 
 def _tile_features(spark, folder):
@@ -61,7 +72,7 @@ def m3(spark, folder):
 @query("m4_ensemble_uncertainty")
 def m4(spark, folder):
     features = _tile_features(spark, folder)
-    ensemble = models.fit_ensemble(features, BANDS, passes=3, ratio=2.0)
+    ensemble = models.fit_ensemble(features, BANDS, passes=10, ratio=2.0)
     return models.ensemble_uncertainty(features, BANDS, ensemble, ["row", "col"])
 
 
@@ -74,6 +85,19 @@ def m6(spark, folder):
 
 @query("m7_spatial_cv")
 def m7(spark, folder):
+    """Metrics of every fold for both kinds of model."""
+    grid = fx.cell_grid(spark, folder)
+    cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
+    samples = baselines.fold_samples(cells, BANDS, fx.strips(grid), cap=FIT_ROWS)
+    kinds = {"logistic": {}, "forest": FOREST}
+    tables = [
+        baselines.spatial_cv(cells, BANDS, fx.strips(grid), kind, samples, **options).withColumn("kind", F.lit(kind)) for kind, options in kinds.items()
+    ]
+    return reduce(DataFrame.unionByName, tables)
+
+
+@query("m7_cv_summary")
+def m7_summary(spark, folder):
     grid = fx.cell_grid(spark, folder)
     cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
     return baselines.cv_summary(baselines.spatial_cv(cells, BANDS, fx.strips(grid), "logistic"))
@@ -81,14 +105,18 @@ def m7(spark, folder):
 
 @query("m8_channel_ablation")
 def m8(spark, folder):
+    """All folds; each variant leaves one band out."""
     grid = fx.cell_grid(spark, folder)
     cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
-    variants = {"full": BANDS, "no_quantity": ["b1", "b3", "b4", "b5"]}
-    return baselines.channel_ablation(cells, variants, fx.strips(grid)[:2])
+    variants = {"full": BANDS, **{f"no_{b}": [x for x in BANDS if x != b] for b in BANDS}}
+    return baselines.channel_ablation(cells, variants, fx.strips(grid))
 
 
 @query("m10_pixel_map_rf")
 def m10(spark, folder):
-    cells, (train, _) = _fold(spark, folder)
-    model = models.fit_forest(train, BANDS, **FOREST)
-    return models.pixel_map(cells, model, all_present(BANDS), cap=5000)
+    """Every valid cell, filled and scaled as the training rows of the first fold."""
+    cells, folds = _folds(spark, folder)
+    fold = folds[min(folds)]
+    model = models.fit_forest(fold.train, BANDS, **FOREST)
+    ready = fold.apply(cells.withColumn("_known", all_present(BANDS)))
+    return models.pixel_map(ready, model, F.col("_known"))

@@ -323,9 +323,7 @@ def u3(spark, folder):
 
 
 def _key(seed: str) -> str:
-    x = f"((row * 7919 + col * 104729 + {seed} * 31) % 1000003)"
-    square = f"({x} * {x} % 1000003)"
-    return f"({square} * {square} % 1000003 * {x} % 1000003)"
+    return f"md5(row || '-' || col || '-' || {seed})"
 
 
 def _sample_sql(source: str, ratio: int, seed: str, by: str = "") -> str:
@@ -387,22 +385,31 @@ def u2(spark, folder):
 )
 def w8(spark, folder):
     tiles = fx.stored_cells(spark, folder).where("row % 4 = 0 AND col % 4 = 0").select("row", "col")
-    return labels.random_split(tiles, labels.sampling_key(42), ["row", "col"])
+    return labels.random_split(tiles, 42)
 
 
 @query(
     "t4_sample_caps",
-    f"""WITH {fx.CELLS_SQL} SELECT row, col FROM (
-      SELECT row, col, row_number() OVER (ORDER BY {_key('7')}, row, col) AS k FROM cells WHERE b2 IS NOT NULL AND b4 IS NOT NULL) WHERE k <= 1000""",
+    f"""WITH {fx.CELLS_SQL}, valid AS (SELECT row, col, label FROM cells WHERE b2 IS NOT NULL AND b4 IS NOT NULL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_key('7')}, row, col) AS k, sum(label) OVER () AS n_pos FROM valid)
+    SELECT row, col, label FROM ranked WHERE k <= CASE WHEN label = 1 THEN 100 ELSE 500 END AND (label = 1 OR k <= n_pos * 5)""",
 )
 def t4(spark, folder):
-    from cellweave.scale import smallest_by_key
+    """The bound on the labelled rows of a fit: at most 100 positives, and five unlabeled rows for each."""
+    valid = fx.stored_cells(spark, folder).where(all_present(["b2", "b4"])).select("row", "col", "label")
+    return labels.stratified_sample(valid, 5, 7, cap=100)
 
-    keyed = fx.stored_cells(spark, folder).where(all_present(["b2", "b4"])).select("row", "col").withColumn("_key", labels.sampling_key(7))
-    return smallest_by_key(keyed, "_key", ["row", "col"], F.lit(1000)).drop("_key")
 
-
-@query("j14_weighted_draw")
+@query(
+    "j14_weighted_draw",
+    f"""WITH {fx.CELLS_SQL}, items AS (
+      SELECT row, col, label, CASE WHEN label = 1 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS weight,
+             CASE WHEN label = 1 THEN 1000000 ELSE 100000 END AS units, row * {fx.WIDTH} + col AS id FROM cells),
+    slices AS (SELECT *, sum(units) OVER (ORDER BY id) AS high, sum(units) OVER () AS total, count(*) OVER () AS n FROM items),
+    draws AS (SELECT d AS draw, CAST('0x' || substr(md5(d || '-42'), 1, 15) AS BIGINT) % (SELECT any_value(total) FROM slices) AS at_pos
+              FROM (SELECT unnest(range(0, (SELECT any_value(n) FROM slices))) AS d))
+    SELECT row, col, label, weight, CAST(id AS BIGINT) AS id, CAST(draw AS BIGINT) AS draw FROM slices JOIN draws ON at_pos >= high - units AND at_pos < high""",
+)
 def j14(spark, folder):
     base = labels.with_weights(fx.stored_cells(spark, folder).select("row", "col", "label"))
     keyed = base.withColumn("id", F.col("row") * fx.WIDTH + F.col("col"))
@@ -430,7 +437,7 @@ METRICS_SQL = """
                 THEN (tp * (n - fp) - fp * (p - tp)) / sqrt((tp + fp) * p * n * ((p - tp) + (n - fp))) ELSE 0 END AS mcc
     FROM cross_counts WHERE tp + fp > 0),
   top AS (
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, step) AS k FROM sweep WHERE f1 > 0) WHERE k = 1)"""
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, step) AS k FROM sweep WHERE f1 > 0 AND tp + fn > 0 AND fp + tn > 0) WHERE k = 1)"""
 
 EVALUATE_SQL = f"""SELECT a.fold, {R('auc_pr')} AS auc_pr, {R('auc_roc')} AS auc_roc, {R('coalesce(threshold, 0.5)')} AS threshold,
   {R('coalesce(f1, 0)')} AS f1, {R('coalesce(mcc, 0)')} AS mcc FROM aucs a LEFT JOIN top t ON a.fold = t.fold"""

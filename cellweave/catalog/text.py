@@ -10,11 +10,12 @@ from cellweave.functions.categories import map_sheet
 from cellweave.operators import search
 
 TERMS = fx.DOC_TERMS
+PER_TERM = 3  # what one term may add to a score
 _ROWS = ", ".join(
     f"({i}, '{category}', {j}, '{term}')" for i, (category, words) in enumerate(TERMS.items()) for j, term in enumerate(words)
 )
 SEARCH_SQL = f"""terms(cat_ord, category, term_ord, term) AS (VALUES {_ROWS}),
-  docs AS (SELECT doc_id, lower(text) AS text, source FROM documents WHERE length(lower(text)) >= 100),
+  docs AS (SELECT doc_id, lower(text) AS text, source FROM documents),
   hits AS (
     SELECT doc_id, category, CAST(cat_ord AS BIGINT) AS cat_ord, term, CAST(term_ord AS BIGINT) AS term_ord,
            CAST(len(regexp_extract_all(text, '(?i)' || term)) AS BIGINT) AS hits FROM docs, terms),
@@ -32,19 +33,19 @@ def j11(spark, folder):
 
 @query("a32_doc_score", f"WITH {SEARCH_SQL} SELECT doc_id, score, categories FROM scored")
 def a32(spark, folder):
-    return search.document_scores(fx.docs(spark, folder), TERMS)
+    return search.document_scores(fx.docs(spark, folder), TERMS, per_term=PER_TERM)
 
 
 #: Positions of plain terms by repeated search from the last hit on.
 _PLAIN = {c: [t for t in words if ".*" not in t] for c, words in TERMS.items()}
 _PLAIN_ROWS = ", ".join(f"({j}, '{c}', '{t}')" for c, words in _PLAIN.items() for j, t in enumerate(words))
 CONTEXT_SQL = f"""RECURSIVE terms(term_ord, category, term) AS (VALUES {_PLAIN_ROWS}),
-  docs AS (SELECT doc_id, lower(text) AS text FROM documents WHERE length(lower(text)) >= 100),
+  docs AS (SELECT doc_id, lower(text) AS text FROM documents),
   walk AS (
     SELECT doc_id, category, term, term_ord, 0 AS k, strpos(text, term) - 1 AS at_pos FROM docs, terms WHERE strpos(text, term) > 0
     UNION ALL
     SELECT w.doc_id, w.category, w.term, w.term_ord, w.k + 1, w.at_pos + length(w.term) + strpos(substr(text, w.at_pos + length(w.term) + 1), w.term) - 1
-    FROM walk w JOIN docs USING (doc_id) WHERE w.k < 2 AND strpos(substr(text, w.at_pos + length(w.term) + 1), w.term) > 0)"""
+    FROM walk w JOIN docs USING (doc_id) WHERE strpos(substr(text, w.at_pos + length(w.term) + 1), w.term) > 0)"""
 
 
 @query(
@@ -76,7 +77,7 @@ _RANKED = "SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_i
 
 @query("w7_rank_reports", f"WITH {SEARCH_SQL} SELECT * FROM ({_RANKED} scored) WHERE rank <= 30")
 def w7(spark, folder):
-    return search.rank_reports(search.document_scores(fx.docs(spark, folder), TERMS), 30)
+    return search.rank_reports(search.document_scores(fx.docs(spark, folder), TERMS, per_term=PER_TERM), 30)
 
 
 @query(
@@ -84,16 +85,15 @@ def w7(spark, folder):
     f"WITH {SEARCH_SQL} SELECT * FROM ({_RANKED} scored WHERE list_contains(string_split(categories, '|'), 'german')) WHERE rank <= 10",
 )
 def t1(spark, folder):
-    return search.topk_reports(search.document_scores(fx.docs(spark, folder), TERMS), 10, "absent", "german")
+    return search.topk_reports(search.document_scores(fx.docs(spark, folder), TERMS, per_term=PER_TERM), 10, "absent", "german")
 
 
 @query(
     "t2_two_phase_search",
     f"""WITH {SEARCH_SQL}, sheets AS (SELECT doc_id, regexp_matches(upper(source), 'SRC3|SRC7|SRC1') AS listed FROM documents),
-    good AS (SELECT count(*) AS n FROM scored JOIN sheets USING (doc_id) WHERE listed AND score >= 100),
-    others AS (SELECT doc_id FROM sheets WHERE NOT listed ORDER BY doc_id LIMIT 200)
-    SELECT doc_id, score, categories FROM scored JOIN sheets USING (doc_id), good WHERE listed OR (n < 20 AND doc_id IN (SELECT doc_id FROM others))""",
+    good AS (SELECT count(*) AS n FROM scored JOIN sheets USING (doc_id) WHERE listed AND score >= 100)
+    SELECT doc_id, score, categories FROM scored JOIN sheets USING (doc_id), good WHERE listed OR n < 20""",
 )
 def t2(spark, folder):
     sheet = map_sheet(F.col("source"), fx.DOC_SHEETS)
-    return search.two_phase_scores(fx.docs(spark, folder), TERMS, sheet, good=100)
+    return search.two_phase_scores(fx.docs(spark, folder), TERMS, sheet, good=100, per_term=PER_TERM)

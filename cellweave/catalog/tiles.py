@@ -87,21 +87,21 @@ def a15(spark, folder):
     return fx.cells(spark, folder).select("row", "col", rounded(tiles.depth_ensemble_mean(BANDS)).alias("mean"))
 
 
-_EXCLUDED = f"""test_cols AS (SELECT min(col) AS lo, max(col) AS hi FROM cells WHERE label = 1 AND col >= 40 AND col < 60 AND row < 400),
+_EXCLUDED = f"""test_cols AS (SELECT min(col) AS lo, max(col) AS hi FROM cells WHERE label = 1 AND col >= 40 AND col < 60),
   kept AS (SELECT r, c FROM tile_stats, test_cols WHERE valid >= 0.5 AND NOT (c + {P // 2} BETWEEN lo AND hi))"""
 
 
 @query("c11_fold_exclusion", f"WITH {TILES_SQL}, {_EXCLUDED} SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c FROM kept")
 def c11(spark, folder):
     kept = tiles.tile_valid_fraction(_masked(spark, folder), ["b2", "b3"], *_shape(spark, folder), P, S)
-    positives = fx.stored_cells(spark, folder).where("label = 1 AND col >= 40 AND col < 60 AND row < 400")
+    positives = fx.stored_cells(spark, folder).where("label = 1 AND col >= 40 AND col < 60")
     return labels.exclude_fold_tiles(kept, positives, P).select("r", "c")
 
 
 @query("u4_mask_except", f"WITH {TILES_SQL}, {_EXCLUDED} SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c FROM tile_stats WHERE valid >= 0.5 EXCEPT SELECT CAST(r AS BIGINT), CAST(c AS BIGINT) FROM kept")
 def u4(spark, folder):
     all_tiles = tiles.tile_valid_fraction(_masked(spark, folder), ["b2", "b3"], *_shape(spark, folder), P, S)
-    positives = fx.stored_cells(spark, folder).where("label = 1 AND col >= 40 AND col < 60 AND row < 400")
+    positives = fx.stored_cells(spark, folder).where("label = 1 AND col >= 40 AND col < 60")
     return all_tiles.join(labels.exclude_fold_tiles(all_tiles, positives, P).select("r", "c"), ["r", "c"], "left_anti").select("r", "c")
 
 
@@ -148,15 +148,32 @@ def v3_v(spark, folder):
     return _exploded(spark, folder, patches.flip_vertical(F.col("patch"), 8))
 
 
-@query("v2_random_mask")
+@query(
+    "v2_random_mask",
+    """WITH tokens AS (SELECT vec_id, t AS token FROM embeddings, (SELECT unnest(range(0, 16)) AS t))
+    SELECT vec_id, CAST(token AS BIGINT) AS token,
+           CAST(row_number() OVER (PARTITION BY vec_id ORDER BY md5(vec_id || '-' || token || '-42'), token) > 4 AS BIGINT) AS masked FROM tokens""",
+)
 def v2(spark, folder):
     tokens = fx.patches(spark, folder).select("vec_id", F.posexplode(patches.patchify(F.col("patch"), 8, 2)).alias("token", "v"))
-    return tiles.random_token_mask(tokens, "vec_id", "token", 16).select("vec_id", "token", "masked")
+    masked = tiles.random_token_mask(tokens, "vec_id", "token", 16)
+    return masked.select("vec_id", F.col("token").cast("bigint").alias("token"), F.col("masked").cast("bigint").alias("masked"))
+
 
+_DIGITS = "md5(vec_id || '-42-' || i)"
+_NOISY = f"""v + 0.01 * sqrt(-2 * ln((CAST('0x' || substr({_DIGITS}, 1, 6) AS BIGINT) + 0.5) / 16777216.0::DOUBLE))
+  * cos(6.283185307179586::DOUBLE * (CAST('0x' || substr({_DIGITS}, 7, 6) AS BIGINT) / 16777216.0::DOUBLE))"""
 
-@query("v4_noise_clip")
+
+@query(
+    "v4_noise_clip",
+    f"""WITH {fx.PATCHES_SQL}, flat AS (SELECT vec_id, i, patch[i + 1] AS v FROM patches, (SELECT unnest(range(0, 64)) AS i))
+    SELECT vec_id, CAST(i AS BIGINT) AS i, {R(f'least(greatest({_NOISY}, 0), 1)')} AS v FROM flat""",
+)
 def v4(spark, folder):
-    return fx.patches(spark, folder).select("vec_id", patches.add_noise(F.col("patch")).alias("patch"))
+    noisy = fx.patches(spark, folder).select("vec_id", patches.add_noise(F.col("patch"), F.col("vec_id")).alias("patch"))
+    flat = noisy.select("vec_id", F.posexplode("patch").alias("i", "v"))
+    return flat.select("vec_id", F.col("i").cast("bigint").alias("i"), rounded("v").alias("v"))
 
 
 @query(

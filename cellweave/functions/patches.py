@@ -47,17 +47,17 @@ def patchify(patch: Column, side: int, token: int, channels: int = 1) -> Column:
     return F.array(*tokens)
 
 
-def add_noise(patch: Column, sigma: float = 0.01, seed: int = 42) -> Column:
-    """Gaussian noise of width sigma, then clamp to [0, 1].
+def add_noise(patch: Column, key: Column, sigma: float = 0.01, seed: int = 42) -> Column:
+    """Gaussian noise of width sigma, then clamp to [0, 1]; `key` tells the rows apart, so equal patches differ.
 
     `randn` cannot vary inside a lambda, so the draw per element comes from two hashed
-    uniforms of (row salt, position) through the Box-Muller transform.
+    uniforms of (row key, position) through the Box-Muller transform.
     """
-    salt = F.xxhash64(patch, F.lit(seed))
 
     def noisy(x: Column, i: Column) -> Column:
-        first = (F.pmod(F.xxhash64(salt, i, F.lit(1)), F.lit(1 << 24)) + 0.5) / float(1 << 24)
-        second = F.pmod(F.xxhash64(salt, i, F.lit(2)), F.lit(1 << 24)) / float(1 << 24)
+        digits = F.md5(F.concat_ws("-", key, F.lit(seed), i))
+        first = (F.conv(F.substring(digits, 1, 6), 16, 10).cast("double") + 0.5) / float(1 << 24)
+        second = F.conv(F.substring(digits, 7, 6), 16, 10).cast("double") / float(1 << 24)
         normal = F.sqrt(-2 * F.ln(first)) * F.cos(6.283185307179586 * second)
         return F.least(F.greatest(x + sigma * normal, F.lit(0.0)), F.lit(1.0))
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cellweave.scale import running_totals, small_side, smallest_by_key
 
-#: Modulus of the arithmetic sampling key; a prime.
-KEY_RANGE = 1000003
+#: Values of `sampling_key`.
+KEY_RANGE = 1 << 20
+#: Slots that a row of a weighted draw is unrolled into at once.
+STRETCH = 4096
 
 
 def label_bands(cells: DataFrame, labels: DataFrame, masks: DataFrame | None = None) -> DataFrame:
@@ -101,15 +103,17 @@ def interior(cells: DataFrame, half: int, height: int, width: int) -> DataFrame:
     return cells.where(rows & (F.col("col") >= half) & (F.col("col") < width - half))
 
 
-def sampling_key(seed: int | Column, row: str = "row", col: str = "col") -> Column:
-    """Deterministic pseudo-random key of a cell; plain integer arithmetic, equal in every SQL engine.
+def sampling_hash(seed: int | Column, row: str = "row", col: str = "col") -> Column:
+    """Deterministic pseudo-random order of cells: 128 bits as hexadecimal text, equal in every SQL engine.
 
-    The fifth power permutes the residues (5 does not divide KEY_RANGE - 1), so that seeds
-    give unrelated orders and neighbouring cells unrelated keys.
+    Each seed gives an unrelated order, also of any two cells.
     """
-    x = (F.col(row) * 7919 + F.col(col) * 104729 + F.lit(seed) * 31) % KEY_RANGE
-    square = x * x % KEY_RANGE
-    return square * square % KEY_RANGE * x % KEY_RANGE
+    return F.md5(F.concat_ws("-", F.col(row), F.col(col), F.lit(seed)))
+
+
+def sampling_key(seed: int | Column, row: str = "row", col: str = "col") -> Column:
+    """The first five digits of `sampling_hash` as a number below KEY_RANGE: a bounded key that can be counted."""
+    return F.conv(F.substring(sampling_hash(seed, row, col), 1, 5), 16, 10).cast("bigint")
 
 
 def stratified_sample(
@@ -120,7 +124,7 @@ def stratified_sample(
     `by` makes independent samples per group; `ratio`, `seed` and `cap` may be expressions over it.
     """
     by = list(by)
-    keyed = cells.withColumn("_key", sampling_key(seed))
+    keyed = cells.withColumns({"_key": sampling_key(seed), "_tie": sampling_hash(seed)})
     counts = cells.groupBy(*by, "label").count()
     per_group = counts.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("count"))), F.lit(0)).alias("_np"),
@@ -133,12 +137,12 @@ def stratified_sample(
     if by:
         keyed = keyed.join(small_side(quotas), by)
         return smallest_by_key(
-            keyed, "_key", ["row", "col"], F.when(F.col("label") == 1, F.col("_q1")).otherwise(F.col("_q0")), [*by, "label", "_q1", "_q0"],
+            keyed, "_key", ["_tie", "row", "col"], F.when(F.col("label") == 1, F.col("_q1")).otherwise(F.col("_q0")), [*by, "label", "_q1", "_q0"],
             keys_at_most=KEY_RANGE, **options,
-        ).drop("_key", "_q1", "_q0")
+        ).drop("_key", "_tie", "_q1", "_q0")
     row = quotas.first()
     quota = F.when(F.col("label") == 1, F.lit(row["_q1"])).otherwise(F.lit(row["_q0"]))
-    return smallest_by_key(keyed, "_key", ["row", "col"], quota, ["label"], keys_at_most=KEY_RANGE, **options).drop("_key")
+    return smallest_by_key(keyed, "_key", ["_tie", "row", "col"], quota, ["label"], keys_at_most=KEY_RANGE, **options).drop("_key", "_tie")
 
 
 def with_weights(samples: DataFrame, positive: float = 1.0, unlabeled: float = 0.1) -> DataFrame:
@@ -151,38 +155,42 @@ def positives_and_unlabeled(positives: DataFrame, unlabeled: DataFrame) -> DataF
     return with_weights(labelled.unionByName(unlabeled.select("row", "col", F.lit(0).cast("bigint").alias("label"))))
 
 
-def random_split(items: DataFrame, key: Column, ties: Sequence[str], fraction: float = 0.1, **options) -> DataFrame:
-    """Add `split`: max(1, int(n * fraction)) items with the smallest keys are `val`."""
+def random_split(items: DataFrame, seed: int, row: str = "row", col: str = "col", fraction: float = 0.1, **options) -> DataFrame:
+    """Add `split`: the max(1, int(n * fraction)) items that come first in the order of `sampling_hash` are `val`."""
     total = items.count()
     n_val = max(1, int(total * fraction))
-    keyed = items.withColumn("_key", key)
-    chosen = smallest_by_key(keyed, "_key", list(ties), F.lit(n_val), **options).select(*ties).withColumn("_val", F.lit(True))
-    joined = items.join(chosen, list(ties), "left")
+    keyed = items.withColumns({"_key": sampling_key(seed, row, col), "_tie": sampling_hash(seed, row, col)})
+    chosen = smallest_by_key(keyed, "_key", ["_tie", row, col], F.lit(n_val), keys_at_most=KEY_RANGE, **options)
+    chosen = chosen.select(row, col).withColumn("_val", F.lit(True))
+    joined = items.join(chosen, [row, col], "left")
     return joined.withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
 
 
-def weighted_draw(items: DataFrame, weight: str, key: str, seed: int = 42, n: int | None = None, **options) -> DataFrame:
+def weighted_draw(items: DataFrame, weight: str, key: str, seed: int = 42, n: int | None = None, units: int = 1_000_000, **options) -> DataFrame:
     """Draw `n` (default: all) rows with replacement, proportionally to `weight`; adds `draw`.
 
-    Every item owns the slice of [0, total) that its running weight covers.  The range is
-    cut into n equal slots: an item is unrolled into the slots it overlaps (n + items rows
-    in all), a uniform draw falls into one slot, and an equi-join on the slot replaces the
-    interval join.
+    Weights are counted in whole `units` per 1, so the slices of [0, total) that the items own leave neither gaps
+    nor overlaps.  The range is cut into n equal slots: an item is unrolled into the slots it overlaps (n +
+    items rows in all), a draw falls into one slot, and an equi-join on the slot replaces the interval join.
+    An item with a large slice is first unrolled into stretches of slots, which are dealt out to all tasks.
     """
-    running = running_totals(items, key, [weight], **options)
-    size = items.agg(F.count("*").alias("n"), F.sum(weight).alias("total")).first()
+    whole = items.withColumn("_units", F.round(F.col(weight) * units).cast("bigint"))
+    running = running_totals(whole, key, ["_units"], **options)
+    size = whole.agg(F.count("*").alias("n"), F.sum("_units").alias("total")).first()
     n = size["n"] if n is None else n
-    total = float(size["total"] or 0.0)
+    total = size["total"] or 0
     if total <= 0 or n == 0:
         return items.withColumn("draw", F.lit(0).cast("bigint")).where(F.lit(False))
 
-    def slot(position: Column) -> Column:
+    def slot(position: Column) -> Column:  # never decreases with the position
         return F.least(F.floor(position / total * n).cast("bigint"), F.lit(n - 1))
 
-    high = F.col(f"cum_{weight}")
-    low = high - F.col(weight)
-    owned = running.withColumn("_slot", F.explode(F.sequence(slot(low), slot(high))))
-    noise = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 50)) + 0.5) / float(1 << 50)
-    draws = items.sparkSession.range(n).select(F.col("id").alias("draw"), (noise * total).alias("_at"))
+    high = F.col("cum__units")
+    low = high - F.col("_units")
+    owned = running.where("_units > 0").withColumns({"_from": slot(low), "_to": slot(high - 1)})
+    owned = owned.withColumn("_start", F.explode(F.sequence(F.col("_from"), F.col("_to"), F.lit(STRETCH).cast("bigint"))))
+    owned = owned.repartition(F.col("_start")).withColumn("_slot", F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + STRETCH - 1, F.col("_to")))))
+    place = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("id"), F.lit(seed))), 1, 15), 16, 10).cast("bigint")
+    draws = items.sparkSession.range(n).select(F.col("id").alias("draw"), (place % total).alias("_at"))
     hits = owned.join(draws.withColumn("_slot", slot(F.col("_at"))), "_slot").where((F.col("_at") >= low) & (F.col("_at") < high))
     return hits.select(*items.columns, "draw")

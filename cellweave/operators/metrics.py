@@ -130,7 +130,11 @@ def evaluate(scored: DataFrame, label: str = "label", score: str = "score", by:
     by = list(by)
     counts = checkpointed(score_counts(scored, label, score, by))
     ranks = ranking(counts, by, **options)
-    best = best_threshold(sweep_counts(counts, by), by)
+    both = counts.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).where("_p > 0 AND _n > 0").drop("_p", "_n")
+    if not by and both.isEmpty():
+        counts = counts.where(F.lit(False))
+    swept = sweep_counts(counts.join(both, by, "left_semi") if by else counts, by)
+    best = best_threshold(swept, by)
     if by:
         return ranks.join(best, by, "left").na.fill({"threshold": 0.5, "f1": 0.0, "mcc": 0.0})
     row = {**ranks.first().asDict(), **best.first().asDict()}

@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import sigmoid
-from cellweave.operators.labels import KEY_RANGE, sampling_key, stratified_sample, with_weights
+from cellweave.operators.labels import stratified_sample, with_weights
 from cellweave.operators.tiles import pass_mean_std, tile_overlap_mean
-from cellweave.scale import smallest_by_key
 
 
 def _fit(train: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
@@ -115,10 +114,12 @@ def score_tiles(
     return tile_overlap_mean(score(model, tiles), ["score"], height, width, patch, stride)
 
 
-def pixel_map(cells: DataFrame, model: PipelineModel, valid: Column, cap: int = 200_000, seed: int = 42, nodata: float = -9999.0) -> DataFrame:
-    """`row, col, score`: predictions for at most `cap` hash-sampled valid cells, the rest nodata."""
-    keyed = cells.where(valid).withColumn("_key", sampling_key(seed))
-    chosen = smallest_by_key(keyed, "_key", ["row", "col"], F.lit(cap), keys_at_most=KEY_RANGE).drop("_key")
-    predicted = score(model, chosen).select("row", "col", "score")
-    joined = cells.select("row", "col").join(predicted, ["row", "col"], "left")
-    return joined.select("row", "col", F.coalesce("score", F.lit(nodata)).alias("score"))
+def pixel_map(cells: DataFrame, model: PipelineModel, valid: Column, nodata: float = -9999.0) -> DataFrame:
+    """`row, col, score`: predictions for all valid cells, the rest nodata.
+
+    `cells` must be prepared (filled, scaled) like the rows that the model was fitted on.
+    """
+    marked = cells.withColumn("_valid", valid)
+    predicted = score(model, marked.where("_valid")).select("row", "col", "score")
+    rest = marked.where("not coalesce(_valid, false)").select("row", "col", F.lit(nodata).alias("score"))
+    return predicted.unionByName(rest)

@@ -40,14 +40,13 @@ SEARCH_TERMS: dict[str, list[str]] = {
     ],
 }
 
-MIN_CHARS = 100
-HITS_PER_TERM = 3
 CONTEXT = 200
 
 
-def searchable(documents: DataFrame, text: str = "text") -> DataFrame:
-    """Lower-case the text and drop documents that are too short to judge."""
-    return documents.withColumn(text, F.lower(text)).where(F.length(text) >= MIN_CHARS)
+def searchable(documents: DataFrame, text: str = "text", min_chars: int | None = None) -> DataFrame:
+    """Lower-case the text; with `min_chars`, drop documents that are too short to judge."""
+    lowered = documents.withColumn(text, F.lower(text))
+    return lowered if min_chars is None else lowered.where(F.length(text) >= min_chars)
 
 
 def _is_plain(term: str) -> bool:
@@ -68,7 +67,9 @@ def _count(text: str, term: str) -> Column:
     return F.regexp_count(F.col(text), F.lit(_pattern(term))).cast("bigint")
 
 
-def term_hits(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str = "doc_id", text: str = "text") -> DataFrame:
+def term_hits(
+    documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str = "doc_id", text: str = "text", min_chars: int | None = None
+) -> DataFrame:
     """`doc, category, cat_ord, term, term_ord, hits`: terms found in each document.
 
     The term list is constant, so every text is read once and turned into a short array of
@@ -86,43 +87,52 @@ def term_hits(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str
         for j, term in enumerate(words)
     ]
     found = F.filter(F.array(*slots), lambda h: h["hits"] > 0)
-    return searchable(documents, text).select(doc, F.explode(found).alias("_h")).select(doc, "_h.*")
+    return searchable(documents, text, min_chars).select(doc, F.explode(found).alias("_h")).select(doc, "_h.*")
 
 
-def document_scores(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc, score, categories`: hits capped at three per term, categories in list order.
+def document_scores(
+    documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str = "doc_id", text: str = "text",
+    per_term: int | None = None, min_chars: int | None = None,
+) -> DataFrame:
+    """`doc, score, categories`: hits of all terms, categories in list order.
 
+    With `per_term`, a term adds at most that much to the score of a document.
     Computed inside the document row, so hot documents and hot terms make no difference.
     """
     per_category = []
     for category, words in terms.items():
         total = F.lit(0).cast("bigint")
         for term in words:
-            total = total + F.least(_count(text, term), F.lit(HITS_PER_TERM))
+            hits = _count(text, term)
+            total = total + (hits if per_term is None else F.least(hits, F.lit(per_term)))
         per_category.append(F.struct(F.lit(category).alias("category"), total.alias("score")))
     found = F.filter(F.array(*per_category), lambda c: c["score"] > 0)
     # Through a generator, because a filter on the score would otherwise be pushed below the
     # projection together with a second copy of every pattern.
-    scored = searchable(documents, text).select(doc, F.explode(F.array(found)).alias("_c"))
+    scored = searchable(documents, text, min_chars).select(doc, F.explode(F.array(found)).alias("_c"))
     score = F.aggregate("_c", F.lit(0).cast("bigint"), lambda s, c: s + c["score"])
     names = F.array_join(F.transform("_c", lambda c: c["category"]), "|")
     return scored.select(doc, score.alias("score"), names.alias("categories")).where(F.col("score") > 0)
 
 
-def term_contexts(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc, category, term, term_ord, k, snippet`: up to three snippets of +-200 characters per term.
+def term_contexts(
+    documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str = "doc_id", text: str = "text",
+    per_term: int | None = None, min_chars: int | None = None,
+) -> DataFrame:
+    """`doc, category, term, term_ord, k, snippet`: snippets of +-200 characters around every hit.
 
-    The text is split at the first three matches; the pieces and the matches between them
-    give the positions.  Only the finished snippets leave the document row.
+    The text is split at the matches; the pieces and the matches between them give the positions.
+    Only the finished snippets leave the document row.  With `per_term`, only the first matches count.
     """
 
     def snippets(term: str) -> Column:
         body = F.col(text)
-        pieces = F.split(body, _pattern(term), HITS_PER_TERM + 1)
+        pieces = F.split(body, _pattern(term), -1 if per_term is None else per_term + 1)
         if _is_plain(term):
             matches = F.array_repeat(F.lit(term), F.size(pieces) - 1)
         else:
-            matches = F.slice(F.regexp_extract_all(body, F.lit(_pattern(term)), F.lit(0)), 1, HITS_PER_TERM)
+            matches = F.regexp_extract_all(body, F.lit(_pattern(term)), F.lit(0))
+            matches = matches if per_term is None else F.slice(matches, 1, per_term)
         found = F.struct(matches.alias("matches"), pieces.alias("pieces"))
 
         def cut(s: Column, k: Column) -> Column:
@@ -140,7 +150,9 @@ def term_contexts(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc:
             return F.transform(numbers, lambda k: cut(s, k))
 
         # A one-element array binds the matches, so the pattern runs once per text.
-        return F.get(F.transform(F.array(found), cuts), F.lit(0))
+        # A text without the term is not split at all.
+        got = F.get(F.transform(F.array(found), cuts), F.lit(0))
+        return F.when(F.contains(body, F.lit(term)), got) if _is_plain(term) else got
 
     slots = [
         F.struct(
@@ -154,15 +166,15 @@ def term_contexts(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc:
         for j, term in enumerate(words)
     ]
     found = F.filter(F.array(*slots), lambda h: h["snippets"].isNotNull())
-    hits = searchable(documents, text).select(doc, F.explode(found).alias("_h"))
+    hits = searchable(documents, text, min_chars).select(doc, F.explode(found).alias("_h"))
     return hits.select(
         doc, "_h.category", "_h.cat_ord", "_h.term", "_h.term_ord", F.posexplode("_h.snippets").alias("k", "snippet")
     ).withColumn("k", F.col("k").cast("bigint"))
 
 
-def search_hits(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str = "doc_id", text: str = "text") -> DataFrame:
+def search_hits(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`doc, hits MAP<category, ARRAY<STRUCT<term, contexts>>>`, the nested form of the contexts."""
-    one = term_contexts(documents, terms, doc, text)
+    one = term_contexts(documents, terms, doc, text, **options)
     per_term = one.groupBy(doc, "category", "term", "term_ord").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("k", "snippet"))), lambda s: s["snippet"]).alias("contexts")
     )
@@ -193,15 +205,16 @@ def topk_reports(scores: DataFrame, limit: int = 10, first: str = "deposit_coocc
 
 def two_phase_scores(
     documents: DataFrame, terms: Mapping[str, Sequence[str]], sheet: Column, doc: str = "doc_id", text: str = "text",
-    enough: int = 20, good: int = 3, others: int = 200,
+    enough: int = 20, good: int = 3, others: int | None = None, **options,
 ) -> DataFrame:
-    """Scores of documents on a listed sheet; the first `others` further documents are searched
-    only when fewer than `enough` listed ones score at least `good`.
+    """Scores of documents on a listed sheet; further documents are searched only when fewer than
+    `enough` listed ones score at least `good`: all of them, or the first `others` by document key.
     """
     marked = documents.withColumn("_listed", sheet != "other")
-    listed = document_scores(marked.where("_listed"), terms, doc, text)
+    listed = document_scores(marked.where("_listed"), terms, doc, text, **options)
     if listed.where(F.col("score") >= good).limit(enough).count() >= enough:
         return listed
     rest = marked.where(~F.col("_listed"))
-    chosen = smallest_by_key(rest.withColumn("_key", F.col(doc)), "_key", [doc], F.lit(others))
-    return listed.unionByName(document_scores(chosen, terms, doc, text))
+    if others is not None:
+        rest = smallest_by_key(rest.withColumn("_key", F.col(doc)), "_key", [doc], F.lit(others))
+    return listed.unionByName(document_scores(rest, terms, doc, text, **options))

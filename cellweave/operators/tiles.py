@@ -7,6 +7,7 @@ blocks, so overlapping tiles never multiply the cells.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -94,12 +95,15 @@ def patch_channel_mean(cells: DataFrame, bands: Sequence[str], height: int, widt
 def tile_overlap_mean(tiles: DataFrame, columns: Sequence[str], height: int, width: int, patch: int, stride: int) -> DataFrame:
     """`row, col, n_tiles, <columns>`: mean over the tiles that cover a cell, NULL if none.
 
-    `tiles` has the centre as `row, col`.  The accumulation runs on stride-sized blocks and
-    only the result is unrolled to cells.
+    `tiles` has the centre as `row, col`.  The accumulation runs on blocks as large as the corners of all
+    tiles and the patch allow (the stride where the tiles lie on its grid, single cells at worst), and only the
+    result is unrolled to cells.
     """
     half = patch // 2
-    step = stride if patch % stride == 0 and half % stride == 0 else 1
     top, left = F.col("row") - half, F.col("col") - half
+    step = math.gcd(stride, patch)
+    off = F.max((F.pmod(top, F.lit(step)) != 0) | (F.pmod(left, F.lit(step)) != 0))
+    step = 1 if step > 1 and tiles.agg(off).first()[0] else step
     covered = (
         tiles.withColumn("_br", F.explode(F.sequence(F.floor(top / step), F.floor((top + patch - 1) / step))))
         .withColumn("_bc", F.explode(F.sequence(F.floor(left / step), F.floor((left + patch - 1) / step))))
@@ -149,7 +153,7 @@ def random_token_mask(tokens: DataFrame, tile: str, position: str, per_tile: int
     from pyspark.sql import Window
 
     keep = int(per_tile * (1 - ratio))
-    order = Window.partitionBy(tile).orderBy(F.xxhash64(tile, position, F.lit(seed)), position)
+    order = Window.partitionBy(tile).orderBy(F.md5(F.concat_ws("-", tile, position, F.lit(seed))), position)
     return tokens.withColumn("masked", (F.row_number().over(order) > keep).cast("int"))
 
 

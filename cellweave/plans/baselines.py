@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import partial, reduce
+from typing import TypeVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from cellweave.operators.normalize import fill_with, standardize, standardize_fi
 from cellweave.scale import exact_percentiles
 from cellweave.session import stored
 
+T = TypeVar("T")
+
 
 def woe_baseline(
     cells: DataFrame, bands: Sequence[str], strips: Sequence[Mapping[str, int]], ratio: float = 10, seed: int = 42,
@@ -56,9 +61,21 @@ def fold_samples(
     return stored(sampled, "samples")
 
 
-def fold_tables(
-    samples: DataFrame, bands: Sequence[str], folds: Sequence[int]
-) -> dict[int, tuple[DataFrame, DataFrame]]:
+@dataclass(frozen=True)
+class Prepared:
+    """A fold's training and validation rows, and what was learned to prepare others like them."""
+
+    train: DataFrame
+    validation: DataFrame
+    medians: Mapping[str, float]
+    scaler: Mapping[str, tuple[float, float]]
+
+    def apply(self, cells: DataFrame) -> DataFrame:
+        """Fill unknown values with the training medians and scale as the training rows."""
+        return standardize(fill_with(cells, self.medians), self.scaler)
+
+
+def fold_tables(samples: DataFrame, bands: Sequence[str], folds: Sequence[int]) -> dict[int, Prepared]:
     """Per fold the imputed and standardised training and validation rows.
 
     The medians of all folds, regions and bands come from one pass.  Training medians fill
@@ -75,10 +92,16 @@ def fold_tables(
         train = fill_with(mine.where(F.col("region") == "train"), learned)
         validation = fill_with(fill_with(mine.where(F.col("region") == "test"), own), learned)
         fitted = standardize_fit(train, bands)
-        tables[fold] = with_weights(standardize(train, fitted)), standardize(validation, fitted)
+        tables[fold] = Prepared(with_weights(standardize(train, fitted)), standardize(validation, fitted), learned, fitted)
     return tables
 
 
+def in_parallel(jobs: Sequence[Callable[[], T]], at_once: int = 4) -> list[T]:
+    """Results of independent fits, a few of them submitted to the cluster at a time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
 def spatial_cv(
     cells: DataFrame, bands: Sequence[str], strips: Sequence[Mapping[str, int]], kind: str = "forest",
     samples: DataFrame | None = None, **options,
@@ -86,10 +109,12 @@ def spatial_cv(
     """Metrics per fold of a forest or logistic model; the scored folds are evaluated together."""
     folds = [s["fold"] for s in strips]
     drawn = fold_samples(cells, bands, strips) if samples is None else samples
-    scored = []
-    for train, validation in fold_tables(drawn, bands, folds).values():
-        model = fit_forest(train, bands, **options) if kind == "forest" else fit_logistic(train, bands, **options)
-        scored.append(score(model, validation).select("fold", "label", "score"))
+
+    def one(fold: Prepared) -> DataFrame:
+        model = fit_forest(fold.train, bands, **options) if kind == "forest" else fit_logistic(fold.train, bands, **options)
+        return score(model, fold.validation).select("fold", "label", "score")
+
+    scored = in_parallel([partial(one, fold) for fold in fold_tables(drawn, bands, folds).values()])
     return evaluate(reduce(DataFrame.unionByName, scored), by=["fold"])
 
 

@@ -9,6 +9,7 @@ aggregations and only hold results whose row count has been checked.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -23,6 +24,8 @@ LOOKUP_ROWS = 20_000
 BROADCAST_ROWS = 1_000_000
 #: Percentile brackets that are refined in one pass over the data.
 BRACKETS_AT_ONCE = 512
+#: The largest finite double.
+LARGEST = sys.float_info.max
 #: Rows of one group that one task is asked to sort or to hold.
 TASK_ROWS = 2_000_000
 
@@ -166,10 +169,10 @@ def _bracketed_order_statistics(base, by, hot, probs, task_rows, bins) -> list[d
         if not split:
             break
         split, postponed = split[:BRACKETS_AT_ONCE], split[BRACKETS_AT_ONCE:]
-        share = F.least(
-            F.floor((F.col("_v") / bins - F.col("_lo") / bins) / (F.col("_hi") / bins - F.col("_lo") / bins) * bins),
-            F.lit(bins - 1),
-        )
+        # Infinities stand at the ends of the finite range, where a bracket of their own forms.
+        v, lo, hi = (F.greatest(F.least(F.col(c), F.lit(LARGEST)), F.lit(-LARGEST)) / bins for c in ("_v", "_lo", "_hi"))
+        inner = F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))
+        share = F.when(F.col("_v") == float("-inf"), -1).when(F.col("_v") == float("inf"), bins).otherwise(F.coalesce(inner, F.lit(0)))
         counted = (
             tagged(split)
             .groupBy("_b", share.alias("_s"))

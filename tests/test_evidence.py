@@ -102,11 +102,23 @@ def test_samples(spark):
     assert {r["label"]: r["w"] for r in weights} == {1: 1.0, 0: 0.1}
 
 
+def test_seeds_separate_cells_that_once_went_together(spark):
+    cells = spark.createDataFrame([(r, c) for r in range(40) for c in range(40)], "row bigint, col bigint")
+    keys = {seed: {(r["row"], r["col"]): r["k"] for r in cells.select("row", "col", labels.sampling_key(seed).alias("k")).collect()} for seed in (1, 2)}
+    assert all(0 <= k < labels.KEY_RANGE for k in keys[1].values())
+    same = {}
+    for at, k in keys[1].items():
+        same.setdefault(k, []).append(at)
+    assert all(keys[2][a] != keys[2][b] for group in same.values() for a, b in zip(group, group[1:], strict=False))
+    order = [sorted(keys[s], key=keys[s].get) for s in (1, 2)]
+    assert len(set(order[0][:200]) & set(order[1][:200])) < 60
+
+
 def test_split_and_fold_exclusion(spark):
     tiles = spark.range(95).select(F.col("id").alias("r"), (F.col("id") % 19 * 4).alias("c"))
-    split = labels.random_split(tiles, labels.sampling_key(42, "r", "c"), ["r", "c"])
+    split = labels.random_split(tiles, 42, "r", "c")
     assert split.where("split = 'val'").count() == 9 and split.count() == 95
-    assert labels.random_split(tiles.limit(3), labels.sampling_key(1, "r", "c"), ["r", "c"]).where("split = 'val'").count() == 1
+    assert labels.random_split(tiles.limit(3), 1, "r", "c").where("split = 'val'").count() == 1
     positives = spark.createDataFrame([(1, 20), (2, 40)], "row bigint, col bigint")
     kept = {r["c"] for r in labels.exclude_fold_tiles(tiles, positives, 8).collect()}
     assert kept == {c for c in range(0, 76, 4) if not 20 <= c + 4 <= 40}  # both ends excluded
@@ -115,6 +127,14 @@ def test_split_and_fold_exclusion(spark):
     assert wider == {c for c in range(0, 76, 4) if not 12 <= c + 4 <= 48}
 
 
+def test_a_hot_item_is_drawn_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(labels, "STRETCH", 50)
+    items = spark.range(30).select(F.col("id"), F.when(F.col("id") == 4, 100.0).otherwise(1.0).alias("w"))
+    got = labels.weighted_draw(items, "w", "id", n=4000).groupBy("id").count().collect()
+    counts = {r["id"]: r["count"] for r in got}
+    assert sum(counts.values()) == 4000 and abs(counts[4] / 4000 - 100 / 129) < 0.03
+
+
 def test_weighted_draw_follows_the_weights(spark):
     items = spark.range(40).select(F.col("id"), F.when(F.col("id") == 7, 30.0).otherwise(1.0).alias("w"))
     for options in ({}, {"task_rows": 10}):

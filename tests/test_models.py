@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import labels, models
+from cellweave.operators import labels, metrics, models
 from cellweave.plans import baselines
 
 
@@ -29,8 +29,9 @@ def test_logistic_forest_and_map(spark, cells):
     top = models.forest_importance(forest, ["a", "b"], spark).orderBy("rank").collect()
     assert [r["feature"] for r in top] == ["a", "b"] and abs(sum(r["importance"] for r in top) - 1) < 1e-9
     assert models.top_features(spark.createDataFrame(top), 1).first()["feature"] == "a"
-    image = models.pixel_map(cells, forest, F.col("a").isNotNull(), cap=100)
-    assert image.count() == 3000 and image.where("score >= 0").count() == 100
+    known = F.col("a").isNotNull() & (F.col("row") > 0)
+    image = models.pixel_map(cells, forest, known)
+    assert image.count() == 3000 and image.where("score >= 0").count() == cells.where(known).count()
 
 
 def test_ensemble_spread(spark, cells):
@@ -49,3 +50,24 @@ def test_cross_validation_and_ablation(cells):
     assert abs(baselines.cv_summary(metrics).first()["mean_auc_roc"] - np.mean([r["auc_roc"] for r in rows])) < 1e-12
     dropped = baselines.channel_ablation(cells, {"full": ["a", "b"], "no_a": ["b"]}, strips[:1]).where("variant = 'no_a'").first()
     assert dropped["drop"] > 0.1
+
+
+def test_mapped_cells_are_prepared_like_the_training_rows(cells):
+    """A forest fitted on scaled rows must see scaled cells: the map ranks as the model does on its own rows."""
+    wide = cells.withColumns({"a": F.col("a") * 1000 + 5e5, "b": F.col("b") - 300}).cache()
+    samples = baselines.fold_samples(wide, ["a", "b"], labels.fold_strips(100, 5, 5)[:1], cap=300)
+    fold = baselines.fold_tables(samples, ["a", "b"], [0])[0]
+    model = models.fit_forest(fold.train, ["a", "b"], trees=10, depth=5)
+    scored = models.pixel_map(fold.apply(wide), model, F.lit(True)).join(wide.select("row", "col", "label"), ["row", "col"])
+    assert metrics.auc_roc(scored).first()["auc_roc"] > 0.75
+    assert scored.select("score").distinct().count() > 100
+
+
+def test_one_class_gives_zeros(cells):
+    one = cells.select(F.col("label"), F.lit(0.9).alias("score"))
+    for label in (0, 1):
+        row = metrics.evaluate(one.withColumn("label", F.lit(label))).first()
+        assert (row["threshold"], row["f1"], row["mcc"]) == (0.5, 0.0, 0.0)
+    two = one.withColumns({"g": F.col("label"), "label": F.lit(1)}).union(one.withColumns({"g": F.lit(5), "label": F.col("label")}).select("label", "score", "g"))
+    rows = {r["g"]: r["f1"] for r in metrics.evaluate(two, by=["g"]).collect()}
+    assert rows[0] == rows[1] == 0 and rows[5] > 0

@@ -84,3 +84,15 @@ def test_small_side_is_checked(spark):
     assert small_side(df, 5) is df
     plan = spark.range(1000).join(small_side(df, 50), "id")._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("limit", [5, 1000])
+def test_percentiles_of_infinities(spark, limit):
+    values = np.concatenate([np.full(7, -np.inf), np.linspace(-3, 9, 60), np.full(9, np.inf)])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    found = exact_percentiles(df, "v", [0.0, 0.05, 0.3, 0.5, 0.95, 1.0], task_rows=limit, bins=8).first()["pct"]
+    order = np.sort(values)
+    for p, got in zip([0.0, 0.05, 0.3, 0.5, 0.95, 1.0], found, strict=True):
+        at = p * (len(order) - 1)
+        low, high = order[int(np.floor(at))], order[int(np.ceil(at))]
+        assert got == low if low == high else abs(got - (low + (high - low) * (at - np.floor(at)))) < 1e-9

@@ -66,6 +66,16 @@ def test_overlap_mean_equals_accumulation(spark, patch, stride):
         assert r["n_tiles"] == count[at] and (r["mean"] is None if count[at] == 0 else abs(r["mean"] - total[at] / count[at]) < 1e-9)
 
 
+def test_overlap_mean_off_the_stride_grid(spark):
+    df = spark.createDataFrame([(6, 7, 1.0), (8, 8, 3.0)], "row bigint, col bigint, mean double")
+    got = {(r["row"], r["col"]): (r["n_tiles"], r["mean"]) for r in tiles.tile_overlap_mean(df, ["mean"], 16, 16, 8, 4).collect()}
+    first = {(r, c) for r in range(2, 10) for c in range(3, 11)}
+    second = {(r, c) for r in range(4, 12) for c in range(4, 12)}
+    for at, (n, mean) in got.items():
+        assert n == (at in first) + (at in second)
+        assert mean == (None if n == 0 else ((at in first) + 3 * (at in second)) / n)
+
+
 def test_patch_expressions(spark):
     x = np.arange(32.0).reshape(2, 4, 4)
     df = spark.createDataFrame([(x.ravel().tolist(), x[0].ravel().tolist())], "p array<double>, q array<double>")
@@ -73,14 +83,16 @@ def test_patch_expressions(spark):
         patches.patchify(F.col("p"), 4, 2, 2).alias("tokens"),
         patches.rotate90(F.col("q"), 4).alias("r1"), patches.rotate90(F.col("q"), 4, 2).alias("r2"),
         patches.flip_horizontal(F.col("q"), 4).alias("h"), patches.flip_vertical(F.col("q"), 4).alias("v"),
-        patches.add_noise(F.col("q") ).alias("n"),
+        patches.add_noise(F.col("q"), F.lit(1)).alias("n"),
     ).first()
     tokens = x.reshape(2, 2, 2, 2, 2).transpose(1, 3, 2, 4, 0).reshape(4, 8)  # token, (row, col, channel)
     assert np.array_equal(np.array(row["tokens"]), tokens)
     assert np.array_equal(np.array(row["r1"]).reshape(4, 4), np.rot90(x[0])) and np.array_equal(np.array(row["r2"]).reshape(4, 4), np.rot90(x[0], 2))
     assert np.array_equal(np.array(row["h"]).reshape(4, 4), x[0][:, ::-1]) and np.array_equal(np.array(row["v"]).reshape(4, 4), x[0][::-1])
     assert all(0 <= v <= 1 for v in row["n"])
-    noise = spark.createDataFrame([([0.5] * 64,)] , "q array<double>").select(patches.add_noise(F.col("q")).alias("n")).first()["n"]
+    rows = spark.createDataFrame([(1, [0.5] * 64), (2, [0.5] * 64)], "id int, q array<double>").select(patches.add_noise(F.col("q"), F.col("id")).alias("n")).collect()
+    noise = rows[0]["n"]
+    assert noise != rows[1]["n"]  # equal patches get noise of their own
     assert 0.004 < np.std(noise) < 0.02 and abs(np.mean(noise) - 0.5) < 0.01
 
 
@@ -106,17 +118,20 @@ def test_search_scores_and_snippets(spark):
     filler = "x" * 300
     text = f"{filler} Gold and iron near a SHEAR zone\n{filler} gold\nchromite {filler} gold with chromite, shear zone; shear zone, shear zone"
     df = spark.createDataFrame([(1, text), (2, "gold and iron"), (3, "y" * 200)], "doc_id bigint, text string")
-    row = search.document_scores(df, search.SEARCH_TERMS).collect()
+    every = {r["doc_id"]: r["score"] for r in search.document_scores(df, search.SEARCH_TERMS).collect()}
+    assert every == {1: 7, 2: 1}  # without limits every hit of every document counts
+    row = search.document_scores(df, search.SEARCH_TERMS, per_term=3, min_chars=100).collect()
     assert len(row) == 1 and row[0]["doc_id"] == 1
     # 'gold and iron', 'gold.*chromite' and 'chromite.*gold' once (not across lines), 'shear zone' capped at 3
     assert row[0]["score"] == 6 and row[0]["categories"] == "deposit_cooccurrence|structural_control"
-    hits = {r["term"]: r["hits"] for r in search.term_hits(df, search.SEARCH_TERMS).collect()}
+    hits = {r["term"]: r["hits"] for r in search.term_hits(df, search.SEARCH_TERMS, min_chars=100).collect()}
     assert hits == {"gold and iron": 1, "gold.*chromite": 1, "chromite.*gold": 1, "shear zone": 4}
-    found = search.term_contexts(df, {"c": ["shear zone"]}).orderBy("k").collect()
     lower = text.lower()
-    starts = [i for i in range(len(lower)) if lower.startswith("shear zone", i)][:3]
-    assert [r["snippet"] for r in found] == [lower[max(0, s - 200) : s + 210].replace("\n", " ").strip() for s in starts]
-    nested = search.search_hits(df, search.SEARCH_TERMS).first()["hits"]
+    starts = [i for i in range(len(lower)) if lower.startswith("shear zone", i)]
+    for limit in (None, 3):
+        found = search.term_contexts(df, {"c": ["shear zone"]}, per_term=limit).orderBy("k").collect()
+        assert [r["snippet"] for r in found] == [lower[max(0, s - 200) : s + 210].replace("\n", " ").strip() for s in starts[:limit]]
+    nested = search.search_hits(df, search.SEARCH_TERMS, per_term=3, min_chars=100).first()["hits"]
     assert [h["term"] for h in nested["deposit_cooccurrence"]] == ["gold and iron", "gold.*chromite", "chromite.*gold"]
     assert len(nested["structural_control"][0]["contexts"]) == 3
 
