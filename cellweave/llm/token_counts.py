@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import column_of
+from cellweave.llm.common import column_of, most_frequent
 from cellweave.session import stored
 
 SPACE = "▁"  # how the vocabulary writes a space
@@ -83,7 +83,7 @@ def _scan(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]
         row += n
 
 
-def token_counts(docs: DataFrame, model: str, limit: int = 4096, sample_docs: int = 4000, common: int = 120_000) -> DataFrame:
+def token_counts(docs: DataFrame, model: str, limit: int = 4096, sample_docs: int = 20_000, common: int = 400_000) -> DataFrame:
     """Tokens of every whole text as the library for `model` gives them, without special tokens.
 
     Returns one row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
@@ -111,7 +111,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, sample_docs: in
             yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "times"])
 
     frequent = part.select("text").mapInArrow(split, "token string, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    frequent = frequent.orderBy(F.desc("times"), "token").limit(common).select("token")
+    frequent = most_frequent(frequent, common).select("token")
     counted = frequent.mapInArrow(lambda b: _pieces(b, model), "token string, pieces int").toArrow()
     table = spark.sparkContext.broadcast(dict(zip(counted["token"].to_pylist(), counted["pieces"].to_pylist(), strict=True)))
 
