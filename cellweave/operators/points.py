@@ -16,28 +16,34 @@ def point_window_median(
 ) -> DataFrame:
     """Add, per band, the median of the known cells within `buffer_px` of each point.
 
-    Points are unrolled into window offsets, which are few next to the cells: when checked to
-    be small they are broadcast and the cells are only filtered, not shuffled.  Points
-    without any known cell keep NULL.
+    Points of one cell share their window, so each cell with points is unrolled into window offsets once.
+    These are few next to the cells: when checked to be small they are broadcast and the cells are only
+    filtered, not shuffled.  Points without any known cell keep NULL.
     """
-    placed = world_to_pixel(points, grid).select(key, "row", "col")
+    placed = world_to_pixel(points, grid).select(key, F.col("row").alias("_row"), F.col("col").alias("_col"))
+    spots = placed.select("_row", "_col").distinct()
     around = F.sequence(F.lit(-buffer_px), F.lit(buffer_px))
     wanted = (
-        placed.withColumn("_dr", F.explode(around)).withColumn("_dc", F.explode(around))
-        .select(key, (F.col("row") + F.col("_dr")).alias("row"), (F.col("col") + F.col("_dc")).alias("col"))
+        spots.withColumn("_dr", F.explode(around)).withColumn("_dc", F.explode(around))
+        .select("_row", "_col", (F.col("_row") + F.col("_dr")).alias("row"), (F.col("_col") + F.col("_dc")).alias("col"))
         .where(grid.has(F.col("row"), F.col("col")))
     )
     medians = (
         cells.select("row", "col", *bands)
         .join(broadcast_if_small(wanted, points, (2 * buffer_px + 1) ** 2), ["row", "col"])
-        .groupBy(key)
+        .groupBy("_row", "_col")
         .agg(*[F.percentile(F.col(b).cast("double"), 0.5).alias(b) for b in bands])  # (2*buffer_px+1)^2 values at most
     )
-    return points.join(medians, key, "left")
+    of_points = placed.join(medians, ["_row", "_col"]).drop("_row", "_col")
+    return points.join(of_points, key, "left")
 
 
 def occurrence_scores(points: DataFrame, cells: DataFrame, score: str, grid: Grid) -> DataFrame:
-    """Points inside the grid with the known score of the cell under them."""
+    """Points inside the grid with the known score of the cell under them.
+
+    Only the addresses of the cells with points are broadcast, and only when they are checked to be few.
+    """
     placed = world_to_pixel(points, grid).where(grid.has(F.col("row"), F.col("col")))
-    known = cells.where(F.col(score).isNotNull()).select("row", "col", score)
-    return known.join(broadcast_if_small(placed, points), ["row", "col"])
+    spots = broadcast_if_small(placed.select("row", "col").distinct(), points)
+    known = cells.where(F.col(score).isNotNull()).select("row", "col", score).join(spots, ["row", "col"])
+    return placed.join(known, ["row", "col"])

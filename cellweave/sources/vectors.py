@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,24 +94,39 @@ def union_layers(layers: dict[str, DataFrame], occurrence_folder: Sequence[str]
     ).drop("_c")
 
 
-def read_many(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", **options) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Read layers one by one; a file that cannot be opened is reported, the rest go on.
+def read_tolerant(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", schema: str | None = None) -> DataFrame:
+    """Read many files as one table, leaving out files that turn out corrupt; `file_status` names them."""
+    reader = spark.read.format(fmt).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True)
+    return (reader.schema(schema) if schema else reader).load(list(paths))
+
+
+def file_status(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", schema: str | None = None) -> DataFrame:
+    """`path, n_rows, ok`: one row for each file below `paths`; not ok are files that gave no row.
+
+    The files are read by the cluster in one job, and the listing costs no content.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path")
+    found = read_tolerant(spark, paths, fmt, schema).groupBy(F.input_file_name().alias("_file")).agg(F.count("*").alias("_n"))
+    place = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    joined = listed.join(found, place(F.col("path")) == place(F.col("_file")), "left")
+    n = F.coalesce("_n", F.lit(0))
+    return joined.select("path", n.alias("n_rows"), (n > 0).alias("ok"))
 
-    Returns the readable layers and a status table `path, ok, message`.
+
+def read_layers(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", **options) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Layers with schemas of their own: the readable ones by path, and a status table `path, ok, message`.
+
+    Only the schemas are looked at here, a few files at a time; rows are read when a layer is used.
     """
-    layers, status = {}, []
-    for path in paths:
+
+    def one(path: str) -> tuple[str, DataFrame | None, str]:
         try:
             df = spark.read.options(**options).format(fmt).load(path)
-            df.schema  # noqa: B018 - forces the file footer to be read
-            layers[path] = df
-            status.append((path, True, ""))
+            return path, df, "" if df.schema is not None else "no schema"
         except Exception as error:  # the report is the result
-            status.append((path, False, str(error).splitlines()[0][:200]))
-    return layers, spark.createDataFrame(status, "path string, ok boolean, message string")
+            return path, None, str(error).splitlines()[0][:200]
 
-
-def read_tolerant(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", schema: str | None = None) -> DataFrame:
-    """Read many files as one table, leaving out files that turn out corrupt."""
-    reader = spark.read.format(fmt).option("ignoreCorruptFiles", True)
-    return (reader.schema(schema) if schema else reader).load(list(paths))
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(one, paths))
+    status = [(path, df is not None, message) for path, df, message in found]
+    return {path: df for path, df, _ in found if df is not None}, spark.createDataFrame(status, "path string, ok boolean, message string")

@@ -73,7 +73,7 @@ def test_bad_files_are_reported_and_skipped(spark, tmp_path):
     good, bad = str(tmp_path / "good.parquet"), tmp_path / "bad.parquet"
     spark.range(4).write.parquet(good)
     bad.write_bytes(b"PAR1 not parquet at all PAR1")
-    layers, status = vectors.read_many(spark, [good, str(bad)])
+    layers, status = vectors.read_layers(spark, [good, str(bad)])
     assert list(layers) == [good] and {r["path"]: r["ok"] for r in status.collect()} == {good: True, str(bad): False}
     assert vectors.read_tolerant(spark, [good, str(bad)], schema="id bigint").count() == 4
 
