@@ -37,7 +37,24 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-@query("op1_ngram_jaccard_join")
+OP1_SQL = r"""
+WITH RECURSIVE said AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+  grams AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM said WHERE len(w) > 0)),
+  sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+  shared AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS m FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  links AS (
+    SELECT i, j FROM shared JOIN sizes s ON s.doc_id = i JOIN sizes t ON t.doc_id = j WHERE m >= 0.8 * (s.n + t.n - m)),
+  reach(i, j) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.i, l.j FROM reach r JOIN links l ON l.i = r.j),
+  classes AS (SELECT i AS doc_id, min(j) AS class_id FROM reach GROUP BY i),
+  counts AS (SELECT i AS doc_id, count(*) AS n FROM links GROUP BY i)
+SELECT d.doc_id, class_id, coalesce(n, 0) AS n_links, d.doc_id = class_id AS kept
+FROM documents d JOIN classes USING (doc_id) LEFT JOIN counts ON counts.doc_id = d.doc_id
+"""
+
+
+@query("op1_ngram_jaccard_join", OP1_SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join(read(spark, folder, "documents")).drop("_r1", "_r2")
 
@@ -96,7 +113,20 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "quality_posterior", "quality_score", "quality_keep")
 
 
-@query("op8_embedding_near_dedup")
+OP8_SQL = """
+WITH RECURSIVE fine AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  links AS (SELECT a.vec_id AS i, b.vec_id AS j FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+  reach(i, j) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.i, l.j FROM reach r JOIN links l ON l.i = r.j),
+  groups AS (SELECT i AS vec_id, min(j) AS component_id FROM reach GROUP BY i),
+  counts AS (SELECT i AS vec_id, count(*) AS n FROM links GROUP BY i)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM embeddings v JOIN groups USING (vec_id) LEFT JOIN counts ON counts.vec_id = v.vec_id
+"""
+
+
+@query("op8_embedding_near_dedup", OP8_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(read(spark, folder, "embeddings"))
 
