@@ -66,7 +66,8 @@ def m3(spark, folder):
     grid = fx.cell_grid(spark, folder)
     features = _tile_features(spark, folder)
     model = models.fit_logistic(labels.with_weights(features), BANDS)
-    return models.score_tiles(features, model, grid.height, grid.width, P, S)
+    valid = tiles.inference_tiles(fx.stored_cells(spark, folder), BANDS, grid.height, grid.width, P)
+    return models.score_tiles(features.join(valid.select("row", "col"), ["row", "col"]), model, grid.height, grid.width, P, S)
 
 
 @query("m4_ensemble_uncertainty")

@@ -8,6 +8,7 @@ from cellweave.catalog import fixtures as fx
 from cellweave.catalog.registry import query
 from cellweave.functions.categories import map_sheet
 from cellweave.operators import search
+from cellweave.plans.maps import report_table
 
 TERMS = fx.DOC_TERMS
 PER_TERM = 3  # what one term may add to a score
@@ -59,9 +60,31 @@ def f3(spark, folder):
     return search.term_contexts(fx.docs(spark, folder), _PLAIN).select("doc_id", "category", "term", "term_ord", "k", "snippet")
 
 
-@query("s19_search_hits")
+@query(
+    "s19_search_hits",
+    f"""WITH {CONTEXT_SQL} SELECT doc_id, category, term, count(*) AS n_contexts,
+           min_by(trim(replace(substr(text, greatest(at_pos - 200, 0) + 1, at_pos + length(term) + 200 - greatest(at_pos - 200, 0)), chr(10), ' '), ' '), k) AS first
+    FROM walk JOIN docs USING (doc_id) GROUP BY doc_id, category, term""",
+)
 def hits(spark, folder):
-    return search.search_hits(fx.docs(spark, folder), TERMS)
+    """The nested hits of every document, opened again."""
+    nested = search.search_hits(fx.docs(spark, folder), _PLAIN)
+    terms = nested.select("doc_id", F.explode("hits").alias("category", "terms")).select("doc_id", "category", F.inline("terms"))
+    return terms.select("doc_id", "category", "term", F.size("contexts").cast("bigint").alias("n_contexts"), F.get("contexts", F.lit(0)).alias("first"))
+
+
+@query(
+    "w7_report_table",
+    f"""WITH {SEARCH_SQL}, best AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored)
+    SELECT rank, score, doc_id || '.txt' AS filename, 'reports/' || source || '/' || doc_id || '.txt' AS path, categories,
+      CASE WHEN upper(source) LIKE '%SRC3%' THEN 'SRC3' WHEN upper(source) LIKE '%SRC7%' THEN 'SRC7' WHEN upper(source) LIKE '%SRC1%' THEN 'SRC1' ELSE 'other' END AS toposheet
+    FROM best JOIN documents USING (doc_id) WHERE rank <= 50""",
+)
+def report(spark, folder):
+    docs = fx.docs(spark, folder)
+    placed = docs.withColumn("file", F.concat(F.lit("reports/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    scores = search.document_scores(docs, TERMS, per_term=PER_TERM)
+    return report_table(scores, placed, "file", map_sheet(F.col("source"), fx.DOC_SHEETS))
 
 
 @query(

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from cellweave.catalog import fixtures as fx
 from cellweave.catalog.registry import R, query, round_columns, rounded
 from cellweave.functions import patches
+from cellweave.functions.categories import DEPTHS
 from cellweave.operators import attribution, labels, tiles
+from cellweave.plans.maps import depth_maps
 
 P, S = fx.PATCH, fx.STRIDE
 BANDS = ["b2", "b3", "b4"]
@@ -87,6 +89,35 @@ def a15(spark, folder):
     return fx.cells(spark, folder).select("row", "col", rounded(tiles.depth_ensemble_mean(BANDS)).alias("mean"))
 
 
+#: Members of three depths: weights of the scaled channel means, and a bias.
+_MEMBERS = {d: [([0.3 + 0.2 * k, -0.5 + 0.1 * j, 0.4 - 0.1 * k], 0.1 * j - 0.2) for k in range(4)] for j, d in enumerate(DEPTHS)}
+
+
+def _depth_sql() -> str:
+    tile, names = [], []
+    for d, members in _MEMBERS.items():
+        each = ", ".join(f"1 / (1 + exp(-({w[0]!r}::DOUBLE * b2 / 350 + {w[1]!r}::DOUBLE * b3 * 10 + {w[2]!r}::DOUBLE * b4 * 10 + {b!r}::DOUBLE)))" for w, b in members)
+        tile.append(f'list_avg([{each}]) AS "mean_{d}", list_stddev_samp([{each}]) AS "std_{d}"')
+        names += [f"mean_{d}", f"std_{d}"]
+    shown = ", ".join(f"""{R(f'avg("{n}")', 9)} AS "{n}\"""" for n in names)
+    fused = " + ".join(f'avg("mean_{d}")' for d in _MEMBERS)
+    return f"""WITH {TILES_SQL},
+    used AS (SELECT s.* FROM tile_stats s, dim WHERE valid >= 0.3 AND r + {P // 2} < h - {P // 2} AND c + {P // 2} < w - {P // 2}),
+    scored AS (SELECT r, c, {', '.join(tile)} FROM used)
+    SELECT k.row, k.col, count(t.r) AS n_tiles, {shown}, {R(f'({fused}) / {len(_MEMBERS)}', 9)} AS fused
+    FROM cells k LEFT JOIN scored t ON k.row >= t.r AND k.row < t.r + {P} AND k.col >= t.c AND k.col < t.c + {P} GROUP BY k.row, k.col"""
+
+
+@query("m3_depth_maps", _depth_sql())
+def m3_depths(spark, folder):
+    shape = _shape(spark, folder)
+    means = tiles.patch_channel_mean(fx.stored_cells(spark, folder), BANDS, *shape, P, S)
+    centred = means.select((F.col("r") + P // 2).alias("row"), (F.col("c") + P // 2).alias("col"), (F.col("b2") / 350).alias("b2"), (F.col("b3") * 10).alias("b3"), (F.col("b4") * 10).alias("b4"))
+    used = tiles.inference_tiles(_masked(spark, folder), ["b2", "b3"], *shape, P).select("row", "col")
+    out = depth_maps(centred.join(used, ["row", "col"]), BANDS, _MEMBERS, *shape, P, S)
+    return round_columns(out, [c for c in out.columns if c not in ("row", "col", "n_tiles")], 9)
+
+
 _EXCLUDED = f"""test_cols AS (SELECT min(col) AS lo, max(col) AS hi FROM cells WHERE label = 1 AND col >= 40 AND col < 60),
   kept AS (SELECT r, c FROM tile_stats, test_cols WHERE valid >= 0.5 AND NOT (c + {P // 2} BETWEEN lo AND hi))"""
 
