@@ -34,25 +34,47 @@ class MultiIndex:
         a = distances(u[:, :half], self.left).argmin(axis=1)
         return a * len(self.right) + distances(u[:, half:], self.right).argmin(axis=1)
 
-    def visit(self, u: np.ndarray, entries: int) -> list[int]:
-        """Cells by summed distance of their two centroids until they hold `entries` vectors.
+    def order(self, u: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Cells that hold vectors, and how many, by the summed distance of their two centroids.
 
-        The heap holds one next pair for every left centroid in use; empty cells cost no entries.
+        The heap holds one next pair for every left centroid in use.
         """
         half = self.left.shape[1]
         dl, dr = distances(u[None, :half], self.left)[0], distances(u[None, half:], self.right)[0]
-        by_l, by_r = np.argsort(dl, kind="stable"), np.argsort(dr, kind="stable")
-        heap, held, out = [(dl[by_l[0]] + dr[by_r[0]], 0, 0)], 0, []
-        while heap and held < entries:
-            _, i, j = heapq.heappop(heap)
-            here = self.counts[by_l[i], by_r[j]]
-            if here:
-                out.append(int(by_l[i]) * len(self.right) + int(by_r[j]))
-                held += here
-            if j + 1 < len(by_r):
-                heapq.heappush(heap, (dl[by_l[i]] + dr[by_r[j + 1]], i, j + 1))
+        by_l, by_r = np.argsort(dl, kind="stable").tolist(), np.argsort(dr, kind="stable").tolist()
+        dl, dr, counts, m = dl.tolist(), dr.tolist(), self.counts, len(by_r)
+        heap = [(dl[by_l[0]] + dr[by_r[0]], 0, 0)]
+        while heap:
+            _, i, j = heap[0]
+            if j + 1 < m:
+                heapq.heapreplace(heap, (dl[by_l[i]] + dr[by_r[j + 1]], i, j + 1))
+            else:
+                heapq.heappop(heap)
             if j == 0 and i + 1 < len(by_l):
                 heapq.heappush(heap, (dl[by_l[i + 1]] + dr[by_r[0]], i + 1, 0))
+            here = counts[by_l[i], by_r[j]]
+            if here:
+                yield by_l[i] * m + by_r[j], int(here)
+
+    def visit(self, u: np.ndarray, entries: int) -> list[int]:
+        """The first cells in this order that together hold `entries` vectors, or all."""
+        out, held = [], 0
+        for cell, here in self.order(u):
+            out.append(cell)
+            held += here
+            if held >= entries:
+                break
+        return out
+
+    def needed(self, u: np.ndarray, cells: set[int]) -> list[int]:
+        """Entries that must be visited to reach each of these cells."""
+        out, held = [], 0
+        for cell, here in self.order(u):
+            held += here
+            if cell in cells:
+                out.append(held)
+                if len(out) == len(cells):
+                    break
         return out
 
 
@@ -131,9 +153,15 @@ def _rank(queries: pa.RecordBatch, entries: tuple, top: int, out: list[list]) ->
     x, u, cell, ids = entries
     q = matrix(queries)
     near = unit(q) @ u.T
-    k1, k2, cells = (column_of(queries, c).to_pylist() for c in ("k1", "k2", "cells"))
+    k1, k2 = (column_of(queries, c).to_pylist() for c in ("k1", "k2"))
+    listed = column_of(queries, "cells")
+    visited, ends = listed.flatten().to_numpy(), np.cumsum(listed.value_lengths().to_numpy())
+    wanted = np.zeros(max(cell.max(), visited.max(initial=0)) + 1, dtype=bool)
     for row in range(len(q)):
-        some = np.flatnonzero(np.isin(cell, cells[row]))
+        mine = visited[(ends[row - 1] if row else 0) : ends[row]]
+        wanted[mine] = True
+        some = np.flatnonzero(wanted[cell])
+        wanted[mine] = False
         if not len(some):
             continue
         value = near[row, some]
@@ -147,7 +175,37 @@ def _rank(queries: pa.RecordBatch, entries: tuple, top: int, out: list[list]) ->
         out[3] += [-s for s, _ in best]
 
 
-def nearest(vectors: DataFrame, is_query, top: int = 5, entries: int = 3000, fit_rows: int = 20_000, cell_rows: float = 12.0, most: int = 512) -> DataFrame:
+def _nearest_cells(batches: Iterator[pa.RecordBatch], asked: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
+    """Of each batch, the cells of the `top` nearest entries of every asked vector, with their cosines."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        near = asked @ unit(matrix(batch)).T
+        best = np.argsort(-near, axis=1, kind="stable")[:, :top]
+        row = np.repeat(np.arange(len(asked)), best.shape[1])
+        cell = column_of(batch, "cell").to_numpy()[best.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(cell), pa.array(near[row, best.ravel()])], ["row", "cell", "near"])
+
+
+def enough_entries(index: MultiIndex, once: DataFrame, asked: np.ndarray, top: int, recall: float) -> int:
+    """Entries that a query must visit so that `recall` of the `top` nearest are among them.
+
+    Brute force over all entries for the few vectors `asked`: for each of their true neighbours, how many
+    entries come before its cell is done; the quantile over all of them.
+    """
+    if not len(asked):
+        return 1
+    found = once.mapInArrow(lambda b: _nearest_cells(b, asked, top + 1), "row long, cell int, near double")
+    best = W.partitionBy("row").orderBy(F.desc("near"), "cell")
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top + 1).groupBy("row").agg(F.collect_list("cell").alias("cells"))
+    needed = sorted(n for r in found.collect() for n in index.needed(asked[r["row"]], set(r["cells"])))
+    return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
+
+
+def nearest(
+    vectors: DataFrame, is_query, top: int = 5, recall: float = 0.97, entries: int | None = None, asked_rows: int = 150,
+    fit_rows: int = 20_000, cell_rows: float = 3.0, most: int = 512,
+) -> DataFrame:
     """The `top` nearest vectors by cosine of every query row: query_id, rank, vec_id, score.
 
     `is_query` is a condition on vec_id. Candidates are all rows with another vec_id; nearest first, ties to the
@@ -157,8 +215,9 @@ def nearest(vectors: DataFrame, is_query, top: int = 5, entries: int = 3000, fit
     `fit_rows` vectors chosen by hash; every vector is indexed), so k centroids a half make k * k cells; k
     grows so that a cell holds about `cell_rows` vectors, up to `most` centroids a half (the cells' sizes are
     held in every task). A query visits cells by the sum of its two centroid distances until they hold
-    `entries` vectors, and these are reranked exactly. Small neighbouring cells share a shard, large cells are
-    split, so that no cell must fit in a task.
+    `entries` vectors, and these are reranked exactly. By default brute force for about `asked_rows` of the
+    queries tells how many entries give `recall`: few where vectors form clusters, a good part of all where they do
+    not. Small neighbouring cells share a shard, large cells are split, so that no cell must fit in a task.
 
     Equal vectors are one entry with its `top` + 1 smallest ids, which is all that any answer can need, and
     equal queries are searched once. Null, zero, non-finite vectors, vectors with null components or of an odd
@@ -185,6 +244,11 @@ def nearest(vectors: DataFrame, is_query, top: int = 5, entries: int = 3000, fit
     asked = rows.where(is_query).select("vec_id", "k1", "k2").distinct()
     asked = asked.withColumnsRenamed({"vec_id": "query_id", "k1": "q1", "k2": "q2"})
     queries = once.join(asked, (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2")), "left_semi")
+    if entries is None:
+        share = min(1.0, asked_rows / max(queries.count(), 1))
+        some = queries.where(F.pmod(F.xxhash64(F.lit(6), "k1"), F.lit(1_000_000)) < int(share * 1_000_000)).select("k1", "k2", "e").toArrow()
+        some = some.sort_by([("k1", "ascending"), ("k2", "ascending")])
+        entries = enough_entries(index, once, unit(matrix(some)) if some.num_rows else np.zeros((0, 1)), top, recall)
     sent = queries.select("k1", "k2", "e").mapInArrow(lambda b: _route(b, index, entries), "shard int, block int, k1 long, k2 long, e array<double>, cells array<int>")
     sent = sent.selectExpr("shard", "block", "1 as kind", "k1", "k2", "e", "cells", "cast(null as int) as cell", "cast(null as array<long>) as ids")
     pieces = once.mapInArrow(lambda b: _entries(b, index), "shard int, block int, kind int, k1 long, k2 long, e array<double>, cells array<int>, cell int, ids array<long>")

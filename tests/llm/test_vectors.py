@@ -34,7 +34,7 @@ def exact(x):
 def test_nearest_against_all_pairs(vectors):
     df, x = vectors
     got = {}
-    for r in nearest(df, F.col("vec_id") % 5 == 0, entries=150).collect():
+    for r in nearest(df, F.col("vec_id") % 5 == 0, recall=0.97, asked_rows=30).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 400, 5))
     cos, hit = exact(x), 0
@@ -73,6 +73,17 @@ def test_heap_visits_cells_in_order():
     assert len(index.visit(u, 12)) == int(np.searchsorted(held, 12)) + 1
 
 
+def test_entries_needed_for_cells():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(1, 4, (4, 4))
+    index = MultiIndex(rng.normal(size=(4, 2)), rng.normal(size=(4, 2)), counts, *layout(counts))
+    u = rng.normal(size=4)
+    order = list(index.order(u))
+    held = dict(zip([c for c, _ in order], np.cumsum([n for _, n in order]).tolist(), strict=True))
+    assert index.needed(u, {order[2][0], order[7][0]}) == [held[order[2][0]], held[order[7][0]]]
+    assert max(held.values()) == counts.sum()
+
+
 def test_layout_splits_large_cells():
     shard, blocks = layout(np.array([[5, 10_000, 3], [0, 4, 2000]]))
     assert blocks.sum() >= 5 and len(set(shard[[0, 1]])) == 2
