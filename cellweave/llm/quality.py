@@ -275,9 +275,11 @@ def _judge(batches: Iterator[pa.RecordBatch], model: QualityModel, threshold: fl
         yield pa.RecordBatch.from_arrays([*arrays, pa.array(found), pa.array(score), pa.array(score >= threshold)], [*columns, *[n for n, _ in NEW]])
 
 
-def classify_quality(docs: DataFrame, model: QualityModel | None = None, threshold: float = 0.5) -> DataFrame:
+def classify_quality(docs: DataFrame, model: QualityModel | None = None, threshold: float = 0.2) -> DataFrame:
     """Add quality_posterior (label model), quality_score (linear scorer) and quality_keep (score >= threshold).
 
+    The threshold is low because a good text lost costs more here than a doubtful one kept.
+
     Every row and column of `docs` stays; input columns with the new names are replaced. Without a model one is
     fitted on `docs`. Null, empty and blank texts score 0 and are not kept. Repeated rows get equal scores.
     """
