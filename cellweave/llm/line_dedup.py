@@ -123,6 +123,7 @@ def common_lines(docs: DataFrame, min_words: int = 8, min_line_words: int = 3) -
     lines = lines.where(F.col("x.words") >= min_line_words).select(*KEY, F.col("x.lines").alias("line"))
     first = lines.groupBy("line").agg(F.min(_order()).alias("f"), F.max(_order()).alias("l"))
     first = first.where("f <> l").select("line", *[F.col(f"f.{k}").alias(f"e_{k}") for k in KEY])
+    first = stored(first, "shared-lines")  # so that the join below may split a frequent line
     pairs = lines.join(first, "line").drop("line").where(~(F.col("doc_id").eqNullSafe(F.col("e_doc_id")) & (F.col("_r1") == F.col("e__r1")) & (F.col("_r2") == F.col("e__r2"))))
     pairs = pairs.distinct()
     held = F.transform(F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] > 0), lambda x: x["lines"])
