@@ -78,13 +78,16 @@ def toxic_rows():
     return rows
 
 
-CATEGORIES = {"insult": (F.col("toxic") == 1) & F.col("text").rlike("dolt|oaf|fool"), "coded": (F.col("toxic") == 1) & ~F.col("text").rlike("dolt|oaf|fool"), "toxic": F.col("toxic") == 1}
+def categories():
+    bad, open_ = F.col("toxic") == 1, F.col("text").rlike("dolt|oaf|fool")
+    return {"insult": bad & open_, "coded": bad & ~open_, "toxic": bad}
+
 
 
 def test_chain_on_held_out_texts(spark):
     rows = spark.createDataFrame(toxic_rows(), "doc_id long, text string, toxic int")
     docs, labels = rows.select("doc_id", "text"), rows.select("doc_id", "toxic")
-    chain, held, y = fit_chain(docs, labels.where("doc_id < 400").union(labels.where("doc_id < 40")), ["toxic"], CATEGORIES, bits=14)
+    chain, held, y = fit_chain(docs, labels.where("doc_id < 400").union(labels.where("doc_id < 40")), ["toxic"], categories(), bits=14)
     assert held.shape == y.shape == (400, 3) and ((held > 0.5) == y).mean() > 0.95
     got = score_toxicity(docs.where("doc_id >= 400"), chain).join(labels.withColumnRenamed("toxic", "truth"), "doc_id")
     assert got.where("(truth = 1) <> toxic").count() <= 6
@@ -108,7 +111,7 @@ def test_later_models_see_out_of_fold_probabilities():
     hashed = Hashed(12)
     found = [hashed(t) for _, t, _ in toxic_rows()]
     y = np.array([[r[0] % 6 == 0, r[2]] for r in toxic_rows()], dtype=float)
-    fold = np.arange(len(found)) % 3
+    fold = np.arange(len(found)) // 6 % 3
     chain, held = train_chain(found, y, fold, ["insult", "toxic"], 12)
     assert chain.models[0].chain.shape == (0,) and chain.models[1].chain.shape == (1,) and chain.models[1].chain[0] > 0
     again, same = train_chain(found, y, fold, ["insult"], 12)
