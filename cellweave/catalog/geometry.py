@@ -9,6 +9,9 @@ from cellweave.catalog.registry import R, query, round_columns, rounded
 from cellweave.functions import projection
 from cellweave.grid import Grid, study_extent, world_to_pixel
 from cellweave.operators import geometry as geo
+from cellweave.plans.labelling import label_cells
+from cellweave.session import scratch_path
+from cellweave.sources.vectors import point_geometry
 
 
 def _forward_sql() -> str:
@@ -170,8 +173,6 @@ def j3(spark, folder):
     WHERE c.row = CAST(floor((h * 50.0::DOUBLE - y) / 50) AS BIGINT) AND c.col = CAST(floor(x / 50) AS BIGINT)""",
 )
 def j3_points(spark, folder):
-    from cellweave.sources.vectors import point_geometry
-
     grid = fx.cell_grid(spark, folder)
     features = fx.points(spark, folder, grid).select(F.col("id").alias("feature_id"), point_geometry(F.col("x"), F.col("y")).alias("geom"))
     return geo.burn(features, grid)
@@ -205,3 +206,31 @@ def a36(spark, folder):
 def j5(spark, folder):
     grid = fx.cell_grid(spark, folder)
     return geo.buffer_label(fx.cells(spark, folder), fx.points(spark, folder, grid), grid, 100.0)
+
+
+def _label_sql() -> str:
+    return f"""WITH {fx.CELLS_SQL}, {fx.POINTS_SQL}, {fx.BOXES_SQL},
+    sites AS (SELECT x, y FROM points WHERE id % 2 = 0 UNION ALL SELECT (x0 + x1) / 2, (y0 + y1) / 2 FROM boxes),
+    hit AS (
+      SELECT DISTINCT c.row, c.col FROM sites, dim, cells c
+      WHERE power(greatest(c.col * 50.0::DOUBLE - x, x - (c.col + 1) * 50.0::DOUBLE, 0), 2) + power(greatest((h - c.row - 1) * 50.0::DOUBLE - y, y - (h - c.row) * 50.0::DOUBLE, 0), 2) <= 22500),
+    labelled AS (SELECT c.row, c.col, CAST(hit.row IS NOT NULL AS BIGINT) AS label FROM cells c LEFT JOIN hit ON hit.row = c.row AND hit.col = c.col),
+    {fx.FOLDS_SQL.replace("FROM cells c", "FROM labelled c")}
+    SELECT fold, count(*) FILTER (WHERE region = 'test' AND label = 1) AS n_test_pos, count(*) FILTER (WHERE region = 'train' AND label = 1) AS n_train_pos,
+           count(*) FILTER (WHERE region = 'train' AND label = 0) AS n_train_unl FROM fold_cells GROUP BY fold"""
+
+
+@query("c10_label_plan", _label_sql())
+def label_plan(spark, folder):
+    """Layers to folds as one job: its tables are written, and the counts read back."""
+    grid = fx.cell_grid(spark, folder)
+    even = F.when(F.col("id") % 2 == 0, point_geometry(F.col("x"), F.col("y")))
+    layers = {
+        "mines_a": fx.points(spark, folder, grid).select(F.col("id").alias("feature_id"), even.alias("geom")),
+        "quarry_boxes": fx.boxes(spark, folder, grid),
+        "fault_lines": fx.lines(spark, folder, grid).select("feature_id", "geom"),
+    }
+    out = label_cells(layers, fx.stored_cells(spark, folder), grid, fx.strips(grid), 150.0)
+    path = scratch_path(spark, "labelled")
+    out.write(path)
+    return spark.read.schema("fold bigint, n_test_pos bigint, n_train_pos bigint, n_train_unl bigint").json(f"{path}/counts")

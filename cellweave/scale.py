@@ -142,7 +142,20 @@ def _bracketed_order_statistics(base, by, hot, probs, task_rows, bins) -> list[d
     leaves = []
     fields = [base.schema[k] for k in by]
 
+    def bracket_of(sides):
+        """Binary search for the bracket of `_v` among disjoint ones, as an expression."""
+        if len(sides) == 1:
+            j, lo, hi = sides[0]
+            here = F.struct(F.lit(j).alias("_b"), F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi"))
+            return F.when(F.col("_v").between(F.lit(lo), F.lit(hi)), here)
+        middle = len(sides) // 2
+        return F.when(F.col("_v") < F.lit(sides[middle][1]), bracket_of(sides[:middle])).otherwise(bracket_of(sides[middle:]))
+
     def tagged(brackets):
+        if not by:  # one group: no join, every row finds its bracket by itself
+            sides = sorted(((j, float(b[1]), float(b[2])) for j, b in enumerate(brackets)), key=lambda s: s[1])
+            found = base.select("_v", F.explode(F.array(bracket_of(sides))).alias("_s"))
+            return found.where(F.col("_s").isNotNull()).select("_s._b", "_s._lo", "_s._hi", "_v")
         schema = T.StructType(
             fields
             + [
