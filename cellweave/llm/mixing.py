@@ -110,7 +110,7 @@ def _least(sources: DataFrame, fits) -> float:
     return high
 
 
-def realise(docs: DataFrame, mixture: Mixture, block_docs: int = 20_000, seed: int = 1) -> DataFrame:
+def realise(docs: DataFrame, mixture: Mixture, block_docs: int = 2000, seed: int = 1) -> DataFrame:
     """Emit documents (`doc_id`, `source`, `tokens`, `_r1`, `_r2`) by the budgets of a mixture.
 
     Each source is dealt into hashed blocks of about `block_docs` documents. In every epoch the blocks are
@@ -141,7 +141,7 @@ def realise(docs: DataFrame, mixture: Mixture, block_docs: int = 20_000, seed: i
 
 
 def mix(
-    docs: DataFrame, entropy: float | None = 0.9, repeats: float = 4.0, budget: float | None = None, shrink: bool = False, block_docs: int = 20_000, seed: int = 1
+    docs: DataFrame, entropy: float | None = 0.9, repeats: float = 4.0, budget: float | None = None, shrink: bool = False, block_docs: int = 2000, seed: int = 1
 ) -> tuple[DataFrame, Mixture]:
     """Choose temperature weights for the sources of `docs` (`doc_id`, `source`, `text`) and emit their documents.
 
