@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from cellweave.catalog import fixtures as fx
 from cellweave.catalog.registry import R, query, round_columns, rounded
+from cellweave.functions.categories import CHANNELS
 from cellweave.functions.scalars import within
 from cellweave.grid import Grid
 from cellweave.operators import neighbourhood as nb
 from cellweave.operators import spectral
 from cellweave.plans import stack
-from cellweave.session import stored
+from cellweave.session import scratch_path, stored
 
 # ---- distances -----------------------------------------------------------
 
@@ -249,6 +250,27 @@ def g9(spark, folder):
     return round_columns(stack.stack_bands(spark, layers, grid), ["price", "quantity", "tax"])
 
 
+@query(
+    "g9_channel_stack",
+    f"""WITH {fx.CELLS_SQL},
+    pct AS (SELECT quantile_cont(b1, 0.02) AS l1, quantile_cont(b1, 0.98) AS h1, avg(b4) AS m4 FROM cells),
+    scaled AS (SELECT row, col, CASE WHEN b1 IS NOT NULL THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, (b1 - l1) / (h1 - l1))) END AS b1, coalesce(b4, m4) AS b4 FROM cells, pct)
+    SELECT row, col, {', '.join({0: R('b4') + ' AS lithology_25k', 1: R('coalesce(b1, (SELECT avg(b1) FROM scaled))') + ' AS fault_dist_25k'}.get(i, f'0.0::DOUBLE AS "{c}"') for i, c in enumerate(CHANNELS))} FROM scaled""",
+)
+def channels(spark, folder):
+    """Two of the fifteen channels have a layer; others of the inventory match none or are excluded."""
+    base, root = fx.stored_cells(spark, folder), scratch_path(spark, "layers")
+    written = {"Fault_25K_old": "b2", "fault_distance_25k": "b1", "litho_25k": "b4", "roads": "b3"}
+    for name, band in written.items():
+        base.select("row", "col", F.col(band).alias("value")).write.parquet(f"{root}/{name}")
+    files = spark.createDataFrame([(f"{root}/{n}", n) for n in written], "path string, stem string")
+    wanted = {"lithology_25k": (["lithology_25k", "litho"], []), "fault_dist_25k": (["fault"], ["old"])}
+    listed = [(c, *wanted.get(c, ([f"absent_{c}"], [])), c != "lithology_25k") for c in CHANNELS]
+    grid = fx.cell_grid(spark, folder)
+    out = stack.channel_stack(spark, files, listed, lambda path: (spark.read.parquet(path), grid), grid)
+    return round_columns(out, ["lithology_25k", "fault_dist_25k"])
+
+
 # ---- wavenumber domain ---------------------------------------------------
 
 _PI = repr(math.pi)

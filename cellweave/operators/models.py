@@ -90,12 +90,6 @@ def fit_ensemble(samples: DataFrame, features: Sequence[str], passes: int, ratio
     return fitted
 
 
-def ensemble_passes(cells: DataFrame, features: Sequence[str], ensemble: Sequence[tuple[Sequence[float], float]], keys: Sequence[str]) -> DataFrame:
-    """`keys..., pass, prob`: every member's score, from one scan of the cells."""
-    probabilities = F.array(*[sigmoid(logit(features, terms)) for terms in ensemble])
-    return cells.select(*keys, F.posexplode(probabilities).alias("pass", "prob"))
-
-
 def ensemble_uncertainty(
     cells: DataFrame, features: Sequence[str], ensemble: Sequence[tuple[Sequence[float], float]], keys: Sequence[str]
 ) -> DataFrame:

@@ -18,11 +18,6 @@ def unpivot_bands(cells: DataFrame, bands: Sequence[str], keys: Sequence[str] =
     return typed.unpivot(list(keys), list(bands), "band", "value")
 
 
-def pivot_bands(long: DataFrame, bands: Sequence[str]) -> DataFrame:
-    """Wide form of `row, col, band, value` for the listed bands."""
-    return long.groupBy("row", "col").pivot("band", list(bands)).agg(F.first("value"))
-
-
 def band_percentiles(cells: DataFrame, bands: Sequence[str], probs: Sequence[float], **options) -> dict[str, list[float]]:
     """Exact percentiles of every band that has a value; one pass over the table for all bands."""
     long = unpivot_bands(cells, bands, keys=())

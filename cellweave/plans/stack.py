@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +28,7 @@ from cellweave.operators.spectral import (
     where_known,
 )
 from cellweave.session import stored
+from cellweave.sources.inventory import best_match_layer
 
 
 def feature_suite(cells: DataFrame, distances: Sequence[str], codes: Sequence[str], grid: Grid) -> DataFrame:
@@ -97,3 +98,24 @@ def stack_bands(
     scale = [n for n, layer, _, wanted in layers if layer is not None and wanted]
     filled = mean_impute(normalize_channels(wide, scale), present)
     return filled.select("row", "col", *[F.col(n) if n in present else F.lit(0.0).alias(n) for n, *_ in layers])
+
+
+def channel_stack(
+    spark,
+    files: DataFrame,
+    channels: Sequence[tuple[str, Sequence[str], Sequence[str], bool]],
+    open_layer: Callable[[str], tuple[DataFrame, Grid]],
+    grid: Grid,
+) -> DataFrame:
+    """The band stack from an inventory (`path, stem`): every channel takes the file that matches it best.
+
+    `channels` lists (name, keywords in priority order, excluded words, scale it?) in band order; `open_layer`
+    turns a path into a `row, col, value` table and its frame.  Channels without a file are 0.
+    """
+    matched = best_match_layer(files, [(name, words, without) for name, words, without, _ in channels])
+    paths = {r["channel"]: r["path"] for r in matched.collect()}  # a row for each channel at most
+    layers = []
+    for name, _, _, scale in channels:
+        table, frame = open_layer(paths[name]) if name in paths else (None, None)
+        layers.append((name, table, frame, scale))
+    return stack_bands(spark, layers, grid)

@@ -30,11 +30,6 @@ def nodata_to_zero(cells: DataFrame, columns: Sequence[str], nodata: float = NOD
     return known.na.fill(0.0, list(columns))
 
 
-def read_cells(spark: SparkSession, path: str, bands: Sequence[str], nodata: float | None = NODATA) -> DataFrame:
-    """Cell table with the listed bands; only those columns reach the Parquet scan."""
-    return nodata_to_null(spark.read.parquet(path).select("row", "col", *bands), bands, nodata)
-
-
 def null_to_nodata(cells: DataFrame, columns: Sequence[str], nodata: float = NODATA) -> DataFrame:
     return cells.select(
         *[F.coalesce(F.col(c), F.lit(float(nodata))).cast("float").alias(c) if c in columns else F.col(c) for c in cells.columns]
