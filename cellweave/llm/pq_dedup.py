@@ -15,7 +15,8 @@ from cellweave.llm.vectors import cosines, distances, k_means, matrix, sample, u
 from cellweave.session import stored
 
 BLOCK = 1024  # members of a list that one task holds at a time
-SLACK = 1e-9  # rounding of distances
+SLACK = 1e-9  # rounding of distances in double precision
+ROUNDING = 1e-4  # and of distances and cosines in single precision; what they let pass is computed in double
 
 
 @dataclass(frozen=True)
@@ -92,49 +93,50 @@ def _deal(batches: Iterator[pa.RecordBatch], books: Codebooks, blocks: np.ndarra
         mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
         block = (mixed % blocks[own].astype(np.uint64)).astype(np.int64)
         go = probes(unit(matrix(batch)), own, books.lists, radius, reach)
-        rows, lists, places, kinds = [], [], [], []
-        for r in range(batch.num_rows):
-            rows.append(r)
-            lists.append(own[r])
-            places.append(block[r])
-            kinds.append(0)
-            later = [(own[r], b) for b in range(block[r] + 1, blocks[own[r]])]
-            later += [(c, b) for c in np.flatnonzero(go[r]) if c > own[r] for b in range(blocks[c])]
-            rows += [r] * len(later)
-            lists += [c for c, _ in later]
-            places += [b for _, b in later]
-            kinds += [1] * len(later)
+        every = np.arange(batch.num_rows)
+        higher = blocks[own] - 1 - block  # blocks of the own list after the own block
+        r, c = np.nonzero(go & (np.arange(len(blocks))[None, :] > own[:, None]))
+        again = np.repeat(np.arange(len(r)), blocks[c])
+        first = np.cumsum(blocks[c]) - blocks[c]
+        mine = np.repeat(every, higher)
+        step = np.arange(len(mine)) - np.repeat(np.cumsum(higher) - higher, higher)
+        rows = np.concatenate([every, mine, r[again]])
+        lists = np.concatenate([own, own[mine], c[again]]).astype(np.int32)
+        places = np.concatenate([block, block[mine] + 1 + step, np.arange(len(again)) - first[again]]).astype(np.int32)
+        kinds = np.concatenate([np.zeros(len(every)), np.ones(len(mine) + len(again))]).astype(np.int32)
         keep = ["node", "copies", "e", "codes", "error"]
         for at in range(0, len(rows), 20_000):
             some = slice(at, at + 20_000)
-            taken = [column_of(batch, c).take(pa.array(rows[some], pa.int64())) for c in keep]
+            taken = [column_of(batch, c).take(pa.array(rows[some])) for c in keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lists[some], pa.int32()), pa.array(places[some], pa.int32()), pa.array(kinds[some], pa.int32()), *taken], ["list", "block", "kind", *keep]
+                [pa.array(lists[some]), pa.array(places[some]), pa.array(kinds[some]), *taken], ["list", "block", "kind", *keep]
             )
 
 
 class _Block:
-    def __init__(self, held: list[pa.RecordBatch]) -> None:
+    """Members of a list that a task holds; single precision where bounds and slack allow for it."""
+
+    def __init__(self, held: list[pa.RecordBatch], reach: float) -> None:
         table = pa.Table.from_batches(held)
         self.node, self.copies = table["node"].to_numpy(), table["copies"].to_numpy()
         self.x = matrix(table)
-        self.u = unit(self.x)
-        self.codes = np.frombuffer(b"".join(table["codes"].to_pylist()), dtype=np.uint8).reshape(len(self.x), -1)
-        self.error = table["error"].to_numpy()
+        self.u = unit(self.x).astype(np.float32)
+        self.codes = np.frombuffer(b"".join(table["codes"].to_pylist()), dtype=np.uint8).reshape(len(self.x), -1).T.astype(np.intp)
+        # the largest squared coded distance of a vector within reach, by the triangle inequality
+        self.limit = ((reach + table["error"].to_numpy() + ROUNDING) ** 2 + ROUNDING).astype(np.float32)
 
 
-def _linked(books: Codebooks, here: int, x: np.ndarray, u: np.ndarray, block: _Block, reach: float, threshold: float) -> np.ndarray:
+def _linked(books: Codebooks, here: int, x: np.ndarray, u: np.ndarray, block: _Block, threshold: float) -> np.ndarray:
     """Pairs (rows of x, members) of exact cosine >= threshold, among those the coded distances do not rule out."""
-    coded = np.zeros((len(x), len(block.node)))
-    for s, table in enumerate(books.tables(u, here)):
-        coded += table[:, block.codes[:, s]]
-    maybe = np.sqrt(coded) - block.error[None, :] <= reach + SLACK
+    coded = np.zeros((len(x), len(block.node)), dtype=np.float32)
+    for table, codes in zip(books.tables(u, here), block.codes, strict=True):
+        coded += np.take(table.astype(np.float32), codes, axis=1)
+    maybe = coded <= block.limit
     out = np.zeros_like(maybe)
     if not maybe.any():
         return out
-    near = u @ block.u.T
-    out = maybe & (near >= threshold + SLACK)
-    a, b = np.nonzero(maybe & (np.abs(near - threshold) < SLACK))  # rounding could decide: the plain sum does
+    near = u.astype(np.float32) @ block.u.T
+    a, b = np.nonzero(maybe & (near >= threshold - ROUNDING))
     for at in range(0, len(a), 4096):
         i, j = a[at : at + 4096], b[at : at + 4096]
         out[i, j] = cosines(x[i], block.x[j]) >= threshold
@@ -156,30 +158,30 @@ def _compare(batches: Iterator[pa.RecordBatch], books: Codebooks, reach: float,
                 continue
             if (lists[a], places[a]) != at:
                 if held:
-                    yield from _links(books, at[0], None, _Block(held), reach, threshold)
+                    yield from _links(books, at[0], None, _Block(held, reach), threshold)
                 at, held, block = (lists[a], places[a]), [], None
             rows = batch.slice(a, b - a)
             if kinds[a] == 0:
                 held.append(rows)
                 continue
             if block is None and held:
-                block = _Block(held)
-                yield from _links(books, at[0], None, block, reach, threshold)
+                block = _Block(held, reach)
+                yield from _links(books, at[0], None, block, threshold)
             held = []
             if block is not None:
-                yield from _links(books, at[0], rows, block, reach, threshold)
+                yield from _links(books, at[0], rows, block, threshold)
     if held:
-        yield from _links(books, at[0], None, _Block(held), reach, threshold)
+        yield from _links(books, at[0], None, _Block(held, reach), threshold)
 
 
-def _links(books: Codebooks, here: int, visitors: pa.RecordBatch | None, block: _Block, reach: float, threshold: float) -> Iterator[pa.RecordBatch]:
+def _links(books: Codebooks, here: int, visitors: pa.RecordBatch | None, block: _Block, threshold: float) -> Iterator[pa.RecordBatch]:
     own = visitors is None
     x = block.x if own else matrix(visitors)
     node = block.node if own else column_of(visitors, "node").to_numpy()
     copies = block.copies if own else column_of(visitors, "copies").to_numpy()
     for low in range(0, len(x), 512):
         part = slice(low, low + 512)
-        found = _linked(books, here, x[part], unit(x[part]), block, reach, threshold)
+        found = _linked(books, here, x[part], unit(x[part]), block, threshold)
         if own:
             found &= np.arange(low, low + len(found))[:, None] < np.arange(len(block.node))[None, :]
         i, j = np.flatnonzero(found.any(axis=1)), np.flatnonzero(found.any(axis=0))
