@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,11 +64,59 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def run_lengths(a: Sequence[int], b: Sequence[int]) -> list[int]:
+    """For every item of `b`: how many items up to it follow each other in `a` too, by a suffix automaton of `a`."""
+    wanted = set(b)
+    size, link, step = [0], [-1], [{}]
+    last = 0
+    for x in (x if x in wanted else None for x in a):
+        if x is None:  # no item of b: nothing reaches across
+            last = 0
+            continue
+        if x in step[last] and size[step[last][x]] == size[last] + 1:
+            last = step[last][x]
+            continue
+        at = last
+        if x in step[at]:
+            new = -1
+        else:
+            new = len(size)
+            size.append(size[last] + 1)
+            link.append(0)
+            step.append({})
+            while at >= 0 and x not in step[at]:
+                step[at][x] = new
+                at = link[at]
+        if at >= 0:
+            old = step[at][x]
+            if size[at] + 1 != size[old]:
+                copy = len(size)
+                size.append(size[at] + 1)
+                link.append(link[old])
+                step.append(dict(step[old]))
+                while at >= 0 and step[at].get(x) == old:
+                    step[at][x] = copy
+                    at = link[at]
+                link[old] = old = copy
+            if new >= 0:
+                link[new] = old
+        last = new if new >= 0 else old
+    out, at, n = [], 0, 0
+    for x in b:
+        while at and x not in step[at]:
+            at = link[at]
+            n = size[at]
+        at, n = (step[at][x], n + 1) if x in step[at] else (0, 0)
+        out.append(n)
+    return out
+
+
 def common_blocks(earlier: Sequence[int], later: Sequence[int], words: Sequence[int], least: int) -> list[int]:
-    """Positions of `later` in aligned blocks that hold at least `least` words.
+    """Positions of `later` in common blocks that hold at least `least` words.
 
-    A block is a run of aligned lines that follow each other in both documents; lines without words
-    between two aligned lines belong to it.
+    A block is a run of lines that follow each other in both documents; lines without words between two of
+    them belong to it. Patience diff finds the blocks that lie in the same order in both. Where lines that `earlier`
+    holds are left over (repeated or in another order), all runs are looked up in an automaton, exactly.
     """
     left = [i for i, w in enumerate(words) if w]
     held = [later[i] for i in left]
@@ -81,7 +130,16 @@ def common_blocks(earlier: Sequence[int], later: Sequence[int], words: Sequence[
             block = []
         block.append(j)
         last = (i, j)
-    return out
+    known, taken = set(earlier), set(out)
+    if not any(x in known and left[j] not in taken for j, x in enumerate(held)):
+        return out
+    whole: list[int] = []  # holds the blocks above, too
+    upto = [0, *accumulate(words[i] for i in left)]
+    ends = [*run_lengths(earlier, held), 0]
+    for j, n in enumerate(ends[:-1]):
+        if n and ends[j + 1] <= n and upto[j + 1] - upto[j + 1 - n] >= least:
+            whole.extend(range(max(left[j + 1 - n], whole[-1] + 1 if whole else 0), left[j] + 1))
+    return whole
 
 
 def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -142,8 +200,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, min_line_words: int = 3) ->
     """Delete from every document the blocks of lines that align with an earlier document.
 
     Two documents overlap if they share a line of at least `min_line_words` words (hash of the line without outer
-    blanks). Patience diff aligns them; runs of aligned lines that follow each other in both and hold at
-    least `min_words` words are deleted from the later one (greater doc_id; null last; equal ids by text).
+    blanks). Patience diff aligns them, and runs that it leaves are looked up exactly; runs of lines that follow each
+    other in both, in any order and however often, and hold at least `min_words` words are deleted from the later
+    one (greater doc_id; null last; equal ids by text).
 
     Returns all columns of `docs` with the new text, plus n_lines (before) and n_removed; input columns of
     those names are replaced. Every row stays; a document whose lines all go has an empty text. Null text

@@ -2,7 +2,7 @@ import random
 import re
 
 from cellweave.llm.common import components
-from cellweave.llm.line_dedup import common_blocks, dedup_lines, patience
+from cellweave.llm.line_dedup import common_blocks, dedup_lines, patience, run_lengths
 from cellweave.llm.ngram_join import _shared, found_share, ngram_join
 from tests.llm.conftest import prose
 
@@ -137,3 +137,29 @@ def test_a_line_of_many_documents_leads_to_the_first(spark):
     rows = [(i, f"{prose(24, 100 + i)}\n{shared}") for i in range(60)]
     got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: 0 if i == 0 else 2 for i in range(60)}
+
+
+def test_run_lengths_equal_brute_force():
+    rng = random.Random(3)
+    for _ in range(2000):
+        k = rng.randrange(1, 6)
+        a, b = ([rng.randrange(k + side) for _ in range(rng.randrange(14))] for side in (0, 1))
+        runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+        assert run_lengths(a, b) == [max((n for n in range(1, j + 2) if tuple(b[j + 1 - n : j + 1]) in runs), default=0) for j in range(len(b))]
+        words = [rng.randrange(3) for _ in b]
+        keep = [j for j, w in enumerate(words) if w]
+        want = set()
+        for i in range(len(keep)):
+            for j in range(i, len(keep)):
+                if tuple(b[x] for x in keep[i : j + 1]) in runs and sum(words[x] for x in keep[i : j + 1]) >= 3:
+                    want |= set(range(keep[i], keep[j] + 1))
+        assert common_blocks(a, b, words, 3) == sorted(want)
+
+
+def test_a_repeated_passage_is_found_both_ways(spark):
+    x, y, z, u, v = (prose(24, 40 + k) for k in range(5))
+    passage = prose(60, 50)
+    twice, once = "\n".join([x, passage, y, passage, z]), "\n".join([u, passage, v])
+    for first, second in ((twice, once), (once, twice)):
+        got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")).collect()}
+        assert got == {1: first, 2: "\n".join([u, v] if second == once else [x, y, z])}
