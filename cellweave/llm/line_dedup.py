@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from cellweave.llm.common import column_of, with_identity
 from cellweave.session import stored
 
 KEY = ("doc_id", "_r1", "_r2")
+BASE = 0x9E3779B97F4A7C15  # of the hash of a run of lines
 
 
 def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
@@ -155,6 +157,49 @@ def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([*keys, pa.array(places, pa.list_(pa.int32()))], [*KEY, "places"])
 
 
+def _short_runs(lines: np.ndarray, words: np.ndarray, doc: np.ndarray, least: int, line_words: int, back: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the shortest runs of at least `least` words from every line on that is shorter itself.
+
+    With `back` the runs end with the line. Every line without words is left out before, so no run has more than
+    `least` lines.
+    """
+    at = np.flatnonzero(words < least)
+    hashes, total, fits = lines[at].copy(), words[at].copy(), words[at] >= line_words
+    docs, keys = [], []
+    power = 1
+    for r in range(1, least):
+        to = at - r if back else at + r
+        inside = (to >= 0) & (to < len(lines))
+        inside[inside] = doc[to[inside]] == doc[at[inside]]
+        at, to, hashes, total, fits = at[inside], to[inside], hashes[inside], total[inside], fits[inside]
+        power = power * BASE % 2**64
+        hashes = lines[to] + hashes * np.uint64(BASE) if back else hashes + lines[to] * np.uint64(power)
+        total, fits = total + words[to], fits | (words[to] >= line_words)
+        done = total >= least
+        docs.append(doc[at[done & fits]])
+        keys.append(hashes[done & fits])
+        at, hashes, total, fits = at[~done], hashes[~done], total[~done], fits[~done]
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *docs]), np.concatenate([none.astype(np.uint64), *keys])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], least: int, line_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = column_of(batch, "lines")
+        doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+        lines = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        words = column_of(batch, "words").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        full = words > 0
+        found = [_short_runs(lines[full], words[full], doc[full], least, line_words, back) for back in (False, True)]
+        rows, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((keys, rows))
+        rows, keys = rows[order], keys[order]
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
+        taken = pa.array(rows[new], pa.int64())
+        yield pa.RecordBatch.from_arrays([*[column_of(batch, c).take(taken) for c in KEY], pa.array(keys[new].view(np.int64))], [*KEY, "line"])
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -170,6 +215,8 @@ def common_lines(docs: DataFrame, min_words: int = 8, min_line_words: int = 3) -
 
     Each line that two or more documents share leads from every later document to the first that holds
     it: a rare line gives its few pairs, a frequent one as many pairs as documents, never all pairs of them.
+    Shorter lines than a block lead with their neighbours, too: the shortest runs of `min_words` from and up to
+    every line, so that a document with the whole block is compared even if each line was seen before elsewhere.
     Each pair is aligned over all its lines.
     """
     docs = with_identity(docs.select("doc_id", F.col("text").cast("string").alias("text")))
@@ -179,6 +226,9 @@ def common_lines(docs: DataFrame, min_words: int = 8, min_line_words: int = 3) -
     table = stored(table, "lines")
     lines = table.select(*KEY, F.explode(F.arrays_zip("lines", "words")).alias("x"))
     lines = lines.where(F.col("x.words") >= min_line_words).select(*KEY, F.col("x.lines").alias("line"))
+    kind = table.schema["doc_id"].dataType.simpleString()
+    runs = table.mapInArrow(lambda b: _contexts(b, min_words, min_line_words), f"doc_id {kind}, _r1 long, _r2 long, line long")
+    lines = lines.unionByName(runs)
     first = lines.groupBy("line").agg(F.min(_order()).alias("f"), F.max(_order()).alias("l"))
     first = first.where("f <> l").select("line", *[F.col(f"f.{k}").alias(f"e_{k}") for k in KEY])
     first = stored(first, "shared-lines")  # so that the join below may split a frequent line
@@ -190,7 +240,6 @@ def common_lines(docs: DataFrame, min_words: int = 8, min_line_words: int = 3) -
     pairs = pairs.join(owner, (pairs["e__r1"] == owner["o__r1"]) & (pairs["e__r2"] == owner["o__r2"]) & pairs["e_doc_id"].eqNullSafe(owner["o_doc_id"]))
     pairs = pairs.select(*KEY, "earlier").join(own.withColumnsRenamed({k: f"d_{k}" for k in KEY}), (F.col("_r1") == F.col("d__r1")) & (F.col("_r2") == F.col("d__r2")) & F.col("doc_id").eqNullSafe(F.col("d_doc_id")))
     pairs = pairs.select(*KEY, "earlier", "lines", "words")
-    kind = table.schema["doc_id"].dataType.simpleString()
     found = pairs.mapInArrow(lambda b: _align(b, min_words), f"doc_id {kind}, _r1 long, _r2 long, places array<int>")
     places = F.array_sort(F.array_distinct(F.flatten(F.collect_list("places"))))
     return found.groupBy(*KEY).agg(places.alias("places"))
@@ -200,7 +249,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, min_line_words: int = 3) ->
     """Delete from every document the blocks of lines that align with an earlier document.
 
     Two documents overlap if they share a line of at least `min_line_words` words (hash of the line without outer
-    blanks). Patience diff aligns them, and runs that it leaves are looked up exactly; runs of lines that follow each
+    blanks) or a run of shorter lines with such a line. Patience diff aligns them, and runs that it leaves are looked up exactly; runs of lines that follow each
     other in both, in any order and however often, and hold at least `min_words` words are deleted from the later
     one (greater doc_id; null last; equal ids by text).
 

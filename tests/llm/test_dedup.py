@@ -163,3 +163,35 @@ def test_a_repeated_passage_is_found_both_ways(spark):
     for first, second in ((twice, once), (once, twice)):
         got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")).collect()}
         assert got == {1: first, 2: "\n".join([u, v] if second == once else [x, y, z])}
+
+
+def test_passages_in_another_order_are_found(spark):
+    p, q = prose(60, 60), prose(72, 61)
+    rows = [(1, "\n".join([prose(24, 62), p, prose(24, 63), q])), (2, "\n".join([prose(24, 64), q, prose(24, 65), p]))]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"{prose(24, 64)}\n{prose(24, 65)}"}
+
+
+def test_a_block_of_short_lines_leads_to_the_document_that_holds_it(spark):
+    block = [f"short line number{k}" for k in range(4)]
+    rows = [(k, f"{prose(24, 70 + k)}\n{line}\n{prose(24, 80 + k)}") for k, line in enumerate(block)]
+    rows += [(10, "\n".join([prose(24, 90), *block])), (11, "\n".join([prose(24, 91), *block, "end"])), (12, "\n".join([block[0], "\n".join(block[2:])]))]
+    rows += [(20, "first of twelve\nno\nlast of these words"), (21, "new\nfirst of twelve\n\nno\nlast of these words")]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(rows) | {11: f"{prose(24, 91)}\nend", 21: "new"}
+    assert got == want
+
+
+def test_lines_that_go_are_those_of_all_common_runs(spark):
+    """Against brute force: every line that lies in a run of at least 8 words of an earlier document."""
+    rng = random.Random(4)
+    pool = [" ".join(f"w{k}" for _ in range(1 + k % 9)) for k in range(24)]
+    docs = [[rng.choice(pool) for _ in range(rng.randrange(2, 14))] for _ in range(150)]
+    want, seen = {}, set()
+    for d, lines in enumerate(docs):
+        runs = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1) if len(" ".join(lines[i:j]).split()) >= 8 and any(len(x.split()) > 2 for x in lines[i:j])]
+        gone = {x for i, j in runs if tuple(lines[i:j]) in seen for x in range(i, j)}
+        want[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        seen |= {tuple(lines[i:j]) for i, j in runs}
+    got = dedup_lines(spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(docs)], "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
