@@ -204,6 +204,17 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def word_count(line: Column) -> Column:
+    """Words of a line: its runs of characters other than Unicode white space.
+
+    Scripts without blanks count by characters: two Chinese or Japanese ones, or four Thai, Lao, Khmer, Burmese or
+    Tibetan ones, stand for a word.
+    """
+    pairs, fours = (r"".join(rf"\p{{Is{s}}}" for s in names) for names in (("Han", "Hiragana", "Katakana"), ("Thai", "Lao", "Khmer", "Myanmar", "Tibetan")))
+    runs = rf"(?U)[^\s{pairs}{fours}]+|[{pairs}]{{1,2}}\p{{IsPunctuation}}*|[{fours}]{{1,4}}\p{{IsPunctuation}}*"
+    return F.regexp_count(line, F.lit(runs))
+
+
 def _order(prefix: str = "") -> Column:
     """Documents by id, null last; equal ids by text."""
     c = lambda name: F.col(prefix + name)
@@ -221,8 +232,7 @@ def common_lines(docs: DataFrame, min_words: int = 8, min_line_words: int = 3) -
     """
     docs = with_identity(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     clean = F.transform(_lines(F.coalesce("text", F.lit(""))), lambda x: F.btrim(x, F.lit(" \t\r")))
-    count = lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1)
-    table = docs.select(*KEY, F.transform(clean, lambda x: F.xxhash64(x)).alias("lines"), F.transform(clean, count).alias("words"))
+    table = docs.select(*KEY, F.transform(clean, lambda x: F.xxhash64(x)).alias("lines"), F.transform(clean, word_count).alias("words"))
     table = stored(table, "lines")
     lines = table.select(*KEY, F.explode(F.arrays_zip("lines", "words")).alias("x"))
     lines = lines.where(F.col("x.words") >= min_line_words).select(*KEY, F.col("x.lines").alias("line"))
@@ -251,7 +261,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8, min_line_words: int = 3) ->
     Two documents overlap if they share a line of at least `min_line_words` words (hash of the line without outer
     blanks) or a run of shorter lines with such a line. Patience diff aligns them, and runs that it leaves are looked up exactly; runs of lines that follow each
     other in both, in any order and however often, and hold at least `min_words` words are deleted from the later
-    one (greater doc_id; null last; equal ids by text).
+    one (greater doc_id; null last; equal ids by text). Words are counted as in `word_count`.
 
     Returns all columns of `docs` with the new text, plus n_lines (before) and n_removed; input columns of
     those names are replaced. Every row stays; a document whose lines all go has an empty text. Null text

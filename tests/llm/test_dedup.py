@@ -2,7 +2,7 @@ import random
 import re
 
 from cellweave.llm.common import components
-from cellweave.llm.line_dedup import common_blocks, dedup_lines, patience, run_lengths
+from cellweave.llm.line_dedup import common_blocks, dedup_lines, patience, run_lengths, word_count
 from cellweave.llm.ngram_join import _shared, found_share, ngram_join
 from tests.llm.conftest import prose
 
@@ -195,3 +195,13 @@ def test_lines_that_go_are_those_of_all_common_runs(spark):
         seen |= {tuple(lines[i:j]) for i, j in runs}
     got = dedup_lines(spark.createDataFrame([(d, "\n".join(x)) for d, x in enumerate(docs)], "doc_id long, text string"))
     assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+
+
+def test_words_of_any_white_space_and_script(spark):
+    lines = {"a b  c": 3, "a\tb\u00a0c\u3000d": 4, " \u00a0\t": 0, "": 0, "漢字かなカナ。漢": 4, "ภาษาไทยเขียน": 3, "x y 漢字": 3, "İstanbul naïve e\u0301 —": 4}
+    rows = spark.createDataFrame([(x,) for x in lines], "x string")
+    assert {r["x"]: r["n"] for r in rows.select("x", word_count(rows["x"]).alias("n")).collect()} == lines
+    passages = [blank.join(f"cell{k}" for k in range(30)) for blank in ("\t", "\u00a0")] + ["数据处理系统需要删除重复的段落和表格", "ข้อความภาษาไทยที่ซ้ำกันในเอกสารหลายฉบับต้องถูกลบออก"]
+    docs = [(10 * k + n, f"{prose(24, 10 * k + n)}\n{p}") for k, p in enumerate(passages) for n in (1, 2)]
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: d % 10 - 1 for d, _ in docs}
