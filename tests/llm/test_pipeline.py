@@ -1,4 +1,5 @@
 import collections
+import math
 import os
 import re
 
@@ -79,3 +80,23 @@ def test_stages_on_odd_rows(spark, documents):
 def test_queries_are_named_by_operator():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_a_small_source_does_not_shrink_the_others(spark):
+    sizes = {"large": 300, "middle": 60, "stray": 1}
+    rows = [(1000 * k + i, prose(40, 3000 + 1000 * k + i), "en", s, None) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    kept = corpus_pipeline.mixture(spark, docs, "")
+    assert sorted(kept.collect()) == sorted(docs.collect())
+    out = collections.Counter((r["source"], r["doc_id"]) for r in corpus_pipeline.emitted(kept).collect())
+    documents = sum(out.values())
+    assert 355 <= documents <= 361  # the budget of 361 documents of 40 words holds
+    assert out[("stray", 2000)] == 4 and max(out.values()) == 4
+    assert len({d for s, d in out if s == "middle"}) == 60
+    large = sum(n for (s, _), n in out.items() if s == "large")
+    middle = sum(n for (s, _), n in out.items() if s == "middle")
+    assert large >= 300 - 3 * 61 and middle > 60
+    shares = [large / documents, middle / documents, 4 / documents]
+    before = [n / 361 for n in sizes.values()]
+    entropy = lambda x: -sum(p * math.log(p) for p in x)
+    assert entropy(shares) > entropy(before)
