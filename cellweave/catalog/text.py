@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.catalog import fixtures as fx
@@ -68,11 +69,26 @@ def f3(spark, folder):
 )
 def hits(spark, folder):
     """The nested hits of every document, opened again."""
-    nested = search.search_hits(fx.docs(spark, folder), _PLAIN)
+    return _opened(search.search_hits(fx.docs(spark, folder), _PLAIN))
+
+
+def _opened(nested: DataFrame) -> DataFrame:
     terms = nested.select("doc_id", F.explode("hits").alias("category", "terms")).select("doc_id", "category", F.inline("terms"))
     return terms.select("doc_id", "category", "term", F.size("contexts").cast("bigint").alias("n_contexts"), F.get("contexts", F.lit(0)).alias("first"))
 
 
+@query("f3_term_contexts_all")
+def f3_all(spark, folder):
+    """Contexts of all terms, the pattern included; `f3_term_contexts` has the plain ones, which its SQL form can walk."""
+    return search.term_contexts(fx.docs(spark, folder), TERMS).select("doc_id", "category", "term", "term_ord", "k", "snippet")
+
+
+@query("s19_search_hits_all")
+def hits_all(spark, folder):
+    """The nested hits of all terms, the pattern included."""
+    return _opened(search.search_hits(fx.docs(spark, folder), TERMS))
+
+
 @query(
     "w7_report_table",
     f"""WITH {SEARCH_SQL}, best AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored)
