@@ -16,10 +16,11 @@ from cellweave.session import stored
 
 BANDS = fx.BANDS
 P, S = fx.PATCH, fx.STRIDE
-#: At most this many labelled rows of a class and region take part in the fit of a forest, which bounds its cost;
-#: every row that is to be scored is scored.
-FIT_ROWS = 2000
-FOREST = {"trees": 50, "depth": 12}
+#: At most this many positive rows of a fold take part in a fit, as in the original; every row that is to be scored is
+#: scored. Spark ML grows trees to depth 30 at most, the original's have no limit.
+FIT_ROWS = 5000
+FOREST = {"trees": 500, "depth": 30}
+PASSES = 50
 
 
 def _folds(spark, folder):
@@ -73,7 +74,7 @@ def m3(spark, folder):
 @query("m4_ensemble_uncertainty")
 def m4(spark, folder):
     features = _tile_features(spark, folder)
-    ensemble = models.fit_ensemble(features, BANDS, passes=10, ratio=2.0)
+    ensemble = models.fit_ensemble(features, BANDS, passes=PASSES, ratio=2.0)
     return models.ensemble_uncertainty(features, BANDS, ensemble, ["row", "col"])
 
 

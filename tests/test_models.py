@@ -71,3 +71,29 @@ def test_one_class_gives_zeros(cells):
     two = one.withColumns({"g": F.col("label"), "label": F.lit(1)}).union(one.withColumns({"g": F.lit(5), "label": F.col("label")}).select("label", "score", "g"))
     rows = {r["g"]: r["f1"] for r in metrics.evaluate(two, by=["g"]).collect()}
     assert rows[0] == rows[1] == 0 and rows[5] > 0
+
+
+def test_registered_models_have_the_full_size(spark, monkeypatch):
+    from cellweave.catalog import QUERIES
+    from cellweave.catalog import models as catalog
+
+    class Asked(Exception):
+        pass
+
+    def ask(*args, **options):
+        raise Asked(options)
+
+    def asked(name):
+        with pytest.raises(Asked) as found:
+            QUERIES[name](spark, "")
+        return found.value.args[0]
+
+    monkeypatch.setattr(catalog, "_tile_features", lambda *_: None)
+    monkeypatch.setattr(catalog.models, "fit_ensemble", ask)
+    assert asked("m4_ensemble_uncertainty")["passes"] == 50
+    monkeypatch.setattr(catalog.fx, "cell_grid", lambda *_: None)
+    monkeypatch.setattr(catalog.fx, "strips", lambda *_: [{"fold": 0}])
+    monkeypatch.setattr(catalog.fx, "stored_cells", lambda spark, *_: spark.range(0).selectExpr("id AS row", "id AS col", "id AS label", *[f"id AS {b}" for b in catalog.BANDS]))
+    monkeypatch.setattr(catalog.baselines, "fold_samples", ask)
+    assert all(asked(q)["cap"] == 5000 for q in ("m1_rf_baseline", "m2_rf_importance", "m7_spatial_cv", "m10_pixel_map_rf"))
+    assert catalog.FOREST == {"trees": 500, "depth": 30}
