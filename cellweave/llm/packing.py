@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -16,143 +15,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import column_of, most_frequent
+from cellweave.llm.common import column_of
+from cellweave.llm.words import COMMON, SAMPLE_DOCS, WordIds, common_words
 from cellweave.scale import broadcast_if_small
 from cellweave.session import stored
 
-CACHE = 60_000  # rare words, and parts of them, whose ids a task keeps
 PARTS = 100_000  # rows (partition and source) of running totals that may be broadcast, of about 30 bytes each
 
 
-def word_parts(word: str) -> tuple[str, str]:
-    """A word without its closing stops, in the case the vocabulary knows, and the stops.
-
-    The vocabulary cuts between a letter and a stop. Lower case is taken here only where it can't change what the
-    library does: plain Latin letters, and no `<`, which could make a special string.
-    """
-    core, stops = word, ""
-    if word[-1:] in (".", ","):
-        core = word.rstrip(".,")
-        if not core or not core[-1].isalpha() or core[-1] >= "\u0250":
-            return word, ""
-        stops = word[len(core) :]
-    if "<" not in core and (core.isascii() or (core and max(core) < "\u0250" and "\u0130" not in core)):
-        core = core.lower()
-    return core, stops
-
-
-class WordIds:
-    """Token ids of whole texts, word by word: in this vocabulary no token reaches across white space.
-
-    `common` holds the ids of frequent words and parts of words; the others are kept up to a bound.
-    """
-
-    def __init__(self, path: str, common: Mapping[str, bytes] | None = None) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.closing = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)  # tokens that end a word
-        for token, i in self.tokenizer.get_vocab().items():
-            self.closing[i] = token.endswith("</w>")
-        self.common = common or {}
-        self.rare: dict[str, bytes] = {}
-
-    def by_library(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts of words. Plain Latin words go many to a text and are told apart by their closing tokens."""
-        out = {}
-        plain = [p for p in parts if p.isalpha() and max(p) < "\u0250"]
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u2")
-            ends = np.flatnonzero(self.closing[ids]) + 1
-            if len(ends) == len(some):
-                out.update(zip(some, map(bytes, np.split(ids, ends[:-1])), strict=True))
-        rest = [p for p in parts if p not in out]
-        for at in range(0, len(rest), 1000):
-            some = rest[at : at + 1000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            out.update((p, np.array(f.ids, dtype="<u2").tobytes()) for p, f in zip(some, found, strict=True))
-        return out
-
-    def of_words(self, words: list[str]) -> list[bytes]:
-        common, rare = self.common, self.rare
-        if len(rare) > CACHE:
-            rare.clear()
-        parts = {w: word_parts(w) for w in words if w not in common and w not in rare}
-        rare.update(self.by_library(list({p for pair in parts.values() for p in pair if p not in common and p not in rare})))
-        of = lambda p: rare[p] if (found := common.get(p)) is None else found
-        for word, (core, stops) in parts.items():
-            rare[word] = of(core) + of(stops)
-        return list(map(of, words))
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        """Ids of each text as unsigned 16-bit numbers; each different word of the batch is looked at once."""
-        lines = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
-        coded = lines.flatten().dictionary_encode()
-        blobs = self.of_words(coded.dictionary.to_pylist())
-        sizes = np.array([len(b) // 2 for b in blobs], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        ids = np.frombuffer(b"".join(blobs), dtype="<u2")
-        word = coded.indices.to_numpy()
-        size = sizes[word]
-        ends = np.cumsum(size)
-        flat = ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - starts[word], size)]
-        counts = lines.value_lengths().to_numpy()
-        cuts = np.concatenate([[0], ends])[np.cumsum(counts)]
-        return np.split(flat, cuts[:-1]) if len(counts) else []
-
-
-def _frequent_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: Counter[str] = Counter()
-        for text in column_of(batch, "text").to_pylist():
-            seen.update((text or "").replace("\n", " ").split(" "))
-        parts = Counter(seen)
-        for word, n in seen.items():
-            for part in {*word_parts(word)} - {word}:
-                parts[part] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts.keys()), pa.string()), pa.array(list(parts.values()), pa.int64())], ["part", "times"])
-
-
-def _part_ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    words = WordIds(path)
-    for batch in batches:
-        parts = column_of(batch, "part")
-        found = words.by_library(parts.to_pylist())
-        yield pa.RecordBatch.from_arrays([parts, pa.array(map(found.__getitem__, parts.to_pylist()), pa.binary())], ["part", "ids"])
-
-
-def common_words(docs: DataFrame, tokenizer: str, sample_docs: int, most: int) -> dict[str, bytes]:
-    """Ids of the at most `most` commonest words and parts of words of about `sample_docs` documents."""
-    share = min(1.0, sample_docs / max(docs.count(), 1))
-    part = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    counted = part.select("text").mapInArrow(_frequent_parts, "part string, times long").groupBy("part").agg(F.sum("times").alias("times"))
-    table = most_frequent(counted, most).select("part").mapInArrow(lambda b: _part_ids(b, tokenizer), "part string, ids binary").toArrow()
-    return dict(zip(table["part"].to_pylist(), table["ids"].to_pylist(), strict=True))
-
-
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int, common) -> Iterator[pa.RecordBatch]:
     """Ids of every document, and where it starts in its source's stream within this partition."""
     ids_of = WordIds(path, common.value)
     part = TaskContext.get().partitionId()
-    end = np.array([end_id], dtype="<u2").tobytes()
     at: dict[str | None, int] = {}
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            piece = batch.slice(low, 512)
-            blobs = [ids.tobytes() + end for ids in ids_of.encode(column_of(piece, "text"))]
-            starts = []
-            for source, blob in zip(column_of(piece, "source").to_pylist(), blobs, strict=True):
-                starts.append(at.get(source, 0))
-                at[source] = starts[-1] + len(blob) // 2
+        docs, sources = column_of(batch, "doc_id"), column_of(batch, "source")
+        for low, high, ids, starts in ids_of.slices(column_of(batch, "text")):
+            ids = np.insert(ids, starts[1:], end_id)
+            edges = starts + np.arange(len(starts))
+            sizes = np.diff(edges)
+            local = []
+            for source, n in zip(sources.slice(low, high - low).to_pylist(), sizes.tolist(), strict=True):
+                local.append(at.get(source, 0))
+                at[source] = local[-1] + n
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), high - low, [None, pa.py_buffer(edges * 2), pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part] * piece.num_rows, pa.int32()),
-                    column_of(piece, "doc_id"),
-                    column_of(piece, "source"),
-                    pa.array(starts, pa.int64()),
-                    pa.array([len(b) // 2 for b in blobs], pa.int64()),
-                    pa.array(blobs, pa.binary()),
+                    pa.array(np.full(high - low, part, dtype=np.int32)),
+                    docs.slice(low, high - low),
+                    sources.slice(low, high - low),
+                    pa.array(local, pa.int64()),
+                    pa.array(sizes),
+                    pc.cast(blobs, pa.binary()),
                 ],
                 ["part", "doc_id", "source", "local", "tokens", "ids"],
             )
@@ -257,8 +151,8 @@ def pack(
     end_id: int = 1,
     window_sequences: int = 32,
     weights: Mapping[str | None, float] | None = None,
-    sample_docs: int = 20_000,
-    common_most: int = 300_000,
+    sample_docs: int = SAMPLE_DOCS,
+    common_most: int = COMMON,
 ) -> DataFrame:
     """Pack all documents (`doc_id`, `text`, `source`) into sequences of `length` tokens, mixing sources.
 

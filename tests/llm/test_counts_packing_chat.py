@@ -13,8 +13,9 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from cellweave.llm.chat import LAYOUTS, Layout, canonical, digest_chats, fingerprint, format_chats, paths, read_back, records_of_turns, registry, render
-from cellweave.llm.packing import WordIds, _served, pack, packing_report, phases
+from cellweave.llm.packing import _served, pack, packing_report, phases
 from cellweave.llm.token_counts import count_pieces, load_pieces, pre_tokens, token_counts
+from cellweave.llm.words import WordIds
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
