@@ -16,8 +16,10 @@ from cellweave.llm.ngram_join import ngram_join
 from cellweave.llm.packing import pack
 from cellweave.llm.pq_dedup import near_duplicates
 from cellweave.llm.quality import classify_quality
+from cellweave.llm.repair import damaged, digest_repairs, repair_conversations
 from cellweave.llm.token_counts import token_counts
 from cellweave.llm.toxicity import fit_chain, score_toxicity
+from cellweave.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +148,14 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pack(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return digest_repairs(repair_conversations(damaged(turns), turns))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(read(spark, folder, "embeddings"))
