@@ -115,9 +115,10 @@ def realise(docs: DataFrame, mixture: Mixture, block_docs: int = 2000, seed: int
 
     Each source is dealt into hashed blocks of about `block_docs` documents. In every epoch the blocks are
     permuted, and the documents within each block; running totals over blocks, and within a block over its
-    documents, place every document in its source's token stream. Whole epochs take every document; the
-    last one stops before the document that would pass the budget. Columns added: epoch, block, block_rank, rank
-    (in the block), start (tokens of the source emitted before).
+    documents, place every document in its source's token stream. Whole epochs take every document; in the
+    last one the document that reaches the budget is the last, so a source emits its budget and less than one
+    document more. Columns added: epoch, block, block_rank, rank (in the block), start (tokens of the source
+    emitted before).
     """
     s = mixture.sources.select(F.col("source").alias("s_source"), F.col("docs").alias("s_docs"), F.col("tokens").alias("s_tokens"), F.col("budget").alias("s_budget"))
     epochs = F.when(F.col("s_tokens") > 0, F.greatest(F.ceil(F.col("s_budget") / F.col("s_tokens")), F.lit(1))).otherwise(1)
@@ -134,10 +135,10 @@ def realise(docs: DataFrame, mixture: Mixture, block_docs: int = 2000, seed: int
     upto = F.sum("tokens").over(inside.rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumns({"rank": F.row_number().over(inside), "upto": upto})
     placed = rows.join(blocks, rows["source"].eqNullSafe(blocks["b_source"]) & (F.col("epoch") == F.col("b_epoch")) & (F.col("block") == F.col("b_block")))
-    stop = F.col("epoch") * F.col("s_tokens") + F.col("b_start") + F.col("upto")
+    start = F.col("epoch") * F.col("s_tokens") + F.col("b_start") + F.col("upto") - F.col("tokens")
     whole = (F.col("epoch") + 1) * F.col("s_tokens") <= F.col("s_budget") + F.lit(0.5)
-    taken = placed.where(whole | (stop <= F.col("s_budget")) | (F.col("s_tokens") == 0))
-    return taken.select(*docs.columns, "epoch", "block", "block_rank", "rank", (stop - F.col("tokens")).cast("long").alias("start"))
+    taken = placed.where(whole | (start < F.col("s_budget") - F.lit(0.5)) | (F.col("s_tokens") == 0))
+    return taken.select(*docs.columns, "epoch", "block", "block_rank", "rank", start.cast("long").alias("start"))
 
 
 def mix(

@@ -231,7 +231,7 @@ def nearest(
     k = int(np.clip(round((n / cell_rows) ** 0.5), 1, most))
     left, right = k_means(train[:, :half], k, seed=1), k_means(train[:, half:], k, seed=2)
     ranked = W.partitionBy("k1", "k2").orderBy("vec_id")
-    few = rows.select("k1", "k2", "vec_id").withColumn("r", F.rank().over(ranked)).where(F.col("r") <= top + 1).distinct()
+    few = rows.select("k1", "k2", "vec_id").distinct().withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= top + 1)
     ids = few.groupBy("k1", "k2").agg(F.slice(F.sort_array(F.collect_set("vec_id")), 1, top + 1).alias("ids"))
     once = rows.groupBy("k1", "k2").agg(F.first("e").alias("e")).join(ids, ["k1", "k2"]).select("k1", "k2", "e", "ids")
     once = stored(once.mapInArrow(lambda b: _assign(b, left, right), "k1 long, k2 long, e array<double>, ids array<long>, cell int"), "cells")

@@ -50,6 +50,20 @@ def test_nearest_against_all_pairs(vectors):
     assert [v for _, v, _ in got[50]] == [51, 52, 53, 54, 55]
 
 
+def test_nearest_with_repeated_rows_next_to_equal_vectors(spark):
+    """Ten rows of one id hide neither the other ids of the same vector nor what lies beyond."""
+    same, near, far = [1.0, 0.0, 0.2, 0.0], [1.0, 0.1, 0.2, 0.0], [0.0, 1.0, 0.0, 0.5]
+    rows = [(1, same)] * 10 + [(i, same) for i in range(2, 7)] + [(7, near)] * 12 + [(8, far), (8, same), (9, far)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(1, 7, 9))
+    found = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 6)))
+    cos = {(a, b): round(float(cosines(np.array([x]), np.array([y]))[0]), 6) for a, x in (("s", same), ("n", near), ("f", far)) for b, y in (("s", same), ("n", near), ("f", far))}
+    assert found[1] == [(i, 1.0) for i in range(2, 7)]
+    assert found[7] == [(i, cos["n", "s"]) for i in range(1, 6)]
+    assert found[9][0] == (8, 1.0) and [v for v, _ in found[9][1:]] == [7, 1, 2, 3]
+
+
 def test_small_tables(spark, vectors):
     df, _ = vectors
     few = df.where("vec_id < 3")
