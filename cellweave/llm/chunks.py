@@ -21,7 +21,7 @@ from cellweave.session import stored
 CUT_BITS = 10  # a cut about every 2 ** CUT_BITS bytes after the least size
 LEAST, MOST = 256, 65_536  # bytes of a chunk, but for the last one of a text
 FILTER_BITS = 1 << 25  # bits of the filter of shared chunks that every task gets (4 MB)
-SLICE = 16 << 20  # bytes of text cut, or tokens decoded, at a time
+SLICE = 8 << 20  # bytes of text cut, and of tokens decoded, at a time
 GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 # Byte-level names of the white space bytes; a token that holds one would reach across words.
 WHITE = "ĠĉĊċČč"
@@ -180,15 +180,15 @@ def _shared_texts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Reco
             )
 
 
-def _encode_chunks(batches: Iterator[pa.RecordBatch], path: str, common) -> Iterator[pa.RecordBatch]:
-    encoder = WordIds(path, common.value)
+def _encode_chunks(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
+    encoder = common.value.encoder()
     for batch in batches:
         yield pa.RecordBatch.from_arrays([column_of(batch, "k1"), column_of(batch, "k2"), *encode_pieces(encoder, column_of(batch, "text").to_pylist())], ["k1", "k2", *PIECE])
 
 
-def _alone(batches: Iterator[pa.RecordBatch], path: str, common, shared) -> Iterator[pa.RecordBatch]:
+def _alone(batches: Iterator[pa.RecordBatch], common, shared) -> Iterator[pa.RecordBatch]:
     """Ids of the documents without a shared chunk."""
-    encoder = WordIds(path, common.value)
+    encoder = common.value.encoder()
     for batch in batches:
         for some in texts_cut(column_of(batch, "text")):
             ends = np.cumsum([0, *[len(c.keys) for c in some]])
@@ -199,9 +199,9 @@ def _alone(batches: Iterator[pa.RecordBatch], path: str, common, shared) -> Iter
             yield pa.RecordBatch.from_arrays([docs, pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
 
-def _between(batches: Iterator[pa.RecordBatch], path: str, common, shared) -> Iterator[pa.RecordBatch]:
+def _between(batches: Iterator[pa.RecordBatch], common, shared) -> Iterator[pa.RecordBatch]:
     """What lies between shared chunks, of the documents that have some: neighbouring chunks are one piece."""
-    encoder = WordIds(path, common.value)
+    encoder = common.value.encoder()
     for batch in batches:
         for some in texts_cut(column_of(batch, "text")):
             hit, at = shared.value.has([k for c in some for k in c.keys]).tolist(), 0
@@ -279,7 +279,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
         rows = zip(*[column_of(batch, c).to_pylist() for c in ("t1", "t2", *PIECE)], strict=True)
         for t1, t2, *piece in rows:
             if (t1, t2) != name:
-                if size >= SLICE // 4:
+                if size >= SLICE // 2:
                     yield done()
                     names, texts, size = [], [], 0
                 name, pieces = (t1, t2), []
@@ -330,19 +330,19 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> Encoded:
     named = stored(docs.mapInArrow(_names, T.StructType([kind, long("t1"), long("t2"), T.StructField("chunks", chunk)])), "chunk-names")
     occurring = named.select("t1", "t2", F.posexplode("chunks").alias("ordinal", "c")).select("t1", "t2", "ordinal", "c.k1", "c.k2")
     shared = Filter(occurring.groupBy("k1", "k2").count().where("count > 1"))
-    sent, common = spark.sparkContext.broadcast(shared), spark.sparkContext.broadcast(common_words(docs, tokenizer))
+    sent, common = spark.sparkContext.broadcast(shared), common_words(docs, tokenizer)
 
     texts = docs.select("text").mapInArrow(lambda b: _shared_texts(b, sent), "k1 long, k2 long, text string")
     texts = texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    chunks = texts.mapInArrow(lambda b: _encode_chunks(b, tokenizer, common), f"k1 long, k2 long, {PIECE_DDL}")
+    chunks = texts.mapInArrow(lambda b: _encode_chunks(b, common), f"k1 long, k2 long, {PIECE_DDL}")
     chunks = chunks.withColumnsRenamed({"k1": "c1", "k2": "c2"})
     refs = occurring.mapInArrow(lambda b: _may_be_shared(b, sent), occurring.schema).dropDuplicates(["t1", "t2", "ordinal"])
     refs = refs.join(chunks, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("t1", "t2", "ordinal", *PIECE)
-    between = docs.mapInArrow(lambda b: _between(b, tokenizer, common, sent), f"t1 long, t2 long, ordinal int, {PIECE_DDL}")
+    between = docs.mapInArrow(lambda b: _between(b, common, sent), f"t1 long, t2 long, ordinal int, {PIECE_DDL}")
     pieces = refs.unionByName(between).repartition("t1", "t2").sortWithinPartitions("t1", "t2", "ordinal")
     whole = pieces.mapInArrow(lambda b: _assemble(b, tokenizer), "t1 long, t2 long, ids binary")
 
-    alone = docs.mapInArrow(lambda b: _alone(b, tokenizer, common, sent), T.StructType([kind, T.StructField("ids", T.BinaryType())]))
+    alone = docs.mapInArrow(lambda b: _alone(b, common, sent), T.StructType([kind, T.StructField("ids", T.BinaryType())]))
     any_shared = lambda b: _with_shared(b, sent)
     places = named.mapInArrow(any_shared, T.StructType([kind, long("t1"), long("t2")]))
     return Encoded(alone, whole, places)
@@ -386,7 +386,7 @@ def _figures(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         ends = np.cumsum([len(b) // 2 for b in blobs])
         counts, ids_sha, text_sha, a = [], [], [], 0
         while a < len(blobs):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE // 8, side="right")))
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE // 4, side="right")))
             ids = [np.frombuffer(blob, dtype="<u2") for blob in blobs[a:b]]
             texts = decoder.decode(ids)
             edges = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist()

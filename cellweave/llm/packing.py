@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.llm.common import column_of
-from cellweave.llm.words import COMMON, SAMPLE_DOCS, WordIds, common_words
+from cellweave.llm.words import COMMON, SAMPLE_DOCS, common_words
 from cellweave.scale import broadcast_if_small
 from cellweave.session import stored
 
 PARTS = 100_000  # rows (partition and source) of running totals that may be broadcast, of about 30 bytes each
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int, common) -> Iterator[pa.RecordBatch]:
+def _tokenise(batches: Iterator[pa.RecordBatch], end_id: int, common) -> Iterator[pa.RecordBatch]:
     """Ids of every document, and where it starts in its source's stream within this partition."""
-    ids_of = WordIds(path, common.value)
+    ids_of = common.value.encoder()
     part = TaskContext.get().partitionId()
     at: dict[str | None, int] = {}
     for batch in batches:
@@ -184,8 +184,8 @@ def pack(
             T.StructField("ids", T.BinaryType()),
         ]
     )
-    common = docs.sparkSession.sparkContext.broadcast(common_words(docs, tokenizer, sample_docs, common_most))
-    ids = stored(docs.mapInArrow(lambda b: _tokenise(b, tokenizer, end_id, common), schema), "token-ids")
+    common = common_words(docs, tokenizer, sample_docs, common_most)
+    ids = stored(docs.mapInArrow(lambda b: _tokenise(b, end_id, common), schema), "token-ids")
     return _dealt(ids, kind, length, window_sequences, weights)
 
 
