@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from cellweave.session import stored
 CUT_BITS = 10  # a cut about every 2 ** CUT_BITS bytes after the least size
 LEAST, MOST = 256, 65_536  # bytes of a chunk, but for the last one of a text
 FILTER_BITS = 1 << 25  # bits of the filter of shared chunks that every task gets (4 MB)
-SLICE = 8 << 20  # bytes of text cut, and of tokens decoded, at a time
+SLICE = 4 << 20  # bytes of text cut, and about as many of ids and decoded text, held at a time
 GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 # Byte-level names of the white space bytes; a token that holds one would reach across words.
 WHITE = "ĠĉĊċČč"
@@ -78,8 +78,8 @@ def _key(part: bytes) -> tuple[int, int]:
 def texts_cut(texts: pa.Array) -> Iterator[list[Cut]]:
     """Texts (null: empty) with their chunks, in slices of bounded size; a longer text comes alone."""
     rows, size = [], 0
-    for row, text in enumerate(texts.to_pylist()):
-        raw = (text or "").encode()
+    for row, text in enumerate(texts):
+        raw = (text.as_py() or "").encode()
         rows.append((row, raw))
         size += len(raw)
         if size >= SLICE:
@@ -231,10 +231,8 @@ class Joiner:
     """Ids of whole texts from their pieces: every join is encoded anew, from the last word of the one side that a
     cut leaves whole to the first such word of the other, over as many open pieces as lie between."""
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
         if any(len(t) > 1 and set(t) & set(WHITE) for t in (token.removesuffix("</w>") for token in self.tokenizer.get_vocab())):
             raise ValueError("tokens of this vocabulary reach across white space; joins can't be told to agree")
 
@@ -266,9 +264,9 @@ class Joiner:
         return b"".join(out)
 
 
-def _assemble(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _assemble(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
     """Pieces come by text and place; ids of whole texts leave in batches of bounded size."""
-    joiner = Joiner(path)
+    joiner = Joiner(common.value.encoder().tokenizer)
     name, pieces, names, texts, size = None, [], [], [], 0
 
     def done() -> pa.RecordBatch:
@@ -294,22 +292,26 @@ def _assemble(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Recor
 @dataclass(frozen=True)
 class Encoded:
     """Token ids, little-endian unsigned 16-bit: `alone` (doc_id, ids) are documents without a shared chunk; the others
-    are `places` (doc_id, t1, t2) of `texts` (t1, t2, ids), each different text once."""
+    are `places` (doc_id, t1, t2) of `texts` (t1, t2, ids), each different text once. In place of `ids` may stand
+    the figures that `encode_documents` was asked for."""
 
     alone: DataFrame
     texts: DataFrame
     places: DataFrame
 
-    def per_document(self, figures: Callable[[DataFrame], DataFrame] = lambda ids: ids) -> DataFrame:
-        """One row per document with what `figures` makes of `ids`, once for each different text."""
-        texts = figures(self.texts.withColumnsRenamed({"t1": "x1", "t2": "x2"}))
+    def per_document(self) -> DataFrame:
+        """One row per document."""
+        texts = self.texts.withColumnsRenamed({"t1": "x1", "t2": "x2"})
         joined = self.places.join(texts, (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2"))).drop("t1", "t2", "x1", "x2")
-        return figures(self.alone).unionByName(joined)
+        return self.alone.unionByName(joined)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str) -> Encoded:
+def encode_documents(docs: DataFrame, tokenizer: str, figures: bool = False) -> Encoded:
     """Token ids of every whole text (`doc_id`, `text`) as the library gives them without special tokens.
 
+    With `figures`, n_tokens, ids_sha256 (of unsigned 32-bit little-endian ids) and decoded_sha256 (of the text decoded
+    from the ids, special tokens included) are taken from the ids in the tasks that have them, and replace them.
+
     Texts are cut where a rolling hash of their last 32 bytes is small, so a passage is cut alike wherever it stands.
     Chunks that occur once are encoded where they lie, neighbours together. Each chunk that occurs more often is
     encoded once, and its ids are joined to the places where it occurs, once for each different text. Then every join of
@@ -340,9 +342,10 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> Encoded:
     refs = refs.join(chunks, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select("t1", "t2", "ordinal", *PIECE)
     between = docs.mapInArrow(lambda b: _between(b, common, sent), f"t1 long, t2 long, ordinal int, {PIECE_DDL}")
     pieces = refs.unionByName(between).repartition("t1", "t2").sortWithinPartitions("t1", "t2", "ordinal")
-    whole = pieces.mapInArrow(lambda b: _assemble(b, tokenizer), "t1 long, t2 long, ids binary")
-
-    alone = docs.mapInArrow(lambda b: _alone(b, common, sent), T.StructType([kind, T.StructField("ids", T.BinaryType())]))
+    out = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if figures else [T.StructField("ids", T.BinaryType())]
+    finish = _figures if figures else lambda ids, common: ids
+    whole = pieces.mapInArrow(lambda b: finish(_assemble(b, common), common), T.StructType([long("t1"), long("t2"), *out]))
+    alone = docs.mapInArrow(lambda b: finish(_alone(b, common, sent), common), T.StructType([kind, *out]))
     any_shared = lambda b: _with_shared(b, sent)
     places = named.mapInArrow(any_shared, T.StructType([kind, long("t1"), long("t2")]))
     return Encoded(alone, whole, places)
@@ -362,10 +365,8 @@ def _with_shared(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Recor
 class Decoder:
     """Texts of token ids, special tokens included, as the library's decode gives them."""
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
         size = self.tokenizer.get_vocab_size()
         self.plain = self.tokenizer.decoder is None  # then tokens are put one after another with blanks between
         self.tokens = pa.array([self.tokenizer.id_to_token(i) for i in range(size)], pa.large_string())
@@ -379,8 +380,9 @@ class Decoder:
         return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), tokens), pa.scalar(" ", pa.large_string()))
 
 
-def _figures(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    decoder = Decoder(path)
+def _figures(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
+    """Replace `ids` by how many they are and by hashes of them and of the decoded text."""
+    decoder = Decoder(common.value.encoder().tokenizer)
     for batch in batches:
         blobs = column_of(batch, "ids").to_pylist()
         ends = np.cumsum([len(b) // 2 for b in blobs])
@@ -398,10 +400,3 @@ def _figures(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
         others = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "ids"]
         names = [n for n in batch.schema.names if n != "ids"]
         yield pa.RecordBatch.from_arrays([*others, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-
-def digest_ids(ids: DataFrame, tokenizer: str) -> DataFrame:
-    """Replace `ids` by n_tokens, ids_sha256 (of unsigned 32-bit little-endian ids) and decoded_sha256 (of the decoded text)."""
-    kept = [f for f in ids.schema.fields if f.name != "ids"]
-    found = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return ids.mapInArrow(lambda b: _figures(b, tokenizer), T.StructType([*kept, *found]))

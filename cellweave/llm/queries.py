@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.chat import digest_chats, format_chats, records_of_turns
-from cellweave.llm.chunks import digest_ids, encode_documents
+from cellweave.llm.chunks import encode_documents
 from cellweave.llm.line_dedup import dedup_lines
 from cellweave.llm.mixing import mix
 from cellweave.llm.multi_index import nearest
@@ -164,6 +164,4 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op12_bpe_chunks")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
-    tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    encoded = encode_documents(read(spark, folder, "documents"), tokenizer)
-    return encoded.per_document(lambda ids: digest_ids(ids, tokenizer))
+    return encode_documents(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), figures=True).per_document()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.common import column_of, most_frequent
 
 CACHE = 500_000  # words seen by a task whose ids it keeps
-SLICE = 12 << 20  # bytes of text looked at together; a longer text comes alone
+SLICE = 8 << 20  # bytes of text looked at together; a longer text comes alone
 SAMPLE_DOCS, COMMON = 16_000, 400_000  # texts that tell which words are frequent, and how many of these every task gets
 
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cellweave.llm.chunks import LEAST, MOST, Decoder, Joiner, cut, digest_ids, encode_documents, encode_pieces, texts_cut
+from cellweave.llm.chunks import LEAST, MOST, Decoder, Joiner, cut, encode_documents, encode_pieces, texts_cut
 from cellweave.llm.words import WordIds
 from tests.llm.conftest import prose
 
@@ -18,7 +18,8 @@ PARTS = [*"ab ZÉé,.'<|>/\\n▁\n\t0́Σςİ漢🙂sǅÅ", "<|endoftext|>", "<|
 
 @cache
 def tools():
-    return Tokenizer.from_file(WORDS), WordIds(WORDS), Joiner(WORDS), Decoder(WORDS)
+    library = Tokenizer.from_file(WORDS)
+    return library, WordIds(WORDS), Joiner(library), Decoder(library)
 
 
 def pieces_of(texts):
@@ -65,6 +66,6 @@ def test_documents(spark, documents, nothing):
         figures.append((r["doc_id"] or -1, len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(texts.encode()).hexdigest()))
     got = [(r["doc_id"] or -1, np.frombuffer(r["ids"], dtype="<u2").tolist()) for r in encoded.per_document().collect()]
     assert sorted(got) == sorted(want)
-    digests = encoded.per_document(lambda ids: digest_ids(ids, WORDS)).collect()
+    digests = encode_documents(docs, WORDS, figures=True).per_document().collect()
     assert sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in digests) == sorted(figures)
-    assert encode_documents(nothing, WORDS).per_document(lambda ids: digest_ids(ids, WORDS)).count() == 0
+    assert encode_documents(nothing, WORDS, figures=True).per_document().count() == 0
