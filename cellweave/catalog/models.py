@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from cellweave.catalog import fixtures as fx
 from cellweave.catalog.registry import query
 from cellweave.functions.scalars import all_present
 from cellweave.operators import labels, models, tiles
+from cellweave.operators.logistic import fit_logistic_groups, score_logistic
+from cellweave.operators.metrics import evaluate
 from cellweave.plans import baselines
 from cellweave.session import stored
 
@@ -23,29 +25,34 @@ FOREST = {"trees": 500, "depth": 30}
 PASSES = 50
 
 
-def _folds(spark, folder):
-    grid = fx.cell_grid(spark, folder)
-    cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
-    strips = fx.strips(grid)
-    samples = baselines.fold_samples(cells, BANDS, strips, cap=FIT_ROWS)
-    return cells, baselines.fold_tables(samples, BANDS, [s["fold"] for s in strips])
+_FORESTS: dict[tuple[str, str], tuple[dict, list]] = {}
+
+
+def _forests(spark, folder):
+    """The folds and their forests; several queries of a session read the same fits."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FORESTS:
+        cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
+        strips = fx.strips(fx.cell_grid(spark, folder))
+        samples = baselines.fold_samples(cells, BANDS, strips, cap=FIT_ROWS)
+        folds = baselines.fold_tables(samples, BANDS, [s["fold"] for s in strips])
+        _FORESTS[key] = (folds, models.fit_forests([f.train for f in folds.values()], BANDS, **FOREST))
+    return _FORESTS[key]
 
 
 @query("m1_rf_baseline")
 def m1(spark, folder):
     """Scores of the validation rows of all folds."""
-    _, folds = _folds(spark, folder)
-    fits = [partial(models.fit_forest, f.train, BANDS, **FOREST) for f in folds.values()]
-    scored = [models.score(m, f.validation).select("fold", "row", "col", "label", "score") for m, f in zip(baselines.in_parallel(fits), folds.values(), strict=True)]
+    folds, forests = _forests(spark, folder)
+    scored = [models.score(m, f.validation).select("fold", "row", "col", "label", "score") for m, f in zip(forests, folds.values(), strict=True)]
     return reduce(DataFrame.unionByName, scored)
 
 
 @query("m2_rf_importance")
 def m2(spark, folder):
     """Importances of all folds."""
-    _, folds = _folds(spark, folder)
-    fits = baselines.in_parallel([partial(models.fit_forest, f.train, BANDS, **FOREST) for f in folds.values()])
-    tables = [models.forest_importance(m, BANDS, spark).withColumn("fold", F.lit(k).cast("bigint")) for k, m in zip(folds, fits, strict=True)]
+    folds, forests = _forests(spark, folder)
+    tables = [models.forest_importance(m, BANDS, spark).withColumn("fold", F.lit(k).cast("bigint")) for k, m in zip(folds, forests, strict=True)]
     return reduce(DataFrame.unionByName, tables)
 
 
@@ -66,9 +73,10 @@ def _tile_features(spark, folder):
 def m3(spark, folder):
     grid = fx.cell_grid(spark, folder)
     features = _tile_features(spark, folder)
-    model = models.fit_logistic(labels.with_weights(features), BANDS)
+    terms = models.fit_logistic(labels.with_weights(features), BANDS)
     valid = tiles.inference_tiles(fx.stored_cells(spark, folder), BANDS, grid.height, grid.width, P)
-    return models.score_tiles(features.join(valid.select("row", "col"), ["row", "col"]), model, grid.height, grid.width, P, S)
+    scored = models.score_linear(terms, BANDS, features.join(valid.select("row", "col"), ["row", "col"]))
+    return models.score_tiles(scored, grid.height, grid.width, P, S)
 
 
 @query("m4_ensemble_uncertainty")
@@ -81,21 +89,19 @@ def m4(spark, folder):
 @query("m6_pu_logistic")
 def m6(spark, folder):
     features = _tile_features(spark, folder)
-    model = models.fit_logistic(labels.with_weights(features), BANDS)
-    return models.score(model, features).select("row", "col", "label", "score")
+    terms = models.fit_logistic(labels.with_weights(features), BANDS)
+    return models.score_linear(terms, BANDS, features).select("row", "col", "label", "score")
 
 
 @query("m7_spatial_cv")
 def m7(spark, folder):
     """Metrics of every fold for both kinds of model."""
-    grid = fx.cell_grid(spark, folder)
-    cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
-    samples = baselines.fold_samples(cells, BANDS, fx.strips(grid), cap=FIT_ROWS)
-    kinds = {"logistic": {}, "forest": FOREST}
-    tables = [
-        baselines.spatial_cv(cells, BANDS, fx.strips(grid), kind, samples, **options).withColumn("kind", F.lit(kind)) for kind, options in kinds.items()
-    ]
-    return reduce(DataFrame.unionByName, tables)
+    folds, forests = _forests(spark, folder)
+    train, validation = baselines.together(folds)
+    fitted = fit_logistic_groups(train, BANDS, ["fold"])
+    logistic = score_logistic(validation, BANDS, ["fold"], fitted).select("fold", "label", "score", F.lit("logistic").alias("kind"))
+    scored = [models.score(m, f.validation).select("fold", "label", "score", F.lit("forest").alias("kind")) for m, f in zip(forests, folds.values(), strict=True)]
+    return evaluate(reduce(DataFrame.unionByName, scored, logistic), by=["kind", "fold"])
 
 
 @query("m7_cv_summary")
@@ -117,8 +123,8 @@ def m8(spark, folder):
 @query("m10_pixel_map_rf")
 def m10(spark, folder):
     """Every valid cell, filled and scaled as the training rows of the first fold."""
-    cells, folds = _folds(spark, folder)
-    fold = folds[min(folds)]
-    model = models.fit_forest(fold.train, BANDS, **FOREST)
-    ready = fold.apply(cells.withColumn("_known", all_present(BANDS)))
-    return models.pixel_map(ready, model, F.col("_known"))
+    folds, forests = _forests(spark, folder)
+    cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
+    first = list(folds).index(min(folds))
+    ready = folds[min(folds)].apply(cells.withColumn("_known", all_present(BANDS)))
+    return models.pixel_map(ready, forests[first], F.col("_known"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import math
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import partial
+from typing import TypeVar
+
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -13,52 +17,93 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import sigmoid
 from cellweave.operators.labels import stratified_sample, with_weights
+from cellweave.operators.logistic import fit_logistic_groups
 from cellweave.operators.tiles import pass_mean_std, tile_overlap_mean
+from cellweave.session import keep_checkpoints, stored
 
 
-def _fit(train: DataFrame, features: Sequence[str], estimator) -> PipelineModel:
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
-    ready = assembler.transform(train.withColumn("label", F.col("label").cast("double")))
-    return PipelineModel(stages=[assembler, estimator.fit(ready)])
+T = TypeVar("T")
+
+#: Rows of a fit that one task holds; a smaller sample is one task, so that parts of forests grow side by side.
+TASK_ROWS = 100_000
+#: Trees of a part of a forest. A part grows all its trees level by level.
+PART_TREES = 63
+#: Parts that grow at the same time.
+AT_ONCE = 8
+
+
+def in_parallel(jobs: Sequence[Callable[[], T]], at_once: int = AT_ONCE) -> list[T]:
+    """Results of independent fits, a few of them submitted to the cluster at a time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
+@dataclass(frozen=True)
+class Forest:
+    """A random forest in parts. Its probability is the mean over all trees, like that of one fit."""
 
+    assembler: VectorAssembler
+    parts: tuple[RandomForestClassificationModel, ...]
+    trees: tuple[int, ...]
 
-def fit_forest(
-    train: DataFrame, features: Sequence[str], trees: int = 500, depth: int = 30, min_leaf: int = 5, seed: int = 42,
+
+def fit_forests(
+    trains: Sequence[DataFrame], features: Sequence[str], trees: int = 500, depth: int = 30, min_leaf: int = 5, seed: int = 42,
     weight: str = "weight",
-) -> PipelineModel:
-    """Random forest on weighted samples; depth 30 is the deepest Spark ML grows."""
-    return _fit(
-        train,
-        features,
-        RandomForestClassifier(
-            featuresCol="_features", labelCol="label", weightCol=weight, numTrees=trees, maxDepth=depth,
-            minInstancesPerNode=min_leaf, seed=seed, maxMemoryInMB=1024, probabilityCol="_probability",
-        ),
-    )
-
-
-def fit_logistic(train: DataFrame, features: Sequence[str], weight: str = "weight", l2: float = 1e-4, iterations: int = 50) -> PipelineModel:
-    """Weighted positive-unlabeled logistic model."""
-    return _fit(
-        train,
-        features,
-        LogisticRegression(
-            featuresCol="_features", labelCol="label", weightCol=weight, regParam=l2, maxIter=iterations, probabilityCol="_probability"
-        ),
-    )
-
-
-def score(model: PipelineModel, cells: DataFrame, name: str = "score") -> DataFrame:
-    """Add the probability of the positive class; of the only class when there is one."""
-    scored = model.transform(cells)
-    p = vector_to_array(F.col("_probability"))
-    value = F.when(F.size(p) > 1, F.get(p, F.lit(1))).otherwise(F.get(p, F.lit(0)))
-    return scored.withColumn(name, value).drop("_features", "_probability", "rawPrediction", "prediction")
-
-
-def forest_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
-    """`feature, importance, rank`: impurity importances, largest first."""
-    values = model.stages[-1].featureImportances.toArray()
+) -> list[Forest]:
+    """Random forests on weighted samples, one for each table; depth 30 is the deepest Spark ML grows.
+
+    Forests are assembled from seeded parts of about PART_TREES trees that grow side by side, all tables' parts together.
+    Tasks keep the node of every row (checkpointed in the shared folder), so that trees are not sent along with each level.
+    """
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
+    count = max(1, round(trees / PART_TREES))
+    sizes = [trees // count + (k < trees % count) for k in range(count)]
+
+    def grow(ready: DataFrame, k: int) -> RandomForestClassificationModel:
+        return RandomForestClassifier(
+            featuresCol="_features", labelCol="label", weightCol=weight, numTrees=sizes[k], maxDepth=depth, minInstancesPerNode=min_leaf,
+            seed=seed + k, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10, probabilityCol="_probability",
+        ).fit(ready)
+
+    jobs = []
+    for train in trains:
+        keep_checkpoints(train.sparkSession)
+        ready = assembler.transform(train.withColumn("label", F.col("label").cast("double"))).select("_features", "label", weight)
+        ready = ready.coalesce(max(1, math.ceil(train.count() / TASK_ROWS)))
+        jobs += [partial(grow, ready, k) for k in range(count)]
+    grown = in_parallel(jobs)
+    return [Forest(assembler, tuple(grown[i : i + count]), tuple(sizes)) for i in range(0, len(grown), count)]
+
+
+def fit_forest(train: DataFrame, features: Sequence[str], **options) -> Forest:
+    return fit_forests([train], features, **options)[0]
+
+
+def fit_logistic(train: DataFrame, features: Sequence[str], weight: str = "weight", l2: float = 1e-4) -> list[float]:
+    """Weighted positive-unlabeled logistic model: its bias and weights."""
+    return fit_logistic_groups(train, features, weight=weight, l2=l2).get(("full",), [0.0] * (len(features) + 1))
+
+
+def score(model: Forest, cells: DataFrame, name: str = "score") -> DataFrame:
+    """Add the probability of the positive class; of the only class when there is one. Rows with null features go."""
+    scored, total = model.assembler.transform(cells), F.lit(0.0)
+    for k, (part, trees) in enumerate(zip(model.parts, model.trees, strict=True)):
+        p = F.col(f"_p{k}")
+        scored = part.transform(scored).withColumn(f"_p{k}", vector_to_array(F.col("_probability"))).drop("_probability", "rawPrediction", "prediction")
+        total = total + F.when(F.size(p) > 1, F.get(p, F.lit(1))).otherwise(F.get(p, F.lit(0))) * trees
+    return scored.withColumn(name, total / sum(model.trees)).drop("_features", *[f"_p{k}" for k in range(len(model.parts))])
+
+
+def score_linear(terms: Sequence[float], features: Sequence[str], cells: DataFrame, name: str = "score") -> DataFrame:
+    """Add the probability of a logistic model."""
+    return cells.withColumn(name, sigmoid(logit(features, terms)))
+
+
+def forest_importance(model: Forest, features: Sequence[str], spark) -> DataFrame:
+    """`feature, importance, rank`: impurity importances, the mean over all trees, largest first."""
+    values = sum(part.featureImportances.toArray() * trees for part, trees in zip(model.parts, model.trees, strict=True))
+    values = values / (values.sum() or 1.0)
     ordered = sorted(zip(features, (float(v) for v in values)), key=lambda p: (-p[1], p[0]))
     rows = [(f, v, i + 1) for i, (f, v) in enumerate(ordered)]
     return spark.createDataFrame(rows, "feature string, importance double, rank bigint")
@@ -68,30 +113,26 @@ def top_features(importances: DataFrame, n: int = 5) -> DataFrame:
     return importances.orderBy(F.desc("importance"), "feature").limit(n)
 
 
-def logistic_terms(model: PipelineModel) -> tuple[list[float], float]:
-    fitted = model.stages[-1]
-    return [float(c) for c in fitted.coefficients], float(fitted.intercept)
-
-
-def logit(features: Sequence[str], terms: tuple[Sequence[float], float]) -> Column:
-    weights, bias = terms
-    total = F.lit(float(bias))
-    for f, w in zip(features, weights):
+def logit(features: Sequence[str], terms: Sequence[float]) -> Column:
+    total = F.lit(float(terms[0]))
+    for f, w in zip(features, terms[1:], strict=True):
         total = total + F.col(f) * float(w)
     return total
 
 
-def fit_ensemble(samples: DataFrame, features: Sequence[str], passes: int, ratio: float = 5.0, seed: int = 42) -> list[tuple[list[float], float]]:
-    """Terms of logistic models, each fitted on its own unlabeled draw."""
-    fitted = []
-    for k in range(passes):
-        drawn = with_weights(stratified_sample(samples, ratio, seed + k))
-        fitted.append(logistic_terms(fit_logistic(drawn, features)))
-    return fitted
+def fit_ensemble(samples: DataFrame, features: Sequence[str], passes: int, ratio: float = 5.0, seed: int = 42) -> list[list[float]]:
+    """Terms of logistic models, each fitted on its own unlabeled draw.
+
+    All passes are drawn as groups of one job and fitted together.
+    """
+    every = samples.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    drawn = stratified_sample(every, ratio, F.lit(seed) + F.col("pass"), by=["pass"])
+    fitted = fit_logistic_groups(stored(with_weights(drawn), "draws"), features, ["pass"])
+    return [fitted[k] for k in sorted(fitted)]
 
 
 def ensemble_uncertainty(
-    cells: DataFrame, features: Sequence[str], ensemble: Sequence[tuple[Sequence[float], float]], keys: Sequence[str]
+    cells: DataFrame, features: Sequence[str], ensemble: Sequence[Sequence[float]], keys: Sequence[str]
 ) -> DataFrame:
     """Mean and sample deviation over the ensemble per row; nothing is shuffled."""
     probabilities = F.array(*[sigmoid(logit(features, terms)) for terms in ensemble])
@@ -101,14 +142,12 @@ def ensemble_uncertainty(
     return scored.select(*keys, mean.alias("mean"), std.alias("std"))
 
 
-def score_tiles(
-    tiles: DataFrame, model: PipelineModel, height: int, width: int, patch: int, stride: int
-) -> DataFrame:
-    """Score tile features (`row, col` is the centre) and spread the scores over the cells."""
-    return tile_overlap_mean(score(model, tiles), ["score"], height, width, patch, stride)
+def score_tiles(scored: DataFrame, height: int, width: int, patch: int, stride: int) -> DataFrame:
+    """Spread the scores of tiles (`row, col` is the centre) over the cells."""
+    return tile_overlap_mean(scored, ["score"], height, width, patch, stride)
 
 
-def pixel_map(cells: DataFrame, model: PipelineModel, valid: Column, nodata: float = -9999.0) -> DataFrame:
+def pixel_map(cells: DataFrame, model: Forest, valid: Column, nodata: float = -9999.0) -> DataFrame:
     """`row, col, score`: predictions for all valid cells, the rest nodata.
 
     `cells` must be prepared (filled, scaled) like the rows that the model was fitted on.

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import partial, reduce
-from typing import TypeVar
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +12,14 @@ from pyspark.sql import functions as F
 from cellweave.functions.scalars import all_present
 from cellweave.operators.evidence import woe_fit, woe_posterior
 from cellweave.operators.labels import spatial_folds, stratified_sample, with_weights
+from cellweave.operators.logistic import fit_logistic_groups, score_logistic
 from cellweave.operators.metrics import evaluate, fold_summary
-from cellweave.operators.models import fit_forest, fit_logistic, score
+from cellweave.operators.models import fit_forests, score
 from cellweave.operators.normalize import fill_with, standardize, standardize_fit, unpivot_bands
+from cellweave.operators.runs import ablation_drop
 from cellweave.scale import exact_percentiles
 from cellweave.session import stored
 
-T = TypeVar("T")
-
 
 def woe_baseline(
     cells: DataFrame, bands: Sequence[str], strips: Sequence[Mapping[str, int]], ratio: float = 10, seed: int = 42,
@@ -96,42 +94,41 @@ def fold_tables(samples: DataFrame, bands: Sequence[str], folds: Sequence[int])
     return tables
 
 
-def in_parallel(jobs: Sequence[Callable[[], T]], at_once: int = 4) -> list[T]:
-    """Results of independent fits, a few of them submitted to the cluster at a time."""
-    with ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(lambda job: job(), jobs))
+def together(folds: Mapping[int, Prepared]) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows of all folds (`fold`), each as one stored table."""
+    train = reduce(DataFrame.unionByName, [f.train for f in folds.values()])
+    validation = reduce(DataFrame.unionByName, [f.validation for f in folds.values()])
+    return stored(train, "train"), stored(validation, "validation")
 
 
 def spatial_cv(
     cells: DataFrame, bands: Sequence[str], strips: Sequence[Mapping[str, int]], kind: str = "forest",
     samples: DataFrame | None = None, **options,
 ) -> DataFrame:
-    """Metrics per fold of a forest or logistic model; the scored folds are evaluated together."""
-    folds = [s["fold"] for s in strips]
+    """Metrics per fold of a forest or logistic model; the folds are fitted side by side and evaluated together."""
     drawn = fold_samples(cells, bands, strips) if samples is None else samples
-
-    def one(fold: Prepared) -> DataFrame:
-        model = fit_forest(fold.train, bands, **options) if kind == "forest" else fit_logistic(fold.train, bands, **options)
-        return score(model, fold.validation).select("fold", "label", "score")
-
-    scored = in_parallel([partial(one, fold) for fold in fold_tables(drawn, bands, folds).values()])
-    return evaluate(reduce(DataFrame.unionByName, scored), by=["fold"])
+    folds = fold_tables(drawn, bands, [s["fold"] for s in strips])
+    if kind == "forest":
+        forests = fit_forests([f.train for f in folds.values()], bands, **options)
+        scored = [score(m, f.validation).select("fold", "label", "score") for m, f in zip(forests, folds.values(), strict=True)]
+        return evaluate(reduce(DataFrame.unionByName, scored), by=["fold"])
+    train, validation = together(folds)
+    fitted = fit_logistic_groups(train, bands, ["fold"], **options)
+    return evaluate(score_logistic(validation, bands, ["fold"], fitted).select("fold", "label", "score"), by=["fold"])
 
 
 def cv_summary(metrics: DataFrame) -> DataFrame:
     return fold_summary(metrics, ["auc_pr", "auc_roc", "f1"])
 
 
-def channel_ablation(
-    cells: DataFrame, variants: Mapping[str, Sequence[str]], strips: Sequence[Mapping[str, int]], kind: str = "logistic", **options
-) -> DataFrame:
-    """`fold, variant, auc_pr, drop`: refit with each set of bands and compare with `full`."""
-    from cellweave.operators.runs import ablation_drop
+def channel_ablation(cells: DataFrame, variants: Mapping[str, Sequence[str]], strips: Sequence[Mapping[str, int]], **options) -> DataFrame:
+    """`fold, variant, auc_pr, drop`: logistic models with each set of bands, compared with `full`.
 
+    All variants see the same rows; the models of all folds and variants are fitted and evaluated together.
+    """
     every = list(dict.fromkeys(b for bands in variants.values() for b in bands))
-    samples = fold_samples(cells, every, strips)  # all variants see the same rows
-    tables = [
-        spatial_cv(cells, list(bands), strips, kind, samples, **options).select("fold", F.lit(name).alias("variant"), "auc_pr")
-        for name, bands in variants.items()
-    ]
-    return ablation_drop(reduce(DataFrame.unionByName, tables), "auc_pr")
+    folds = fold_tables(fold_samples(cells, every, strips), every, [s["fold"] for s in strips])
+    train, validation = together(folds)
+    fitted = fit_logistic_groups(train, every, ["fold"], variants, **options)
+    scored = score_logistic(validation, every, ["fold"], fitted).select("fold", "variant", "label", "score")
+    return ablation_drop(evaluate(scored, by=["fold", "variant"]).select("fold", "variant", "auc_pr"), "auc_pr")

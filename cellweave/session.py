@@ -57,11 +57,15 @@ def _is_local(master: str) -> bool:
 _own_folder: str | None = None
 
 
+def keep_checkpoints(spark: SparkSession) -> None:
+    """Set the checkpoint folder, in the shared folder, unless there is one."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and cut its lineage; lost executors cost nothing."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    keep_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

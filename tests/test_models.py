@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.operators import labels, metrics, models
+from cellweave.operators.logistic import fit_logistic_groups
 from cellweave.plans import baselines
 
 
@@ -18,12 +19,14 @@ def cells(spark):
 
 def test_logistic_forest_and_map(spark, cells):
     train = labels.with_weights(labels.stratified_sample(cells, 3))
-    logistic = models.fit_logistic(train, ["a", "b"])
-    weights, _ = models.logistic_terms(logistic)
-    assert weights[0] > 0.5 and abs(weights[1]) < 0.3
-    scored = models.score(logistic, cells)
-    direct = scored.select(F.max(F.abs(F.col("score") - models.sigmoid(models.logit(["a", "b"], models.logistic_terms(logistic)))))).first()[0]
-    assert direct < 1e-9
+    terms = models.fit_logistic(train, ["a", "b"])
+    assert terms[1] > 0.5 and abs(terms[2]) < 0.3
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    ready = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(train.withColumn("label", F.col("label").cast("double")))
+    library = LogisticRegression(featuresCol="x", weightCol="weight", regParam=1e-4, standardization=False, tol=1e-12, maxIter=200).fit(ready)
+    assert np.allclose(terms, [library.intercept, *library.coefficients], atol=1e-5)
 
     forest = models.fit_forest(train, ["a", "b"], trees=8, depth=5)
     top = models.forest_importance(forest, ["a", "b"], spark).orderBy("rank").collect()
@@ -36,7 +39,7 @@ def test_logistic_forest_and_map(spark, cells):
 
 def test_ensemble_spread(spark, cells):
     ensemble = models.fit_ensemble(cells, ["a", "b"], passes=3, ratio=1.0)
-    assert len({tuple(w) for w, _ in ensemble}) == 3
+    assert len({tuple(terms) for terms in ensemble}) == 3
     got = models.ensemble_uncertainty(cells, ["a", "b"], ensemble, ["row", "col"])
     row = got.agg(F.count("*").alias("n"), F.min("std").alias("s"), F.max("mean").alias("m")).first()
     assert row["n"] == 3000 and row["s"] >= 0 and row["m"] <= 1
@@ -73,27 +76,47 @@ def test_one_class_gives_zeros(cells):
     assert rows[0] == rows[1] == 0 and rows[5] > 0
 
 
-def test_registered_models_have_the_full_size(spark, monkeypatch):
-    from cellweave.catalog import QUERIES
-    from cellweave.catalog import models as catalog
-
-    class Asked(Exception):
-        pass
-
-    def ask(*args, **options):
-        raise Asked(options)
-
-    def asked(name):
-        with pytest.raises(Asked) as found:
-            QUERIES[name](spark, "")
-        return found.value.args[0]
-
-    monkeypatch.setattr(catalog, "_tile_features", lambda *_: None)
-    monkeypatch.setattr(catalog.models, "fit_ensemble", ask)
-    assert asked("m4_ensemble_uncertainty")["passes"] == 50
-    monkeypatch.setattr(catalog.fx, "cell_grid", lambda *_: None)
-    monkeypatch.setattr(catalog.fx, "strips", lambda *_: [{"fold": 0}])
-    monkeypatch.setattr(catalog.fx, "stored_cells", lambda spark, *_: spark.range(0).selectExpr("id AS row", "id AS col", "id AS label", *[f"id AS {b}" for b in catalog.BANDS]))
-    monkeypatch.setattr(catalog.baselines, "fold_samples", ask)
-    assert all(asked(q)["cap"] == 5000 for q in ("m1_rf_baseline", "m2_rf_importance", "m7_spatial_cv", "m10_pixel_map_rf"))
-    assert catalog.FOREST == {"trees": 500, "depth": 30}
+def newton(x, y, w, l2, active):
+    """Plain Newton steps for one model."""
+    x = np.column_stack([np.ones(len(x)), x])[:, active]
+    terms, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
+    penalty[0] = 0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ terms)))
+        g = x.T @ (w * (p - y)) / w.sum() + penalty * terms
+        h = (x * (w * p * (1 - p))[:, None]).T @ x / w.sum() + np.diag(penalty)
+        terms = terms - np.linalg.solve(h, g)
+    return terms
+
+
+def test_grouped_newton_equals_one_fit_a_group(spark):
+    rng = np.random.default_rng(9)
+    x, g = rng.normal(size=(900, 3)), rng.integers(0, 3, 900)
+    y = (rng.random(900) < 1 / (1 + np.exp(-(x @ [1.0, -0.5, 0.2] + g - 1)))).astype(float)
+    w = rng.choice([0.1, 1.0, 2.0], 900)
+    rows = [(None if k == 2 else int(k), *map(float, v), int(c), float(u)) for k, v, c, u in zip(g, x, y, w, strict=True)]
+    rows += [(0, None, 0.0, 0.0, 1, 1.0), (0, 1.0, 1.0, 1.0, None, 1.0), (0, 9.0, 9.0, 9.0, 0, 0.0)]
+    table = spark.createDataFrame(rows, "fold bigint, a double, b double, c double, label bigint, weight double")
+    variants = {"full": ["a", "b", "c"], "no_b": ["a", "c"]}
+    fitted = fit_logistic_groups(table, ["a", "b", "c"], ["fold"], variants, l2=0.01)
+    assert len(fitted) == 6
+    for (fold, name), terms in fitted.items():
+        mine, active = g == (2 if fold is None else fold), [0, 1, 2, 3] if name == "full" else [0, 1, 3]
+        assert np.allclose(np.array(terms)[active], newton(x[mine], y[mine], w[mine], 0.01, active), atol=1e-8)
+        assert name == "full" or terms[2] == 0
+    assert fit_logistic_groups(table.limit(0), ["a"], ["fold"]) == {}
+    apart = spark.createDataFrame([(float(i), int(i > 5), 1.0) for i in range(10)], "a double, label bigint, weight double")
+    bias, slope = fit_logistic_groups(apart, ["a"], l2=1e-6)[("full",)]  # separable: only the penalty holds it
+    assert slope > 1 and abs(bias + 5.5 * slope) < slope
+
+
+def test_a_forest_in_parts_equals_one_fit(cells, monkeypatch):
+    train = labels.with_weights(labels.stratified_sample(cells, 3))
+    auc = {}
+    for trees in (10, 120):
+        monkeypatch.setattr(models, "PART_TREES", trees)
+        forest = models.fit_forest(train, ["a", "b"], trees=120, depth=30)
+        assert len(forest.parts) == 120 // trees and sum(forest.trees) == 120
+        assert sum(part.getNumTrees for part in forest.parts) == 120
+        auc[trees] = metrics.auc_roc(models.score(forest, cells)).first()["auc_roc"]
+    assert abs(auc[10] - auc[120]) < 0.01
