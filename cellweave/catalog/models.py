@@ -101,7 +101,7 @@ def m7(spark, folder):
     fitted = fit_logistic_groups(train, BANDS, ["fold"])
     logistic = score_logistic(validation, BANDS, ["fold"], fitted).select("fold", "label", "score", F.lit("logistic").alias("kind"))
     scored = [models.score(m, f.validation).select("fold", "label", "score", F.lit("forest").alias("kind")) for m, f in zip(forests, folds.values(), strict=True)]
-    return evaluate(reduce(DataFrame.unionByName, scored, logistic), by=["kind", "fold"])
+    return evaluate(stored(reduce(DataFrame.unionByName, scored, logistic), "scored"), by=["kind", "fold"])
 
 
 @query("m7_cv_summary")

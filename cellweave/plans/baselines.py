@@ -111,7 +111,7 @@ def spatial_cv(
     if kind == "forest":
         forests = fit_forests([f.train for f in folds.values()], bands, **options)
         scored = [score(m, f.validation).select("fold", "label", "score") for m, f in zip(forests, folds.values(), strict=True)]
-        return evaluate(reduce(DataFrame.unionByName, scored), by=["fold"])
+        return evaluate(stored(reduce(DataFrame.unionByName, scored), "scored"), by=["fold"])  # read by every metric
     train, validation = together(folds)
     fitted = fit_logistic_groups(train, bands, ["fold"], **options)
     return evaluate(score_logistic(validation, bands, ["fold"], fitted).select("fold", "label", "score"), by=["fold"])
