@@ -156,14 +156,26 @@ def positives_and_unlabeled(positives: DataFrame, unlabeled: DataFrame) -> DataF
 
 
 def random_split(items: DataFrame, seed: int, row: str = "row", col: str = "col", fraction: float = 0.1, **options) -> DataFrame:
-    """Add `split`: the max(1, int(n * fraction)) items that come first in the order of `sampling_hash` are `val`."""
-    total = items.count()
-    n_val = max(1, int(total * fraction))
+    """Add `split`: the max(1, int(n * fraction)) items that come first in the order of `sampling_hash` are `val`.
+
+    Counts by key, and by hash within the one key on the edge, give the last hash that is `val`; every row then
+    compares itself with it, and nothing is joined back.  Repeated items share a hash and so their side.
+    """
+    n_val = max(1, int(items.count() * fraction))
     keyed = items.withColumns({"_key": sampling_key(seed, row, col), "_tie": sampling_hash(seed, row, col)})
-    chosen = smallest_by_key(keyed, "_key", ["_tie", row, col], F.lit(n_val), keys_at_most=KEY_RANGE, **options)
-    chosen = chosen.select(row, col).withColumn("_val", F.lit(True))
-    joined = items.join(chosen, [row, col], "left")
-    return joined.withColumn("split", F.when(F.col("_val"), "val").otherwise("train")).drop("_val")
+
+    def reach(column: str, rows: DataFrame, wanted: int, **bounds) -> tuple[object, int] | None:
+        """The first value of `column` up to which there are `wanted` rows, and how many rows come before it."""
+        counts = running_totals(rows.groupBy(column).agg(F.count("*").alias("_n")), column, ["_n"], **bounds, **options)
+        last = counts.where(F.col("cum__n") >= wanted).orderBy(column).limit(1).first()
+        return None if last is None else (last[column], last["cum__n"] - last["_n"])
+
+    edge = reach("_key", keyed, n_val, at_most=KEY_RANGE)
+    if edge is None:  # no items
+        return items.withColumn("split", F.lit("train"))
+    last, _ = reach("_tie", keyed.where(F.col("_key") == edge[0]), n_val - edge[1])
+    # The key is the beginning of the hash, so the hash alone orders the items.
+    return keyed.withColumn("split", F.when(F.col("_tie") <= last, "val").otherwise("train")).drop("_key", "_tie")
 
 
 def weighted_draw(items: DataFrame, weight: str, key: str, seed: int = 42, n: int | None = None, units: int = 1_000_000, **options) -> DataFrame:

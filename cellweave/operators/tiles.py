@@ -10,9 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.operators.lines import map_lines
+
 
 def tile_origins(extent: int, patch: int, stride: int) -> int:
     """How many top-left origins 0, stride, 2*stride, ... fit."""
@@ -95,15 +98,15 @@ def patch_channel_mean(cells: DataFrame, bands: Sequence[str], height: int, widt
 def tile_overlap_mean(tiles: DataFrame, columns: Sequence[str], height: int, width: int, patch: int, stride: int) -> DataFrame:
     """`row, col, n_tiles, <columns>`: mean over the tiles that cover a cell, NULL if none.
 
-    `tiles` has the centre as `row, col`.  The accumulation runs on blocks as large as the corners of all
-    tiles and the patch allow (the stride where the tiles lie on its grid, single cells at worst), and only the
-    result is unrolled to cells.
+    `tiles` has the centre as `row, col`.  Where all tiles lie on the grid of the stride, the accumulation runs on blocks
+    and only the result is unrolled to cells.  Tiles with any other centre go through a difference grid.
     """
     half = patch // 2
     top, left = F.col("row") - half, F.col("col") - half
     step = math.gcd(stride, patch)
     off = F.max((F.pmod(top, F.lit(step)) != 0) | (F.pmod(left, F.lit(step)) != 0))
-    step = 1 if step > 1 and tiles.agg(off).first()[0] else step
+    if step == 1 or tiles.agg(off).first()[0]:
+        return _overlap_by_differences(tiles, columns, height, width, patch)
     covered = (
         tiles.withColumn("_br", F.explode(F.sequence(F.floor(top / step), F.floor((top + patch - 1) / step))))
         .withColumn("_bc", F.explode(F.sequence(F.floor(left / step), F.floor((left + patch - 1) / step))))
@@ -125,6 +128,36 @@ def tile_overlap_mean(tiles: DataFrame, columns: Sequence[str], height: int, wid
     )
 
 
+def _overlap_by_differences(tiles: DataFrame, columns: Sequence[str], height: int, width: int, patch: int) -> DataFrame:
+    """The same for centres anywhere: four signed corners a tile, then running sums along rows and along columns.
+
+    A tile costs four rows whatever its size.  Values are taken relative to the column's mean over all tiles, so that
+    the sums stay small and little is lost when they cancel.
+    """
+    middle = tiles.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns]).first()
+    top, left = F.col("row") - patch // 2, F.col("col") - patch // 2
+    lines = {"_t": F.greatest(top, F.lit(0)), "_b": F.least(top + patch, F.lit(height)), "_l": F.greatest(left, F.lit(0)), "_r": F.least(left + patch, F.lit(width))}
+    corners = [F.struct(F.col(r).cast("bigint").alias("row"), F.col(c).cast("bigint").alias("col"), F.lit(s).alias("_s")) for r, c, s in (("_t", "_l", 1), ("_t", "_r", -1), ("_b", "_l", -1), ("_b", "_r", 1))]
+    clipped = tiles.select(*[F.col(c).cast("double").alias(c) for c in columns], *[e.alias(n) for n, e in lines.items()]).where("_t < _b and _l < _r")
+    marked = clipped.select(*columns, F.inline(F.array(*corners))).where((F.col("row") < height) & (F.col("col") < width))
+    sums = {"_n": F.sum("_s")}
+    for i, c in enumerate(columns):
+        sums[f"_n{i}"] = F.sum(F.when(F.col(c).isNotNull(), F.col("_s")))
+        sums[f"_v{i}"] = F.sum(F.col("_s") * (F.col(c) - F.lit(middle[c])))
+    grid = marked.groupBy("row", "col").agg(*[e.alias(n) for n, e in sums.items()])
+    frame = tiles.sparkSession.range(height * width).select(F.expr(f"id div {width}").alias("row"), (F.col("id") % width).alias("col"))
+    names = list(sums)
+
+    def run(*planes: np.ndarray) -> list[np.ndarray]:
+        return [np.cumsum(np.nan_to_num(p), axis=1) for p in planes]
+
+    across = map_lines(frame.join(grid, ["row", "col"], "left"), "row", width, run, names, names)
+    total = map_lines(across, "col", height, run, names, names)
+    known = [F.round(f"_n{i}") for i in range(len(columns))]
+    means = [F.when(k > 0, F.col(f"_v{i}") / k + F.lit(middle[c])).alias(c) for i, (c, k) in enumerate(zip(columns, known))]
+    return total.select("row", "col", F.round("_n").cast("bigint").alias("n_tiles"), *means)
+
+
 def depth_ensemble_mean(columns: Sequence[str]) -> Column:
     """Row-wise mean of the depth columns that are known."""
     known = F.array_compact(F.array(*[F.col(c) for c in columns]))

@@ -9,7 +9,6 @@ aggregations and only hold results whose row count has been checked.
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -22,10 +21,6 @@ from cellweave.session import checkpointed
 LOOKUP_ROWS = 20_000
 #: Rows of a narrow join side that may be broadcast.
 BROADCAST_ROWS = 1_000_000
-#: Percentile brackets that are refined in one pass over the data.
-BRACKETS_AT_ONCE = 512
-#: The largest finite double.
-LARGEST = sys.float_info.max
 #: Rows of one group that one task is asked to sort or to hold.
 TASK_ROWS = 2_000_000
 
@@ -89,22 +84,20 @@ def exact_percentiles(
     by: Sequence[str] = (),
     *,
     task_rows: int = TASK_ROWS,
-    bins: int = 1024,
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group: `by..., n, pct ARRAY<DOUBLE>`.
 
     Groups of up to `task_rows` rows use the built-in `percentile`.  For a larger group
-    the built-in would merge every distinct value in one task, so its order statistics
-    are bracketed instead: each pass counts the rows of the open brackets in `bins`
-    sub-intervals (a map-side-combined aggregation with a bounded result) and keeps only
-    the sub-intervals that hold a wanted rank, until a bracket is small or is one value.
+    the built-in would merge every distinct value in one task, so a mergeable quantile sketch
+    brackets its order statistics (one scan, with a bound on the error), and one counting scan
+    finds them among the few values inside the brackets.
     """
     by = list(by)
     source = value if isinstance(value, Column) else F.col(value)
     base = df.select(*by, source.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     probs = [float(p) for p in probs]
 
-    sizes = base.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    sizes = base.groupBy(*by).agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > task_rows).collect()  # at most rows/task_rows groups
     array_type = ", ".join(f"{p!r}D" for p in probs)
 
@@ -117,7 +110,7 @@ def exact_percentiles(
         return builtin(base)
 
     spark = df.sparkSession
-    found = _bracketed_order_statistics(base, by, hot, probs, task_rows, bins)
+    found = _order_statistics(base, by, hot, probs, task_rows)
     fields = [base.schema[k] for k in by]
     schema = T.StructType(
         fields + [T.StructField("n", T.LongType()), T.StructField("pct", T.ArrayType(T.DoubleType()))]
@@ -134,87 +127,54 @@ def exact_percentiles(
     return builtin(rest).unionByName(big)
 
 
-def _bracketed_order_statistics(base, by, hot, probs, task_rows, bins) -> list[dict[int, float]]:
+def _order_statistics(base: DataFrame, by: list[str], hot: list[Row], probs: list[float], task_rows: int) -> list[dict[int, float]]:
+    """Per hot group the values at the ranks that `probs` need.
+
+    The sketch's values at p -+ slack enclose rank p * (n - 1), whose place its error bound knows.  The second scan
+    counts rows below each bracket as one key and rows inside by value, so a running sum over the keys of a bracket
+    is the global rank.  Should a rank fall outside its bracket after all, the slack grows and both scans are repeated.
+    """
     spark = base.sparkSession
-    found: list[dict[int, float]] = [{} for _ in hot]
-    # bracket: (group, lo, hi, rows below, rows inside, wanted ranks)
-    active = [(i, g["lo"], g["hi"], 0, g["n"], _rank_targets(probs, g["n"])) for i, g in enumerate(hot)]
-    leaves = []
     fields = [base.schema[k] for k in by]
 
-    def bracket_of(sides):
-        """Binary search for the bracket of `_v` among disjoint ones, as an expression."""
-        if len(sides) == 1:
-            j, lo, hi = sides[0]
-            here = F.struct(F.lit(j).alias("_b"), F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi"))
-            return F.when(F.col("_v").between(F.lit(lo), F.lit(hi)), here)
-        middle = len(sides) // 2
-        return F.when(F.col("_v") < F.lit(sides[middle][1]), bracket_of(sides[:middle])).otherwise(bracket_of(sides[middle:]))
-
-    def tagged(brackets):
-        if not by:  # one group: no join, every row finds its bracket by itself
-            sides = sorted(((j, float(b[1]), float(b[2])) for j, b in enumerate(brackets)), key=lambda s: s[1])
-            found = base.select("_v", F.explode(F.array(bracket_of(sides))).alias("_s"))
-            return found.where(F.col("_s").isNotNull()).select("_s._b", "_s._lo", "_s._hi", "_v")
-        schema = T.StructType(
-            fields
-            + [
-                T.StructField("_b", T.IntegerType()),
-                T.StructField("_lo", T.DoubleType()),
-                T.StructField("_hi", T.DoubleType()),
-            ]
-        )
-        rows = [(*[hot[b[0]][k] for k in by], j, float(b[1]), float(b[2])) for j, b in enumerate(brackets)]
-        side = F.broadcast(spark.createDataFrame(rows, schema))
-        inside = same_group(base, side, by) & base["_v"].between(side["_lo"], side["_hi"])
-        return base.join(side, inside).select("_b", "_lo", "_hi", "_v")
-
-    while active:
-        split = []
-        for bracket in active:
-            group, lo, hi, _, inside, ranks = bracket
-            if lo == hi:
-                found[group].update({r: lo for r in ranks})
-            elif inside <= task_rows:
-                leaves.append(bracket)
-            else:
-                split.append(bracket)
-        if not split:
-            break
-        split, postponed = split[:BRACKETS_AT_ONCE], split[BRACKETS_AT_ONCE:]
-        # Infinities stand at the ends of the finite range, where a bracket of their own forms.
-        v, lo, hi = (F.greatest(F.least(F.col(c), F.lit(LARGEST)), F.lit(-LARGEST)) / bins for c in ("_v", "_lo", "_hi"))
-        inner = F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))
-        share = F.when(F.col("_v") == float("-inf"), -1).when(F.col("_v") == float("inf"), bins).otherwise(F.coalesce(inner, F.lit(0)))
-        counted = (
-            tagged(split)
-            .groupBy("_b", share.alias("_s"))
-            .agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-            .orderBy("_b", "_s")
-            .collect()  # at most BRACKETS_AT_ONCE * bins rows
-        )
-        active = postponed
-        below = {j: b[3] for j, b in enumerate(split)}
-        for cell in counted:
-            j = cell["_b"]
-            first = below[j]
-            below[j] = first + cell["n"]
-            ranks = [r for r in split[j][5] if first <= r < below[j]]
-            if ranks:
-                active.append((split[j][0], cell["lo"], cell["hi"], first, cell["n"], ranks))
-
-    if leaves:
-        wanted = T.StructType([T.StructField("_b", T.IntegerType()), T.StructField("_r", T.LongType())])
-        targets = F.broadcast(
-            spark.createDataFrame([(j, r - b[3]) for j, b in enumerate(leaves) for r in b[5]], wanted)
-        )
-        order = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        cumulative = tagged(leaves).groupBy("_b", "_v").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(order))
-        hits = cumulative.join(targets, "_b").where((F.col("_r") < F.col("upto")) & (F.col("_r") >= F.col("upto") - F.col("n")))
-        for hit in hits.select("_b", "_r", "_v").collect():
-            leaf = leaves[hit["_b"]]
-            found[leaf[0]][hit["_r"] + leaf[3]] = hit["_v"]
-    return found
+    def of_groups(rows: list[tuple], more: str) -> tuple[DataFrame, Column]:
+        """A broadcast table with a row per hot group, and the condition that finds a row's group."""
+        named = T.StructType([T.StructField(f"_k_{f.name}", f.dataType) for f in fields])
+        schema = T.StructType(named.fields + T.StructType.fromDDL(more).fields)
+        side = F.broadcast(spark.createDataFrame([(*[g[k] for k in by], *r) for g, r in zip(hot, rows)], schema))
+        match = F.lit(True)
+        for k in by:
+            match = match & base[k].eqNullSafe(side[f"_k_{k}"])
+        return side, match
+
+    accuracy = int(min(1_000_000, max(10_000, 16 * max(g["n"] for g in hot) // task_rows)))
+    slack = 2 / accuracy + 2 / task_rows
+    while True:
+        ends = ", ".join(f"{min(1.0, max(0.0, p + d))!r}D" for p in probs for d in (-slack, slack))
+        side, match = of_groups([(i,) for i in range(len(hot))], "_g int")
+        tagged = base.join(side, match).select("_g", "_v") if by else base.select(F.lit(0).alias("_g"), "_v")
+        sketch = tagged.groupBy("_g").agg(F.expr(f"approx_percentile(_v, array({ends}), {accuracy})").alias("_e"))
+        found_ends = {r["_g"]: r["_e"] for r in sketch.collect()}  # a row per hot group
+        rows = [(i, found_ends[i][0::2], found_ends[i][1::2]) for i in range(len(hot))]
+        if by:
+            side, match = of_groups(rows, "_g int, _lo array<double>, _hi array<double>")
+            tagged = base.join(side, match).select("_g", "_lo", "_hi", "_v")
+        else:
+            edges = [F.array(*[F.lit(float(x)) for x in rows[0][c]]).alias(n) for c, n in ((1, "_lo"), (2, "_hi"))]
+            tagged = base.select(F.lit(0).alias("_g"), *edges, "_v")
+        hit = F.transform(F.sequence(F.lit(0), F.lit(len(probs) - 1)), lambda i: F.struct(i.alias("_b"), F.when(F.col("_v") >= F.get("_lo", i), F.col("_v")).alias("_x"), (F.col("_v") <= F.get("_hi", i)).alias("_use")))
+        keyed = tagged.select("_g", F.inline(F.filter(hit, lambda h: h["_use"]))).drop("_use")
+        order = Window.partitionBy("_g", "_b").orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0)
+        counted = keyed.groupBy("_g", "_b", "_x").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(order))
+        wanted = [(i, b, r) for i, g in enumerate(hot) for b, p in enumerate(probs) for r in _rank_targets([p], g["n"])]
+        targets = F.broadcast(spark.createDataFrame(wanted, "_g int, _b int, _r long"))
+        hits = counted.join(targets, ["_g", "_b"]).where((F.col("_r") < F.col("upto")) & (F.col("_r") >= F.col("upto") - F.col("n")))
+        found: list[dict[int, float]] = [{} for _ in hot]
+        for h in hits.where("_x is not null").select("_g", "_r", "_x").collect():  # two rows a group and probability
+            found[h["_g"]][h["_r"]] = h["_x"]
+        if all(r in found[i] for i, _, r in wanted):
+            return found
+        slack *= 8
 
 
 def percentile_values(df: DataFrame, value: str | Column, probs: Sequence[float], **options) -> list[float] | None:

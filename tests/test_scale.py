@@ -25,7 +25,7 @@ def groups():
 
 @pytest.mark.parametrize("limit", [10, 60, 10_000])
 def test_percentiles_equal_numpy_on_every_path(spark, groups, limit):
-    found = exact_percentiles(_values(spark, groups), "v", PROBS, ["g"], task_rows=limit, bins=16).collect()
+    found = exact_percentiles(_values(spark, groups), "v", PROBS, ["g"], task_rows=limit).collect()
     assert {r["g"] for r in found} == set(groups)
     for r in found:
         expected = np.percentile(groups[r["g"]], [100 * p for p in PROBS])
@@ -36,7 +36,7 @@ def test_percentiles_equal_numpy_on_every_path(spark, groups, limit):
 def test_percentiles_without_group_and_with_nulls(spark):
     df = spark.createDataFrame([(None,), (float("nan"),)] + [(float(i),) for i in range(101)], "v double")
     for limit in (5, 1000):
-        row = exact_percentiles(df, "v", [0.5, 0.98], task_rows=limit, bins=4).first()
+        row = exact_percentiles(df, "v", [0.5, 0.98], task_rows=limit).first()
         assert list(row["pct"]) == [50.0, 98.0]
 
 
@@ -90,7 +90,7 @@ def test_small_side_is_checked(spark):
 def test_percentiles_of_infinities(spark, limit):
     values = np.concatenate([np.full(7, -np.inf), np.linspace(-3, 9, 60), np.full(9, np.inf)])
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    found = exact_percentiles(df, "v", [0.0, 0.05, 0.3, 0.5, 0.95, 1.0], task_rows=limit, bins=8).first()["pct"]
+    found = exact_percentiles(df, "v", [0.0, 0.05, 0.3, 0.5, 0.95, 1.0], task_rows=limit).first()["pct"]
     order = np.sort(values)
     for p, got in zip([0.0, 0.05, 0.3, 0.5, 0.95, 1.0], found, strict=True):
         at = p * (len(order) - 1)
