@@ -83,18 +83,18 @@ def a14(spark, folder):
 
 @query(
     "a14_tile_overlap_any_centre",
-    f"""WITH {TILES_SQL}, kept AS (SELECT r + (r * 7 + c) % 3 AS r, c - (r + c * 5) % 4 AS c, b2 AS mean, b3 AS std FROM tile_stats WHERE valid >= 0.5)
+    f"""WITH {TILES_SQL}, kept AS (SELECT r + (r * 7 + c) % 3 AS r, c - (r + c * 5) % 4 AS c, b2 * sqrt(2) AS mean, b3 * sqrt(2) AS std FROM tile_stats WHERE valid >= 0.5)
     SELECT k.row, k.col, count(t.r) AS n_tiles, {R('avg(mean)', 9)} AS mean, {R('avg(std)', 9)} AS std
     FROM cells k LEFT JOIN kept t ON k.row >= t.r AND k.row < t.r + {P} AND k.col >= t.c AND k.col < t.c + {P} GROUP BY k.row, k.col""",
 )
 def a14_any(spark, folder):
-    """Centres off the grid of the stride, some of them with tiles that reach over the edge."""
+    """Centres off the grid of the stride, some of them with tiles that reach over the edge; roots never end in a tie of the rounding."""
     shape = _shape(spark, folder)
     means = tiles.patch_channel_mean(fx.stored_cells(spark, folder), ["b2", "b3"], *shape, P, S)
     kept = tiles.tile_valid_fraction(_masked(spark, folder), ["b2", "b3"], *shape, P, S)
     r, c = F.col("r"), F.col("c")
     moved = means.join(kept, ["r", "c"]).select(
-        (r + (r * 7 + c) % 3 + P // 2).alias("row"), (c - (r + c * 5) % 4 + P // 2).alias("col"), F.col("b2").alias("mean"), F.col("b3").alias("std")
+        (r + (r * 7 + c) % 3 + P // 2).alias("row"), (c - (r + c * 5) % 4 + P // 2).alias("col"), (F.col("b2") * F.sqrt(F.lit(2.0))).alias("mean"), (F.col("b3") * F.sqrt(F.lit(2.0))).alias("std")
     )
     return round_columns(tiles.tile_overlap_mean(moved, ["mean", "std"], *shape, P, S), ["mean", "std"], 9)
 

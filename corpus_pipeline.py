@@ -54,26 +54,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, once: no source shrinks another. `packing` emits them by the weights of the mixture."""
-    return docs
-
-
-def emitted(docs: DataFrame) -> DataFrame:
     """Documents as often as the mixture takes them: the token budget holds, and small sources are repeated.
 
     The weights have 0.9 of the largest possible entropy, or the most that repeating no source more than four times
-    allows. A large source gives up only the tokens that repetition adds to the others.
+    allows. A large source gives up only the tokens that repetition adds to the others. Where the sources meet the
+    entropy as they are, every document stays once. A document that is taken in several epochs has a row for each.
     """
     rows, plan = mix(docs, entropy=0.9, repeats=4.0)
-    if plan.exponent == 1:  # the sources meet the entropy as they are: every document once
+    if plan.exponent == 1:
         return docs
     chosen = rows.withColumns({"_i": F.coalesce(F.col("doc_id"), F.lit(0)), "_z": F.col("doc_id").isNull()}).select(*KEY, "epoch").distinct()
-    return stored(_keyed(docs).join(chosen.hint("shuffle_hash"), KEY).select(*docs.columns), "emitted")
+    return _keyed(docs).join(chosen.hint("shuffle_hash"), KEY).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens in which every window holds the mixture's shares."""
-    return pack(emitted(docs), public_tokenizers.path("word_bpe_49k.json"))
+    """Sequences of 2048 tokens in which every window holds the shares that the mixture has realised."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
