@@ -72,7 +72,7 @@ def test_stages_on_odd_rows(spark, documents):
         got = stage(spark, docs, "")
         assert got.columns == docs.columns, name
         rows = got.collect()
-        assert len(rows) <= docs.count()
+        assert set(rows) <= set(docs.collect()) if name == "mixture" else len(rows) <= docs.count()  # the mixture repeats
         if name == "near_copies":  # of equal rows one stays
             assert sorted(r["doc_id"] for r in rows if r["doc_id"] in (1, 2, 3, 4)) == [1, 4, 4]
 
@@ -87,10 +87,10 @@ def test_a_small_source_does_not_shrink_the_others(spark):
     rows = [(1000 * k + i, prose(40, 3000 + 1000 * k + i), "en", s, None) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
     docs = spark.createDataFrame(rows, COLUMNS)
     kept = corpus_pipeline.mixture(spark, docs, "")
-    assert sorted(kept.collect()) == sorted(docs.collect())
-    out = collections.Counter((r["source"], r["doc_id"]) for r in corpus_pipeline.emitted(kept).collect())
+    assert kept.columns == docs.columns and set(kept.collect()) <= set(docs.collect())
+    out = collections.Counter((r["source"], r["doc_id"]) for r in kept.collect())
     documents = sum(out.values())
-    assert 355 <= documents <= 361  # the budget of 361 documents of 40 words holds
+    assert 361 <= documents <= 364  # the budget of 361 documents of 40 words, and less than one more a source
     assert out[("stray", 2000)] == 4 and max(out.values()) == 4
     assert len({d for s, d in out if s == "middle"}) == 60
     large = sum(n for (s, _), n in out.items() if s == "large")
