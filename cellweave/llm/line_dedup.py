@@ -215,6 +215,17 @@ def word_count(line: Column) -> Column:
     return F.regexp_count(line, F.lit(runs))
 
 
+# Unicode white space beyond ASCII, and wherever one of the scripts of `word_count` may stand. A text without any of these
+# characters has the words that ASCII blanks leave.
+ODD = r"[\x{85}\x{a0}\x{e00}-\x{109f}\x{1680}\x{1780}-\x{17ff}\x{19e0}-\x{19ff}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{2e80}-\x{10ffff}]"
+
+
+def word_counts(text: Column, lines: Column) -> Column:
+    """`word_count` of each line of a text; the long pattern runs only on texts that need it."""
+    plain = F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+")))
+    return F.when(text.rlike(ODD), F.transform(lines, word_count)).otherwise(plain)
+
+
 def _order(prefix: str = "") -> Column:
     """Documents by id, null last; equal ids by text."""
     c = lambda name: F.col(prefix + name)
@@ -231,8 +242,9 @@ def common_lines(docs: DataFrame, min_words: int = 8, min_line_words: int = 3) -
     Each pair is aligned over all its lines.
     """
     docs = with_identity(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    clean = F.transform(_lines(F.coalesce("text", F.lit(""))), lambda x: F.btrim(x, F.lit(" \t\r")))
-    table = docs.select(*KEY, F.transform(clean, lambda x: F.xxhash64(x)).alias("lines"), F.transform(clean, word_count).alias("words"))
+    body = F.coalesce("text", F.lit(""))
+    clean = F.transform(_lines(body), lambda x: F.btrim(x, F.lit(" \t\r")))
+    table = docs.select(*KEY, F.transform(clean, lambda x: F.xxhash64(x)).alias("lines"), word_counts(body, clean).alias("words"))
     table = stored(table, "lines")
     lines = table.select(*KEY, F.explode(F.arrays_zip("lines", "words")).alias("x"))
     lines = lines.where(F.col("x.words") >= min_line_words).select(*KEY, F.col("x.lines").alias("line"))

@@ -1,8 +1,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from cellweave.llm.common import components
-from cellweave.llm.line_dedup import common_blocks, dedup_lines, patience, run_lengths, word_count
+from cellweave.llm.line_dedup import common_blocks, dedup_lines, patience, run_lengths, word_count, word_counts
 from cellweave.llm.ngram_join import _shared, found_share, ngram_join
 from tests.llm.conftest import prose
 
@@ -205,3 +207,10 @@ def test_words_of_any_white_space_and_script(spark):
     docs = [(10 * k + n, f"{prose(24, 10 * k + n)}\n{p}") for k, p in enumerate(passages) for n in (1, 2)]
     got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {d: d % 10 - 1 for d, _ in docs}
+
+
+def test_word_counts_of_plain_and_odd_texts(spark):
+    lines = ["", "a  b", " x\ty\x0bz ", "two\u00a0words", "one\u2009two\u3000three", "\u6f22\u5b57\u304b\u306a text", "\u0e44\u0e17\u0e22 na", "don\u2019t \u2014 stop", "e\u0301 \U0001f642 x", "\u1780\u1781\u1782\u1783\u1784", "\x85a\x85b", "\x1ca b"]
+    rows = spark.createDataFrame([(t, [t]) for t in lines] + [("\n".join(lines), lines)], "text string, lines array<string>")
+    got = rows.select(word_counts(rows["text"], rows["lines"]).alias("a"), F.transform("lines", word_count).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and [r["a"][0] for r in got[:5]] == [0, 2, 3, 2, 3]
