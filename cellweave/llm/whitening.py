@@ -16,6 +16,7 @@ from cellweave.llm.common import column_of
 from cellweave.session import stored
 
 LARGEST = 2.0**40  # components beyond are moved to this bound before they become whole numbers
+REDUCED = 1_000_000  # partial sums that one reducer adds up, about
 NONE_LEFT = 1e-13  # part of the trace up to which an eigenvalue counts as rounding
 
 
@@ -38,8 +39,8 @@ def _rows(batch: pa.RecordBatch) -> np.ndarray:
     return x.flatten().to_numpy().reshape(len(x), -1)
 
 
-def _summed(fit: DataFrame, partial: Callable[[np.ndarray], np.ndarray], kind: str) -> np.ndarray:
-    """Sum over all rows of `fit` of what `partial` gives for a block of rows (always of one shape).
+def _summed(fit: DataFrame, partial: Callable[[np.ndarray], np.ndarray], kind: str, cells: int, tasks: int) -> np.ndarray:
+    """Sum over all rows of `fit`, read by `tasks` tasks, of what `partial` gives for a block of rows: `cells` numbers.
 
     Each task adds its blocks up, and the tasks' sums meet by place, so that no task or driver holds all of them.
     """
@@ -53,7 +54,10 @@ def _summed(fit: DataFrame, partial: Callable[[np.ndarray], np.ndarray], kind: s
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["place", "value"])
 
-    sums = fit.mapInArrow(kernel, f"place long, value {kind}").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    # A task gives one row a place, so there is nothing to combine before the shuffle: few small sums need few reducers.
+    reducers = min(int(fit.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + tasks * cells // REDUCED)
+    found = fit.mapInArrow(kernel, f"place long, value {kind}").repartition(reducers, "place")
+    sums = found.groupBy("place").agg(F.sum("value").alias("value")).toArrow()
     out = np.zeros(sums.num_rows, dtype=np.int64 if kind == "long" else np.float64)
     out[sums["place"].to_numpy()] = sums["value"].to_numpy()
     return out
@@ -66,6 +70,7 @@ class Covariance:
     fit: DataFrame
     n: int
     sums: np.ndarray  # whole numbers
+    tasks: int = 1
 
     @property
     def size(self) -> int:
@@ -79,11 +84,11 @@ class Covariance:
             c = (n * x - sums) / n
             return (c.T @ (c @ sent.value)).ravel()
 
-        return _summed(self.fit, partial, "double").reshape(q.shape) / n
+        return _summed(self.fit, partial, "double", q.size, self.tasks).reshape(q.shape) / n
 
     def trace(self) -> float:
         n, sums = self.n, self.sums
-        return float(_summed(self.fit, lambda x: np.array([(((n * x - sums) / n) ** 2).sum()]), "double")[0]) / n
+        return float(_summed(self.fit, lambda x: np.array([(((n * x - sums) / n) ** 2).sum()]), "double", 1, self.tasks)[0]) / n
 
 
 def _lanczos(cov: Covariance, steps: int, rng: np.random.Generator) -> tuple[float, float]:
@@ -138,7 +143,7 @@ def leading(cov: Covariance, count: int, guard: int = 8, rounds: int = 60, seed:
         worst, scale = float(residuals[:count].max()), max(float(values[0]), 1e-300)
         calm = calm + 1 if worst > best / 2 else 0
         best = min(best, worst)
-        fine = worst <= 1e-15 * math.sqrt(d) * scale or (worst <= 1e-11 * scale and calm)
+        fine = worst <= 2e-13 * scale or (worst <= 1e-11 * scale and calm)
         if k == d or (fine and sure):
             return Components(_signed(q[:, :count]), values[:count], residuals[:count], passes)
         x, vx = q.copy(), vq.copy()
@@ -188,10 +193,11 @@ class Whitening:
 def fit_whitening(rows: DataFrame, components: int = 16) -> Whitening | None:
     """Fit on every distinct vector `x` of `rows` once; None without any row."""
     fit = stored(rows.select("x").distinct(), "fit-list")
-    counted = _summed(fit, lambda x: np.concatenate([[len(x)], x.sum(axis=0)]), "long")
+    tasks = fit.rdd.getNumPartitions()  # of the plan; nothing is read
+    counted = _summed(fit, lambda x: np.concatenate([[len(x)], x.sum(axis=0)]), "long", 1, tasks)
     if not len(counted):
         return None
-    cov = Covariance(fit, int(counted[0]), counted[1:])
+    cov = Covariance(fit, int(counted[0]), counted[1:], tasks)
     trace = cov.trace()
     found = leading(cov, components)
     values = np.maximum(found.values, 0.0)
@@ -205,7 +211,7 @@ def fit_whitening(rows: DataFrame, components: int = 16) -> Whitening | None:
     m = turn.shape[1]
     error = 0.0
     if m:
-        sums_w = _summed(fit, moments, "double") / n
+        sums_w = _summed(fit, moments, "double", m * (m + 1), tasks) / n
         error = float(np.abs(sums_w[m:].reshape(m, m) - np.outer(sums_w[:m], sums_w[:m]) - np.eye(m)).max())
     return Whitening(n, sums, found.vectors, values, scale, trace, error, found.passes)
 
