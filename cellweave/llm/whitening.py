@@ -16,6 +16,7 @@ from cellweave.llm.common import column_of
 from cellweave.session import stored
 
 LARGEST = 2.0**40  # components beyond are moved to this bound before they become whole numbers
+TASK_CELLS = 8_000_000  # components that one task of a pass reads, about
 REDUCED = 1_000_000  # partial sums that one reducer adds up, about
 NONE_LEFT = 1e-13  # part of the trace up to which an eigenvalue counts as rounding
 
@@ -118,7 +119,7 @@ class Components:
     passes: int
 
 
-def leading(cov: Covariance, count: int, guard: int = 8, rounds: int = 60, seed: int = 1) -> Components:
+def leading(cov: Covariance, count: int, guard: int = 16, rounds: int = 60, seed: int = 1) -> Components:
     """The `count` leading eigenpairs by Chebyshev-filtered subspace iteration.
 
     A round runs the three-term Chebyshev recurrence, one pass a degree, which grows what lies above the unwanted
@@ -193,10 +194,12 @@ class Whitening:
 def fit_whitening(rows: DataFrame, components: int = 16) -> Whitening | None:
     """Fit on every distinct vector `x` of `rows` once; None without any row."""
     fit = stored(rows.select("x").distinct(), "fit-list")
-    tasks = fit.rdd.getNumPartitions()  # of the plan; nothing is read
-    counted = _summed(fit, lambda x: np.concatenate([[len(x)], x.sum(axis=0)]), "long", 1, tasks)
+    counted = _summed(fit, lambda x: np.concatenate([[len(x)], x.sum(axis=0)]), "long", 1, 1)
     if not len(counted):
         return None
+    # Every pass reads the list again: few files of a fair size, whatever number the shuffle left.
+    tasks = max(fit.sparkSession.sparkContext.defaultParallelism, int(counted[0]) * (len(counted) - 1) // TASK_CELLS)
+    fit = stored(fit.coalesce(tasks), "fit-list")
     cov = Covariance(fit, int(counted[0]), counted[1:], tasks)
     trace = cov.trace()
     found = leading(cov, components)
