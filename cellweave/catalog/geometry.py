@@ -197,17 +197,25 @@ def a36(spark, folder):
     return geo.category_codes(fx.boxes(spark, folder, fx.cell_grid(spark, folder)), "category")
 
 
-@query(
-    "j5_buffer_label",
-    f"""WITH {fx.CELLS_SQL}, {fx.POINTS_SQL}, hit AS (
-      SELECT DISTINCT c.row, c.col FROM points p, dim, cells c WHERE power(greatest(c.col * 50.0::DOUBLE - x, x - (c.col + 1) * 50.0::DOUBLE, 0), 2) + power(greatest((h - c.row - 1) * 50.0::DOUBLE - y, y - (h - c.row) * 50.0::DOUBLE, 0), 2) <= 10000)
-    SELECT c.row, c.col, CAST(hit.row IS NOT NULL AS BIGINT) AS label FROM cells c LEFT JOIN hit ON hit.row = c.row AND hit.col = c.col""",
-)
+def _buffer_sql(radius: int) -> str:
+    return f"""WITH {fx.CELLS_SQL}, {fx.POINTS_SQL}, hit AS (
+      SELECT DISTINCT c.row, c.col FROM points p, dim, cells c WHERE power(greatest(c.col * 50.0::DOUBLE - x, x - (c.col + 1) * 50.0::DOUBLE, 0), 2) + power(greatest((h - c.row - 1) * 50.0::DOUBLE - y, y - (h - c.row) * 50.0::DOUBLE, 0), 2) <= {radius * radius})
+    SELECT c.row, c.col, CAST(hit.row IS NOT NULL AS BIGINT) AS label FROM cells c LEFT JOIN hit ON hit.row = c.row AND hit.col = c.col"""
+
+
+@query("j5_buffer_label", _buffer_sql(100))
 def j5(spark, folder):
     grid = fx.cell_grid(spark, folder)
     return geo.buffer_label(fx.cells(spark, folder), fx.points(spark, folder, grid), grid, 100.0)
 
 
+@query("j5_buffer_label_500m", _buffer_sql(500))
+def j5_500(spark, folder):
+    """The usual buffer of 500 m around the occurrences."""
+    grid = fx.cell_grid(spark, folder)
+    return geo.buffer_label(fx.cells(spark, folder), fx.points(spark, folder, grid), grid, 500.0)
+
+
 def _label_sql() -> str:
     return f"""WITH {fx.CELLS_SQL}, {fx.POINTS_SQL}, {fx.BOXES_SQL},
     sites AS (SELECT x, y FROM points WHERE id % 2 = 0 UNION ALL SELECT (x0 + x1) / 2, (y0 + y1) / 2 FROM boxes),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.grid import Grid
+from cellweave.operators.spans import disc_spans, merged_spans, unrolled
 from cellweave.scale import broadcast_if_small, running_totals, small_side
 
 
@@ -137,12 +138,8 @@ def _span(low: Column, high: Column, size: int) -> tuple[Column, Column]:
     return F.greatest(low, F.lit(0)), F.least(high, F.lit(size - 1))
 
 
-def cells_on_segments(segs: DataFrame, grid: Grid) -> DataFrame:
-    """Every cell that a segment touches: `row, col` next to the other columns.
-
-    A segment is first unrolled into the rows it crosses and each row into the columns it
-    crosses there, so only touched cells are ever produced.
-    """
+def spans_on_segments(segs: DataFrame, grid: Grid) -> DataFrame:
+    """The cells that a segment touches: `row, lo, hi` next to the other columns, one span for each row it crosses."""
     rest = [c for c in segs.columns if c not in ("x0", "y0", "x1", "y1")]
     ends = segs.select(
         *rest,
@@ -168,14 +165,11 @@ def cells_on_segments(segs: DataFrame, grid: Grid) -> DataFrame:
     low, high = _span(
         F.floor(F.least("_ua", "_ub")).cast("bigint"), F.floor(F.greatest("_ua", "_ub")).cast("bigint"), grid.width
     )
-    return (
-        rows.withColumn("_lo", low).withColumn("_hi", high).where(F.col("_lo") <= F.col("_hi"))
-        .select(*rest, "row", F.explode(F.sequence("_lo", "_hi")).alias("col"))
-    )
+    return rows.select(*rest, "row", low.alias("lo"), high.alias("hi")).where(F.col("lo") <= F.col("hi"))
 
 
-def cells_in_polygons(segs: DataFrame, grid: Grid, feature: str) -> DataFrame:
-    """Cells whose centre lies inside a polygon (even-odd rule): `feature, row, col`.
+def spans_in_polygons(segs: DataFrame, grid: Grid, feature: str) -> DataFrame:
+    """Cells whose centre lies inside a polygon (even-odd rule): `feature, row, lo, hi`.
 
     Scanline fill: edges are unrolled into the row centres they cross, the crossings of a
     (feature, row) are ordered, and every odd crossing opens a span to the next one.
@@ -199,27 +193,25 @@ def cells_in_polygons(segs: DataFrame, grid: Grid, feature: str) -> DataFrame:
         feature, "row", "_u", F.lead("_u").over(along).alias("_end"), F.row_number().over(along).alias("_k")
     ).where((F.col("_k") % 2 == 1) & F.col("_end").isNotNull())
     low, high = _span(F.ceil(F.col("_u") - 0.5).cast("bigint"), F.ceil(F.col("_end") - 0.5).cast("bigint") - 1, grid.width)
-    return (
-        spans.withColumn("_lo", low).withColumn("_hi", high).where(F.col("_lo") <= F.col("_hi"))
-        .select(feature, "row", F.explode(F.sequence("_lo", "_hi")).alias("col"))
-    )
+    return spans.select(feature, "row", low.alias("lo"), high.alias("hi")).where(F.col("lo") <= F.col("hi"))
 
 
-def touched_cells(features: DataFrame, grid: Grid, feature: str = "feature_id", geom: str = "geom") -> DataFrame:
-    """`feature, row, col` of every cell touched by each feature (duplicates possible)."""
+def touched_spans(features: DataFrame, grid: Grid, feature: str = "feature_id", geom: str = "geom") -> DataFrame:
+    """`feature, row, lo, hi`: spans of the cells touched by each feature (they may overlap)."""
     shaped = valid_geometry(features, geom).select(feature, geom)
     kind = F.col(geom)["type"]
     vertices = shaped.where(~kind.endswith("LineString") & ~kind.endswith("Polygon")).select(
         feature, F.explode(F.flatten(F.col(geom)["parts"])).alias("_p")
     )
+    col = grid.col_of(F.col("_p.x"))
     dots = (
-        vertices.select(feature, grid.row_of(F.col("_p.y")).alias("row"), grid.col_of(F.col("_p.x")).alias("col"))
-        .where(grid.has(F.col("row"), F.col("col")))
+        vertices.select(feature, grid.row_of(F.col("_p.y")).alias("row"), col.alias("lo"), col.alias("hi"))
+        .where(grid.has(F.col("row"), F.col("lo")))
     )
     edges = segments(shaped, geom)
-    outline = cells_on_segments(edges, grid)
+    outline = spans_on_segments(edges, grid)
     areas = segments(shaped.where(kind.endswith("Polygon")), geom)
-    return dots.unionByName(outline).unionByName(cells_in_polygons(areas, grid, feature))
+    return dots.unionByName(outline).unionByName(spans_in_polygons(areas, grid, feature))
 
 
 def burn(
@@ -227,12 +219,14 @@ def burn(
 ) -> DataFrame:
     """Rasterise: `row, col, value`, the feature with the highest id winning a cell.
 
-    The winner is a map-side-combined aggregate, so piled-up features do not pile up in a task.
+    Without a value the spans of all features are merged; with one, those of each feature are, and the
+    winner of a cell is a map-side-combined aggregate, so piled-up features do not pile up in a task.
     """
     if value is None:
-        return touched_cells(features, grid, feature, geom).groupBy("row", "col").agg(F.lit(1.0).alias("value"))
+        covered = unrolled(merged_spans(touched_spans(features, grid, feature, geom).select("row", "lo", "hi")))
+        return covered.select("row", "col", F.lit(1.0).alias("value"))
     carried = features.withColumn("_feature", F.struct(F.col(feature).alias("id"), F.col(value).cast("double").alias("value")))
-    cells = touched_cells(carried, grid, "_feature", geom)
+    cells = unrolled(merged_spans(touched_spans(carried, grid, "_feature", geom), ["_feature"]))
     return cells.groupBy("row", "col").agg(F.max_by(F.col("_feature.value"), F.col("_feature.id")).alias("value"))
 
 
@@ -254,8 +248,9 @@ def burn_category(
     keyed = features.join(codes, features[column] == codes["category"]).select(
         F.struct(F.col("code"), F.col(feature).alias("id")).alias("_feature"), F.col(geom)
     )
-    cells = touched_cells(keyed, grid, "_feature", geom)
-    return cells.groupBy("row", "col").agg(F.max("_feature.code").cast("double").alias("code"))
+    spans = touched_spans(keyed, grid, "_feature", geom).select(F.col("_feature.code").alias("code"), "row", "lo", "hi")
+    cells = unrolled(merged_spans(spans, ["code"]))  # of one category, overlapping features count once
+    return cells.groupBy("row", "col").agg(F.max("code").cast("double").alias("code"))
 
 
 def on_full_grid(spark, burned: DataFrame, grid: Grid, cells: DataFrame | None = None, fill: float = 0.0) -> DataFrame:
@@ -269,24 +264,11 @@ def on_full_grid(spark, burned: DataFrame, grid: Grid, cells: DataFrame | None =
 
 
 def buffered_cells(points: DataFrame, grid: Grid, radius: float = 500.0, x: str = "x", y: str = "y") -> DataFrame:
-    """Distinct cells touched by the disc of `radius` around any point.
+    """Distinct cells touched by the disc of `radius` around any point: `row, col`.
 
-    Each point is unrolled into the cells of its bounding square and kept where the cell
-    rectangle comes within the radius: an equi key instead of a distance join.
+    Each point becomes one span a row; merged spans are unrolled once, which needs no distinct over cells.
     """
-    reach_c, reach_r = math.floor(radius / grid.xres) + 1, math.floor(radius / grid.yres) + 1
-    near = (
-        points.select(F.col(x).alias("_x"), F.col(y).alias("_y"), grid.col_of(F.col(x)).alias("_c"), grid.row_of(F.col(y)).alias("_r"))
-        .where(F.col("_c").between(-reach_c, grid.width + reach_c) & F.col("_r").between(-reach_r, grid.height + reach_r))
-        .withColumn("row", F.explode(F.sequence(F.col("_r") - reach_r, F.col("_r") + reach_r)))
-        .withColumn("col", F.explode(F.sequence(F.col("_c") - reach_c, F.col("_c") + reach_c)))
-        .where(grid.has(F.col("row"), F.col("col")))
-    )
-    left, right = grid.minx + F.col("col") * grid.xres, grid.minx + (F.col("col") + 1) * grid.xres
-    top, bottom = grid.maxy - F.col("row") * grid.yres, grid.maxy - (F.col("row") + 1) * grid.yres
-    dx = F.greatest(left - F.col("_x"), F.col("_x") - right, F.lit(0.0))
-    dy = F.greatest(bottom - F.col("_y"), F.col("_y") - top, F.lit(0.0))
-    return near.where(dx * dx + dy * dy <= radius * radius).select("row", "col").distinct()
+    return unrolled(merged_spans(disc_spans(points, grid, radius, x, y))).select("row", "col")
 
 
 def buffer_label(cells: DataFrame, points: DataFrame, grid: Grid, radius: float = 500.0) -> DataFrame:
