@@ -383,10 +383,33 @@ def a13(spark, folder):
     return round_columns(spectral.trend_residual(fx.parts(spark, folder), "price", grid, degree=1), ["regional", "residual"], 5)
 
 
-@query("g7_trend_residual")
+#: Normal equations of the ten monomials up to degree 3, solved by elimination in a recursive query.
+CUBIC_SQL = (
+    fx.CELLS_SQL
+    + """,
+t AS (SELECT row, col, CAST(b2 AS DOUBLE) AS v, -1 + col * (2.0::DOUBLE / (w - 1)) AS x, -1 + row * (2.0::DOUBLE / (h - 1)) AS y FROM cells, dim),
+m AS (SELECT row, col, v, [1.0::DOUBLE, x, x * x, x * x * x, y, x * y, x * x * y, y * y, x * y * y, y * y * y, v] AS p FROM t WHERE v IS NOT NULL),
+sums AS (SELECT i, j, sum(p[i] * p[j]) AS s FROM m, range(1, 11) a(i), range(1, 12) b(j) GROUP BY i, j),
+lines AS (SELECT i, list(s ORDER BY j) AS line FROM sums GROUP BY i),
+steps AS (
+  SELECT 1::BIGINT AS k, list(line ORDER BY i) AS g FROM lines
+  UNION ALL
+  SELECT k + 1, list_transform(range(1, 11), lambda i: list_transform(range(1, 12), lambda j:
+    CASE WHEN i = k THEN g[k][j] / g[k][k] ELSE g[i][j] - g[i][k] * g[k][j] / g[k][k] END)) FROM steps WHERE k <= 10),
+fit AS (SELECT list_transform(g, lambda line: line[11]) AS c FROM steps WHERE k = 11),
+surface AS (SELECT row, col, v, list_inner_product(p[1:10], c) AS regional FROM m, fit)"""
+)
+
+
+@query(
+    "g7_trend_residual",
+    f"""WITH RECURSIVE {CUBIC_SQL}
+    SELECT t.row, t.col, {R('s.regional', 5)} AS regional, {R('s.v - s.regional', 5)} AS residual FROM t LEFT JOIN surface s ON t.row = s.row AND t.col = s.col""",
+)
 def g7(spark, folder):
     grid = fx.cell_grid(spark, folder)
-    return spectral.trend_residual(fx.stored_cells(spark, folder).select("row", "col", "b2"), "b2", grid)
+    cells = fx.stored_cells(spark, folder).select("row", "col", "b2")
+    return round_columns(spectral.trend_residual(cells, "b2", grid), ["regional", "residual"], 5)
 
 
 @query("g6_svd_lowrank")
@@ -394,6 +417,20 @@ def g6(spark, folder):
     return spectral.svd_lowrank(fx.stored_cells(spark, folder).select("row", "col", "b2"), "b2", fx.cell_grid(spark, folder))
 
 
+@query(
+    "g6_svd_lowrank_rank2",
+    f"""WITH {fx.CELLS_SQL}, r AS (SELECT row, coalesce(avg(b2), 0) AS a FROM cells GROUP BY row), c AS (SELECT col, coalesce(avg(b2), 0) AS b FROM cells GROUP BY col)
+    SELECT cells.row, cells.col, {R('a + b', 5)} AS filtered FROM cells JOIN r ON r.row = cells.row JOIN c ON c.col = cells.col""",
+)
+def g6_rank2(spark, folder):
+    """Means of lines plus means of columns, a field of rank two, which a filter of rank two gives back."""
+    cells = fx.stored_cells(spark, folder).select("row", "col", "b2")
+    of_rows = cells.groupBy("row").agg(F.coalesce(F.avg("b2"), F.lit(0.0)).alias("a"))
+    of_cols = cells.groupBy("col").agg(F.coalesce(F.avg("b2"), F.lit(0.0)).alias("b"))
+    field = cells.select("row", "col").join(of_rows, "row").join(of_cols, "col").select("row", "col", (F.col("a") + F.col("b")).alias("v"))
+    return round_columns(spectral.svd_lowrank(field, "v", fx.cell_grid(spark, folder), rank=2), ["filtered"], 5)
+
+
 @query("g8_potential_field_suite")
 def g8(spark, folder):
     return stack.potential_field_suite(fx.stored_cells(spark, folder).select("row", "col", "b2"), "b2", fx.cell_grid(spark, folder))

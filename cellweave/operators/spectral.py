@@ -6,12 +6,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.grid import Grid
-from cellweave.operators.lines import STRIP_CELLS, map_lines
+from cellweave.operators.lines import map_lines
+from cellweave.operators.lowrank import leading_directions, packed_strips
 
 
 def _forward(re: np.ndarray, im: np.ndarray):
@@ -102,19 +102,23 @@ def where_known(products: DataFrame, cells: DataFrame, value: str) -> DataFrame:
 
 
 def trend_terms(grid: Grid, degree: int = 3) -> list[Column]:
-    """Monomials x^j y^i, i + j <= degree, over both axes scaled to [-1, 1]."""
+    """Products p_j(col) p_i(row), i + j <= degree, of the polynomials that are orthogonal on the places of an axis.
 
-    def axis(name: str, n: int) -> Column:
-        return F.lit(-1.0) + F.col(name) * (2.0 / (n - 1)) if n > 1 else F.lit(-1.0)
+    Both axes are scaled to [-1, 1] and the polynomials follow by their three-term recurrence. On a complete
+    grid the terms are orthogonal; on an incomplete one they are far less alike than monomials.
+    """
 
-    def power(base: Column, exponent: int) -> Column:
-        out = F.lit(1.0)
-        for _ in range(exponent):
-            out = out * base
-        return out
+    def axis(name: str, n: int) -> list[Column]:
+        step = 2.0 / (n - 1) if n > 1 else 0.0
+        x = F.col(name) * step - 1.0 if n > 1 else F.lit(0.0)
+        out = [F.lit(1.0), x]
+        for k in range(1, degree):
+            back = max(k * k * (n * n - k * k), 0) / (4.0 * (4 * k * k - 1)) * step * step
+            out.append(x * out[k] - F.lit(back) * out[k - 1])
+        return out[: degree + 1]
 
-    x, y = axis("col", grid.width), axis("row", grid.height)
-    return [power(x, j) * power(y, i) for i in range(degree + 1) for j in range(degree + 1 - i)]
+    along, down = axis("col", grid.width), axis("row", grid.height)
+    return [along[j] * down[i] for i in range(degree + 1) for j in range(degree + 1 - i)]
 
 
 def trend_coefficients(cells: DataFrame, value: str, grid: Grid, degree: int = 3) -> list[float]:
@@ -133,8 +137,10 @@ def trend_coefficients(cells: DataFrame, value: str, grid: Grid, degree: int = 3
     if sums["r0"] is None:
         return [0.0] * n
     matrix = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
-    solution, *_ = np.linalg.lstsq(matrix, np.array([sums[f"r{i}"] for i in range(n)]), rcond=None)
-    return [float(c) for c in solution]
+    size = np.sqrt(np.diag(matrix))
+    scale = np.divide(1.0, size, out=np.zeros(n), where=size > 0)  # a term that vanishes on the grid gets no weight
+    solution, *_ = np.linalg.lstsq(matrix * np.outer(scale, scale), scale * np.array([sums[f"r{i}"] for i in range(n)]), rcond=None)
+    return [float(c) for c in solution * scale]
 
 
 def trend_residual(cells: DataFrame, value: str, grid: Grid, degree: int = 3) -> DataFrame:
@@ -148,51 +154,20 @@ def trend_residual(cells: DataFrame, value: str, grid: Grid, degree: int = 3) ->
     )
 
 
-#: Up to this width the (width x width) product matrix is small enough for the driver.
-GRAM_WIDTH = 2048
-
-
-def _leading_directions(vectors: DataFrame, width: int, rank: int) -> np.ndarray:
-    """The `rank` leading right singular vectors (width x rank) of a table of row vectors."""
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    matrix = RowMatrix(vectors)
-    if width <= GRAM_WIDTH:
-        values, directions = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-        return directions[:, np.argsort(values)[::-1][:rank]]
-    return matrix.computeSVD(rank, computeU=False).V.toArray()
-
-
 def svd_lowrank(cells: DataFrame, value: str, grid: Grid, rank: int | None = None) -> DataFrame:
     """`row, col, filtered`: the grid rebuilt from its largest singular values.
 
     NULL cells are filled with the mean for the decomposition and NULL again afterwards.
-    MLlib's distributed row matrix finds the leading right singular vectors V; the low-rank
-    grid is A V V', so each strip of rows is projected on its own.  The driver only ever
-    holds V: width x rank numbers, whatever the number of rows.
+    `leading_directions` finds the leading right singular vectors V; the low-rank grid is
+    A V V', so each strip of rows is projected on its own.  The driver only ever holds
+    blocks of width x rank numbers, whatever the number of rows.
     """
-    from pyspark import StorageLevel
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.util import MLUtils
-
     keep = min(50, min(grid.height, grid.width) // 2) if rank is None else rank
     width = grid.width
     mean = cells.agg(F.avg(value)).first()[0]
     fill = 0.0 if mean is None else float(mean)
-    per_strip = max(1, STRIP_CELLS // width)
-
-    def pack(strip: pd.DataFrame) -> pd.DataFrame:
-        lines, index = np.unique(strip["row"].to_numpy(), return_inverse=True)
-        plane = np.full((len(lines), width), fill)
-        plane[index, strip["col"].to_numpy()] = strip["v"].fillna(fill).to_numpy()
-        return pd.DataFrame({"v": list(plane)})
-
+    directions = leading_directions(packed_strips(cells, value, width, fill), width, keep)
     typed = cells.select("row", "col", F.col(value).cast("double").alias("v"))
-    lines = typed.withColumn("_strip", F.floor(F.col("row") / per_strip)).groupBy("_strip").applyInPandas(pack, "v array<double>")
-    vectors = MLUtils.convertVectorColumnsFromML(lines.select(array_to_vector("v").alias("v")), "v")
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)  # the iterations read it again and again
-    directions = _leading_directions(vectors, width, keep)
-    vectors.unpersist()
 
     def project(plane: np.ndarray):
         full = np.where(np.isnan(plane), fill, plane)

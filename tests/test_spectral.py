@@ -1,9 +1,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cellweave.grid import Grid
+from cellweave.operators import lowrank
 from cellweave.operators import spectral as sp
 
 
@@ -44,15 +46,48 @@ def test_cubic_trend_is_recovered(spark, grid_of):
     assert sum(r["residual"] is None for r in out) == 1
 
 
-def test_lowrank_equals_numpy(spark, grid_of, monkeypatch):
+def test_incomplete_cubic_trend_equals_least_squares(spark, grid_of):
+    rng = np.random.default_rng(9)
+    field = rng.normal(size=(9, 30)) * 1e3
+    known = rng.random((9, 30)) < 0.2
+    field[known & (np.arange(30) > 20)] = np.nan
+    field[:, :6] = np.nan
+    rows, cols = np.nonzero(~np.isnan(field))
+    x, y = cols * 2 / 29 - 1, rows * 2 / 8 - 1
+    design = np.stack([x**j * y**i for i in range(4) for j in range(4 - i)], 1)
+    fitted = design @ np.linalg.lstsq(design, field[rows, cols], rcond=None)[0]
+    expected = {(r, c): v for r, c, v in zip(rows, cols, fitted)}
+    cells = grid_of([[None if np.isnan(v) else v for v in line] for line in field])
+    for r in sp.trend_residual(cells, "v", Grid.of_shape(9, 30)).where("regional is not null").collect():
+        assert abs(r["regional"] - expected.pop((r["row"], r["col"]))) < 1e-8
+    assert not expected
+
+
+def test_trend_of_one_line_and_of_nothing(spark, grid_of):
+    out = sp.trend_residual(grid_of([[1.0, 3.0, 5.0, 7.0]]), "v", Grid.of_shape(1, 4)).collect()
+    assert all(abs(r["residual"]) < 1e-9 for r in out)
+    out = sp.trend_residual(grid_of([[None, None]]), "v", Grid.of_shape(1, 2)).collect()
+    assert [(r["regional"], r["residual"]) for r in out] == [(None, None)] * 2
+
+
+@pytest.mark.parametrize("height, width, rank, blocks", [(14, 8, 3, 12), (120, 70, 2, 12), (90, 160, 3, 3), (40, 30, 15, 12)])
+def test_lowrank_equals_numpy(spark, grid_of, monkeypatch, height, width, rank, blocks):
+    monkeypatch.setattr(lowrank, "BLOCKS", blocks)  # three blocks: the basis is folded on the way
+    monkeypatch.setattr(lowrank, "STRIP_CELLS", 4 * width)
     rng = np.random.default_rng(5)
-    field = rng.normal(size=(14, 8)) @ np.diag([9, 8, 7, 3, 2, 1, 0.5, 0.2])
+    field = rng.normal(size=(height, width)) * (0.93 ** np.arange(width)) + 5
     u, s, vt = np.linalg.svd(field, full_matrices=False)
-    expected = (u[:, :3] * s[:3]) @ vt[:3]
-    for width in (2048, 4):  # driver-side product matrix, then the distributed iteration
-        monkeypatch.setattr(sp, "GRAM_WIDTH", width)
-        got = sp.svd_lowrank(grid_of(field.tolist()), "v", Grid.of_shape(14, 8), rank=3).collect()
-        assert all(abs(r["filtered"] - expected[r["row"], r["col"]]) < 1e-6 for r in got)
+    expected = (u[:, :rank] * s[:rank]) @ vt[:rank]
+    got = sp.svd_lowrank(grid_of(field.tolist()), "v", Grid.of_shape(height, width), rank=rank).collect()
+    assert max(abs(r["filtered"] - expected[r["row"], r["col"]]) for r in got) < 1e-7
+
+
+def test_lowrank_beyond_the_rank_of_the_field_and_of_zeros(spark, grid_of):
+    field = np.outer(np.arange(1.0, 9.0), np.ones(6))
+    got = sp.svd_lowrank(grid_of(field.tolist()), "v", Grid.of_shape(8, 6), rank=4).collect()
+    assert max(abs(r["filtered"] - field[r["row"], r["col"]]) for r in got) < 1e-9
+    got = sp.svd_lowrank(grid_of([[0.0] * 3] * 4), "v", Grid.of_shape(4, 3), rank=2).collect()
+    assert all(r["filtered"] == 0 for r in got)
 
 
 def test_lowrank_keeps_unknown_cells(spark, grid_of, dense):
