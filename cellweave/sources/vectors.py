@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.projection import to_utm43n
 from cellweave.operators.geometry import centroid, valid_geometry
+from cellweave.session import stored
 
 # Candidate column names.
 LATITUDE_NAMES = ["lat", "latitude", "y"]
@@ -100,17 +101,58 @@ def read_tolerant(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet
     return (reader.schema(schema) if schema else reader).load(list(paths))
 
 
+#: A Parquet file without rows is hardly more than its footer; rowless files beyond this size are broken ones.
+FOOTER_BYTES = 16 << 20
+
+
+def _footer_message(batches):
+    """Why a Parquet file gave no row; an empty message where it holds none."""
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def why(content: bytes) -> str:
+        try:
+            held = pq.read_metadata(pa.BufferReader(content)).num_rows
+        except Exception as error:  # the report is the result
+            return f"no valid footer: {str(error).splitlines()[0][:150]}"
+        return f"none of {held} rows can be read with this schema" if held else ""
+
+    for batch in batches:
+        yield pd.DataFrame({"path": batch["path"], "_why": [why(c) for c in batch["content"]]})
+
+
 def file_status(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", schema: str | None = None) -> DataFrame:
-    """`path, n_rows, ok`: one row for each file below `paths`; not ok are files that gave no row.
+    """`path, n_rows, ok, message`: one row for each file below `paths`, read by the cluster with all columns of `schema`.
 
-    The files are read by the cluster in one job, and the listing costs no content.
+    A Parquet file without rows is fine where its footer counts none. In other formats a file that gives no row is
+    not ok. Files of zero bytes are not listed, as Spark's readers pass them over. Truncated files and files of another format have no valid footer, and files whose columns do not
+    fit the schema say how many rows they hold; only the content of rowless files is looked at for that. With
+    json or csv and a schema, records that do not parse are counted. A column that a Parquet file lacks reads as null.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path")
-    found = read_tolerant(spark, paths, fmt, schema).groupBy(F.input_file_name().alias("_file")).agg(F.count("*").alias("_n"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    checked = fmt in ("json", "csv") and schema is not None
+    rows = read_tolerant(spark, paths, fmt, f"{schema}, _corrupt_record string" if checked else schema)
+    names = [F.col(f"`{c}`") for c in rows.columns if c != "_corrupt_record"]
+    corrupt = F.count("_corrupt_record") if checked else F.lit(0)
+    # The hash makes the scan decode every column; a bare count would be answered by the footers alone.
+    found = rows.groupBy(F.input_file_name().alias("_file")).agg(F.count("*").alias("_n"), corrupt.alias("_corrupt"), F.max(F.xxhash64(*names)).alias("_read"))
     place = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
-    joined = listed.join(found, place(F.col("path")) == place(F.col("_file")), "left")
+    joined = listed.select("path", "length").join(found.where(F.col("_read").isNotNull()), place(F.col("path")) == place(F.col("_file")), "left")
     n = F.coalesce("_n", F.lit(0))
-    return joined.select("path", n.alias("n_rows"), (n > 0).alias("ok"))
+    status = stored(joined.select("path", "length", n.alias("n_rows"), F.coalesce("_corrupt", F.lit(0)).alias("_corrupt")), "files")
+    if fmt == "parquet":
+        rowless = status.where((F.col("n_rows") == 0) & (F.col("length") <= FOOTER_BYTES)).select("path")
+        said = listed.where(F.col("length") <= FOOTER_BYTES).join(rowless, "path", "left_semi").select("path", "content")
+        status = status.join(said.mapInPandas(_footer_message, "path string, _why string"), "path", "left")
+    else:
+        status = status.withColumn("_why", F.lit(None).cast("string"))
+    message = (
+        F.when(F.col("_corrupt") > 0, F.concat(F.col("_corrupt").cast("string"), F.lit(" of "), F.col("n_rows").cast("string"), F.lit(" records do not fit the schema")))
+        .when(F.col("n_rows") > 0, "")
+        .otherwise(F.coalesce("_why", F.lit("no row can be read")))
+    )
+    return status.withColumn("message", message).select("path", "n_rows", (F.col("message") == "").alias("ok"), "message")
 
 
 def read_layers(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", **options) -> tuple[dict[str, DataFrame], DataFrame]:

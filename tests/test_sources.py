@@ -114,3 +114,32 @@ def test_vector_profile(spark):
     row = inventory.vector_profile(df, ["layer"]).first()
     assert row["features"] == 4 and row["geom_type"] == {"Point": 4} and row["columns"] == ["id", "geom"]
     assert (row["minx"], row["maxx"], row["miny"]) == (0.0, 3.0, 2.0)
+
+
+def test_file_status_tells_empty_truncated_and_wrong_files_apart(spark, tmp_path):
+    schema = "a bigint, b string"
+    whole = spark.createDataFrame([(k, f"t{k}") for k in range(50)], schema).coalesce(1)
+    whole.write.parquet(str(tmp_path / "good"))
+    whole.where("a < 0").write.parquet(str(tmp_path / "empty"))
+    whole.selectExpr("named_struct('x', a) as a", "b").write.parquet(str(tmp_path / "wrong"))
+    (tmp_path / "cut").mkdir()
+    content = next((tmp_path / "good").glob("part-*.parquet")).read_bytes()
+    (tmp_path / "cut" / "part-0.parquet").write_bytes(content[: len(content) // 2])
+    names = ["good", "empty", "wrong", "cut"]
+    status = vectors.file_status(spark, [str(tmp_path / n) for n in names], schema=schema).collect()
+    got = {n: r for n in names for r in status if f"/{n}/" in r["path"]}
+    assert len(status) == 4
+    assert (got["good"]["n_rows"], got["good"]["ok"], got["good"]["message"]) == (50, True, "")
+    assert (got["empty"]["n_rows"], got["empty"]["ok"]) == (0, True)
+    assert not got["wrong"]["ok"] and got["wrong"]["message"].startswith("none of 50 rows")
+    assert not got["cut"]["ok"] and got["cut"]["message"].startswith("no valid footer")
+
+
+def test_file_status_counts_records_that_do_not_parse(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n{"a": \n{"a": 3}\n')
+    (tmp_path / "b.json").write_text('{"a": 1}\n')
+    (tmp_path / "c.json").write_text("")
+    status = {r["path"].rsplit("/", 1)[1]: r for r in vectors.file_status(spark, [str(tmp_path)], "json", "a bigint").collect()}
+    assert status["a.json"]["message"] == "1 of 3 records do not fit the schema" and not status["a.json"]["ok"]
+    assert status["b.json"]["ok"] and status["b.json"]["n_rows"] == 1
+    assert set(status) == {"a.json", "b.json"}  # Spark does not list files of zero bytes
