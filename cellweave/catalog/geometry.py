@@ -101,6 +101,61 @@ def c4(spark, folder):
 
 _CLIP = Grid(500.0, 300.0, 4100.0, 2900.0, 72, 52)
 
+#: Rings around a centre, in multiples of a size: an outline with a notch, its hole, and a second outline.
+_RINGS = [
+    [(-1.0, -1.0), (1.0, -0.8), (0.3, 0.0), (0.9, 1.0), (-0.8, 0.7)],
+    [(-0.4, -0.4), (-0.4, 0.2), (0.1, 0.1), (0.1, -0.4)],
+    [(1.5, -0.5), (2.5, -0.5), (2.0, 0.6)],
+]
+_CENTRE = [("cx", "c_custkey * 37 % 5000"), ("cy", "c_custkey * 91 % 3500"), ("size", "100 + c_custkey * 13 % 1900")]
+_CORNERS = ", ".join(
+    f"({r}, {i}, {x}::DOUBLE, {y}::DOUBLE)" for r, ring in enumerate(_RINGS) for i, (x, y) in enumerate([*ring, ring[0]])
+)
+#: Area and moments inside the box, edge by edge: the stretch under an edge, with its height held to the box, is a
+#: quadratic between the places where the edge meets a side, so that three values of each stretch give its integral.
+OUTLINES_SQL = f"""shapes AS (SELECT c_custkey AS id, {", ".join(f"({e})::DOUBLE AS {n}" for n, e in _CENTRE)} FROM customer),
+    corners(ring, i, ox, oy) AS (VALUES {_CORNERS}),
+    placed AS (SELECT id, ring, i, cx + ox * size AS x, cy + oy * size AS y FROM shapes, corners WHERE ring < 2 OR id % 2 = 0),
+    edges AS (SELECT id, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM placed WINDOW w AS (PARTITION BY id, ring ORDER BY i)),
+    stops AS (SELECT *, list_sort(list_transform([0.0::DOUBLE, 1.0, (500 - x0) / nullif(x1 - x0, 0), (4100 - x0) / nullif(x1 - x0, 0),
+        (300 - y0) / nullif(y1 - y0, 0), (2900 - y0) / nullif(y1 - y0, 0)], lambda t: greatest(least(coalesce(t, 0.0), 1.0), 0.0))) AS ts FROM edges WHERE x1 IS NOT NULL),
+    stretches AS (SELECT id, x0, y0, x1, y1, unnest(list_zip(ts[1:5], ts[2:6])) AS t FROM stops),
+    ends AS (SELECT id, x0 + t[1] * (x1 - x0) AS xa, x0 + t[2] * (x1 - x0) AS xb, least(greatest(y0 + t[1] * (y1 - y0), 300), 2900) AS ya,
+        least(greatest(y0 + t[2] * (y1 - y0), 300), 2900) AS yb FROM stretches WHERE t[2] > t[1]),
+    sums AS (SELECT id, sum((xa - xb) * ((ya + yb) / 2 - 300)) AS area,
+        sum((xa - xb) * (xa * (ya - 300) + (xa + xb) * (ya + yb - 600) + xb * (yb - 300)) / 6) AS mx,
+        sum((xa - xb) * (ya * ya + (ya + yb) * (ya + yb) + yb * yb - 6 * 90000) / 12) AS my
+      FROM ends WHERE (xa + xb) / 2 BETWEEN 500 AND 4100 GROUP BY id)"""
+
+
+def outlines(spark, folder):
+    """Polygons with a notch and a hole, every other one with a second outline."""
+    base = fx.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"), *[F.expr(e).cast("double").alias(n) for n, e in _CENTRE]
+    )
+
+    def ring(corners):
+        return F.array(*[
+            F.struct((F.col("cx") + F.lit(x) * F.col("size")).alias("x"), (F.col("cy") + F.lit(y) * F.col("size")).alias("y"))
+            for x, y in [*corners, corners[0]]
+        ])
+
+    one, two = F.array(*map(ring, _RINGS[:2])), F.array(*map(ring, _RINGS))
+    several = F.col("id") % 2 == 0
+    kind = F.when(several, "MultiPolygon").otherwise("Polygon")
+    return base.select("id", F.struct(kind.alias("type"), F.when(several, two).otherwise(one).alias("parts")).alias("geom"))
+
+
+@query(
+    "c5_clip_polygons",
+    f"WITH {OUTLINES_SQL} SELECT id, {R('area')} AS area, {R('mx / area', 5)} AS x, {R('my / area', 5)} AS y FROM sums WHERE area > 1e-6",
+)
+def c5_polygons(spark, folder):
+    """Area and centroid of polygons with holes and several outlines, cut to the box."""
+    cut = geo.clip_features(outlines(spark, folder), _CLIP)
+    sized = cut.select("id", geo.area(F.col("geom")).alias("area"), geo.centroid(F.col("geom")).alias("c"))
+    return sized.select("id", rounded("area").alias("area"), rounded("c.x", 5).alias("x"), rounded("c.y", 5).alias("y"))
+
 
 @query(
     "c5_clip_points",

@@ -90,6 +90,116 @@ def centroid(geom: Column) -> Column:
     )
 
 
+def area(geom: Column) -> Column:
+    """Signed area of the rings: holes, which wind the other way, are taken off. Zero for lines and points."""
+    origin = F.get(F.flatten(geom["parts"]), F.lit(0))
+
+    def cross(e: Column) -> Column:
+        ax, ay, bx, by = e["a"]["x"] - origin["x"], e["a"]["y"] - origin["y"], e["b"]["x"] - origin["x"], e["b"]["y"] - origin["y"]
+        return (ax * by - bx * ay) / 2
+
+    total = F.aggregate(_edges(geom), F.lit(0.0), lambda s, e: s + cross(e))
+    return F.when(geom["type"].endswith("Polygon"), F.coalesce(total, F.lit(0.0))).otherwise(0.0)
+
+
+def _vertex(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _cut_ring(ring: Column, grid: Grid) -> Column:
+    """A closed ring cut at the four sides of the box one after the other; empty when nothing is left."""
+    sides = F.array(*[
+        F.struct(F.lit(axis).alias("axis"), F.lit(sign).alias("sign"), F.lit(float(bound)).alias("bound"))
+        for axis, sign, bound in (("x", 1.0, grid.minx), ("x", -1.0, grid.maxx), ("y", 1.0, grid.miny), ("y", -1.0, grid.maxy))
+    ])
+
+    def cut(corners: Column, side: Column) -> Column:
+        on_x = side["axis"] == "x"
+
+        def depth(p: Column) -> Column:
+            return side["sign"] * (F.when(on_x, p["x"]).otherwise(p["y"]) - side["bound"])
+
+        def kept(a: Column, b: Column) -> Column:
+            t = depth(a) / (depth(a) - depth(b))
+            meet = _vertex(
+                F.when(on_x, side["bound"]).otherwise(a["x"] + t * (b["x"] - a["x"])),
+                F.when(on_x, a["y"] + t * (b["y"] - a["y"])).otherwise(side["bound"]),
+            )
+            enters, leaves = (depth(a) < 0) & (depth(b) > 0), (depth(a) > 0) & (depth(b) < 0)
+            crossing = F.when(enters | leaves, F.array(meet)).otherwise(F.slice(F.array(a), 1, 0))
+            return F.concat(crossing, F.when(depth(b) >= 0, F.array(b)).otherwise(F.slice(F.array(b), 1, 0)))
+
+        size = F.greatest(F.size(corners) - 1, F.lit(0))
+        left = F.flatten(F.zip_with(F.slice(corners, F.lit(1), size), F.slice(corners, F.lit(2), size), kept))
+        return F.concat(left, F.slice(left, 1, 1))
+
+    return F.aggregate(sides, ring, cut)
+
+
+def _cut_line(line: Column, grid: Grid) -> Column:
+    """The pieces of a line inside the box: every edge cut by its parameters, edges that meet strung together."""
+    size = F.greatest(F.size(line) - 1, F.lit(0))
+
+    def inside(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        sides = [(-dx, a["x"] - grid.minx), (dx, grid.maxx - a["x"]), (-dy, a["y"] - grid.miny), (dy, grid.maxy - a["y"])]
+        enter = F.greatest(F.lit(0.0), *[F.when(p < 0, q / p).otherwise(0.0) for p, q in sides])
+        leave = F.least(F.lit(1.0), *[F.when(p > 0, q / p).otherwise(1.0) for p, q in sides])
+        missed = (sides[0][0] == 0) & ((sides[0][1] < 0) | (sides[1][1] < 0)) | (sides[2][0] == 0) & ((sides[2][1] < 0) | (sides[3][1] < 0))
+        start = F.when(enter > 0, _vertex(a["x"] + enter * dx, a["y"] + enter * dy)).otherwise(_vertex(a["x"], a["y"]))
+        stop = F.when(leave < 1, _vertex(a["x"] + leave * dx, a["y"] + leave * dy)).otherwise(_vertex(b["x"], b["y"]))
+        return F.struct(F.when(~missed & (enter < leave), F.array(start, stop)).alias("piece"))
+
+    cuts = F.zip_with(F.slice(line, F.lit(1), size), F.slice(line, F.lit(2), size), inside)
+    pieces = F.transform(F.filter(cuts, lambda c: c["piece"].isNotNull()), lambda c: c["piece"])
+    # Where a piece starts anew, the pieces up to the next such place make one line.
+    starts = F.filter(
+        F.transform(pieces, lambda p, i: F.when((i == 0) | (F.get(F.get(pieces, i - 1), F.lit(1)) != F.get(p, F.lit(0))), i)),
+        lambda i: i.isNotNull(),
+    )
+
+    def strung(at: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get(starts, k + 1), F.size(pieces))
+        run = F.slice(pieces, at + 1, stop - at)
+        return F.concat(F.slice(F.get(run, F.lit(0)), 1, 1), F.transform(run, lambda p: F.get(p, F.lit(1))))
+
+    return F.transform(starts, strung)
+
+
+def clip_geometry(geom: Column, grid: Grid) -> Column:
+    """The part of a geometry inside the box of `grid`, of the same type; null when nothing is left.
+
+    Points on the border stay. Lines become as many parts as they have stretches of some length inside. Rings
+    keep their winding, so holes stay holes; rings without area inside go, and a hole that covers the box leaves a
+    polygon without area, which goes as well. A concave ring that leaves the box and comes back stays one ring whose
+    stretches are joined along the border: area, centroid and even-odd filling are those of the intersection.
+    Vertices without coordinates count as absent.
+    """
+    parts = F.transform(geom["parts"], lambda part: F.filter(part, lambda p: p["x"].isNotNull() & p["y"].isNotNull()))
+    box = lambda p: p["x"].between(grid.minx, grid.maxx) & p["y"].between(grid.miny, grid.maxy)
+
+    def has_area(ring: Column) -> Column:
+        return area(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("parts"))) != 0
+
+    as_points = F.transform(parts, lambda part: F.filter(part, box))
+    as_lines = F.flatten(F.transform(parts, lambda part: _cut_line(part, grid)))
+    as_rings = F.filter(F.transform(parts, lambda part: _cut_ring(part, grid)), has_area)
+    cut = (
+        F.when(geom["type"].endswith("Polygon"), as_rings).when(geom["type"].endswith("LineString"), as_lines).otherwise(as_points)
+    )
+    whole = F.struct(geom["type"].alias("type"), F.filter(cut, lambda part: F.size(part) > 0).alias("parts"))
+    # A one-element array binds the result, so that nothing is cut twice.
+    bound = F.transform(F.array(whole), lambda g: F.when(
+        (F.size(g["parts"]) > 0) & (~g["type"].endswith("Polygon") | (F.abs(area(g)) > 0)), g
+    ))
+    return F.get(bound, F.lit(0))
+
+
+def clip_features(features: DataFrame, grid: Grid, geom: str = "geom") -> DataFrame:
+    """Features cut to the box of `grid`; those without a part inside go, and so do missing geometries."""
+    return features.withColumn(geom, clip_geometry(F.col(geom), grid)).where(F.col(geom).isNotNull())
+
+
 def clip_points(points: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFrame:
     return points.where(grid.has_xy(F.col(x), F.col(y)))
 

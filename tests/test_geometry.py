@@ -92,6 +92,38 @@ def test_segments_are_cut_at_the_box(spark):
     assert [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in got] == [(0, 5, 10, 5)]
 
 
+def test_geometries_are_cut_at_the_box(spark):
+    grid = Grid(0.0, 0.0, 10.0, 10.0, 10, 10)
+    square, hole = [(-4, 2), (4, 2), (4, 8), (-4, 8), (-4, 2)], [(-2, 3), (-2, 5), (2, 5), (2, 3), (-2, 3)]
+    around = [(-5, -5), (15, -5), (15, 15), (-5, 15), (-5, -5)]
+    comb = [(12, 1), (12, 9), (5, 9), (5, 7), (11, 7), (11, 3), (5, 3), (5, 1), (12, 1)]
+    df = _features(
+        spark,
+        ("a", _shape("MultiPoint", [(0, 0)], [(11, 1)], [(10, 10)])),
+        ("a", _shape("LineString", [(2, 2), (2, 12), (4, 12), (4, 4), (6, 4)])),
+        ("a", _shape("Polygon", square, hole)),
+        ("a", _shape("MultiPolygon", around, [(20, 20), (30, 20), (30, 30), (20, 20)])),
+        ("a", _shape("Polygon", comb)),
+        ("a", _shape("Polygon", around, around[::-1])),
+        ("a", _shape("Polygon", [(10, 0), (14, 0), (14, 5), (10, 0)])),
+        ("a", _shape("LineString", [(-1, -1), (-1, 11)])),
+        ("a", ("Polygon", [])),
+        ("a", ("LineString", [[]])),
+        ("a", None),
+    )
+    g = F.col("geom")
+    got = {r["feature_id"]: r for r in geo.clip_features(df, grid).select("*", geo.area(g).alias("area"), geo.centroid(g).alias("c")).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    points = {i: [[(p["x"], p["y"]) for p in part] for part in r["geom"]["parts"]] for i, r in got.items()}
+    assert points[0] == [[(0, 0)], [(10, 10)]]
+    assert points[1] == [[(2, 2), (2, 10)], [(4, 10), (4, 4), (6, 4)]]
+    assert got[2]["area"] == 4 * 6 - 2 * 2 and math.isclose(got[2]["c"]["y"], (24 * 5 - 4 * 4) / 20)
+    assert abs(got[3]["area"]) == 100 and len(points[3]) == 1
+    assert abs(got[4]["area"]) == 2 * 5 * 2
+    assert [r["geom"]["type"] for _, r in sorted(got.items())][2:4] == ["Polygon", "MultiPolygon"]
+    assert geo.clip_features(df.limit(0), grid).count() == 0
+
+
 def test_buffer_is_exact_at_the_radius(spark):
     grid = Grid.of_shape(30, 30)
     cells = spark.range(900).select(F.expr("id div 30").alias("row"), (F.col("id") % 30).alias("col"))
