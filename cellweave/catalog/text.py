@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from cellweave.catalog import fixtures as fx
 from cellweave.catalog.registry import query
 from cellweave.functions.categories import map_sheet
-from cellweave.operators import search
+from cellweave.operators import search, textindex
 from cellweave.plans.maps import report_table
+from cellweave.session import scratch_path
 
 TERMS = fx.DOC_TERMS
 PER_TERM = 3  # what one term may add to a score
@@ -77,18 +78,68 @@ def _opened(nested: DataFrame) -> DataFrame:
     return terms.select("doc_id", "category", "term", F.size("contexts").cast("bigint").alias("n_contexts"), F.get("contexts", F.lit(0)).alias("first"))
 
 
-@query("f3_term_contexts_all")
+#: The same walk for patterns, too. The next match is the first place of its own text: an earlier place would match before.
+_ALL_SQL = f"""RECURSIVE {SEARCH_SQL.split(" AS (VALUES")[0]} AS (VALUES {_ROWS}),
+  docs AS (SELECT doc_id, lower(text) AS text FROM documents),
+  walk AS (
+    SELECT doc_id, category, term, term_ord, 0 AS k, strpos(text, hit) - 1 AS at_pos, hit
+    FROM (SELECT *, regexp_extract(text, term) AS hit FROM docs, terms WHERE regexp_matches(text, term))
+    UNION ALL
+    SELECT doc_id, category, term, term_ord, k + 1, at_pos + length(last) + strpos(rest, hit) - 1, hit
+    FROM (SELECT *, regexp_extract(rest, term) AS hit
+          FROM (SELECT w.doc_id, category, term, term_ord, k, at_pos, hit AS last, substr(text, at_pos + length(hit) + 1) AS rest FROM walk w JOIN docs USING (doc_id)) AS left_over
+          WHERE regexp_matches(rest, term)) AS next_hit),
+  contexts AS (
+    SELECT doc_id, category, term, CAST(term_ord AS BIGINT) AS term_ord, CAST(k AS BIGINT) AS k,
+           trim(replace(substr(text, greatest(at_pos - 200, 0) + 1, at_pos + length(hit) + 200 - greatest(at_pos - 200, 0)), chr(10), ' '), ' ') AS snippet
+    FROM walk JOIN docs USING (doc_id))"""
+
+
+@query("f3_term_contexts_all", f"WITH {_ALL_SQL} SELECT * FROM contexts")
 def f3_all(spark, folder):
-    """Contexts of all terms, the pattern included; `f3_term_contexts` has the plain ones, which its SQL form can walk."""
+    """Contexts of all terms, the pattern included."""
     return search.term_contexts(fx.docs(spark, folder), TERMS).select("doc_id", "category", "term", "term_ord", "k", "snippet")
 
 
-@query("s19_search_hits_all")
+@query(
+    "s19_search_hits_all",
+    f"WITH {_ALL_SQL} SELECT doc_id, category, term, count(*) AS n_contexts, min_by(snippet, k) AS first FROM contexts GROUP BY doc_id, category, term",
+)
 def hits_all(spark, folder):
     """The nested hits of all terms, the pattern included."""
     return _opened(search.search_hits(fx.docs(spark, folder), TERMS))
 
 
+def _index(spark, folder):
+    """Postings of all documents, written once a session and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _WRITTEN:
+        path = scratch_path(spark, "postings")
+        textindex.write_index(fx.docs(spark, folder), path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+@query("j11_indexed_hits", f"WITH {SEARCH_SQL} SELECT doc_id, category, cat_ord, term, term_ord, hits FROM found")
+def j11_indexed(spark, folder):
+    """Hits of all terms from the postings; texts are read for the pattern only, where its parts occur."""
+    return textindex.indexed_hits(spark, _index(spark, folder), fx.docs(spark, folder), TERMS)
+
+
+@query("a32_indexed_score", f"WITH {SEARCH_SQL} SELECT doc_id, score, categories FROM scored")
+def a32_indexed(spark, folder):
+    return textindex.indexed_scores(spark, _index(spark, folder), fx.docs(spark, folder), TERMS, per_term=PER_TERM)
+
+
+@query("f3_indexed_contexts", f"WITH {_ALL_SQL} SELECT * FROM contexts")
+def f3_indexed(spark, folder):
+    found = textindex.indexed_contexts(spark, _index(spark, folder), fx.docs(spark, folder), TERMS)
+    return found.select("doc_id", "category", "term", "term_ord", "k", "snippet")
+
+
 @query(
     "w7_report_table",
     f"""WITH {SEARCH_SQL}, best AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored)

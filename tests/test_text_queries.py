@@ -1,7 +1,12 @@
 import re
 
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
 from cellweave.catalog import QUERIES
 from cellweave.catalog.fixtures import DOC_TERMS
+from cellweave.operators import search, textindex
 
 
 def test_contexts_and_hits_of_all_terms_equal_brute_force(spark, tmp_path):
@@ -28,3 +33,67 @@ def test_contexts_and_hits_of_all_terms_equal_brute_force(spark, tmp_path):
     count = {key: sum(w[:3] == key for w in want) for key in first}
     nested = QUERIES["s19_search_hits_all"](spark, str(tmp_path)).collect()
     assert {(r["doc_id"], r["category"], r["term"]): (r["n_contexts"], r["first"]) for r in nested} == {key: (count[key], first[key]) for key in first}
+
+
+TERMS = {"a": ["aba", "abab", "ab", "a b", "baba.*aba"], "b": ["cab", "zz", "a-b"]}
+SCHEMA = "doc_id long, text string, note string"
+
+
+def _rows(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def _compare(spark, path, texts, terms):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    textindex.write_index(docs, path, buckets=4, files=3)
+    hits = textindex.indexed_hits(spark, path, docs, terms, buckets=4)
+    names = ("doc_id", "category", "term", "hits")
+    plain = [(i, (t or "").lower()) for i, t in enumerate(texts)]
+    want = sorted((i, c, w, n) for i, t in plain for c, ws in terms.items() for w in ws if (n := len(re.findall(w, t))))
+    assert _rows(hits, *names) == want
+    contexts = textindex.indexed_contexts(spark, path, docs, terms, buckets=4)
+    cut = sorted(
+        (i, c, w, k, t[max(m.start() - 200, 0) : m.end() + 200].replace("\n", " ").strip(" "))
+        for i, t in plain for c, ws in terms.items() for w in ws for k, m in enumerate(re.finditer(w, t))
+    )
+    assert _rows(contexts, "doc_id", "category", "term", "k", "snippet") == cut
+
+
+def test_postings_find_what_a_scan_finds(spark, tmp_path):
+    texts = [
+        "ababababa", "AbA\nBaBa aba", "baba aba baba aba\nbaba\naba", "", None, "a", "ab", "xxab", "\U0001f600ab\U0001f600aba", "a-b " * 500 + "cab",
+        "aba baba", "zzz zz", " ab a b ",
+    ]
+    _compare(spark, str(tmp_path / "index"), texts, TERMS)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.text(alphabet="ab \n", max_size=40), min_size=1, max_size=30))
+def test_postings_of_any_texts(spark, tmp_path_factory, texts):
+    _compare(spark, str(tmp_path_factory.mktemp("index")), texts, TERMS)
+
+
+def test_repeated_rows_null_keys_and_empty_tables(spark, tmp_path):
+    rows = [(1, "aba", "x"), (1, "aba", "y"), (1, "ABA aba", "x"), (None, "aba", "x"), (2, None, "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    path = str(tmp_path / "index")
+    textindex.write_index(docs, path)
+    assert _rows(textindex.indexed_hits(spark, path, docs, {"a": ["aba"]}), "doc_id", "hits") == [(1, 1), (1, 2)]
+    assert _rows(textindex.indexed_scores(spark, path, docs, {"a": ["aba", "ab"]}, per_term=1), "doc_id", "score", "categories") == [(1, 2, "a"), (1, 2, "a")]
+    with pytest.raises(ValueError):
+        textindex.indexed_hits(spark, path, docs, {"a": ["a"]})
+    assert textindex.indexed_hits(spark, path, docs, {"a": ["nowhere"]}).count() == 0
+    assert textindex.indexed_hits(spark, path, docs, {"a": []}).count() == 0
+    textindex.write_index(docs.limit(0), path)
+    assert textindex.indexed_hits(spark, path, docs.limit(0), TERMS).count() == 0
+
+
+def test_second_search_reads_postings_not_texts(spark, tmp_path):
+    texts = ["gold and iron of the greenstone belt", "shear zone", "iron"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    path = str(tmp_path / "index")
+    textindex.write_index(docs, path)
+    terms = {c: [t for t in words if ".*" not in t] for c, words in search.SEARCH_TERMS.items()}
+    got = textindex.indexed_hits(spark, path, docs.limit(0), terms)
+    want = search.term_hits(docs, terms)
+    assert _rows(got, "doc_id", "term", "hits") == _rows(want, "doc_id", "term", "hits") != []
