@@ -196,11 +196,55 @@ def a28(spark, folder):
     return round_columns(metrics.kruskal_wallis(long, "segment", "channel", "value"), ["h", "p"])
 
 
-@query("a29_pca2")
+def _cross(a: str, b: str) -> str:
+    """Cross product of two lists of three."""
+    return "[" + ", ".join(f"{a}[{i}] * {b}[{j}] - {a}[{j}] * {b}[{i}]" for i, j in ((2, 3), (3, 1), (1, 2))) + "]"
+
+
+#: Components of three columns in closed form: the cubic of their correlations has its roots by an angle, and a component is
+#: at right angles to the rows of what is left of the matrix; of the three pairs of rows, the one that tells most.
+PCA_SQL = f"""{SAMPLED_SQL}, known AS (SELECT * FROM sampled WHERE k IS NOT NULL AND u IS NOT NULL AND th IS NOT NULL),
+    moments AS (SELECT avg(k) AS mk, avg(u) AS mu, avg(th) AS mt, stddev_pop(k) AS sk, stddev_pop(u) AS su, stddev_pop(th) AS st,
+        corr(k, u) AS ku, corr(k, th) AS kt, corr(u, th) AS ut FROM known),
+    spread AS (SELECT *, sqrt((ku * ku + kt * kt + ut * ut) / 3) AS p FROM moments),
+    angle AS (SELECT *, acos(greatest(least(ku * kt * ut / (p * p * p), 1.0::DOUBLE), -1.0::DOUBLE)) / 3 AS phi FROM spread),
+    roots AS (SELECT *, unnest([1, 2]) AS component, 1 + 2 * p * cos(phi) AS e1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS e3 FROM angle),
+    eigen AS (SELECT *, CASE component WHEN 1 THEN e1 ELSE 3 - e1 - e3 END AS e FROM roots),
+    rest AS (SELECT *, [1 - e, ku, kt] AS r1, [ku, 1 - e, ut] AS r2, [kt, ut, 1 - e] AS r3 FROM eigen),
+    normals AS (SELECT component, e, unnest([{_cross("r1", "r2")}, {_cross("r1", "r3")}, {_cross("r2", "r3")}]) AS v FROM rest),
+    longest AS (SELECT component, any_value(e) AS e, max_by(v, list_dot_product(v, v)) AS v FROM normals GROUP BY component),
+    signed AS (SELECT component, e, v, sqrt(list_dot_product(v, v)) * CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END AS size FROM longest),
+    loadings AS (SELECT component, e / 3 AS ratio, list_transform(v, lambda x: x / size) AS w FROM signed)"""
+
+
+@query(
+    "a29_pca2",
+    f"""WITH {PCA_SQL}, z AS (SELECT id, dep_type, k, u, th, [(k - mk) / sk, (u - mu) / su, (th - mt) / st] AS z FROM known, moments)
+    SELECT id, dep_type, {R('k')} AS k, {R('u')} AS u, {R('th')} AS th, {R('list_dot_product(z, a.w)')} AS pc1, {R('list_dot_product(z, b.w)')} AS pc2
+    FROM z, loadings a, loadings b WHERE a.component = 1 AND b.component = 2""",
+)
 def a29(spark, folder):
     base = stored_samples(spark, folder)
     fitted = metrics.principal_components(base, ["k", "u", "th"])
-    return metrics.project_components(base.select("id", "dep_type", "k", "u", "th"), fitted)
+    scores = metrics.project_components(base.select("id", "dep_type", "k", "u", "th"), fitted)
+    return round_columns(scores, ["k", "u", "th", "pc1", "pc2"])
+
+
+@query(
+    "a29_loadings",
+    f"""WITH {PCA_SQL} SELECT component, channel, {R('ratio')} AS ratio, {R('w[i]')} AS loading
+    FROM loadings, (VALUES (1, 'k'), (2, 'u'), (3, 'th')) AS c(i, channel)""",
+)
+def a29_loadings(spark, folder):
+    """Share of the variance and loadings of both components."""
+    channels = ["k", "u", "th"]
+    fitted = metrics.principal_components(stored_samples(spark, folder), channels)
+    rows = [
+        (i, c, ratio, w)
+        for i, (ratio, loading) in enumerate(zip(fitted["ratio"], fitted["loadings"]), start=1)
+        for c, w in zip(channels, loading)
+    ]
+    return round_columns(spark.createDataFrame(rows, "component int, channel string, ratio double, loading double"), ["ratio", "loading"])
 
 
 @query(
