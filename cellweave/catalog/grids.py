@@ -188,12 +188,42 @@ def w3(spark, folder):
     return round_columns(nb.local_variance_sum(fx.cells(spark, folder).select("row", "col", "b2", "b3"), ["b2", "b3"], grid), ["complexity"])
 
 
-@query("g10_feature_suite")
+def _suite_sql() -> str:
+    """The layers of the suite side by side, each by the SQL of its own query."""
+    near = ", ".join(f"CASE WHEN {d}_distance <= 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {d}_near" for d in ("fault", "shear"))
+    moments = [
+        filter_sql("src", v, "g101", out)
+        for v, out in (("f", "fm"), ("ff", "fs"), ("s", "sm"), ("ss", "ssm"))
+    ]
+    named = {
+        "kf": "fault_distance_kde_density", "ks": "shear_distance_kde_density", "total": "structural_complexity",
+        "cross_n": "intersection_density", "touch": "b0_contact_density",
+    }
+    scaled = ", ".join(f"{r}_scaled AS ({scaled_sql(r, name)})" for r, name in named.items())
+    joins = " ".join(f"JOIN {r}_scaled USING (row, col)" for r in named)
+    return f"""WITH {DISTANCE_SQL}, {CONTACT_SQL.removeprefix(fx.CELLS_SQL + ",")},
+    src AS (SELECT row, col, {near}, (fault_distance <= 200)::INT + (shear_distance <= 200)::INT AS n, fault_distance AS f,
+      fault_distance * fault_distance AS ff, shear_distance AS s, shear_distance * shear_distance AS ss FROM layers),
+    {gauss_sql('g40', 40.0)}, {gauss_sql('g5', 5.0)}, {gauss_sql('g20', 20.0)},
+    g101 AS (SELECT k, 1.0::DOUBLE / 101 AS w FROM (SELECT unnest(range(-50, 51)) AS k)),
+    {filter_sql('src', 'fault_near', 'g40', 'kf')}, {filter_sql('src', 'shear_near', 'g40', 'ks')}, {filter_sql('src', 'n', 'g5', 'cross_n')},
+    {filter_sql('contacts', 'contact', 'g20', 'touch')}, {", ".join(moments)},
+    total AS (SELECT fm.row, fm.col, greatest(fs.x - fm.x * fm.x, 0) + greatest(ssm.x - sm.x * sm.x, 0) AS x
+      FROM fm JOIN fs USING (row, col) JOIN sm USING (row, col) JOIN ssm USING (row, col)),
+    hit AS (SELECT row, col FROM layers WHERE fault_distance <= 150 AND shear_distance <= 150),
+    apart AS (SELECT l.row, l.col, {R('coalesce((SELECT sqrt(CAST(min((l.row - h.row) * (l.row - h.row) + (l.col - h.col) * (l.col - h.col)) AS DOUBLE)) * 50 FROM hit h), 0)')} AS intersection_distance
+      FROM layers l),
+    {scaled}
+    SELECT row, col, {", ".join(named.values())}, intersection_distance FROM apart {joins}"""
+
+
+@query("g10_feature_suite", _suite_sql())
 def g10(spark, folder):
     grid = fx.cell_grid(spark, folder)
     base = fx.stored_cells(spark, folder).select("row", "col", "b0")
     layers = stored(distance_layers(spark, folder, grid).join(base, ["row", "col"]), "layers")
-    return stack.feature_suite(layers, ["fault_distance", "shear_distance"], ["b0"], grid)
+    suite = stack.feature_suite(layers, ["fault_distance", "shear_distance"], ["b0"], grid)
+    return round_columns(suite, [c for c in suite.columns if c not in ("row", "col")])
 
 
 # ---- resampling ----------------------------------------------------------
