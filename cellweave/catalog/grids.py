@@ -90,15 +90,16 @@ def _mirror(index: str, size: str) -> str:
 
 def filter_sql(source: str, value: str, weights: str, out: str) -> str:
     """CTEs of a separable filter with reflected boundary; `weights` is a relation (k, w)."""
+    # Weights that reflection leads to the same line are added first, so each line meets another once.
     return f"""
+{out}_down AS (
+  SELECT row, line, sum(w) AS w FROM (SELECT r.row, w.w, {_mirror('r.row + w.k', 'dim.h')} AS line FROM (SELECT DISTINCT row FROM {source}) r, dim, {weights} w) t GROUP BY row, line),
+{out}_across AS (
+  SELECT col, line, sum(w) AS w FROM (SELECT c.col, w.w, {_mirror('c.col + w.k', 'dim.w')} AS line FROM (SELECT DISTINCT col FROM {source}) c, dim, {weights} w) t GROUP BY col, line),
 {out}_v AS (
-  SELECT c.row, c.col, sum(w.w * coalesce(s.{value}, 0)) AS x
-  FROM {source} c, dim, {weights} w, {source} s
-  WHERE s.col = c.col AND s.row = {_mirror('c.row + w.k', 'dim.h')} GROUP BY c.row, c.col),
+  SELECT d.row, s.col, sum(d.w * coalesce(s.{value}, 0)) AS x FROM {source} s JOIN {out}_down d ON d.line = s.row GROUP BY d.row, s.col),
 {out} AS (
-  SELECT c.row, c.col, sum(w.w * s.x) AS x
-  FROM {out}_v c, dim, {weights} w, {out}_v s
-  WHERE s.row = c.row AND s.col = {_mirror('c.col + w.k', 'dim.w')} GROUP BY c.row, c.col)"""
+  SELECT s.row, a.col, sum(a.w * s.x) AS x FROM {out}_v s JOIN {out}_across a ON a.line = s.col GROUP BY s.row, a.col)"""
 
 
 def gauss_sql(name: str, sigma: float) -> str:
