@@ -27,10 +27,11 @@ def depth_maps(
     """
     depths = [d for d in DEPTHS if d in ensembles] + [d for d in ensembles if d not in DEPTHS]
     scored = stored(tiles.select("row", "col", *features), "depth-tiles")
-    table = scored.select("row", "col")
+    table = scored
     for depth in depths:
-        one = ensemble_uncertainty(scored, features, ensembles[depth], ["row", "col"])
-        table = table.join(one.withColumnsRenamed({"mean": f"mean_{depth}", "std": f"std_{depth}"}), ["row", "col"])
+        members = [[bias, *weights] for weights, bias in ensembles[depth]]
+        one = ensemble_uncertainty(table, features, members, table.columns)
+        table = one.withColumnsRenamed({"mean": f"mean_{depth}", "std": f"std_{depth}"})
     columns = [f"{kind}_{depth}" for depth in depths for kind in ("mean", "std")]
     spread = tile_overlap_mean(table, columns, height, width, patch, stride)
     return spread.withColumn("fused", depth_ensemble_mean([f"mean_{depth}" for depth in depths]))

@@ -120,3 +120,24 @@ def test_a_forest_in_parts_equals_one_fit(cells, monkeypatch):
         assert sum(part.getNumTrees for part in forest.parts) == 120
         auc[trees] = metrics.auc_roc(models.score(forest, cells)).first()["auc_roc"]
     assert abs(auc[10] - auc[120]) < 0.01
+
+
+def test_depth_maps_take_members_as_weights_and_bias(spark):
+    from cellweave.plans.maps import depth_maps
+
+    tiles = spark.createDataFrame([(2, 2, 0.5, 1.0), (2, 4, -1.0, 0.25)], "row long, col long, a double, b double")
+    ensembles = {"near": [([1.0, -2.0], 0.5), ([0.0, 1.0], -0.5)], "far": [([0.25, 0.25], 0.0), ([1.0, 0.0], 1.0)]}
+    out = {(r["row"], r["col"]): r for r in depth_maps(tiles, ["a", "b"], ensembles, 4, 6, 4, 2).collect()}
+
+    def member(weights, bias, a, b):
+        return 1 / (1 + np.exp(-(weights[0] * a + weights[1] * b + bias)))
+
+    means = {}
+    for depth, members in ensembles.items():
+        p = np.array([[member(w, c, a, b) for w, c in members] for a, b in ((0.5, 1.0), (-1.0, 0.25))])
+        means[depth], deviations = p.mean(axis=1), p.std(axis=1, ddof=1)
+        assert out[0, 0][f"mean_{depth}"] == pytest.approx(means[depth][0])
+        assert out[0, 5][f"std_{depth}"] == pytest.approx(deviations[1])
+        assert out[1, 3][f"mean_{depth}"] == pytest.approx(means[depth].mean())
+    assert out[0, 0]["fused"] == pytest.approx((means["near"][0] + means["far"][0]) / 2)
+    assert len(out) == 24 and out[1, 3]["n_tiles"] == 2
