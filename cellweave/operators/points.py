@@ -17,11 +17,12 @@ def point_window_median(
     """Add, per band, the median of the known cells within `buffer_px` of each point.
 
     Points of one cell share their window, so each cell with points is unrolled into window offsets once.
-    These are few next to the cells: when checked to be small they are broadcast and the cells are only
-    filtered, not shuffled.  Points without any known cell keep NULL.
+    When these are checked to be few they are broadcast and the cells are only filtered, not shuffled; many points
+    meet their cells by sort and merge, so nothing on the driver grows with them.  Points without any known cell keep NULL.
     """
     placed = world_to_pixel(points, grid).select(key, F.col("row").alias("_row"), F.col("col").alias("_col"))
     spots = placed.select("_row", "_col").distinct()
+    window = (2 * buffer_px + 1) ** 2
     around = F.sequence(F.lit(-buffer_px), F.lit(buffer_px))
     wanted = (
         spots.withColumn("_dr", F.explode(around)).withColumn("_dc", F.explode(around))
@@ -30,12 +31,12 @@ def point_window_median(
     )
     medians = (
         cells.select("row", "col", *bands)
-        .join(broadcast_if_small(wanted, points, (2 * buffer_px + 1) ** 2), ["row", "col"])
+        .join(broadcast_if_small(wanted, points, window), ["row", "col"])
         .groupBy("_row", "_col")
         .agg(*[F.percentile(F.col(b).cast("double"), 0.5).alias(b) for b in bands])  # (2*buffer_px+1)^2 values at most
     )
-    of_points = placed.join(medians, ["_row", "_col"]).drop("_row", "_col")
-    return points.join(of_points, key, "left")
+    of_points = broadcast_if_small(placed, points, window).join(medians, ["_row", "_col"]).drop("_row", "_col")
+    return points.join(broadcast_if_small(of_points, points, window), key, "left")
 
 
 def occurrence_scores(points: DataFrame, cells: DataFrame, score: str, grid: Grid) -> DataFrame:
@@ -46,4 +47,4 @@ def occurrence_scores(points: DataFrame, cells: DataFrame, score: str, grid: Gri
     placed = world_to_pixel(points, grid).where(grid.has(F.col("row"), F.col("col")))
     spots = broadcast_if_small(placed.select("row", "col").distinct(), points)
     known = cells.where(F.col(score).isNotNull()).select("row", "col", score).join(spots, ["row", "col"])
-    return placed.join(known, ["row", "col"])
+    return broadcast_if_small(placed, points).join(known, ["row", "col"])

@@ -43,14 +43,25 @@ def small_side(df: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
 
 
 def broadcast_if_small(side: DataFrame, base: DataFrame | None = None, factor: int = 1, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `side` when it is checked to be small; otherwise leave the join to AQE.
+    """Broadcast `side` when it is checked to be small; otherwise have the join sort and merge.
 
     For sides too large for the driver to hold row by row: only a bounded count is taken.
     When every row of `base` gives at most `factor` rows of `side`, the cheaper `base` is counted.
+    Spark sizes a side by the bytes of its files or shuffles, which know nothing of rows unrolled after them; a side
+    that is not small must not be left to that estimate, which would gather it on the driver.
     """
     counted = side if base is None else base
     allowed = limit // factor
-    return F.broadcast(side) if counted.limit(allowed + 1).count() <= allowed else side
+    return F.broadcast(side) if counted.limit(allowed + 1).count() <= allowed else side.hint("merge")
+
+
+def spread(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """Deal the rows of a table read from few files over all cores, for steps that cost far more than a row's bytes.
+
+    Tables that come in more parts than that stay as they are, so at most `per_core` parts a core are moved.
+    """
+    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.scale import bounded_rows, exact_percentiles, running_totals, small_side, smallest_by_key
+from cellweave.scale import bounded_rows, broadcast_if_small, exact_percentiles, running_totals, small_side, smallest_by_key, spread
 
 PROBS = [0.0, 0.02, 0.1, 0.5, 0.77, 0.98, 1.0]
 
@@ -96,3 +96,27 @@ def test_percentiles_of_infinities(spark, limit):
         at = p * (len(order) - 1)
         low, high = order[int(np.floor(at))], order[int(np.ceil(at))]
         assert got == low if low == high else abs(got - (low + (high - low) * (at - np.floor(at)))) < 1e-9
+
+
+def test_sides_that_are_not_small_are_never_broadcast(spark):
+    """Unrolled rows do not show in Spark's estimate, which alone would broadcast this side."""
+    base = spark.range(100)
+    side = base.select("id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    cells = spark.range(1000)
+
+    def plan(joined):
+        return joined._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan(cells.join(broadcast_if_small(side, base, 10, 1000), "id"))
+    many = cells.join(broadcast_if_small(side, base, 10, 999), "id")
+    assert "SortMergeJoin" in plan(many) and "Broadcast" not in plan(many)
+    assert many.count() == 1000
+
+
+def test_spread_deals_few_parts_over_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(1000).coalesce(1)
+    dealt = spread(one)
+    assert dealt.rdd.getNumPartitions() == 4 * cores
+    assert sorted(r["id"] for r in dealt.collect()) == list(range(1000))
+    assert spread(spark.range(0, 1000, 1, 4 * cores)).rdd.getNumPartitions() == 4 * cores
