@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cellweave.grid import Grid
 from cellweave.operators.spans import disc_spans, merged_spans, unrolled
-from cellweave.scale import broadcast_if_small, running_totals, small_side
+from cellweave.scale import broadcast_if_small, running_totals, small_side, spread
 
 
 def valid_geometry(df: DataFrame, geom: str = "geom") -> DataFrame:
@@ -197,7 +197,11 @@ def clip_geometry(geom: Column, grid: Grid) -> Column:
 
 def clip_features(features: DataFrame, grid: Grid, geom: str = "geom") -> DataFrame:
     """Features cut to the box of `grid`; those without a part inside go, and so do missing geometries."""
-    return features.withColumn(geom, clip_geometry(F.col(geom), grid)).where(F.col(geom).isNotNull())
+    rest = [F.col(c) for c in features.columns]
+    # The generator binds the cut geometry; a filter on it would be pushed down together with a second copy of the work.
+    cut = F.explode(F.array(F.struct(clip_geometry(F.col(geom), grid).alias("cut")))).alias("_cut")
+    clipped = spread(features).select(*rest, cut).where(F.col("_cut.cut").isNotNull())
+    return clipped.withColumn(geom, F.col("_cut.cut")).drop("_cut")
 
 
 def clip_points(points: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFrame:
@@ -383,8 +387,11 @@ def buffered_cells(points: DataFrame, grid: Grid, radius: float = 500.0, x: str
 
 def buffer_label(cells: DataFrame, points: DataFrame, grid: Grid, radius: float = 500.0) -> DataFrame:
     """`row, col, label`: 1 where the disc of any occurrence touches the cell, else 0."""
-    around = (2 * math.floor(radius / grid.xres) + 3) * (2 * math.floor(radius / grid.yres) + 3)
-    # Few points leave the cells where they are; many are joined by address.
-    hit = broadcast_if_small(buffered_cells(points, grid, radius), points, around).withColumn("_hit", F.lit(1))
-    joined = cells.select("row", "col").join(hit, ["row", "col"], "left")
-    return joined.select("row", "col", F.coalesce("_hit", F.lit(0)).cast("bigint").alias("label"))
+    around = 2 * math.floor(radius / grid.yres) + 3
+    # The merged spans of a row stay one row, of at most half as many spans as the grid has columns.
+    spans = merged_spans(disc_spans(spread(points), grid, radius))
+    of_rows = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    # Few points leave the cells where they are; many are joined by row.
+    joined = cells.select("row", "col").join(broadcast_if_small(of_rows, points, around), "row", "left")
+    hit = F.exists("_spans", lambda s: F.col("col").between(s["lo"], s["hi"]))
+    return joined.select("row", "col", F.coalesce(hit.cast("bigint"), F.lit(0)).cast("bigint").alias("label"))

@@ -56,15 +56,22 @@ def disc_spans(points: DataFrame, grid: Grid, radius: float, x: str = "x", y: st
     top, bottom = grid.maxy - F.col("row") * grid.yres, grid.maxy - (F.col("row") + 1) * grid.yres
     dy = F.greatest(bottom - py, py - top, F.lit(0.0))
     rest = radius * radius - dy * dy
-    chords = rows.withColumn("_dy2", dy * dy).where(rest >= 0).withColumn("_half", F.sqrt(rest))
+
+    def bound(df: DataFrame, *columns: Column) -> DataFrame:
+        """Columns bound by a generator: later expressions read them instead of repeating their work."""
+        return df.select("_x", "_y", "row", F.inline(F.array(F.struct(*columns))))
+
+    chords = bound(rows, (dy * dy).alias("_dy2"), rest.alias("_rest")).where("_rest >= 0")
+    half = F.sqrt("_rest")
 
     def within(col: Column) -> Column:
         left, right = grid.minx + col * grid.xres, grid.minx + (col + 1) * grid.xres
         dx = F.greatest(left - px, px - right, F.lit(0.0))
         return dx * dx + F.col("_dy2") <= radius * radius
 
-    ends = chords.withColumn("_lo", grid.col_of(px - F.col("_half"))).withColumn("_hi", grid.col_of(px + F.col("_half")))
+    ends = bound(chords, F.col("_dy2"), grid.col_of(px - half).alias("_lo"), grid.col_of(px + half).alias("_hi"))
     low, high = F.col("_lo"), F.col("_hi")
     low = F.when(within(low - 1), low - 1).when(within(low), low).otherwise(low + 1)
     high = F.when(within(high + 1), high + 1).when(within(high), high).otherwise(high - 1)
-    return ends.select("row", F.greatest(low, F.lit(0)).alias("lo"), F.least(high, F.lit(grid.width - 1)).alias("hi")).where(F.col("lo") <= F.col("hi"))
+    held = bound(ends, F.greatest(low, F.lit(0)).alias("lo"), F.least(high, F.lit(grid.width - 1)).alias("hi"))
+    return held.select("row", "lo", "hi").where(F.col("lo") <= F.col("hi"))

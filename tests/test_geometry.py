@@ -147,3 +147,22 @@ def test_extent_pixels_and_vertices(spark):
     assert [(r["row"], r["col"]) for r in p] == [(0, 0), (19, 18)]
     line = _features(spark, ("a", _shape("LineString", [(75, 0), (75, 0)]))).select(project_geometry(F.col("geom")).alias("g"))
     assert line.first()["g"]["parts"][0][0]["x"] == 500000.0
+
+
+def test_polygons_of_one_part_are_cut_by_all_cores(spark):
+    ring = "array(named_struct('x', 0.0D, 'y', 0.0D), named_struct('x', 9.0D, 'y', 0.0D), named_struct('x', 9.0D, 'y', 9.0D), named_struct('x', 0.0D, 'y', 0.0D))"
+    shapes = spark.range(20).coalesce(1).selectExpr("id", f"named_struct('type', 'Polygon', 'parts', array({ring})) AS geom")
+    cut = geo.clip_features(shapes, Grid(0.0, 0.0, 4.0, 4.0, 4, 4))
+    assert cut.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert cut.columns == ["id", "geom"] and cut.select(geo.area(F.col("geom")).alias("a")).distinct().first()["a"] == 8.0
+
+
+def test_many_points_are_not_gathered_for_their_buffer_or_window(spark):
+    from cellweave.operators.points import point_window_median
+
+    grid = Grid(0.0, 0.0, 100.0, 100.0, 10, 10)
+    points = spark.range(60_000).selectExpr("id", "id % 100 + 0.5D AS x", "id * 7 % 100 + 0.5D AS y")
+    cells = spark.range(100).selectExpr("id div 10 AS row", "id % 10 AS col", "id * 1.0D AS v")
+    for made in (point_window_median(points, cells, ["v"], grid), geo.buffer_label(cells.crossJoin(spark.range(1)), points, grid, 500.0)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
