@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cellweave.scale import smallest_by_key
+from cellweave.scale import smallest_by_key, spread
 
 # Search terms by category, in report order; terms are case-insensitive patterns.
 SEARCH_TERMS: dict[str, list[str]] = {
@@ -121,67 +123,94 @@ def term_contexts(
 ) -> DataFrame:
     """`doc, category, term, term_ord, k, snippet`: snippets of +-200 characters around every hit.
 
-    The text is split at the matches; the pieces and the matches between them give the positions.
-    Only the finished snippets leave the document row.  With `per_term`, only the first matches count.
+    Plain terms are looked up in the text; of a pattern, the text is split at its matches, and the pieces and the matches
+    between them give the positions.  Each text is read once and its snippets are cut by position, so the work of a text
+    grows with its length and hits.  Only the finished snippets leave the document row.  With `per_term`, only the first
+    matches count.
     """
+    slots = [(category, i, term, j) for i, (category, words) in enumerate(terms.items()) for j, term in enumerate(words)]
 
-    def snippets(term: str) -> Column:
+    def spans(term: str) -> Column:
+        """Lengths of the pieces and of the matches of a pattern; null for a plain term, which needs none."""
+        if _is_plain(term):
+            return F.lit(None).cast("array<array<int>>")
         body = F.col(text)
         pieces = F.split(body, _pattern(term), -1 if per_term is None else per_term + 1)
-        if _is_plain(term):
-            matches = F.array_repeat(F.lit(term), F.size(pieces) - 1)
-        else:
-            matches = F.regexp_extract_all(body, F.lit(_pattern(term)), F.lit(0))
-            matches = matches if per_term is None else F.slice(matches, 1, per_term)
-        found = F.struct(matches.alias("matches"), pieces.alias("pieces"))
-
-        def cut(s: Column, k: Column) -> Column:
-            lengths = F.concat(
-                F.transform(F.slice(s["pieces"], F.lit(1), k + 1), lambda p: F.length(p)),
-                F.transform(F.slice(s["matches"], F.lit(1), k), lambda m: F.length(m)),
+        matches = F.regexp_extract_all(body, F.lit(_pattern(term)), F.lit(0))
+        matches = matches if per_term is None else F.slice(matches, 1, per_term)
+        return F.array(F.transform(pieces, lambda p: F.length(p)), F.transform(matches, lambda m: F.length(m)))
+
+    rows = spread(documents).where(F.col(text).isNotNull())
+    texts = searchable(rows, text, min_chars).select(doc, text, F.array(*[spans(term) for _, _, term, _ in slots]).alias("_spans"))
+    schema = T.StructType([documents.schema[doc], *T.StructType.fromDDL("_slot int, k long, snippet string").fields])
+    plain = [term if _is_plain(term) else None for _, _, term, _ in slots]
+    found = texts.mapInArrow(lambda batches: _contexts(batches, doc, text, plain, per_term), schema)
+    table = F.array(*[
+        F.struct(F.lit(c).alias("category"), F.lit(i).cast("bigint").alias("cat_ord"), F.lit(t).alias("term"), F.lit(j).cast("bigint").alias("term_ord"))
+        for c, i, t, j in slots
+    ])
+    return found.withColumn("_h", F.get(table, F.col("_slot"))).select(doc, "_h.category", "_h.cat_ord", "_h.term", "_h.term_ord", "k", "snippet")
+
+
+def _matches(body: str, term: str | None, spans: Sequence[Sequence[int]] | None, most: int | None) -> Iterator[tuple[int, int]]:
+    """Start and length of the matches that do not overlap, from the left."""
+    if term is None:
+        pieces, matches = spans
+        at = 0
+        for k, length in enumerate(matches):
+            at += pieces[k] if k < len(pieces) else 0
+            yield at, length
+            at += length
+        return
+    at, k = body.find(term), 0
+    while at >= 0 and (most is None or k < most):
+        yield at, len(term)
+        at, k = body.find(term, at + len(term)), k + 1
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], doc: str, text: str, plain: Sequence[str | None], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Snippets around the matches of every term in every text, some thousands at a time."""
+    for batch in batches:
+        keys = batch.column(doc)
+        rows: list[tuple[int, int, int, str]] = []
+
+        def cut(rows: list[tuple[int, int, int, str]], keys: pa.Array = keys) -> pa.RecordBatch:
+            row, slot, k, snippet = zip(*rows)
+            return pa.RecordBatch.from_arrays(
+                [keys.take(pa.array(row, pa.int64())), pa.array(slot, pa.int32()), pa.array(k, pa.int64()), pa.array(snippet, pa.string())],
+                names=[doc, "_slot", "k", "snippet"],
             )
-            at = F.aggregate(lengths, F.lit(0), lambda total, n: total + n)
-            start = F.greatest(at - CONTEXT, F.lit(0))
-            stop = at + F.length(F.get(s["matches"], k)) + CONTEXT
-            return F.trim(F.translate(F.substring(body, start + 1, stop - start), "\n", " "))
 
-        def cuts(s: Column) -> Column:
-            numbers = F.when(F.size(s["matches"]) > 0, F.sequence(F.lit(0), F.size(s["matches"]) - 1))
-            return F.transform(numbers, lambda k: cut(s, k))
-
-        # A one-element array binds the matches, so the pattern runs once per text.
-        # A text without the term is not split at all.
-        got = F.get(F.transform(F.array(found), cuts), F.lit(0))
-        return F.when(F.contains(body, F.lit(term)), got) if _is_plain(term) else got
-
-    slots = [
-        F.struct(
-            F.lit(category).alias("category"),
-            F.lit(i).cast("bigint").alias("cat_ord"),
-            F.lit(term).alias("term"),
-            F.lit(j).cast("bigint").alias("term_ord"),
-            snippets(term).alias("snippets"),
-        )
-        for i, (category, words) in enumerate(terms.items())
-        for j, term in enumerate(words)
-    ]
-    found = F.filter(F.array(*slots), lambda h: h["snippets"].isNotNull())
-    hits = searchable(documents, text, min_chars).select(doc, F.explode(found).alias("_h"))
-    return hits.select(
-        doc, "_h.category", "_h.cat_ord", "_h.term", "_h.term_ord", F.posexplode("_h.snippets").alias("k", "snippet")
-    ).withColumn("k", F.col("k").cast("bigint"))
+        for i in range(batch.num_rows):
+            body, spans = batch.column(text)[i].as_py(), batch.column("_spans")[i].as_py()
+            for slot, term in enumerate(plain):
+                for k, (at, length) in enumerate(_matches(body, term, spans[slot], most)):
+                    rows.append((i, slot, k, body[max(at - CONTEXT, 0) : at + length + CONTEXT].replace("\n", " ").strip(" ")))
+                    if len(rows) == 8192:
+                        yield cut(rows)
+                        rows = []
+        if rows:
+            yield cut(rows)
 
 
 def search_hits(documents: DataFrame, terms: Mapping[str, Sequence[str]], doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """`doc, hits MAP<category, ARRAY<STRUCT<term, contexts>>>`, the nested form of the contexts."""
+    """`doc, hits MAP<category, ARRAY<STRUCT<term, contexts>>>`, the nested form of the contexts.
+
+    The snippets are shuffled once, to their document, and nested there.
+    """
     one = term_contexts(documents, terms, doc, text, **options)
-    per_term = one.groupBy(doc, "category", "term", "term_ord").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "snippet"))), lambda s: s["snippet"]).alias("contexts")
-    )
-    per_category = per_term.groupBy(doc, "category").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("term_ord", "term", "contexts"))), lambda t: F.struct(t["term"].alias("term"), t["contexts"].alias("contexts"))).alias("terms")
-    )
-    return per_category.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("category", "terms"))).alias("hits"))
+    met = one.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("cat_ord", "term_ord", "k", "snippet"))).alias("_h"))
+
+    def contexts(i: int, j: int) -> Column:
+        own = F.filter("_h", lambda h: (h["cat_ord"] == i) & (h["term_ord"] == j))
+        return F.transform(own, lambda h: h["snippet"])
+
+    def nested(i: int, words: Sequence[str]) -> Column:
+        every = F.array(*[F.struct(F.lit(term).alias("term"), contexts(i, j).alias("contexts")) for j, term in enumerate(words)])
+        return F.filter(every, lambda t: F.size(t["contexts"]) > 0)
+
+    entries = F.array(*[F.struct(F.lit(c).alias("category"), nested(i, words).alias("terms")) for i, (c, words) in enumerate(terms.items()) if words])
+    return met.select(doc, F.map_from_entries(F.filter(entries, lambda e: F.size(e["terms"]) > 0)).alias("hits"))
 
 
 def rank_reports(scores: DataFrame, limit: int = 50, doc: str = "doc_id") -> DataFrame:

@@ -97,3 +97,29 @@ def test_second_search_reads_postings_not_texts(spark, tmp_path):
     got = textindex.indexed_hits(spark, path, docs.limit(0), terms)
     want = search.term_hits(docs, terms)
     assert _rows(got, "doc_id", "term", "hits") == _rows(want, "doc_id", "term", "hits") != []
+
+
+def test_contexts_of_a_text_with_many_hits(spark):
+    """The work of a text grows with its hits, not with their square."""
+    from cellweave.operators import search
+
+    n = 30_000
+    docs = spark.createDataFrame([(1, "ab é " * n), (2, None), (None, "x AB\n")], "doc_id long, text string")
+    found = search.term_contexts(docs, {"c": ["ab", "é.*ab"]}, per_term=None)
+    assert sorted(((r["doc_id"] or 0, r["term"], r["n"]) for r in found.groupBy("doc_id", "term").agg({"*": "count"}).toDF("doc_id", "term", "n").collect())) == [(0, "ab", 1), (1, "ab", n), (1, "é.*ab", 1)]
+    one = found.where("doc_id = 1 AND term = 'ab' AND k = 20000").first()
+    assert one["snippet"] == ("ab é " * n)[5 * 20000 - 200 : 5 * 20000 + 202].strip(" ")
+
+
+def test_nested_hits_shuffle_their_snippets_once(spark):
+    from cellweave.operators import search
+
+    docs = spark.createDataFrame([(1, "b a ab"), (1, "ab"), (2, "q"), (None, "a")], "doc_id long, text string").coalesce(1)
+    nested = search.search_hits(docs, {"one": ["ab", "zz"], "two": ["b", "a"]})
+    plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {r["doc_id"]: {c: [(t["term"], t["contexts"]) for t in ts] for c, ts in r["hits"].items()} for r in nested.collect()}
+    assert got == {
+        1: {"one": [("ab", ["ab", "b a ab"])], "two": [("b", ["ab", "b a ab", "b a ab"]), ("a", ["ab", "b a ab", "b a ab"])]},
+        None: {"two": [("a", ["a"])]},
+    }
