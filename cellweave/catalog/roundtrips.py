@@ -97,8 +97,8 @@ def s18(spark, folder):
     """Run documents written as files and read back epoch by epoch."""
     nested = fx.run_log(spark, folder).groupBy("run").agg(F.collect_list(F.struct("epoch", "auc_pr")).alias("log"))
     path = scratch_path(spark, "runs")
-    nested.repartition("run").write.option("maxRecordsPerFile", 1).json(path)
-    return runs.read_epochs(spark, path, "run").select("run", "epoch", "auc_pr")
+    runs.write_metrics(nested, path, "run")
+    return runs.read_epochs(spark, path, "run", schema=nested.schema).select("run", "epoch", "auc_pr")
 
 
 @query("s19_csv_files", f"WITH {fx.CELLS_SQL} SELECT row, col, printf('%.4f', b5) AS b5 FROM cells")

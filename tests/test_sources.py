@@ -143,3 +143,17 @@ def test_file_status_counts_records_that_do_not_parse(spark, tmp_path):
     assert status["a.json"]["message"] == "1 of 3 records do not fit the schema" and not status["a.json"]["ok"]
     assert status["b.json"]["ok"] and status["b.json"]["n_rows"] == 1
     assert set(status) == {"a.json", "b.json"}  # Spark does not list files of zero bytes
+
+
+def test_known_schema_of_run_files_spares_the_pass_that_infers_it(spark, tmp_path):
+    rows = spark.createDataFrame([(k, [(e, k + e / 4) for e in range(k)]) for k in range(4)], "run long, log array<struct<epoch: long, auc_pr: double>>")
+    path = str(tmp_path / "logs")
+    runs.write_metrics(rows, path, "run")
+    assert len([f for f in (tmp_path / "logs").glob("*.json") if f.stat().st_size]) == 4  # Spark's first task leaves an empty file
+    assert runs.read_metrics(spark, path, "run bigint").count() == 4
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("known schema", "reading")
+    epochs = runs.read_epochs(spark, path, "run", schema="run bigint, log array<struct<epoch: bigint, auc_pr: double>>")
+    assert not jobs.getJobIdsForGroup("known schema")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, epochs.collect())) == [(k, e, k + e / 4) for k in range(4) for e in range(k)]
