@@ -120,3 +120,20 @@ def test_spread_deals_few_parts_over_the_cores(spark):
     assert dealt.rdd.getNumPartitions() == 4 * cores
     assert sorted(r["id"] for r in dealt.collect()) == list(range(1000))
     assert spread(spark.range(0, 1000, 1, 4 * cores)).rdd.getNumPartitions() == 4 * cores
+
+
+def test_many_customers_are_not_gathered_for_the_cells(spark, tmp_path, monkeypatch):
+    """Spark's estimate by file bytes would send the customers through the driver."""
+    from cellweave.catalog import fixtures
+
+    spark.createDataFrame([(i, i, 10.5 * i) for i in range(4)], "c_custkey long, c_nationkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(1, 0, 10.0, "1-URGENT"), (2, 3, 20.0, "5-LOW"), (3, None, 30.0, "5-LOW")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 45.0, 0.1, 0.02, "R"), (1, 5.0, 0.05, 0.04, "A")]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {(0, 1): (0.0, 1), (0, 2): (31.5, 0), (0, 3): (None, 0)}
+    for limit, merged in ((4, False), (3, True)):
+        monkeypatch.setattr(fixtures, "CUSTOMER_ROWS", limit)
+        cells = fixtures.cells(spark, str(tmp_path))
+        assert ("strategy=merge" in cells._jdf.queryExecution().optimizedPlan().toString()) == merged
+        assert {(r["row"], r["col"]): (r["b5"], r["label"]) for r in cells.collect()} == want
