@@ -19,6 +19,7 @@ from cellweave.functions.scalars import sigmoid
 from cellweave.operators.labels import stratified_sample, with_weights
 from cellweave.operators.logistic import fit_logistic_groups
 from cellweave.operators.tiles import pass_mean_std, tile_overlap_mean
+from cellweave.operators.trees import Grown, Part, Sample, grow_forests
 from cellweave.session import keep_checkpoints, stored
 
 
@@ -26,6 +27,8 @@ T = TypeVar("T")
 
 #: Rows of a fit that one task holds; a smaller sample is one task, so that parts of forests grow side by side.
 TASK_ROWS = 100_000
+#: Rows of a fit's sample that is sent to every task.
+SENT_ROWS = 100_000
 #: Trees of a part of a forest. A part grows all its trees level by level.
 PART_TREES = 63
 #: Parts that grow at the same time.
@@ -43,8 +46,9 @@ class Forest:
     """A random forest in parts. Its probability is the mean over all trees, like that of one fit."""
 
     assembler: VectorAssembler
-    parts: tuple[RandomForestClassificationModel, ...]
+    parts: tuple[RandomForestClassificationModel | Part, ...]
     trees: tuple[int, ...]
+    grown: Grown | None = None
 
 
 def fit_forests(
@@ -53,12 +57,18 @@ def fit_forests(
 ) -> list[Forest]:
     """Random forests on weighted samples, one for each table; depth 30 is the deepest Spark ML grows.
 
-    Forests are assembled from seeded parts of about PART_TREES trees that grow side by side, all tables' parts together.
-    Tasks keep the node of every row (checkpointed in the shared folder), so that trees are not sent along with each level.
+    Samples of up to SENT_ROWS rows are sent to every task, and their trees are dealt over the tasks (`trees`).
+    Forests of larger tables are assembled from seeded parts of about PART_TREES trees that grow side by side, all tables'
+    parts together, by Spark ML. Its tasks keep the node of every row (checkpointed in the shared folder), so that trees are
+    not sent along with each level.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
     count = max(1, round(trees / PART_TREES))
     sizes = [trees // count + (k < trees % count) for k in range(count)]
+    samples = [Sample.of(train, features, weight, SENT_ROWS) for train in trains]
+    if samples and all(samples):
+        grown = grow_forests(trains[0].sparkSession, samples, sizes, depth, min_leaf, seed)
+        return [Forest(assembler, parts, tuple(sizes), forest) for forest, parts in grown]
 
     def grow(ready: DataFrame, k: int) -> RandomForestClassificationModel:
         return RandomForestClassifier(
@@ -87,6 +97,9 @@ def fit_logistic(train: DataFrame, features: Sequence[str], weight: str = "weigh
 
 def score(model: Forest, cells: DataFrame, name: str = "score") -> DataFrame:
     """Add the probability of the positive class; of the only class when there is one. Rows with null features go."""
+    if model.grown is not None:
+        features = model.assembler.getInputCols()
+        return cells.dropna(subset=features).withColumn(name, model.grown.score(features))
     scored, total = model.assembler.transform(cells), F.lit(0.0)
     for k, (part, trees) in enumerate(zip(model.parts, model.trees, strict=True)):
         p = F.col(f"_p{k}")

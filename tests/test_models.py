@@ -141,3 +141,61 @@ def test_depth_maps_take_members_as_weights_and_bias(spark):
         assert out[1, 3][f"mean_{depth}"] == pytest.approx(means[depth].mean())
     assert out[0, 0]["fused"] == pytest.approx((means["near"][0] + means["far"][0]) / 2)
     assert len(out) == 24 and out[1, 3]["n_tiles"] == 2
+
+
+def test_small_samples_grow_without_spark_ml(spark, cells, monkeypatch):
+    """Spark ML took minutes for a forest of 500 deep trees; a sample that fits a task is sent to all of them."""
+    train = labels.with_weights(labels.stratified_sample(cells, 3))
+    with monkeypatch.context() as m:
+        m.setattr(models, "RandomForestClassifier", None)
+        forest, again = (models.fit_forest(t, ["a", "b"], trees=40, depth=30) for t in (train, train.orderBy(F.desc("b"))))
+    got, same = ({(r["row"], r["col"]): r["score"] for r in models.score(f, cells).collect()} for f in (forest, again))
+    assert got == same and len(got) == 3000
+    monkeypatch.setattr(models, "SENT_ROWS", 10)
+    library = models.fit_forest(train, ["a", "b"], trees=40, depth=30)
+    assert library.grown is None
+    auc = [metrics.auc_roc(models.score(f, cells)).first()["auc_roc"] for f in (forest, library)]
+    assert abs(auc[0] - auc[1]) < 0.02
+    shares = [{r["feature"]: r["importance"] for r in models.forest_importance(f, ["a", "b"], spark).collect()} for f in (forest, library)]
+    assert abs(shares[0]["a"] - shares[1]["a"]) < 0.1
+
+
+def test_trees_hold_their_bounds():
+    from cellweave.operators.trees import Sample, grow, probability, thresholds
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=2000), rng.integers(0, 4, 2000), np.zeros(2000)])
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=2000) > 2).astype(float)
+    w = np.where(y == 1, 1.0, 0.1)
+    for depth in (0, 3, 30):
+        feature, value, child, gain = grow(Sample(x, y, w), [1, 2], depth, 5)
+        drawn = np.random.default_rng([1, 2]).poisson(1.0, 2000)
+        node, steps = np.zeros(2000, int), 0
+        while (feature[node] >= 0).any():
+            inner = feature[node] >= 0
+            node[inner] = child[node[inner]] + (x[inner, feature[node[inner]]] > value[node[inner]])
+            steps += 1
+        leaf = feature < 0
+        assert steps <= depth and np.bincount(node, drawn, len(feature))[leaf].min() >= 5 and gain[2] == 0 and len(np.unique(value[feature == 0])) <= 31
+        share = np.bincount(node, drawn * w * y, len(feature))[leaf] / np.bincount(node, drawn * w, len(feature))[leaf]
+        assert np.allclose(share, value[leaf]) and np.allclose(probability([(feature, value, child)], x), value[node])
+    # A tree that looks at all features splits at the best of its thresholds.
+    feature, value, _, _ = grow(Sample(x[:, :1].copy(), y, w), [5], 1, 5)
+    cuts = thresholds(x[:, 0], w)
+    assert len(cuts) == 31 and value[0] in cuts and np.ptp([w[(x[:, 0] > a) & (x[:, 0] <= b)].sum() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]) <= 2
+    drawn = np.random.default_rng([5]).poisson(1.0, 2000)
+
+    def impurity(cut):
+        parts = [(drawn * w * m, drawn * w * y * m) for m in (x[:, 0] <= cut, x[:, 0] > cut)]
+        return sum(p.sum() * (t.sum() - p.sum()) / t.sum() for t, p in parts if (drawn * (t > 0)).sum() >= 5)
+
+    assert impurity(value[0]) <= min(impurity(c) for c in cuts) + 1e-9
+
+
+def test_a_forest_of_one_class_and_rows_with_unknown_features(spark):
+    rows = [(i, float(i % 7) if i % 5 else None, 0, 1.0) for i in range(60)]
+    train = spark.createDataFrame(rows, "id long, a double, label long, weight double")
+    only = models.score(models.fit_forest(train, ["a"], trees=4, depth=3), train)
+    assert only.count() == 48 and only.where("score <> 1").isEmpty()
+    ones = models.fit_forest(train.withColumn("label", F.lit(1)), ["a"], trees=4, depth=3)
+    assert {r["score"] for r in models.score(ones, train).collect()} == {1.0}
