@@ -106,11 +106,14 @@ _RAW = "CASE segment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _RULES.it
 
 
 def typed_points(spark, folder):
+    """Points with the deposit type of their segment's text.
+
+    The text is looked up by row. Were it chosen by CASE, the optimizer would lower the constant texts on the driver, where
+    the case tables that Spark then loads for all characters leave some GB of garbage.
+    """
     grid = fx.cell_grid(spark, folder)
-    raw = F
-    for segment, text in _RULES.items():
-        raw = raw.when(F.col("segment") == segment, text)
-    return fx.points(spark, folder, grid).withColumn("dep_type", categories.deposit_type(raw.otherwise(F.lit(None))))
+    texts = F.create_map(*[F.lit(x) for rule in _RULES.items() for x in rule])
+    return fx.points(spark, folder, grid).withColumn("dep_type", categories.deposit_type(texts[F.col("segment")]))
 
 
 TYPES_SQL = f"""typed AS (

@@ -137,3 +137,16 @@ def test_many_customers_are_not_gathered_for_the_cells(spark, tmp_path, monkeypa
         cells = fixtures.cells(spark, str(tmp_path))
         assert ("strategy=merge" in cells._jdf.queryExecution().optimizedPlan().toString()) == merged
         assert {(r["row"], r["col"]): (r["b5"], r["label"]) for r in cells.collect()} == want
+
+
+def test_texts_of_segments_are_lowered_by_row(spark, tmp_path):
+    """Lowering constants is the optimizer's work, and loads Spark's case tables on the driver."""
+    from cellweave.catalog import metrics
+
+    spark.createDataFrame([(7,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    segments = ["MACHINERY", "BUILDING", "AUTOMOBILE", "HOUSEHOLD", "FURNITURE", None, "machinery"]
+    rows = [(i, float(i), s) for i, s in enumerate(segments)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    typed = metrics.typed_points(spark, str(tmp_path)).select("id", "dep_type")
+    assert "lower(" in typed._jdf.queryExecution().optimizedPlan().toString()
+    assert [r[1] for r in typed.orderBy("id").collect()] == ["gold", "iron", "chromite", "polymetallic", "unknown", "unknown", "unknown"]
