@@ -1,8 +1,10 @@
 import re
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cellweave.catalog import QUERIES
 from cellweave.catalog.fixtures import DOC_TERMS
@@ -73,6 +75,33 @@ def test_postings_of_any_texts(spark, tmp_path_factory, texts):
     _compare(spark, str(tmp_path_factory.mktemp("index")), texts, TERMS)
 
 
+def test_blocks_stay_where_their_texts_are(spark, tmp_path):
+    """Writing the index moves no posting, and places are told apart by document within a block."""
+    texts = [f"ab{'x' * (i % 7)}ab a b\nbaba {i} aba" * (1 + i % 3) for i in range(300)]
+    docs = spark.createDataFrame([(f"d{i}", t, "x") for i, t in enumerate([*texts, "abab"])], "doc_id string, text string, note string")
+    path = str(tmp_path / "index")
+    textindex.write_index(docs, path, buckets=4, files=3, block=500)
+    held = spark.read.parquet(path).select("block", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("part")).distinct()
+    parts = held.groupBy("block").agg(F.count("*").alias("parts")).collect()
+    assert len(parts) > 6 and {r["parts"] for r in parts} == {1}
+    got = textindex.indexed_hits(spark, path, docs, TERMS, buckets=4)
+    want = sorted((f"d{i}", c, w, n) for i, t in enumerate([*texts, "abab"]) for c, ws in TERMS.items() for w in ws if (n := len(re.findall(w, t))))
+    assert _rows(got, "doc_id", "category", "term", "hits") == want
+    places = textindex.literal_places(spark, path, docs, ["ba", "ababa", "baba"], buckets=4)
+    assert {(r["doc_id"], r["word"]): r["starts"] for r in places.collect()} == {
+        (f"d{i}", w): at for i, t in enumerate([*texts, "abab"]) for w in ["ba", "ababa", "baba"] if (at := [m.start() for m in re.finditer(f"(?={w})", t)])
+    }
+
+
+def test_packed_places_of_far_texts(spark, tmp_path):
+    lists = [[0], [65535], [3, 65537, 65538, 131073, 400_000], [70_000, 135_535, 135_536]]
+    flat = np.array([x for own in lists for x in own])
+    ends, steps = textindex._packed(flat, np.cumsum([0, *(len(own) for own in lists[:-1])]))
+    assert [textindex._unpacked(steps.tobytes()[a:b]).tolist() for a, b in zip(ends, ends[1:])] == lists
+    texts = ["ab" + "x" * 65533 + "aba" + "y" * 140_000 + "ab zz", "z" * 65536, "cab"]
+    _compare(spark, str(tmp_path / "index"), texts, TERMS)
+
+
 def test_repeated_rows_null_keys_and_empty_tables(spark, tmp_path):
     rows = [(1, "aba", "x"), (1, "aba", "y"), (1, "ABA aba", "x"), (None, "aba", "x"), (2, None, "x")]
     docs = spark.createDataFrame(rows, SCHEMA)
