@@ -8,9 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.scale import running_totals, small_side, smallest_by_key
+from cellweave.session import stored
 
 #: Values of `sampling_key`.
 KEY_RANGE = 1 << 20
+#: Leading digits of `sampling_hash` that a stratified sample counts, and how many such keys there are: few enough for
+#: every task to fold its rows, and the rows of one key are few enough to be ranked.
+SAMPLE_DIGITS = 3
+SAMPLE_KEYS = 16**SAMPLE_DIGITS
 #: Slots that a row of a weighted draw is unrolled into at once.
 STRETCH = 4096
 
@@ -45,7 +50,7 @@ def spatial_folds(cells: DataFrame, strips: Sequence[dict[str, int]]) -> DataFra
 
     A cell is `test` in its own strip and `train` in the folds whose strip is farther away
     than the buffer.  The fold table is an array of a handful of structs unrolled per row,
-    so nothing is joined or shuffled.
+    so nothing is joined or shuffled; folds that do not use the cell go after that.
     """
     col = F.col("col")
 
@@ -55,8 +60,8 @@ def spatial_folds(cells: DataFrame, strips: Sequence[dict[str, int]]) -> DataFra
         )
         return F.struct(F.lit(s["fold"]).cast("bigint").alias("fold"), region.alias("region"))
 
-    options = F.filter(F.array(*[use(s) for s in strips]), lambda u: u["region"].isNotNull())
-    return cells.withColumn("_use", F.explode(options)).select(*cells.columns, "_use.fold", "_use.region")
+    unrolled = cells.withColumn("_use", F.explode(F.array(*[use(s) for s in strips])))
+    return unrolled.where(F.col("_use.region").isNotNull()).select(*cells.columns, "_use.fold", "_use.region")
 
 
 def fold_masks(cells: DataFrame, strips: Sequence[dict[str, int]]) -> DataFrame:
@@ -122,10 +127,13 @@ def stratified_sample(
     """All (or `cap`) positives and `ratio` unlabeled cells per positive, without replacement.
 
     `by` makes independent samples per group; `ratio`, `seed` and `cap` may be expressions over it.
+    The order is that of `sampling_hash`; its leading digits are counted, the rest decides among the rows of the last key.
     """
     by = list(by)
-    keyed = cells.withColumns({"_key": sampling_key(seed), "_tie": sampling_hash(seed)})
-    counts = cells.groupBy(*by, "label").count()
+    hashed = sampling_hash(seed)
+    # Written once, so that the hash of every row is not found again by each of the passes below.
+    keyed = stored(cells.withColumn("_key", F.substring(hashed, 1, SAMPLE_DIGITS)), "keyed").withColumn("_tie", hashed)
+    counts = keyed.groupBy(*by, "label").count()
     per_group = counts.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(F.col("label") == 1, F.col("count"))), F.lit(0)).alias("_np"),
         F.coalesce(F.sum(F.when(F.col("label") == 0, F.col("count"))), F.lit(0)).alias("_nu"),
@@ -138,11 +146,11 @@ def stratified_sample(
         keyed = keyed.join(small_side(quotas), by)
         return smallest_by_key(
             keyed, "_key", ["_tie", "row", "col"], F.when(F.col("label") == 1, F.col("_q1")).otherwise(F.col("_q0")), [*by, "label", "_q1", "_q0"],
-            keys_at_most=KEY_RANGE, **options,
+            keys_at_most=SAMPLE_KEYS, **options,
         ).drop("_key", "_tie", "_q1", "_q0")
     row = quotas.first()
     quota = F.when(F.col("label") == 1, F.lit(row["_q1"])).otherwise(F.lit(row["_q0"]))
-    return smallest_by_key(keyed, "_key", ["_tie", "row", "col"], quota, ["label"], keys_at_most=KEY_RANGE, **options).drop("_key", "_tie")
+    return smallest_by_key(keyed, "_key", ["_tie", "row", "col"], quota, ["label"], keys_at_most=SAMPLE_KEYS, **options).drop("_key", "_tie")
 
 
 def with_weights(samples: DataFrame, positive: float = 1.0, unlabeled: float = 0.1) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalars import sigmoid
+from cellweave.session import stored
 
 #: Models that may be fitted at once: the driver holds (features + 1)^2 numbers for each.
 MODELS = 5_000
@@ -62,6 +65,41 @@ def with_models(rows: DataFrame, features: Sequence[str], by: Sequence[str], fit
     return rows.join(F.broadcast(table), match).drop(*[f"_m_{k}" for k in by])
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the rows of one group: its number, and the columns as doubles, one after the other."""
+    for batch in batches:
+        group, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        order = np.argsort(group, kind="stable")
+        group, table = group[order], np.vstack(columns)[:, order]
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        blocks = [table[:, s:e].tobytes() for s, e in zip(starts, [*starts[1:], len(group)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(group[starts], pa.int32()), pa.array(blocks, pa.binary())], ["_g", "_rows"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch], tried: Mapping[int, np.ndarray], columns: int, upper: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Per group and model: sums of weight, loss, gradient and upper triangle of the Hessian over a task's blocks.
+
+    `tried` has a row of terms for each model of a group; groups without models are passed over.
+    """
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for g, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if g not in tried:
+                continue
+            y, w, *features = np.frombuffer(block.as_buffer(), np.float64).reshape(columns, -1)
+            x = np.vstack([np.ones(len(y)), *features])
+            z = tried[g] @ x
+            small = np.exp(-np.abs(z))  # never overflows
+            p = np.where(z >= 0, 1.0, small) / (1 + small)
+            loss = np.maximum(z, 0) - z * y + np.log1p(small)
+            curvature = w * small / (1 + small) ** 2
+            found = np.column_stack([np.full(len(z), w.sum()), loss @ w, (w * (p - y)) @ x.T, curvature @ (x[upper[0]] * x[upper[1]]).T])
+            totals[g] = totals[g] + found if g in totals else found
+    for g, found in totals.items():
+        models = pa.array(range(len(found)), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([g] * len(found), pa.int32()), models, pa.array(list(found), pa.list_(pa.float64()))], ["_g", "_m", "_s"])
+
+
 def fit_logistic_groups(
     rows: DataFrame, features: Sequence[str], by: Sequence[str] = (), variants: Mapping[str, Sequence[str]] | None = None,
     label: str = "label", weight: str = "weight", l2: float = 1e-4, steps: int = 60, tolerance: float = 1e-10,
@@ -69,41 +107,49 @@ def fit_logistic_groups(
     """Weighted logistic models of every group of `rows` and every variant: (by values..., variant) -> terms.
 
     Terms are the bias and a weight for each of `features`; a variant (name -> its features) has 0 for the others. Each model
-    minimises the weighted mean of its log-loss plus l2 / 2 times the squares of its weights. A step is one aggregation that
-    sums loss, gradient and Hessian of all models that have not converged, so the number of jobs is that of the slowest model
-    and `rows` should be a stored table. Steps that do not lower the loss are halved. Rows with null features, label or weight
-    take no part; groups without a row have no model.
+    minimises the weighted mean of its log-loss plus l2 / 2 times the squares of its weights. The rows are written once, in
+    blocks of one group each. A step is one pass over the blocks that sums loss, gradient and Hessian of all models that have
+    not converged, so the number of passes is that of the slowest model. Steps that do not lower the loss are halved. Rows with
+    null features, label or weight take no part; groups without a row have no model.
     """
     variants = {"full": list(features)} if variants is None else variants
-    ready = rows.where(F.col(weight) > 0).dropna(subset=[*features, label]).select(*by, *features, F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"))
+    ready = rows.where(F.col(weight) > 0).dropna(subset=[*features, label])
     d = len(features) + 1
     place = {f: i + 1 for i, f in enumerate(features)}
     groups = [tuple(r[k] for k in by) for r in ready.select(*by).distinct().collect()] if by else [()] * bool(ready.head(1))
     models = {(*g, v): _Model(np.array([0, *[place[f] for f in fs]]), np.zeros(d)) for g in groups for v, fs in variants.items()}
-
-    x = [F.lit(1.0), *[F.col(f) for f in features]]
-    p = sigmoid(linear(features, F.col("_terms")))
-    upper = [(i, j) for i in range(d) for j in range(i, d)]
-    sums = [F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_l")).alias("_loss")]
-    sums += [F.sum(F.col("_r") * x[i]).alias(f"_g{i}") for i in range(d)]
-    sums += [F.sum(F.col("_h") * x[i] * x[j]).alias(f"_h{i}_{j}") for i, j in upper]
-    z = linear(features, F.col("_terms"))
-    loss = F.greatest(z, F.lit(0.0)) - z * F.col("_y") + F.log1p(F.exp(-F.abs(z)))  # never overflows
+    if len(models) > MODELS:
+        raise ValueError(f"{len(models)} models are more than are fitted at once")
+    if not models:
+        return {}
+
+    spark = rows.sparkSession
+    fields = ", ".join([*(f"`_k_{k}` {rows.schema[k].dataType.simpleString()}" for k in by), "_g int"])
+    numbered = F.broadcast(spark.createDataFrame([(*key, g) for g, key in enumerate(groups)], fields))
+    match = F.lit(True)
+    for k in by:
+        match = match & ready[k].eqNullSafe(numbered[f"_k_{k}"])
+    numbers = [F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate([label, weight, *features])]
+    blocks = stored(ready.join(numbered, match).select("_g", *numbers).mapInArrow(_pack, "_g int, _rows binary"), "blocks")
+
+    upper = np.triu_indices(d)
+    sums = [F.sum(F.get("_s", F.lit(i))).alias(f"_s{i}") for i in range(2 + d + len(upper[0]))]
     for _ in range(steps):
-        open_ = {k: m.tried for k, m in models.items() if not m.done}
-        if not open_:
+        open_ = {g: [(*key, v) for v in variants if not models[(*key, v)].done] for g, key in enumerate(groups)}
+        tried = {g: np.array([models[k].tried for k in keys]) for g, keys in open_.items() if keys}
+        if not tried:
             break
-        sides = with_models(ready, features, by, open_)
-        scored = sides.select(*by, "variant", *features, "_w", loss.alias("_l"), (F.col("_w") * (p - F.col("_y"))).alias("_r"), (F.col("_w") * p * (1 - p)).alias("_h"))
-        for r in scored.groupBy(*by, "variant").agg(*sums).collect():  # one row a model
-            m = models[(*[r[k] for k in by], r["variant"])]
+        step = partial(_sums, tried=tried, columns=len(numbers), upper=upper)
+        parts = blocks.mapInArrow(step, "_g int, _m int, _s array<double>")
+        for r in parts.groupBy("_g", "_m").agg(*sums).collect():  # one row a model
+            m = models[open_[r["_g"]][r["_m"]]]
+            n, loss, *rest = r[2:]
             penalty = np.full(d, l2)
             penalty[0] = 0.0
-            gradient = np.array([r[f"_g{i}"] for i in range(d)]) / r["_n"] + penalty * m.tried
+            gradient = np.array(rest[:d]) / n + penalty * m.tried
             hessian = np.zeros((d, d))
-            for i, j in upper:
-                hessian[i, j] = hessian[j, i] = r[f"_h{i}_{j}"] / r["_n"]
-            m.take(r["_loss"] / r["_n"] + float((penalty * m.tried**2).sum()) / 2, gradient, hessian + np.diag(penalty), tolerance)
+            hessian[upper] = hessian.T[upper] = np.array(rest[d:]) / n
+            m.take(loss / n + float((penalty * m.tried**2).sum()) / 2, gradient, hessian + np.diag(penalty), tolerance)
     return {k: m.terms.tolist() for k, m in models.items()}
 
 

@@ -95,10 +95,10 @@ def fold_tables(samples: DataFrame, bands: Sequence[str], folds: Sequence[int])
 
 
 def together(folds: Mapping[int, Prepared]) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows of all folds (`fold`), each as one stored table."""
+    """Training and validation rows of all folds (`fold`); those of validation, which are scored, as one stored table."""
     train = reduce(DataFrame.unionByName, [f.train for f in folds.values()])
     validation = reduce(DataFrame.unionByName, [f.validation for f in folds.values()])
-    return stored(train, "train"), stored(validation, "validation")
+    return train, stored(validation, "validation")
 
 
 def spatial_cv(

@@ -23,6 +23,8 @@ LOOKUP_ROWS = 20_000
 BROADCAST_ROWS = 1_000_000
 #: Rows of one group that one task is asked to sort or to hold.
 TASK_ROWS = 2_000_000
+#: Values of a large group that bracket its percentiles before all of its values are counted.
+SKETCH_ROWS = 200_000
 
 
 def bounded_rows(df: DataFrame, limit: int = LOOKUP_ROWS) -> list[Row] | None:
@@ -100,16 +102,17 @@ def exact_percentiles(
 
     Groups of up to `task_rows` rows use the built-in `percentile`.  For a larger group
     the built-in would merge every distinct value in one task, so a mergeable quantile sketch
-    brackets its order statistics (one scan, with a bound on the error), and one counting scan
-    finds them among the few values inside the brackets.
+    of some of its values brackets its order statistics, and one scan that counts all values
+    finds them among the few inside the brackets, or says that the brackets must be wider.
+    That scan then serves smaller groups, too, down to a twentieth of `task_rows`.
     """
     by = list(by)
     source = value if isinstance(value, Column) else F.col(value)
     base = df.select(*by, source.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     probs = [float(p) for p in probs]
 
-    sizes = base.groupBy(*by).agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > task_rows).collect()  # at most rows/task_rows groups
+    largest = base.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(LOOKUP_ROWS + 1).collect()
+    hot = [g for g in largest if g["n"] > task_rows // 20] if any(g["n"] > task_rows for g in largest) else []
     array_type = ", ".join(f"{p!r}D" for p in probs)
 
     def builtin(part: DataFrame) -> DataFrame:
@@ -131,7 +134,7 @@ def exact_percentiles(
         for i, g in enumerate(hot)
     ]
     big = spark.createDataFrame(rows, schema)
-    if not by:
+    if len(hot) == len(largest) <= LOOKUP_ROWS:  # no other groups
         return big
     keys = F.broadcast(spark.createDataFrame([r[: len(by)] for r in rows], T.StructType(fields)))
     rest = base.join(keys, same_group(base, keys, by), "left_anti")
@@ -141,12 +144,14 @@ def exact_percentiles(
 def _order_statistics(base: DataFrame, by: list[str], hot: list[Row], probs: list[float], task_rows: int) -> list[dict[int, float]]:
     """Per hot group the values at the ranks that `probs` need.
 
-    The sketch's values at p -+ slack enclose rank p * (n - 1), whose place its error bound knows.  The second scan
-    counts rows below each bracket as one key and rows inside by value, so a running sum over the keys of a bracket
-    is the global rank.  Should a rank fall outside its bracket after all, the slack grows and both scans are repeated.
+    A sketch of at most about SKETCH_ROWS values of each group gives the values at p -+ slack, which should enclose rank
+    p * (n - 1): the slack covers the sketch's error bound and five deviations of the draw.  The second scan reads all rows,
+    counts those below each bracket as one key and those inside by value, so a running sum over the keys of a bracket is
+    the global rank.  Should a rank fall outside its bracket after all, the slack grows and both scans are repeated.
     """
     spark = base.sparkSession
     fields = [base.schema[k] for k in by]
+    plain = all(g[k] is not None for g in hot for k in by)  # then the cheaper equality finds the same rows
 
     def of_groups(rows: list[tuple], more: str) -> tuple[DataFrame, Column]:
         """A broadcast table with a row per hot group, and the condition that finds a row's group."""
@@ -155,34 +160,40 @@ def _order_statistics(base: DataFrame, by: list[str], hot: list[Row], probs: lis
         side = F.broadcast(spark.createDataFrame([(*[g[k] for k in by], *r) for g, r in zip(hot, rows)], schema))
         match = F.lit(True)
         for k in by:
-            match = match & base[k].eqNullSafe(side[f"_k_{k}"])
+            match = match & (base[k] == side[f"_k_{k}"] if plain else base[k].eqNullSafe(side[f"_k_{k}"]))
         return side, match
 
+    shares = [min(1.0, SKETCH_ROWS / g["n"]) for g in hot]
+    most = max(shares)
     accuracy = int(min(1_000_000, max(10_000, 16 * max(g["n"] for g in hot) // task_rows)))
-    slack = 2 / accuracy + 2 / task_rows
+    slack = 2 / accuracy + 2 / task_rows + (2.5 / math.sqrt(SKETCH_ROWS) if min(shares) < 1 else 0.0)
+    drawn = base if most == 1 else base.where(F.rand(42) < most)
     while True:
         ends = ", ".join(f"{min(1.0, max(0.0, p + d))!r}D" for p in probs for d in (-slack, slack))
-        side, match = of_groups([(i,) for i in range(len(hot))], "_g int")
-        tagged = base.join(side, match).select("_g", "_v") if by else base.select(F.lit(0).alias("_g"), "_v")
+        side, match = of_groups([(i, s / most) for i, s in enumerate(shares)], "_g int, _share double")
+        tagged = drawn.join(side, match).where((F.col("_share") >= 1) | (F.rand(43) < F.col("_share"))).select("_g", "_v")
         sketch = tagged.groupBy("_g").agg(F.expr(f"approx_percentile(_v, array({ends}), {accuracy})").alias("_e"))
         found_ends = {r["_g"]: r["_e"] for r in sketch.collect()}  # a row per hot group
-        rows = [(i, found_ends[i][0::2], found_ends[i][1::2]) for i in range(len(hot))]
-        if by:
-            side, match = of_groups(rows, "_g int, _lo array<double>, _hi array<double>")
-            tagged = base.join(side, match).select("_g", "_lo", "_hi", "_v")
-        else:
-            edges = [F.array(*[F.lit(float(x)) for x in rows[0][c]]).alias(n) for c, n in ((1, "_lo"), (2, "_hi"))]
-            tagged = base.select(F.lit(0).alias("_g"), *edges, "_v")
-        hit = F.transform(F.sequence(F.lit(0), F.lit(len(probs) - 1)), lambda i: F.struct(i.alias("_b"), F.when(F.col("_v") >= F.get("_lo", i), F.col("_v")).alias("_x"), (F.col("_v") <= F.get("_hi", i)).alias("_use")))
-        keyed = tagged.select("_g", F.inline(F.filter(hit, lambda h: h["_use"]))).drop("_use")
-        order = Window.partitionBy("_g", "_b").orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, 0)
+        edges = []
+        for i in range(len(hot)):
+            known = found_ends.get(i)
+            low = [-math.inf if known is None or p - slack <= 0 else known[2 * b] for b, p in enumerate(probs)]
+            high = [math.inf if known is None or p + slack >= 1 else known[2 * b + 1] for b, p in enumerate(probs)]
+            edges.append((i, low, high))
+        side, match = of_groups(edges, "_g int, _lo array<double>, _hi array<double>")
+        bracket = F.explode(F.array(*[F.lit(b) for b in range(len(probs))])).alias("_b") if len(probs) > 1 else F.lit(0).alias("_b")
+        tagged = base.join(side, match).select("_g", "_v", "_lo", "_hi", bracket)
+        within = F.when(F.col("_v") >= F.get("_lo", F.col("_b")), F.col("_v")).otherwise(-math.inf)  # not null: a key of the fast aggregation
+        keyed = tagged.where(F.col("_v") <= F.get("_hi", F.col("_b"))).select("_g", "_b", within.alias("_x"))
+        order = Window.partitionBy("_g", "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
         counted = keyed.groupBy("_g", "_b", "_x").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(order))
         wanted = [(i, b, r) for i, g in enumerate(hot) for b, p in enumerate(probs) for r in _rank_targets([p], g["n"])]
         targets = F.broadcast(spark.createDataFrame(wanted, "_g int, _b int, _r long"))
         hits = counted.join(targets, ["_g", "_b"]).where((F.col("_r") < F.col("upto")) & (F.col("_r") >= F.col("upto") - F.col("n")))
         found: list[dict[int, float]] = [{} for _ in hot]
-        for h in hits.where("_x is not null").select("_g", "_r", "_x").collect():  # two rows a group and probability
-            found[h["_g"]][h["_r"]] = h["_x"]
+        for h in hits.select("_g", "_b", "_r", "_x").collect():  # two rows a group and probability
+            if h["_x"] >= edges[h["_g"]][1][h["_b"]]:  # not among those below the bracket
+                found[h["_g"]][h["_r"]] = h["_x"]
         if all(r in found[i] for i, _, r in wanted):
             return found
         slack *= 8
@@ -280,9 +291,15 @@ def smallest_by_key(
     match = df[key] <= edge["key"]
     for k in by:
         match = match & df[k].eqNullSafe(edge[f"_c_{k}"])
-    taken = df.join(edge, match).select(*[df[c] for c in df.columns], edge["key"].alias("_edge"), edge["room"].cast("bigint").alias(room))
-    inside = taken.where(F.col(key) < F.col("_edge")).select(*df.columns)
-    boundary = taken.where(F.col(key) == F.col("_edge")).drop("_edge")
+
+    def taken(part: DataFrame) -> DataFrame:
+        return part.join(edge, match).select(*[df[c] for c in df.columns], edge["key"].alias("_edge"), edge["room"].cast("bigint").alias(room))
+
+    inside = taken(df).where(F.col(key) < F.col("_edge")).select(*df.columns)
+    # Rows of other keys go before their ties, which may be costly, are computed for the join.
+    last_keys = {r["key"] for r in rows or ()}
+    narrow = df.where(df[key].isin(list(last_keys))) if rows is not None and len(last_keys) <= 1000 else df
+    boundary = taken(narrow).where(F.col(key) == F.col("_edge")).drop("_edge")
     if largest > task_rows and ties:
         # One key holds too many rows to rank in a task: the next tie column decides among them.
         strata = list(dict.fromkeys([*by, key, room]))

@@ -143,3 +143,20 @@ def test_weighted_draw_follows_the_weights(spark):
         assert sum(counts.values()) == 6000
         assert abs(counts[7] / 6000 - 30 / 69) < 0.03
         assert all(abs(counts[i] / 6000 - 1 / 69) < 0.01 for i in range(40) if i != 7)
+
+
+def test_stratified_sample_counts_few_keys_and_keeps_the_order_of_the_hash(spark, monkeypatch):
+    import hashlib
+
+    seen = []
+    inner = labels.smallest_by_key
+    monkeypatch.setattr(labels, "smallest_by_key", lambda df, *a, **o: seen.append(df.select("_key").distinct().count()) or inner(df, *a, **o))
+    cells = spark.range(20_000).select((F.col("id") / 100).cast("bigint").alias("row"), (F.col("id") % 100).alias("col"), (F.col("id") % 5 == 0).cast("bigint").alias("label"), (F.col("id") % 2).alias("g"))
+    got = labels.stratified_sample(cells, 1.5, F.lit(3) + F.col("g"), 700, ["g"]).collect()
+    rows = cells.collect()
+    for g in (0, 1):
+        order = sorted((r for r in rows if r["g"] == g), key=lambda r: hashlib.md5(f"{r['row']}-{r['col']}-{3 + g}".encode()).hexdigest())
+        positive = [r for r in order if r["label"] == 1][:700]
+        unlabeled = [r for r in order if r["label"] == 0][: int(len(positive) * 1.5)]
+        assert {(r["row"], r["col"]) for r in got if r["g"] == g} == {(r["row"], r["col"]) for r in positive + unlabeled}
+    assert seen[0] <= labels.SAMPLE_KEYS == 4096

@@ -199,3 +199,21 @@ def test_a_forest_of_one_class_and_rows_with_unknown_features(spark):
     assert only.count() == 48 and only.where("score <> 1").isEmpty()
     ones = models.fit_forest(train.withColumn("label", F.lit(1)), ["a"], trees=4, depth=3)
     assert {r["score"] for r in models.score(ones, train).collect()} == {1.0}
+
+
+def test_a_logistic_fit_does_not_read_its_rows_in_every_step(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 3) if i % 7 else None, float(rng.normal()), float(rng.normal()), int(rng.random() < 0.3), 0.5) for i in range(600)]
+    table = spark.createDataFrame(rows, "fold bigint, a double, b double, label bigint, weight double")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    fitted = fit_logistic_groups(table.mapInArrow(counted, table.schema), ["a", "b"], ["fold"], {"full": ["a", "b"], "no_b": ["a"]})
+    assert read.value <= 2 * len(rows)  # to list the groups and to write the blocks
+    assert {k for k in fitted} == {(f, v) for f in (0, 1, 2, None) for v in ("full", "no_b")}
+    assert np.allclose(fitted[(None, "full")], fit_logistic_groups(table.where("fold IS NULL"), ["a", "b"])[("full",)], atol=1e-8)
+    assert fitted[(1, "no_b")][2] == 0.0

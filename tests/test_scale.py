@@ -150,3 +150,14 @@ def test_texts_of_segments_are_lowered_by_row(spark, tmp_path):
     typed = metrics.typed_points(spark, str(tmp_path)).select("id", "dep_type")
     assert "lower(" in typed._jdf.queryExecution().optimizedPlan().toString()
     assert [r[1] for r in typed.orderBy("id").collect()] == ["gold", "iron", "chromite", "polymetallic", "unknown", "unknown", "unknown"]
+
+
+def test_percentiles_of_brackets_from_a_draw(spark, groups, monkeypatch):
+    from cellweave import scale
+
+    monkeypatch.setattr(scale, "SKETCH_ROWS", 40)  # brackets come from some forty values and may miss
+    known = {**groups, None: np.arange(900.0)}
+    found = exact_percentiles(_values(spark, known), "v", PROBS, ["g"], task_rows=60).collect()
+    assert {r["g"]: r["n"] for r in found} == {g: len(v) for g, v in known.items()}
+    for r in found:
+        assert np.allclose(r["pct"], np.percentile(known[r["g"]], [100 * p for p in PROBS]), rtol=1e-9, atol=1e-12)
