@@ -146,7 +146,7 @@ def stratified_sample(
         keyed = keyed.join(small_side(quotas), by)
         return smallest_by_key(
             keyed, "_key", ["_tie", "row", "col"], F.when(F.col("label") == 1, F.col("_q1")).otherwise(F.col("_q0")), [*by, "label", "_q1", "_q0"],
-            keys_at_most=SAMPLE_KEYS, **options,
+            keys_at_most=SAMPLE_KEYS, follow=["_q1", "_q0"], **options,
         ).drop("_key", "_tie", "_q1", "_q0")
     row = quotas.first()
     quota = F.when(F.col("label") == 1, F.lit(row["_q1"])).otherwise(F.lit(row["_q0"]))

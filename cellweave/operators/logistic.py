@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -50,6 +50,15 @@ def linear(features: Sequence[str], terms: Column) -> Column:
     return total
 
 
+def _same(rows: DataFrame, side: DataFrame, by: Sequence[str], prefix: str, groups: Iterable[tuple]) -> Column:
+    """Equal values of `by`, nulls included; without nulls among the groups the cheaper equality finds the same rows."""
+    plain = all(value is not None for key in groups for value in key[: len(by)])
+    match = F.lit(True)
+    for k in by:
+        match = match & (rows[k] == side[f"{prefix}{k}"] if plain else rows[k].eqNullSafe(side[f"{prefix}{k}"]))
+    return match
+
+
 def with_models(rows: DataFrame, features: Sequence[str], by: Sequence[str], fitted: Mapping[tuple, Sequence[float]]) -> DataFrame:
     """Each row once for every model of its group: columns `variant` and `_terms` are added.
 
@@ -61,8 +70,7 @@ def with_models(rows: DataFrame, features: Sequence[str], by: Sequence[str], fit
     table = rows.sparkSession.createDataFrame([(*key, [float(t) for t in terms]) for key, terms in fitted.items()], fields)
     if not by:
         return rows.select("*", F.explode(F.array(*[F.struct(F.lit(k[-1]).alias("variant"), F.array(*[F.lit(float(x)) for x in t]).alias("_terms")) for k, t in fitted.items()])).alias("_m")).select(*rows.columns, "_m.variant", "_m._terms")
-    match = [rows[k].eqNullSafe(table[f"_m_{k}"]) for k in by]
-    return rows.join(F.broadcast(table), match).drop(*[f"_m_{k}" for k in by])
+    return rows.join(F.broadcast(table), _same(rows, table, by, "_m_", fitted)).drop(*[f"_m_{k}" for k in by])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +134,8 @@ def fit_logistic_groups(
     spark = rows.sparkSession
     fields = ", ".join([*(f"`_k_{k}` {rows.schema[k].dataType.simpleString()}" for k in by), "_g int"])
     numbered = F.broadcast(spark.createDataFrame([(*key, g) for g, key in enumerate(groups)], fields))
-    match = F.lit(True)
-    for k in by:
-        match = match & ready[k].eqNullSafe(numbered[f"_k_{k}"])
     numbers = [F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate([label, weight, *features])]
-    blocks = stored(ready.join(numbered, match).select("_g", *numbers).mapInArrow(_pack, "_g int, _rows binary"), "blocks")
+    blocks = stored(ready.join(numbered, _same(ready, numbered, by, "_k_", groups)).select("_g", *numbers).mapInArrow(_pack, "_g int, _rows binary"), "blocks")
 
     upper = np.triu_indices(d)
     sums = [F.sum(F.get("_s", F.lit(i))).alias(f"_s{i}") for i in range(2 + d + len(upper[0]))]

@@ -264,12 +264,14 @@ def smallest_by_key(
     *,
     task_rows: int = TASK_ROWS,
     keys_at_most: int | None = None,
+    follow: Sequence[str] = (),
 ) -> DataFrame:
     """Per stratum, the `quota` rows that come first by (key, ties); exact at any size.
 
     Rows are first counted per key.  Keys wholly inside the quota are taken as they are;
     only the one key on the boundary is ranked, so no stratum is sorted in one task.
-    `quota` is an expression over the `by` columns; `keys_at_most` a bound on the distinct keys.
+    `quota` is an expression over the `by` columns; `keys_at_most` a bound on the distinct keys; `follow` names those of
+    `by` that are the same wherever the others are, so that they need not be compared.
     """
     by = list(by)
     counts = df.groupBy(*by, key).agg(F.count("*").alias("_n"))
@@ -288,9 +290,12 @@ def smallest_by_key(
         edge = F.broadcast(df.sparkSession.createDataFrame(rows, last.schema))
         largest = max((r["size"] or 0 for r in rows), default=0)
     room = f"_room{len(ties)}"  # one per depth of the recursion below
+    compared = [k for k in by if k not in follow]
+    # Without nulls among the strata the cheaper equality finds the same rows.
+    plain = rows is not None and all(r[f"_c_{k}"] is not None for r in rows for k in compared)
     match = df[key] <= edge["key"]
-    for k in by:
-        match = match & df[k].eqNullSafe(edge[f"_c_{k}"])
+    for k in compared:
+        match = match & (df[k] == edge[f"_c_{k}"] if plain else df[k].eqNullSafe(edge[f"_c_{k}"]))
 
     def taken(part: DataFrame) -> DataFrame:
         return part.join(edge, match).select(*[df[c] for c in df.columns], edge["key"].alias("_edge"), edge["room"].cast("bigint").alias(room))
