@@ -18,9 +18,7 @@ from cellweave.session import stored
 
 BANDS = fx.BANDS
 P, S = fx.PATCH, fx.STRIDE
-#: At most this many positive rows of a fold take part in a fit, as in the original; every row that is to be scored is
-#: scored. Spark ML grows trees to depth 30 at most, the original's have no limit.
-FIT_ROWS = 5000
+#: Spark ML grows trees to depth 30 at most, the original's have no limit.
 FOREST = {"trees": 500, "depth": 30}
 PASSES = 50
 
@@ -29,12 +27,15 @@ _FORESTS: dict[tuple[str, str], tuple[dict, list]] = {}
 
 
 def _forests(spark, folder):
-    """The folds and their forests; several queries of a session read the same fits."""
+    """The folds and their forests; several queries of a session read the same fits.
+
+    Every positive cell of a fold's training region takes part in its fit, with the fold's unlabeled cells in the usual ratio.
+    """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _FORESTS:
         cells = fx.stored_cells(spark, folder).select("row", "col", "label", *BANDS)
         strips = fx.strips(fx.cell_grid(spark, folder))
-        samples = baselines.fold_samples(cells, BANDS, strips, cap=FIT_ROWS)
+        samples = baselines.fold_samples(cells, BANDS, strips)
         folds = baselines.fold_tables(samples, BANDS, [s["fold"] for s in strips])
         _FORESTS[key] = (folds, models.fit_forests([f.train for f in folds.values()], BANDS, **FOREST))
     return _FORESTS[key]

@@ -28,7 +28,7 @@ T = TypeVar("T")
 #: Rows of a fit that one task holds; a smaller sample is one task, so that parts of forests grow side by side.
 TASK_ROWS = 100_000
 #: Rows of a fit's sample that is sent to every task.
-SENT_ROWS = 100_000
+SENT_ROWS = 400_000
 #: Trees of a part of a forest. A part grows all its trees level by level.
 PART_TREES = 63
 #: Parts that grow at the same time.
@@ -65,7 +65,7 @@ def fit_forests(
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
     count = max(1, round(trees / PART_TREES))
     sizes = [trees // count + (k < trees % count) for k in range(count)]
-    samples = [Sample.of(train, features, weight, SENT_ROWS) for train in trains]
+    samples = [read and read.binned().merged() for read in (Sample.of(train, features, weight, SENT_ROWS) for train in trains)]
     if samples and all(samples):
         grown = grow_forests(trains[0].sparkSession, samples, sizes, depth, min_leaf, seed)
         return [Forest(assembler, parts, tuple(sizes), forest) for forest, parts in grown]

@@ -24,6 +24,8 @@ from cellweave.session import stored
 
 #: Thresholds of a feature, as Spark ML's 32 bins have them.
 THRESHOLDS = 31
+#: Rows of a tree's level that are split at once; few enough to stay near the processor.
+BATCH_ROWS = 1 << 17
 
 _TREE = "forest long, tree long, feature binary, value binary, child binary, importance array<double>"
 
@@ -48,27 +50,30 @@ class Sample:
         data = data[np.lexsort(data.T)]
         return cls(data[:, :-2].copy(), data[:, -2].copy(), data[:, -1].copy())
 
+    def binned(self) -> Binned:
+        cuts = tuple(thresholds(column, self.weight) for column in self.x.T)
+        columns = [np.searchsorted(cut, column) for cut, column in zip(cuts, self.x.T, strict=True)]
+        return Binned(cuts, np.array(columns, np.uint8), self.y, self.weight)
 
-def _best(x: np.ndarray, sums: np.ndarray, sizes: np.ndarray, total: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows ordered by node and value: each node's least impurity (weighted, of both sides) and the last row on its left."""
-    start, segment = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
-    running = np.cumsum(sums, axis=1)
-    before = running[:, start] - sums[:, start]
-    drawn = running[2] - before[2][segment]
-    fits = (drawn >= least) & (total[2][segment] - drawn >= least)
-    fits[:-1] &= (x[1:] > x[:-1]) & (segment[1:] == segment[:-1])
-    fits[-1] = False
-    places = np.flatnonzero(fits)
-    node = segment[places]
-    p, w = running[0][places] - before[0][node], running[1][places] - before[1][node]
-    q, v = total[0][node] - p, total[1][node] - w
-    cost = np.full(len(x), np.inf)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cost[places] = np.where(w > 0, p * (w - p) / w, 0.0) + np.where(v > 0, q * (v - q) / v, 0.0)
-    best = np.minimum.reduceat(cost, start)
-    ties = np.flatnonzero(cost == best[segment])  # where nothing fits, all rows of a node
-    own = segment[ties]
-    return best, ties[np.append(True, own[1:] != own[:-1])]
+
+@dataclass(frozen=True)
+class Binned:
+    """A fit's rows as the number of thresholds that each feature lies above. A row may stand for `count` equal ones."""
+
+    cuts: tuple[np.ndarray, ...]
+    columns: np.ndarray  # uint8, a line for each feature
+    y: np.ndarray
+    weight: np.ndarray
+    count: np.ndarray | None = None
+
+    def merged(self) -> Binned:
+        """Equal rows as one, in an order of its own. A Poisson draw of mean n is the sum of n draws of mean 1, so that trees grow alike."""
+        order = np.lexsort((self.weight, self.y, *self.columns))
+        columns, y, weight = self.columns[:, order], self.y[order], self.weight[order]
+        changes = (columns[:, 1:] != columns[:, :-1]).any(axis=0) | (y[1:] != y[:-1]) | (weight[1:] != weight[:-1])
+        first = np.flatnonzero(np.append(True, changes))
+        count = np.add.reduceat(np.ones(len(order)) if self.count is None else self.count[order], first)
+        return Binned(self.cuts, columns[:, first], y[first], weight[first], count)
 
 
 def thresholds(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -103,63 +108,118 @@ def _pruned(feature: np.ndarray, value: np.ndarray, child: np.ndarray, share: np
     return np.where(leaf, -1, feature)[kept].astype(np.int16), np.where(leaf, share, value)[kept], place[np.where(leaf, np.arange(len(leaf)), child)[kept]], gains
 
 
-def grow(sample: Sample, seed: Sequence[int], depth: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class _Drawn:
+    """The drawn rows of a tree, and sums over them: of the positive class, of the other, and draws.
+
+    Where all rows of a class weigh the same, which they mostly do, `columns` hold the class in their last bit, and one
+    count by class gives all three sums; times `scale` they are weights.
+    """
+
+    def __init__(self, rows: Binned, drawn: np.ndarray):
+        weights = [np.unique(rows.weight[rows.y == c]) for c in (1, 0)]
+        self.classes = 2 if all(len(w) <= 1 for w in weights) else 1
+        self.scale = tuple(float(w[0]) if self.classes == 2 and len(w) else 1.0 for w in weights)
+        kept = np.flatnonzero(drawn)
+        y, drawn, self.columns = rows.y[kept], drawn[kept], rows.columns[:, kept]
+        if self.classes == 2:
+            self.columns = 2 * self.columns + y.astype(np.uint8)
+            self.own = (drawn,)
+        else:
+            self.own = (drawn * rows.weight[kept] * y, drawn * rows.weight[kept] * (1 - y), drawn)
+
+    def sums(self, own: Sequence[np.ndarray], group: np.ndarray, column: np.ndarray, width: int, groups: int) -> list[np.ndarray]:
+        """By group and the `width` values of a column, in one line."""
+        key, size = group * np.int32(self.classes * width) + column, groups * width
+        if self.classes == 1:
+            return [np.bincount(key, o, size)[:size] for o in own]
+        table = np.bincount(key, own[0], 2 * size)
+        positive, other = table[1 : 2 * size : 2], table[: 2 * size : 2]
+        return [positive, other, positive + other]
+
+    def impurity(self, positive: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Gini impurity times the weight, halved."""
+        p, q = positive * self.scale[0], other * self.scale[1]
+        return p * q / np.maximum(p + q, 1e-300)
+
+
+def grow(sample: Sample | Binned, seed: Sequence[int], depth: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A tree as feature (-1: a leaf), value (threshold, or a leaf's share of the positive class) and left child of each
     node, whose right child follows it; and the gain of each feature.
 
     Rows count as often as a Poisson draw says. A node looks at the root of the number of features, rounded up; both sides
-    of a split hold `least` drawn rows and lower the weighted Gini impurity.
+    of a split hold `least` drawn rows and lower the weighted Gini impurity. All nodes of a batch are split together, each
+    feature by one table of nodes and thresholds; a level of many rows goes on in several batches.
     """
-    cuts = [thresholds(column, sample.weight) for column in sample.x.T]
+    binned = sample.binned() if isinstance(sample, Sample) else sample
+    cuts, d = binned.cuts, len(binned.columns)
     random = np.random.default_rng(seed)
-    drawn = random.poisson(1.0, len(sample.y)).astype(float)
+    drawn = random.poisson(1.0 if binned.count is None else binned.count, len(binned.y)).astype(float)
     if not drawn.any():
         drawn[random.integers(len(drawn))] = 1.0
-    rows = np.flatnonzero(drawn)
-    d = sample.x.shape[1]
+    rows = _Drawn(binned, drawn)
     looks = int(np.ceil(np.sqrt(d)))
-    sums = np.array([drawn * sample.weight * sample.y, drawn * sample.weight, drawn])
-    feature, value, child, share, gain = [], [], [], [], []
-    columns = np.array([np.searchsorted(cut, column) for cut, column in zip(cuts, sample.x.T, strict=True)], np.uint8)
-    orders = [rows[np.argsort(column[rows], kind="stable")] for column in columns]
-    sizes, begun = np.array([len(rows)]), 0
-    for level in range(depth + 1):
-        nodes = len(sizes)
-        if not nodes:
-            break
-        start, segment = np.cumsum(sizes) - sizes, np.repeat(np.arange(nodes), sizes)
-        total = np.add.reduceat(sums.take(orders[0], axis=1), start, axis=1)
-        own = total[0] * (total[1] - total[0]) / np.where(total[1] > 0, total[1], 1)
-        split, cut, at = np.full(nodes, -1, np.int16), np.zeros(nodes, np.uint8), own * (1 - 1e-12)
-        may = (total[2] >= 2 * least) & (own > 0) & (level < depth)
-        looked = np.argsort(random.random((nodes, d)), axis=1)[:, :looks]
+    made, begun = [], 1
+    batches = [(0, np.zeros(1, np.int32), np.zeros(len(rows.own[0]), np.int32), rows.columns, rows.own)]
+    while batches:
+        level, ids, node, columns, own = batches.pop()  # rows whose node is len(ids) ended above
+        total = [t[: len(ids)] for t in rows.sums(own, node, columns[0] & 1 if rows.classes == 2 else np.int32(0), 1, len(ids) + 1)]
+        impure = rows.impurity(*total[:2])
+        positive, other = total[0] * rows.scale[0], total[1] * rows.scale[1]
+        share = positive / np.maximum(positive + other, 1e-300)
+        feature, value, child, gain = np.full(len(ids), -1, np.int16), np.zeros(len(ids)), ids.copy(), np.zeros(len(ids))
+        made.append((ids, feature, value, child, share, gain))
+        may = (total[2] >= 2 * least) & (impure > 0) & (level < depth)
+        open_ = np.flatnonzero(may)
+        if not len(open_):
+            continue
+        stays = np.flatnonzero(np.append(may, False)[node])
+        if len(stays) < len(node):
+            node = (np.cumsum(may, dtype=np.int32) - 1)[node[stays]]
+            columns, own = columns.take(stays, axis=1), tuple(o[stays] for o in own)
+        total, at = [t[open_] for t in total], impure[open_]
+        split, cut, lowest = np.full(len(open_), -1, np.int16), np.zeros(len(open_), np.uint8), at * (1 - 1e-12)
+        looked = np.argsort(random.random((len(open_), d)), axis=1)[:, :looks]
         for f in range(d):
-            asked = np.flatnonzero(may & (looked == f).any(axis=1))
-            if not len(asked):
+            asked, width = np.flatnonzero((looked == f).any(axis=1)), len(cuts[f]) + 1
+            if not len(asked) or width == 1:
                 continue
-            is_asked = np.zeros(nodes, bool)
-            is_asked[asked] = True
-            order = orders[f][is_asked[segment]]
-            x = columns[f][order]
-            best, last = _best(x, sums.take(order, axis=1), sizes[asked], total[:, asked], least)
-            better = best < at[asked]
-            mine, last = asked[better], last[better]
-            split[mine], at[mine], cut[mine] = f, best[better], x[last]
-        inner = split >= 0
-        gain.append(np.where(inner, own - at, 0.0))
-        feature.append(split)
-        value.append(np.array([cuts[f][c] if f >= 0 else 0.0 for f, c in zip(split.tolist(), cut.tolist(), strict=True)]))
-        share.append(total[0] / np.where(total[1] > 0, total[1], 1))
-        child.append(np.where(inner, begun + nodes + 2 * (np.cumsum(inner) - 1), begun + np.arange(nodes)).astype(np.int32))
-        begun += nodes
-        # Rows of split nodes stay, in order, the left side of a node before its right side.
-        stays = inner[segment]
-        below = np.zeros(len(sample.y), np.uint16 if nodes < 1 << 15 else np.int64)  # numpy sorts short numbers by their digits
-        below[orders[0]] = 2 * (np.cumsum(inner) - 1)[segment] + (columns[np.maximum(split, 0)[segment], orders[0]] > cut[segment])
-        orders = [order[stays] for order in orders]
-        sizes = np.bincount(below[orders[0]], minlength=2 * int(inner.sum()))
-        orders = [order[np.argsort(below[order], kind="stable")] for order in orders]
-    return _pruned(*[np.concatenate(c) for c in (feature, value, child, share, gain)], d)
+            tables = rows.sums(own, node, columns[f], width, len(open_))
+            left = [np.cumsum(t.reshape(-1, width)[asked, :-1], axis=1) for t in tables]
+            right = [t[asked, None] - below for t, below in zip(total, left, strict=True)]
+            cost = rows.impurity(*left[:2]) + rows.impurity(*right[:2])
+            cost[(left[2] < least) | (right[2] < least)] = np.inf
+            best = cost.argmin(axis=1)
+            cost = cost[np.arange(len(asked)), best]
+            better = cost < lowest[asked]
+            mine = asked[better]
+            split[mine], cut[mine], lowest[mine] = f, best[better], cost[better]
+        inner = np.flatnonzero(split >= 0)
+        if not len(inner):
+            continue
+        mine = open_[inner]
+        feature[mine], gain[mine] = split[inner], at[inner] - lowest[inner]
+        value[mine] = [cuts[f][c] for f, c in zip(split[inner].tolist(), cut[inner].tolist(), strict=True)]
+        child[mine] = begun + 2 * np.arange(len(inner))
+        ids = begun + np.arange(2 * len(inner), dtype=np.int32)
+        begun += len(ids)
+        above = columns[np.maximum(split, 0)[node], np.arange(len(node))] >= (rows.classes * (cut + np.uint8(1)))[node]
+        below = np.full(len(open_), len(ids), np.int32)
+        below[inner] = 2 * np.arange(len(inner))
+        node = below[node] + (above & (split >= 0)[node])
+        if len(node) <= BATCH_ROWS or len(ids) == 2:
+            batches.append((level + 1, ids, node, columns, own))
+            continue
+        order = np.argsort(node.astype(np.uint16) if len(ids) < 1 << 16 else node, kind="stable")  # numpy sorts short numbers by their digits
+        upto = np.cumsum(np.bincount(node, minlength=len(ids))[: len(ids)])
+        part = upto // BATCH_ROWS
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        for lo, hi in zip(first, np.append(first[1:], len(ids)), strict=True):
+            mine = order[(upto[lo - 1] if lo else 0) : upto[hi - 1]]
+            batches.append((level + 1, ids[lo:hi], node[mine] - np.int32(lo), columns[:, mine], tuple(o[mine] for o in own)))
+    ids, *parts = (np.concatenate(c) for c in zip(*made, strict=True))
+    order = np.argsort(ids)
+    feature, value, child, share, gain = (c[order] for c in parts)
+    return _pruned(feature, value, child, share, gain, d)
 
 
 def probability(trees: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
@@ -212,16 +272,16 @@ class Grown:
         return scored(F.struct(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]))
 
 
-def grow_forests(spark: SparkSession, samples: Sequence[Sample], sizes: Sequence[int], depth: int, least: int, seed: int) -> list[tuple[Grown, tuple[Part, ...]]]:
+def grow_forests(spark: SparkSession, samples: Sequence[Binned], sizes: Sequence[int], depth: int, least: int, seed: int) -> list[tuple[Grown, tuple[Part, ...]]]:
     """A forest of sum(sizes) trees on each sample, in parts of `sizes` trees; all trees are dealt over the tasks."""
-    sent = spark.sparkContext.broadcast([(s.x, s.y, s.weight) for s in samples])
+    sent = spark.sparkContext.broadcast([(s.cuts, s.columns, s.y, s.weight, s.count) for s in samples])
     each = sum(sizes)
 
     def growing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in batch.column("id").to_pylist():
                 forest, tree = divmod(i, each)
-                feature, value, child, gain = grow(Sample(*sent.value[forest]), [seed, forest, tree], depth, least)
+                feature, value, child, gain = grow(Binned(*sent.value[forest]), [seed, forest, tree], depth, least)
                 row = [[forest], [tree], [feature.tobytes()], [value.tobytes()], [child.tobytes()], [(gain / (gain.sum() or 1.0)).tolist()]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=names)
 
@@ -230,7 +290,7 @@ def grow_forests(spark: SparkSession, samples: Sequence[Sample], sizes: Sequence
     total = each * len(samples)
     tasks = min(total, 4 * spark.sparkContext.defaultParallelism)
     table = stored(spark.range(0, total, 1, tasks).mapInArrow(growing, _TREE), "trees")
-    gains = np.zeros((len(samples), each, samples[0].x.shape[1]))
+    gains = np.zeros((len(samples), each, len(samples[0].columns)))
     for r in table.select("forest", "tree", "importance").collect():  # a few numbers a tree
         gains[r["forest"], r["tree"]] = r["importance"]
     forests = []

@@ -217,3 +217,59 @@ def test_a_logistic_fit_does_not_read_its_rows_in_every_step(spark):
     assert {k for k in fitted} == {(f, v) for f in (0, 1, 2, None) for v in ("full", "no_b")}
     assert np.allclose(fitted[(None, "full")], fit_logistic_groups(table.where("fold IS NULL"), ["a", "b"])[("full",)], atol=1e-8)
     assert fitted[(1, "no_b")][2] == 0.0
+
+
+def test_forests_are_fitted_on_every_positive_cell(spark, tmp_path, monkeypatch):
+    """At most 5,000 positive cells of a fold took part in the fits that m1, m2, m7 and m10 share."""
+    from cellweave.catalog import models as catalog
+
+    n = 12_000
+    orders = spark.range(n).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "string(id % 5) AS o_orderpriority", "double(hash(id) % 1000) AS o_totalprice")
+    lines = spark.range(n).selectExpr(
+        "id AS l_orderkey", "double(45 + id % 5) AS l_quantity", "(id % 11) / 100D AS l_discount", "(id % 9) / 100D AS l_tax",
+        "if(pmod(hash(id, 1), 10) < 8, 'R', 'N') AS l_returnflag",
+    )
+    customers = spark.range(7).selectExpr("id AS c_custkey", "double(id) AS c_acctbal")
+    for name, table in {"orders": orders, "lineitem": lines, "customer": customers}.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(catalog, "FOREST", {"trees": 4, "depth": 4})
+    folds, forests = catalog._forests(spark, str(tmp_path))
+    positive = [i for i, r in enumerate(lines.orderBy("l_orderkey").collect()) if r["l_returnflag"] == "R"]
+    for strip in labels.fold_strips(100, 5, 5):
+        far = [i for i in positive if not strip["train_left"] <= i % 100 < strip["train_right"]]
+        fitted = folds[strip["fold"]].train.where("label = 1")
+        assert len(far) > 6000 and {r["row"] * 100 + r["col"] for r in fitted.collect()} == set(far)
+        assert forests[strip["fold"]].grown is not None
+    assert catalog.m10(spark, str(tmp_path)).where("score >= 0").count() == n
+
+
+def test_trees_of_merged_rows_and_of_any_weights(monkeypatch):
+    """Equal rows count once with their number; weights that differ within a class are added up; levels go on in batches."""
+    from cellweave.operators import trees
+
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.integers(0, 6, 3000), rng.normal(size=3000)])
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=3000) > 3).astype(float)
+    for w in (np.where(y == 1, 1.0, 0.1), rng.choice([0.5, 1.0, 2.0], 3000)):
+        rows = trees.Sample(x, y, w).binned()
+        merged = rows.merged()
+        assert len(merged.y) < 3000 and merged.count.sum() == 3000
+        assert np.isclose((merged.count * merged.weight * merged.y).sum(), (w * y).sum())
+        back = np.repeat(np.arange(len(merged.y)), merged.count.astype(int))
+        whole = np.column_stack([*rows.columns, y, w])
+        again = np.column_stack([*merged.columns[:, back], merged.y[back], merged.weight[back]])
+        assert (whole[np.lexsort(whole.T)] == again[np.lexsort(again.T)]).all()
+        for batch in (1 << 17, 100):
+            monkeypatch.setattr(trees, "BATCH_ROWS", batch)
+            feature, value, child, gain = trees.grow(merged, [7], 30, 5)
+            drawn = np.random.default_rng([7]).poisson(merged.count)
+            node = np.zeros(len(merged.y), int)
+            points = np.array([np.append(-np.inf, cut)[column] for cut, column in zip(merged.cuts, merged.columns, strict=True)]).T
+            while (feature[node] >= 0).any():
+                inner = feature[node] >= 0
+                # A row lies above a threshold when it is above the last one below it.
+                node[inner] = child[node[inner]] + (points[inner, feature[node[inner]]] >= value[node[inner]])
+            leaf = feature < 0
+            assert leaf.sum() > 20 and gain.min() > 0 and np.bincount(node, drawn, len(feature))[leaf].min() >= 5
+            share = np.bincount(node, drawn * merged.weight * merged.y, len(feature)) / np.bincount(node, drawn * merged.weight, len(feature)).clip(1e-9)
+            assert np.allclose(share[leaf], value[leaf])
