@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from functools import partial
 from typing import TypeVar
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from cellweave.functions.scalars import sigmoid
 from cellweave.operators.labels import stratified_sample, with_weights
 from cellweave.operators.logistic import fit_logistic_groups
 from cellweave.operators.tiles import pass_mean_std, tile_overlap_mean
-from cellweave.operators.trees import Grown, Part, Sample, grow_forests
+from cellweave.operators.trees import Binned, Grown, Part, Sample, grow_forests, row_codes
 from cellweave.session import keep_checkpoints, stored
 
 
@@ -27,8 +28,10 @@ T = TypeVar("T")
 
 #: Rows of a fit that one task holds; a smaller sample is one task, so that parts of forests grow side by side.
 TASK_ROWS = 100_000
-#: Rows of a fit's sample that is sent to every task.
-SENT_ROWS = 400_000
+#: Rows of a fit that are read by the driver; the thresholds of more are told and their equal rows counted by Spark.
+READ_ROWS = 400_000
+#: Rows that differ in a threshold, label or weight, of the samples that are sent to every task together.
+SENT_ROWS = 4_000_000
 #: Trees of a part of a forest. A part grows all its trees level by level.
 PART_TREES = 63
 #: Parts that grow at the same time.
@@ -49,6 +52,14 @@ class Forest:
     parts: tuple[RandomForestClassificationModel | Part, ...]
     trees: tuple[int, ...]
     grown: Grown | None = None
+    cuts: tuple[np.ndarray, ...] | None = None  # where Spark ML was given numbers of thresholds, not features
+
+    def vectors(self, rows: DataFrame) -> DataFrame:
+        """Add `_features`; rows with unknown features go."""
+        if self.cuts is None:
+            return self.assembler.transform(rows)
+        features = self.assembler.getInputCols()
+        return rows.dropna(subset=features).withColumn("_features", array_to_vector(row_codes(self.cuts, features)))
 
 
 def fit_forests(
@@ -57,18 +68,36 @@ def fit_forests(
 ) -> list[Forest]:
     """Random forests on weighted samples, one for each table; depth 30 is the deepest Spark ML grows.
 
-    Samples of up to SENT_ROWS rows are sent to every task, and their trees are dealt over the tasks (`trees`).
-    Forests of larger tables are assembled from seeded parts of about PART_TREES trees that grow side by side, all tables'
-    parts together, by Spark ML. Its tasks keep the node of every row (checkpointed in the shared folder), so that trees are
-    not sent along with each level.
+    Rows are told by the thresholds that they lie above, which are found from all rows, and equal ones are counted once. Samples of
+    up to SENT_ROWS such rows are sent to every task, some at a time when they are more together, and their trees are dealt over the
+    tasks (`trees`). Forests of larger tables are assembled from seeded parts of about PART_TREES trees that grow side by side, all
+    tables' parts together, by Spark ML, which gets the same thresholds as numbers. Its tasks keep the node of every row
+    (checkpointed in the shared folder), so that trees are not sent along with each level.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
     count = max(1, round(trees / PART_TREES))
-    sizes = [trees // count + (k < trees % count) for k in range(count)]
-    samples = [read and read.binned().merged() for read in (Sample.of(train, features, weight, SENT_ROWS) for train in trains)]
-    if samples and all(samples):
-        grown = grow_forests(trains[0].sparkSession, samples, sizes, depth, min_leaf, seed)
-        return [Forest(assembler, parts, tuple(sizes), forest) for forest, parts in grown]
+    sizes = tuple(trees // count + (k < trees % count) for k in range(count))
+    forests: dict[int, Forest] = {}
+    waiting: dict[int, Binned] = {}
+    large: dict[int, tuple[np.ndarray, ...] | None] = {}
+
+    def grow_waiting() -> None:
+        grown = grow_forests(trains[0].sparkSession, list(waiting.values()), sizes, depth, min_leaf, seed) if waiting else []
+        for i, (forest, parts) in zip(waiting, grown, strict=True):
+            forests[i] = Forest(assembler, parts, sizes, forest)
+        waiting.clear()
+
+    for i, train in enumerate(trains):
+        read = Sample.of(train, features, weight, READ_ROWS)
+        binned = read and read.binned().merged()
+        cuts, binned = (binned.cuts, binned) if binned else Binned.of(train, features, weight, SENT_ROWS) or (None, None)
+        if binned is None or len(binned.y) > SENT_ROWS:
+            large[i] = cuts
+            continue
+        if sum(len(w.y) for w in waiting.values()) + len(binned.y) > SENT_ROWS:
+            grow_waiting()
+        waiting[i] = binned
+    grow_waiting()
 
     def grow(ready: DataFrame, k: int) -> RandomForestClassificationModel:
         return RandomForestClassifier(
@@ -77,13 +106,17 @@ def fit_forests(
         ).fit(ready)
 
     jobs = []
-    for train in trains:
+    for i, cuts in large.items():
+        train = trains[i]
         keep_checkpoints(train.sparkSession)
-        ready = assembler.transform(train.withColumn("label", F.col("label").cast("double"))).select("_features", "label", weight)
+        empty = Forest(assembler, (), sizes, cuts=cuts)
+        ready = empty.vectors(train.withColumn("label", F.col("label").cast("double"))).select("_features", "label", weight)
         ready = ready.coalesce(max(1, math.ceil(train.count() / TASK_ROWS)))
         jobs += [partial(grow, ready, k) for k in range(count)]
     grown = in_parallel(jobs)
-    return [Forest(assembler, tuple(grown[i : i + count]), tuple(sizes)) for i in range(0, len(grown), count)]
+    for n, (i, cuts) in enumerate(large.items()):
+        forests[i] = Forest(assembler, tuple(grown[n * count : (n + 1) * count]), sizes, cuts=cuts)
+    return [forests[i] for i in range(len(trains))]
 
 
 def fit_forest(train: DataFrame, features: Sequence[str], **options) -> Forest:
@@ -99,8 +132,8 @@ def score(model: Forest, cells: DataFrame, name: str = "score") -> DataFrame:
     """Add the probability of the positive class; of the only class when there is one. Rows with null features go."""
     if model.grown is not None:
         features = model.assembler.getInputCols()
-        return cells.dropna(subset=features).withColumn(name, model.grown.score(features))
-    scored, total = model.assembler.transform(cells), F.lit(0.0)
+        return model.grown.score(cells.dropna(subset=features), features, name)
+    scored, total = model.vectors(cells), F.lit(0.0)
     for k, (part, trees) in enumerate(zip(model.parts, model.trees, strict=True)):
         p = F.col(f"_p{k}")
         scored = part.transform(scored).withColumn(f"_p{k}", vector_to_array(F.col("_probability"))).drop("_probability", "rawPrediction", "prediction")

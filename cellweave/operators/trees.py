@@ -1,4 +1,4 @@
-"""Trees of forests whose sample is small: the sample goes to every task, and the trees are dealt over the tasks.
+"""Forests whose sample, told by its thresholds, fits a task: it goes to every task, and the trees are dealt over the tasks.
 
 Spark ML sums a dense histogram for every node of every level; at depth 30, most nodes hold a few rows, and their histograms
 are many times the sample. Here a tree is grown level by level on its own bootstrap counts, each feature's rows being kept in
@@ -9,9 +9,10 @@ predict the same class are merged; only the random numbers are others.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -20,14 +21,28 @@ from pyspark.ml.linalg import DenseVector, Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.session import stored
+from cellweave.scale import broadcast_if_small, running_totals
+from cellweave.session import scratch_path, stored
 
 #: Thresholds of a feature, as Spark ML's 32 bins have them.
 THRESHOLDS = 31
 #: Rows of a tree's level that are split at once; few enough to stay near the processor.
 BATCH_ROWS = 1 << 17
+#: Nodes of a forest that is gathered and broadcast to score, 14 bytes each; a larger one stays in the shared folder.
+TREE_NODES = 2_500_000
+#: Distinct rows, as bytes of thresholds, that such a forest scores in one reading of its trees.
+KEYS_SENT = 4_000_000
+#: Scores that are added up at once.
+KEY_BLOCK = 1 << 16
 
-_TREE = "forest long, tree long, feature binary, value binary, child binary, importance array<double>"
+_TREE = "tree long, feature binary, value binary, child binary, importance array<double>, forest long"
+
+
+def known_rows(rows: DataFrame, features: Sequence[str], weight: str) -> DataFrame:
+    """`_x0, _x1, ..., _y, _w` of the rows whose features are all known."""
+    x = [f"_x{i}" for i in range(len(features))]
+    named = [F.col(f).cast("double").alias(a) for f, a in zip(features, x, strict=True)]
+    return rows.select(*named, F.col("label").cast("double").alias("_y"), F.col(weight).cast("double").alias("_w")).dropna(subset=x)
 
 
 @dataclass(frozen=True)
@@ -41,8 +56,7 @@ class Sample:
     @classmethod
     def of(cls, rows: DataFrame, features: Sequence[str], weight: str, limit: int) -> Sample | None:
         """The rows whose features are all known; None when they are more than `limit`, or are no two-class sample."""
-        known = rows.select(*[F.col(f).cast("double") for f in features], F.col("label").cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"))
-        table = known.dropna(subset=list(known.columns[: len(features)])).limit(limit + 1).toArrow()
+        table = known_rows(rows, features, weight).limit(limit + 1).toArrow()
         data = np.array([c.to_numpy(zero_copy_only=False) for c in table.columns], dtype=float).T
         y, w = data[:, -2], data[:, -1]
         if not 0 < len(data) <= limit or not np.isin(y, (0, 1)).all() or not (np.isfinite(w) & (w >= 0)).all() or not w.any():
@@ -66,6 +80,26 @@ class Binned:
     weight: np.ndarray
     count: np.ndarray | None = None
 
+    @classmethod
+    def of(cls, rows: DataFrame, features: Sequence[str], weight: str, limit: int) -> tuple[tuple[np.ndarray, ...], Binned | None] | None:
+        """Thresholds of a large table, and its rows unless more than `limit` differ; None when it is no two-class sample.
+
+        Thresholds are told from all rows and equal rows are counted by Spark; only rows that differ reach the driver.
+        """
+        known, d = stored(known_rows(rows, features, weight), "fitted"), len(features)
+        fair = F.col("_y").isin(0.0, 1.0) & (F.col("_w") >= 0) & (F.col("_w") < math.inf)
+        checked = known.agg(F.bool_and(F.coalesce(fair, F.lit(False))).alias("fair"), F.max("_w").alias("most")).first()
+        if not checked["fair"] or not checked["most"]:
+            return None
+        cuts = table_thresholds(known, d)
+        keyed = known.select(row_key(cuts, [f"_x{i}" for i in range(d)]).alias("_key"), "_y", "_w")
+        counted = stored(keyed.groupBy("_key", "_y", "_w").agg(F.count("*").alias("_n")), "counted")
+        if counted.count() > limit:
+            return cuts, None
+        table = counted.select("_key", F.col("_y").cast("tinyint"), "_w", F.col("_n").cast("int")).toArrow()
+        y, w, n = (table[c].to_numpy().astype(float) for c in ("_y", "_w", "_n"))
+        return cuts, cls(cuts, _columns(table["_key"], d), y, w, n).merged()
+
     def merged(self) -> Binned:
         """Equal rows as one, in an order of its own. A Poisson draw of mean n is the sum of n draws of mean 1, so that trees grow alike."""
         order = np.lexsort((self.weight, self.y, *self.columns))
@@ -89,6 +123,97 @@ def thresholds(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return between
 
 
+def table_thresholds(rows: DataFrame, d: int) -> tuple[np.ndarray, ...]:
+    """`thresholds` of the columns `_x0, _x1, ...` weighted by `_w`: from all rows, whose values stay distributed.
+
+    Running weights over the distinct values tell in which of the equal shares of the weight a value ends; the first and the last
+    value of every share are what the thresholds lie next to. Another pass finds the value that follows each of them.
+    """
+    long = rows.select("_w", F.posexplode(F.array(*[F.col(f"_x{i}") for i in range(d)])).alias("_f", "_v"))
+    counted = long.groupBy("_f", "_v").agg(F.sum("_w").alias("_w"))
+    sizes = {r["_f"]: (r["n"], r["total"]) for r in counted.groupBy("_f").agg(F.count("*").alias("n"), F.sum("_w").alias("total")).collect()}
+    few = [f for f in sizes if sizes[f][0] <= THRESHOLDS + 1]
+    many = [f for f in sizes if f not in few]
+    cuts = [np.zeros(0)] * d
+    values: dict[int, list[float]] = {}
+    for r in counted.where(F.col("_f").isin(few)).collect() if few else ():  # no more than thresholds
+        values.setdefault(r["_f"], []).append(r["_v"])
+    for f, own in values.items():
+        own = np.sort(own)
+        cuts[f] = own[:-1] / 2 + own[1:] / 2
+    if not many:
+        return tuple(cuts)
+
+    upto = running_totals(counted.where(F.col("_f").isin(many)), "_v", ["_w"], ["_f"], at_most=max(sizes[f][0] for f in many))
+    total = F.element_at(F.array(*[F.lit(sizes[f][1] if f in sizes else 0.0) for f in range(d)]), F.col("_f") + 1)
+    share = F.floor(F.col("cum__w") * (THRESHOLDS + 1) / total).alias("_k")
+    found = upto.groupBy("_f", share).agg(*[a("_v").alias(f"{n}v") for n, a in (("first", F.min), ("last", F.max))], F.min("cum__w").alias("firstw"), F.max("cum__w").alias("lastw"))
+    shares: dict[int, list] = {f: [] for f in many}
+    for r in found.orderBy("_f", "_k").collect():  # one row a feature and share
+        shares[r["_f"]].append(r)
+    edges = [np.zeros(0)] * d
+    for f, own in shares.items():
+        at = np.array([r["_k"] for r in own])
+        chosen = []
+        for k in range(1, THRESHOLDS + 1):
+            target = sizes[f][1] * k / (THRESHOLDS + 1)
+            i = min(int(np.searchsorted(at, k)), len(own) - 1)
+            nearer = i > 0 and (target - own[i - 1]["lastw"] < own[i]["firstw"] - target or own[i]["firstv"] == own[-1]["lastv"])
+            chosen.append(own[i - 1]["lastv"] if nearer else own[i]["firstv"])
+        edges[f] = np.unique(chosen)
+
+    def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = [np.full(len(e) + 1, np.inf) for e in edges]
+        for batch in batches:
+            for f in many:
+                x = batch.column(f).to_numpy(zero_copy_only=False)
+                np.minimum.at(least[f], np.searchsorted(edges[f], x), x)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(least).tolist()], pa.list_(pa.float64()))], names=["least"])
+
+    rows_above = rows.select(*[f"_x{i}" for i in range(d)]).mapInArrow(above, "least array<double>")
+    least = np.min([r["least"] for r in rows_above.collect()], axis=0)  # a row of a few numbers a task
+    for f, own in enumerate(np.split(least, np.cumsum([len(e) + 1 for e in edges])[:-1])):
+        if f in shares:
+            below, after = edges[f][np.isfinite(own[1:])], own[1:][np.isfinite(own[1:])]
+            cuts[f] = below / 2 + after / 2
+    return tuple(cuts)
+
+
+def _codes(cuts: Sequence[np.ndarray], x: pd.DataFrame) -> np.ndarray:
+    """Rows of bytes: the number of thresholds that each feature lies above."""
+    return np.column_stack([np.searchsorted(cut, x.iloc[:, i].to_numpy(dtype=float)) for i, cut in enumerate(cuts)]).astype(np.uint8)
+
+
+def _features(features: Sequence[str]) -> Column:
+    return F.struct(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+
+
+def row_key(cuts: Sequence[np.ndarray], features: Sequence[str]) -> Column:
+    """A byte for each feature, all of them known: the number of thresholds that it lies above."""
+
+    @F.pandas_udf("binary")
+    def key(x: pd.DataFrame) -> pd.Series:
+        raw, d = _codes(cuts, x).tobytes(), len(cuts)
+        return pd.Series([raw[i : i + d] for i in range(0, len(raw), d)], dtype=object)
+
+    return key(_features(features))
+
+
+def row_codes(cuts: Sequence[np.ndarray], features: Sequence[str]) -> Column:
+    """The same as an array of numbers."""
+
+    @F.pandas_udf("array<double>")
+    def codes(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(list(_codes(cuts, x).astype(float)))
+
+    return codes(_features(features))
+
+
+def _columns(keys: pa.ChunkedArray, d: int) -> np.ndarray:
+    """Keys of rows as one line for each feature."""
+    return np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(-1, d).T.copy()
+
+
 def _pruned(feature: np.ndarray, value: np.ndarray, child: np.ndarray, share: np.ndarray, gain: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The tree without splits whose sides predict one class, and the gains of the others by feature."""
     leaf, positive = feature < 0, share > 0.5
@@ -222,8 +347,8 @@ def grow(sample: Sample | Binned, seed: Sequence[int], depth: int, least: int) -
     return _pruned(feature, value, child, share, gain, d)
 
 
-def probability(trees: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
-    """Mean share of the positive class over all trees."""
+def _summed(trees: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Sum of the shares of the positive class over all trees."""
     total = np.zeros(len(x))
     for feature, value, child in trees:
         node, open_ = np.zeros(len(x), np.int64), np.arange(len(x))
@@ -234,7 +359,16 @@ def probability(trees: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], x: n
             open_, here, own = open_[inner], here[inner], own[inner]
             node[open_] = child[here] + (x[open_, own] > value[here])
         total += value[node]
-    return total / len(trees)
+    return total
+
+
+def probability(trees: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """Mean share of the positive class over all trees."""
+    return _summed(trees, x) / len(trees)
+
+
+def _tree(feature: bytes, value: bytes, child: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(feature, np.int16), np.frombuffer(value, float), np.frombuffer(child, np.int32)
 
 
 @dataclass(frozen=True)
@@ -247,56 +381,110 @@ class Part:
 
 @dataclass(frozen=True)
 class Grown:
-    """The trees of one forest in the shared folder; they are gathered when the first table is scored."""
+    """The trees of one forest in the shared folder."""
 
     table: DataFrame
     forest: int
+    size: int
+    nodes: int
+    cuts: tuple[np.ndarray, ...]
     certain: bool  # no row of the positive class: what is scored is the probability of the only one
 
+    @property
+    def _own(self) -> DataFrame:
+        return self.table.where(F.col("forest") == self.forest)
+
     @cached_property
     def _trees(self):
-        rows = self.table.where(F.col("forest") == self.forest).orderBy("tree").select("feature", "value", "child").collect()
-        trees = [(np.frombuffer(r["feature"], np.int16), np.frombuffer(r["value"], float), np.frombuffer(r["child"], np.int32)) for r in rows]
-        return self.table.sparkSession.sparkContext.broadcast(trees)
+        rows = self._own.orderBy("tree").select("feature", "value", "child").collect()
+        return self.table.sparkSession.sparkContext.broadcast([_tree(*r) for r in rows])
+
+    def score(self, cells: DataFrame, features: Sequence[str], name: str) -> DataFrame:
+        """Add the probability to rows whose features are all known.
 
-    def score(self, features: Sequence[str]) -> Column:
-        """Probability of rows whose features are all known."""
+        A small forest goes to the rows. Of a large one, every task that reads some trees scores all rows that differ in a threshold by
+        them, the scores of all trees are added up, and rows meet theirs by their key.
+        """
         if self.certain:
-            return F.lit(1.0)
+            return cells.withColumn(name, F.lit(1.0))
+        if self.nodes > TREE_NODES:
+            keyed = cells.withColumn("_key", row_key(self.cuts, features))
+            return keyed.join(broadcast_if_small(self._key_scores(keyed, name)), "_key").select(*[c for c in cells.columns if c != name], name)
         trees = self._trees
 
         @F.pandas_udf("double")
         def scored(x: pd.DataFrame) -> pd.Series:
             return pd.Series(probability(trees.value, x.to_numpy(dtype=float)))
 
-        return scored(F.struct(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]))
+        return cells.withColumn(name, scored(_features(features)))
+
+    def _key_scores(self, keyed: DataFrame, name: str) -> DataFrame:
+        """`_key` and its score."""
+        distinct = stored(keyed.select("_key").distinct(), "keys")
+        rounds = max(1, math.ceil(distinct.count() / KEYS_SENT))
+        round_of = F.pmod(F.xxhash64("_key"), F.lit(rounds))
+        return reduce(DataFrame.unionByName, [self._scores_of(distinct.where(round_of == k), name) for k in range(rounds)])
+
+    def _scores_of(self, keys: DataFrame, name: str) -> DataFrame:
+        """The scores of so many keys that all tasks can hold them, as a stored table."""
+        d, size = len(self.cuts), self.size
+        columns = _columns(keys.toArrow()["_key"], d)
+        sent = keys.sparkSession.sparkContext.broadcast(columns[:, np.lexsort(columns)])
+        points = [np.append(cut, np.inf) for cut in self.cuts]  # a value of each feature for each number of thresholds below it
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            columns, first = sent.value, None
+            total = np.zeros(columns.shape[1])
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                first = batch.column("tree")[0].as_py() if first is None else first
+                trees = [_tree(*t) for t in zip(*[batch.column(c).to_pylist() for c in ("feature", "value", "child")], strict=True)]
+                for lo in range(0, len(total), KEY_BLOCK):
+                    part = columns[:, lo : lo + KEY_BLOCK]
+                    total[lo : lo + KEY_BLOCK] += _summed(trees, np.column_stack([p[c] for p, c in zip(points, part, strict=True)]))
+            for lo in range(0, 0 if first is None else len(total), KEY_BLOCK):
+                row = [pa.array([lo]), pa.array([first]), pa.array([total[lo : lo + KEY_BLOCK].tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, names=["start", "first", "sums"])
+
+        def added(parts: pa.Table) -> pa.Table:
+            parts = parts.sort_by("first")  # sums do not depend on which task came first
+            lo, total = parts["start"][0].as_py(), sum(np.frombuffer(b, float) for b in parts["sums"].to_pylist())
+            raw = sent.value[:, lo : lo + len(total)].T.tobytes()
+            return pa.table({"_key": pa.array([raw[i : i + d] for i in range(0, len(raw), d)], pa.binary()), name: total / size})
+
+        parts = self._own.select("tree", "feature", "value", "child").mapInArrow(scored, "start long, first long, sums binary")
+        return stored(parts.groupBy("start").applyInArrow(added, f"_key binary, `{name}` double"), "scores")
 
 
 def grow_forests(spark: SparkSession, samples: Sequence[Binned], sizes: Sequence[int], depth: int, least: int, seed: int) -> list[tuple[Grown, tuple[Part, ...]]]:
     """A forest of sum(sizes) trees on each sample, in parts of `sizes` trees; all trees are dealt over the tasks."""
     sent = spark.sparkContext.broadcast([(s.cuts, s.columns, s.y, s.weight, s.count) for s in samples])
-    each = sum(sizes)
+    each, many = sum(sizes), len(samples)
 
     def growing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in batch.column("id").to_pylist():
-                forest, tree = divmod(i, each)
+                tree, forest = divmod(i, many)  # a task grows trees of all forests
                 feature, value, child, gain = grow(Binned(*sent.value[forest]), [seed, forest, tree], depth, least)
-                row = [[forest], [tree], [feature.tobytes()], [value.tobytes()], [child.tobytes()], [(gain / (gain.sum() or 1.0)).tolist()]]
+                row = [[tree], [feature.tobytes()], [value.tobytes()], [child.tobytes()], [(gain / (gain.sum() or 1.0)).tolist()], [forest]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=names)
 
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
-    names = ["forest", "tree", "feature", "value", "child", "importance"]
-    total = each * len(samples)
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.int64()]
+    names = ["tree", "feature", "value", "child", "importance", "forest"]
+    total = each * many
     tasks = min(total, 4 * spark.sparkContext.defaultParallelism)
-    table = stored(spark.range(0, total, 1, tasks).mapInArrow(growing, _TREE), "trees")
-    gains = np.zeros((len(samples), each, len(samples[0].columns)))
-    for r in table.select("forest", "tree", "importance").collect():  # a few numbers a tree
+    path = scratch_path(spark, "trees")
+    spark.range(0, total, 1, tasks).mapInArrow(growing, _TREE).write.partitionBy("forest").parquet(path)
+    table = spark.read.schema(_TREE).parquet(path)
+    gains, nodes = np.zeros((many, each, len(samples[0].columns))), np.zeros(many, int)
+    for r in table.select("forest", "tree", "importance", F.length("feature").alias("bytes")).collect():  # a few numbers a tree
         gains[r["forest"], r["tree"]] = r["importance"]
+        nodes[r["forest"]] += r["bytes"] // 2
     forests = []
     for k, sample in enumerate(samples):
         ends = np.cumsum(sizes)
         sums = [gains[k, end - size : end].sum(axis=0) for size, end in zip(sizes, ends, strict=True)]
         parts = tuple(Part(size, Vectors.dense(s / (s.sum() or 1.0))) for size, s in zip(sizes, sums, strict=True))
-        forests.append((Grown(table, k, not sample.y.any()), parts))
+        forests.append((Grown(table, k, each, int(nodes[k]), sample.cuts, not sample.y.any()), parts))
     return forests

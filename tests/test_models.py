@@ -273,3 +273,43 @@ def test_trees_of_merged_rows_and_of_any_weights(monkeypatch):
             assert leaf.sum() > 20 and gain.min() > 0 and np.bincount(node, drawn, len(feature))[leaf].min() >= 5
             share = np.bincount(node, drawn * merged.weight * merged.y, len(feature)) / np.bincount(node, drawn * merged.weight, len(feature)).clip(1e-9)
             assert np.allclose(share[leaf], value[leaf])
+
+
+def test_large_tables_are_told_and_scored_by_all_rows(spark, monkeypatch):
+    """Spark ML took the thresholds of more than 10,000 rows from a draw, and a forest was gathered on the driver to score."""
+    from cellweave.operators import trees
+
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.normal(size=12_000), rng.integers(0, 9, 12_000), rng.integers(0, 60, 12_000) / 7, np.full(12_000, 2.0)])
+    x[0, 0] = 1e6
+    y = (x[:, 0] + x[:, 1] / 3 + rng.normal(size=12_000) > 2).astype(int)
+    rows = [(*map(float, v), int(c), 1.0 if c else 0.1) for v, c in zip(x, y, strict=True)] + [(None, 1.0, 1.0, 2.0, 1, 1.0), (float("nan"), 1.0, 1.0, 2.0, 0, 0.1)]
+    table = spark.createDataFrame(rows, "a double, b double, c double, d double, label long, weight double").withColumn("id", F.monotonically_increasing_id()).cache()
+    features = ["a", "b", "c", "d"]
+    loose = table.withColumn("weight", F.col("a") * F.col("a") % 1 + 0.01)  # no weights that end on a share
+    for weighted in (table, loose):
+        known = trees.known_rows(weighted, features, "weight")
+        local = trees.Sample.of(weighted, features, "weight", 10**6)
+        got = trees.table_thresholds(known, 4)
+        assert [len(c) for c in got] == [31, 8, 31, 0]
+        if weighted is loose:
+            assert all(np.allclose(g, trees.thresholds(column, local.weight)) for g, column in zip(got, local.x.T, strict=True))
+
+    forest = models.fit_forest(loose, features, trees=20, depth=30)
+    monkeypatch.setattr(models, "READ_ROWS", 10)
+    told = models.fit_forest(loose, features, trees=20, depth=30)
+    monkeypatch.setattr(trees, "TREE_NODES", 10)
+    monkeypatch.setattr(trees, "KEYS_SENT", 1000)
+    monkeypatch.setattr(trees, "KEY_BLOCK", 300)
+    want = {r["id"]: r["score"] for r in models.score(forest, table).collect()}
+    assert len(want) == 12_000 and told.grown.nodes > 1000 and "_trees" not in vars(forest.grown)
+    monkeypatch.setattr(trees, "TREE_NODES", 10**9)
+    for scored in (models.score(forest, table), models.score(told, table)):
+        got = {r["id"]: r["score"] for r in scored.collect()}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-9
+    assert [p.featureImportances for p in told.parts] == [p.featureImportances for p in forest.parts]
+
+    monkeypatch.setattr(models, "SENT_ROWS", 10)
+    library = models.fit_forest(table, features, trees=10, depth=5)
+    assert library.grown is None and len(library.cuts[0]) == 31
+    assert metrics.auc_roc(models.score(library, table)).first()["auc_roc"] > 0.75
