@@ -31,7 +31,7 @@ TASK_ROWS = 100_000
 #: Rows of a fit that are read by the driver; the thresholds of more are told and their equal rows counted by Spark.
 READ_ROWS = 400_000
 #: Rows that differ in a threshold, label or weight, of the samples that are sent to every task together.
-SENT_ROWS = 4_000_000
+SENT_ROWS = 6_000_000
 #: Trees of a part of a forest. A part grows all its trees level by level.
 PART_TREES = 63
 #: Parts that grow at the same time.

@@ -67,7 +67,7 @@ class Sample:
     def binned(self) -> Binned:
         cuts = tuple(thresholds(column, self.weight) for column in self.x.T)
         columns = [np.searchsorted(cut, column) for cut, column in zip(cuts, self.x.T, strict=True)]
-        return Binned(cuts, np.array(columns, np.uint8), self.y, self.weight)
+        return Binned(cuts, np.array(columns, np.uint8), self.y.astype(np.uint8), self.weight)
 
 
 @dataclass(frozen=True)
@@ -76,9 +76,15 @@ class Binned:
 
     cuts: tuple[np.ndarray, ...]
     columns: np.ndarray  # uint8, a line for each feature
-    y: np.ndarray
+    y: np.ndarray  # uint8
     weight: np.ndarray
-    count: np.ndarray | None = None
+    count: np.ndarray | None = None  # int32
+
+    @cached_property
+    def class_weights(self) -> tuple[float, float] | None:
+        """What every row of the positive class and every other row weighs, where that is one number each."""
+        own = [self.weight[self.y == c] for c in (1, 0)]
+        return tuple(float(w[0]) if len(w) else 1.0 for w in own) if all((w[1:] == w[:-1]).all() for w in own) else None
 
     @classmethod
     def of(cls, rows: DataFrame, features: Sequence[str], weight: str, limit: int) -> tuple[tuple[np.ndarray, ...], Binned | None] | None:
@@ -97,7 +103,7 @@ class Binned:
         if counted.count() > limit:
             return cuts, None
         table = counted.select("_key", F.col("_y").cast("tinyint"), "_w", F.col("_n").cast("int")).toArrow()
-        y, w, n = (table[c].to_numpy().astype(float) for c in ("_y", "_w", "_n"))
+        y, w, n = (table[c].to_numpy().astype(t) for c, t in (("_y", np.uint8), ("_w", float), ("_n", np.int32)))
         return cuts, cls(cuts, _columns(table["_key"], d), y, w, n).merged()
 
     def merged(self) -> Binned:
@@ -106,7 +112,7 @@ class Binned:
         columns, y, weight = self.columns[:, order], self.y[order], self.weight[order]
         changes = (columns[:, 1:] != columns[:, :-1]).any(axis=0) | (y[1:] != y[:-1]) | (weight[1:] != weight[:-1])
         first = np.flatnonzero(np.append(True, changes))
-        count = np.add.reduceat(np.ones(len(order)) if self.count is None else self.count[order], first)
+        count = np.add.reduceat(np.ones(len(order), np.int32) if self.count is None else self.count[order], first)
         return Binned(self.cuts, columns[:, first], y[first], weight[first], count)
 
 
@@ -211,7 +217,9 @@ def row_codes(cuts: Sequence[np.ndarray], features: Sequence[str]) -> Column:
 
 def _columns(keys: pa.ChunkedArray, d: int) -> np.ndarray:
     """Keys of rows as one line for each feature."""
-    return np.frombuffer(b"".join(keys.to_pylist()), np.uint8).reshape(-1, d).T.copy()
+    fixed = [chunk.cast(pa.binary(d)) for chunk in keys.chunks if len(chunk)]
+    raw = [np.frombuffer(chunk.buffers()[1], np.uint8)[chunk.offset * d : (chunk.offset + len(chunk)) * d] for chunk in fixed]
+    return np.concatenate([np.zeros(0, np.uint8), *raw]).reshape(-1, d).T.copy()
 
 
 def _pruned(feature: np.ndarray, value: np.ndarray, child: np.ndarray, share: np.ndarray, gain: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -241,24 +249,27 @@ class _Drawn:
     """
 
     def __init__(self, rows: Binned, drawn: np.ndarray):
-        weights = [np.unique(rows.weight[rows.y == c]) for c in (1, 0)]
-        self.classes = 2 if all(len(w) <= 1 for w in weights) else 1
-        self.scale = tuple(float(w[0]) if self.classes == 2 and len(w) else 1.0 for w in weights)
+        self.classes, self.scale = (1, (1.0, 1.0)) if rows.class_weights is None else (2, rows.class_weights)
         kept = np.flatnonzero(drawn)
         y, drawn, self.columns = rows.y[kept], drawn[kept], rows.columns[:, kept]
         if self.classes == 2:
-            self.columns = 2 * self.columns + y.astype(np.uint8)
-            self.own = (drawn,)
+            self.columns = 2 * self.columns + y
+            self.own = (drawn.astype(np.float32),)
         else:
             self.own = (drawn * rows.weight[kept] * y, drawn * rows.weight[kept] * (1 - y), drawn)
 
     def sums(self, own: Sequence[np.ndarray], group: np.ndarray, column: np.ndarray, width: int, groups: int) -> list[np.ndarray]:
         """By group and the `width` values of a column, in one line."""
-        key, size = group * np.int32(self.classes * width) + column, groups * width
+        size = self.classes * groups * width
+        tables: list = [0.0] * len(own)
+        for lo in range(0, len(group), BATCH_ROWS):
+            here = slice(lo, lo + BATCH_ROWS)
+            key = group[here] * np.int32(self.classes * width) + (column[here] if column.ndim else column)
+            found = [np.bincount(key, o[here], size) for o in own]
+            tables = [t + f for t, f in zip(tables, found, strict=True)] if lo else found
         if self.classes == 1:
-            return [np.bincount(key, o, size)[:size] for o in own]
-        table = np.bincount(key, own[0], 2 * size)
-        positive, other = table[1 : 2 * size : 2], table[: 2 * size : 2]
+            return tables
+        positive, other = tables[0][1::2], tables[0][::2]
         return [positive, other, positive + other]
 
     def impurity(self, positive: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -278,16 +289,16 @@ def grow(sample: Sample | Binned, seed: Sequence[int], depth: int, least: int) -
     binned = sample.binned() if isinstance(sample, Sample) else sample
     cuts, d = binned.cuts, len(binned.columns)
     random = np.random.default_rng(seed)
-    drawn = random.poisson(1.0 if binned.count is None else binned.count, len(binned.y)).astype(float)
+    drawn = random.poisson(1.0 if binned.count is None else binned.count, len(binned.y))
     if not drawn.any():
-        drawn[random.integers(len(drawn))] = 1.0
+        drawn[random.integers(len(drawn))] = 1
     rows = _Drawn(binned, drawn)
     looks = int(np.ceil(np.sqrt(d)))
     made, begun = [], 1
     batches = [(0, np.zeros(1, np.int32), np.zeros(len(rows.own[0]), np.int32), rows.columns, rows.own)]
     while batches:
         level, ids, node, columns, own = batches.pop()  # rows whose node is len(ids) ended above
-        total = [t[: len(ids)] for t in rows.sums(own, node, columns[0] & 1 if rows.classes == 2 else np.int32(0), 1, len(ids) + 1)]
+        total = [t[: len(ids)] for t in rows.sums(own, node, columns[0] & 1 if rows.classes == 2 else np.array(0, np.int32), 1, len(ids) + 1)]
         impure = rows.impurity(*total[:2])
         positive, other = total[0] * rows.scale[0], total[1] * rows.scale[1]
         share = positive / np.maximum(positive + other, 1e-300)
@@ -439,7 +450,7 @@ class Grown:
                 if not batch.num_rows:
                     continue
                 first = batch.column("tree")[0].as_py() if first is None else first
-                trees = [_tree(*t) for t in zip(*[batch.column(c).to_pylist() for c in ("feature", "value", "child")], strict=True)]
+                trees = [_tree(*[batch.column(c)[i].as_buffer() for c in ("feature", "value", "child")]) for i in range(batch.num_rows)]
                 for lo in range(0, len(total), KEY_BLOCK):
                     part = columns[:, lo : lo + KEY_BLOCK]
                     total[lo : lo + KEY_BLOCK] += _summed(trees, np.column_stack([p[c] for p, c in zip(points, part, strict=True)]))
@@ -459,14 +470,14 @@ class Grown:
 
 def grow_forests(spark: SparkSession, samples: Sequence[Binned], sizes: Sequence[int], depth: int, least: int, seed: int) -> list[tuple[Grown, tuple[Part, ...]]]:
     """A forest of sum(sizes) trees on each sample, in parts of `sizes` trees; all trees are dealt over the tasks."""
-    sent = spark.sparkContext.broadcast([(s.cuts, s.columns, s.y, s.weight, s.count) for s in samples])
+    sent = spark.sparkContext.broadcast(list(samples))
     each, many = sum(sizes), len(samples)
 
     def growing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in batch.column("id").to_pylist():
                 tree, forest = divmod(i, many)  # a task grows trees of all forests
-                feature, value, child, gain = grow(Binned(*sent.value[forest]), [seed, forest, tree], depth, least)
+                feature, value, child, gain = grow(sent.value[forest], [seed, forest, tree], depth, least)
                 row = [[tree], [feature.tobytes()], [value.tobytes()], [child.tobytes()], [(gain / (gain.sum() or 1.0)).tolist()], [forest]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=names)
 
