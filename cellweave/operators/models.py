@@ -20,7 +20,7 @@ from cellweave.functions.scalars import sigmoid
 from cellweave.operators.labels import stratified_sample, with_weights
 from cellweave.operators.logistic import fit_logistic_groups
 from cellweave.operators.tiles import pass_mean_std, tile_overlap_mean
-from cellweave.operators.trees import Binned, Grown, Part, Sample, grow_forests, row_codes
+from cellweave.operators.trees import ORDERED_ROWS, Binned, Grown, Part, Sample, grow_forests, row_codes
 from cellweave.session import keep_checkpoints, stored
 
 
@@ -78,7 +78,7 @@ def fit_forests(
     count = max(1, round(trees / PART_TREES))
     sizes = tuple(trees // count + (k < trees % count) for k in range(count))
     forests: dict[int, Forest] = {}
-    waiting: dict[int, Binned] = {}
+    waiting: dict[int, Sample | Binned] = {}
     large: dict[int, tuple[np.ndarray, ...] | None] = {}
 
     def grow_waiting() -> None:
@@ -89,14 +89,17 @@ def fit_forests(
 
     for i, train in enumerate(trains):
         read = Sample.of(train, features, weight, READ_ROWS)
-        binned = read and read.binned().merged()
-        cuts, binned = (binned.cuts, binned) if binned else Binned.of(train, features, weight, SENT_ROWS) or (None, None)
-        if binned is None or len(binned.y) > SENT_ROWS:
+        if read is None:
+            cuts, sample = Binned.of(train, features, weight, SENT_ROWS) or (None, None)
+        else:
+            binned = read.binned().merged()
+            cuts, sample = binned.cuts, read if len(read.y) <= ORDERED_ROWS else binned
+        if sample is None or len(sample.y) > SENT_ROWS:
             large[i] = cuts
             continue
-        if sum(len(w.y) for w in waiting.values()) + len(binned.y) > SENT_ROWS:
+        if sum(len(w.y) for w in waiting.values()) + len(sample.y) > SENT_ROWS:
             grow_waiting()
-        waiting[i] = binned
+        waiting[i] = sample
     grow_waiting()
 
     def grow(ready: DataFrame, k: int) -> RandomForestClassificationModel:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import cached_property, reduce
 
 import numpy as np
@@ -26,6 +26,8 @@ from cellweave.session import scratch_path, stored
 
 #: Thresholds of a feature, as Spark ML's 32 bins have them.
 THRESHOLDS = 31
+#: Rows of a sample whose trees grow by ordered rows.
+ORDERED_ROWS = 30_000
 #: Rows of a tree's level that are split at once; few enough to stay near the processor.
 BATCH_ROWS = 1 << 17
 #: Nodes of a forest that is gathered and broadcast to score, 14 bytes each; a larger one stays in the shared folder.
@@ -241,6 +243,82 @@ def _pruned(feature: np.ndarray, value: np.ndarray, child: np.ndarray, share: np
     return np.where(leaf, -1, feature)[kept].astype(np.int16), np.where(leaf, share, value)[kept], place[np.where(leaf, np.arange(len(leaf)), child)[kept]], gains
 
 
+def _best(x: np.ndarray, sums: np.ndarray, sizes: np.ndarray, total: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows ordered by node and value: each node's least impurity (weighted, of both sides) and the last row on its left."""
+    start, segment = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    running = np.cumsum(sums, axis=1)
+    before = running[:, start] - sums[:, start]
+    drawn = running[2] - before[2][segment]
+    fits = (drawn >= least) & (total[2][segment] - drawn >= least)
+    fits[:-1] &= (x[1:] > x[:-1]) & (segment[1:] == segment[:-1])
+    fits[-1] = False
+    places = np.flatnonzero(fits)
+    node = segment[places]
+    p, w = running[0][places] - before[0][node], running[1][places] - before[1][node]
+    q, v = total[0][node] - p, total[1][node] - w
+    cost = np.full(len(x), np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cost[places] = np.where(w > 0, p * (w - p) / w, 0.0) + np.where(v > 0, q * (v - q) / v, 0.0)
+    best = np.minimum.reduceat(cost, start)
+    ties = np.flatnonzero(cost == best[segment])  # where nothing fits, all rows of a node
+    own = segment[ties]
+    return best, ties[np.append(True, own[1:] != own[:-1])]
+
+
+def _grow_ordered(sample: Sample, seed: Sequence[int], depth: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`grow` by rows kept in order of each feature within their nodes, for small samples."""
+    cuts = [thresholds(column, sample.weight) for column in sample.x.T]
+    random = np.random.default_rng(seed)
+    drawn = random.poisson(1.0, len(sample.y)).astype(float)
+    if not drawn.any():
+        drawn[random.integers(len(drawn))] = 1.0
+    rows = np.flatnonzero(drawn)
+    d = sample.x.shape[1]
+    looks = int(np.ceil(np.sqrt(d)))
+    sums = np.array([drawn * sample.weight * sample.y, drawn * sample.weight, drawn])
+    feature, value, child, share, gain = [], [], [], [], []
+    columns = np.array([np.searchsorted(cut, column) for cut, column in zip(cuts, sample.x.T, strict=True)], np.uint8)
+    orders = [rows[np.argsort(column[rows], kind="stable")] for column in columns]
+    sizes, begun = np.array([len(rows)]), 0
+    for level in range(depth + 1):
+        nodes = len(sizes)
+        if not nodes:
+            break
+        start, segment = np.cumsum(sizes) - sizes, np.repeat(np.arange(nodes), sizes)
+        total = np.add.reduceat(sums.take(orders[0], axis=1), start, axis=1)
+        own = total[0] * (total[1] - total[0]) / np.where(total[1] > 0, total[1], 1)
+        split, cut, at = np.full(nodes, -1, np.int16), np.zeros(nodes, np.uint8), own * (1 - 1e-12)
+        may = (total[2] >= 2 * least) & (own > 0) & (level < depth)
+        looked = np.argsort(random.random((nodes, d)), axis=1)[:, :looks]
+        for f in range(d):
+            asked = np.flatnonzero(may & (looked == f).any(axis=1))
+            if not len(asked):
+                continue
+            is_asked = np.zeros(nodes, bool)
+            is_asked[asked] = True
+            order = orders[f][is_asked[segment]]
+            x = columns[f][order]
+            best, last = _best(x, sums.take(order, axis=1), sizes[asked], total[:, asked], least)
+            better = best < at[asked]
+            mine, last = asked[better], last[better]
+            split[mine], at[mine], cut[mine] = f, best[better], x[last]
+        inner = split >= 0
+        gain.append(np.where(inner, own - at, 0.0))
+        feature.append(split)
+        value.append(np.array([cuts[f][c] if f >= 0 else 0.0 for f, c in zip(split.tolist(), cut.tolist(), strict=True)]))
+        share.append(total[0] / np.where(total[1] > 0, total[1], 1))
+        child.append(np.where(inner, begun + nodes + 2 * (np.cumsum(inner) - 1), begun + np.arange(nodes)).astype(np.int32))
+        begun += nodes
+        # Rows of split nodes stay, in order, the left side of a node before its right side.
+        stays = inner[segment]
+        below = np.zeros(len(sample.y), np.uint16 if nodes < 1 << 15 else np.int64)  # numpy sorts short numbers by their digits
+        below[orders[0]] = 2 * (np.cumsum(inner) - 1)[segment] + (columns[np.maximum(split, 0)[segment], orders[0]] > cut[segment])
+        orders = [order[stays] for order in orders]
+        sizes = np.bincount(below[orders[0]], minlength=2 * int(inner.sum()))
+        orders = [order[np.argsort(below[order], kind="stable")] for order in orders]
+    return _pruned(*[np.concatenate(c) for c in (feature, value, child, share, gain)], d)
+
+
 class _Drawn:
     """The drawn rows of a tree, and sums over them: of the positive class, of the other, and draws.
 
@@ -284,8 +362,11 @@ def grow(sample: Sample | Binned, seed: Sequence[int], depth: int, least: int) -
 
     Rows count as often as a Poisson draw says. A node looks at the root of the number of features, rounded up; both sides
     of a split hold `least` drawn rows and lower the weighted Gini impurity. All nodes of a batch are split together, each
-    feature by one table of nodes and thresholds; a level of many rows goes on in several batches.
+    feature by one table of nodes and thresholds; a level of many rows goes on in several batches. Samples of up to ORDERED_ROWS
+    rows have their rows ordered instead: other sums, so other choices between splits that are equally good.
     """
+    if isinstance(sample, Sample) and len(sample.y) <= ORDERED_ROWS:
+        return _grow_ordered(sample, seed, depth, least)
     binned = sample.binned() if isinstance(sample, Sample) else sample
     cuts, d = binned.cuts, len(binned.columns)
     random = np.random.default_rng(seed)
@@ -468,16 +549,17 @@ class Grown:
         return stored(parts.groupBy("start").applyInArrow(added, f"_key binary, `{name}` double"), "scores")
 
 
-def grow_forests(spark: SparkSession, samples: Sequence[Binned], sizes: Sequence[int], depth: int, least: int, seed: int) -> list[tuple[Grown, tuple[Part, ...]]]:
+def grow_forests(spark: SparkSession, samples: Sequence[Sample | Binned], sizes: Sequence[int], depth: int, least: int, seed: int) -> list[tuple[Grown, tuple[Part, ...]]]:
     """A forest of sum(sizes) trees on each sample, in parts of `sizes` trees; all trees are dealt over the tasks."""
-    sent = spark.sparkContext.broadcast(list(samples))
+    sent = spark.sparkContext.broadcast([tuple(getattr(s, f.name) for f in fields(s)) for s in samples])
     each, many = sum(sizes), len(samples)
 
     def growing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in batch.column("id").to_pylist():
                 tree, forest = divmod(i, many)  # a task grows trees of all forests
-                feature, value, child, gain = grow(sent.value[forest], [seed, forest, tree], depth, least)
+                given = sent.value[forest]
+                feature, value, child, gain = grow(Sample(*given) if len(given) == 3 else Binned(*given), [seed, forest, tree], depth, least)
                 row = [[tree], [feature.tobytes()], [value.tobytes()], [child.tobytes()], [(gain / (gain.sum() or 1.0)).tolist()], [forest]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=names)
 
@@ -488,7 +570,8 @@ def grow_forests(spark: SparkSession, samples: Sequence[Binned], sizes: Sequence
     path = scratch_path(spark, "trees")
     spark.range(0, total, 1, tasks).mapInArrow(growing, _TREE).write.partitionBy("forest").parquet(path)
     table = spark.read.schema(_TREE).parquet(path)
-    gains, nodes = np.zeros((many, each, len(samples[0].columns))), np.zeros(many, int)
+    cuts = [s.binned().cuts if isinstance(s, Sample) else s.cuts for s in samples]
+    gains, nodes = np.zeros((many, each, len(cuts[0]))), np.zeros(many, int)
     for r in table.select("forest", "tree", "importance", F.length("feature").alias("bytes")).collect():  # a few numbers a tree
         gains[r["forest"], r["tree"]] = r["importance"]
         nodes[r["forest"]] += r["bytes"] // 2
@@ -497,5 +580,5 @@ def grow_forests(spark: SparkSession, samples: Sequence[Binned], sizes: Sequence
         ends = np.cumsum(sizes)
         sums = [gains[k, end - size : end].sum(axis=0) for size, end in zip(sizes, ends, strict=True)]
         parts = tuple(Part(size, Vectors.dense(s / (s.sum() or 1.0))) for size, s in zip(sizes, sums, strict=True))
-        forests.append((Grown(table, k, each, int(nodes[k]), sample.cuts, not sample.y.any()), parts))
+        forests.append((Grown(table, k, each, int(nodes[k]), cuts[k], not sample.y.any()), parts))
     return forests

@@ -295,6 +295,7 @@ def test_large_tables_are_told_and_scored_by_all_rows(spark, monkeypatch):
         if weighted is loose:
             assert all(np.allclose(g, trees.thresholds(column, local.weight)) for g, column in zip(got, local.x.T, strict=True))
 
+    monkeypatch.setattr(models, "ORDERED_ROWS", 10)
     forest = models.fit_forest(loose, features, trees=20, depth=30)
     monkeypatch.setattr(models, "READ_ROWS", 10)
     told = models.fit_forest(loose, features, trees=20, depth=30)
